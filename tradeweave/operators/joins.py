@@ -1,0 +1,27 @@
+"""Joins against dimensions with an explicit size check before broadcasting."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: Largest dimension (rows) that is broadcast; bigger ones are shuffle-joined.
+DIM_BROADCAST_MAX_ROWS = 200_000
+
+
+def fits_broadcast(dim: DataFrame, max_rows: int = DIM_BROADCAST_MAX_ROWS) -> bool:
+    """True when ``dim`` has at most ``max_rows`` rows (reads at most max_rows+1)."""
+    return dim.limit(max_rows + 1).count() <= max_rows
+
+
+def sized(dim: DataFrame, small: bool) -> DataFrame:
+    """Broadcast hint only for a dimension whose size was checked."""
+    return F.broadcast(dim) if small else dim
+
+
+def dim_join(fact: DataFrame, dim: DataFrame, on: Column | str | list, how: str = "inner",
+             small: bool | None = None) -> DataFrame:
+    """Join ``fact`` to ``dim``, broadcasting the dim only when its row count is bounded."""
+    if small is None:
+        small = fits_broadcast(dim)
+    return fact.join(sized(dim, small), on, how)
