@@ -2,27 +2,31 @@
 
 ``with_dim_key`` numbers a *dimension* (hundreds of rows) with a plain
 ``row_number()`` window. Facts must never go through a global window, so
-``ranked`` numbers rows 0..N-1 in a total order with one range shuffle:
-
-1. ``repartitionByRange(n, order)`` + ``sortWithinPartitions(order)`` —
-   partition p holds only keys below those of partition p+1;
-2. position inside the partition from ``monotonically_increasing_id`` (its
-   low 33 bits are the row index within the task's partition);
-3. per-partition counts (one row per partition — a size bound of ``n``
-   rows) → exclusive prefix sums, broadcast back by partition id.
-
-The range exchange is reused by the count branch, so the data is shuffled
-once. Used for contiguous fact keys (L2) and exact percentiles (D1).
+``cumulative`` computes running totals in a global order like this:
+
+1. sample the order key once (bounded sample, collected to the driver) and
+   pick ``n - 1`` range bounds; the bounds become literals of the plan;
+2. bucket = number of bounds ≤ the row's key — a pure function of the row,
+   so every pass and every task retry puts a row in the same bucket;
+3. per-bucket weight totals (≤ n rows) → exclusive prefix sums, broadcast
+   back; within a bucket a window partitioned by bucket gives the running sum.
+
+The data is shuffled once (by bucket, balanced by the sampled quantiles). The
+result is deterministic under recomputation. Used for contiguous fact keys
+(L2) and exact percentiles (D1, on per-value counts so duplicate values never
+pile up in one task).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_PID, _POS, _BASE, _TOTAL = "_rk_pid", "_rk_pos", "_rk_base", "_rk_total"
+_BKT = "_rk_bucket"
+SAMPLE_PER_BUCKET = 40
 
 
 def with_dim_key(df: DataFrame, order: Sequence[str | Column], name: str) -> DataFrame:
@@ -37,35 +41,66 @@ def _partitions(df: DataFrame, n: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def ranked(df: DataFrame, order: Sequence[str], rank_col: str = "_rank",
-           num_partitions: int | None = None, sum_col: str | None = None) -> DataFrame:
-    """Add ``rank_col`` (0-based position in ``order``) and ``_rk_total`` (row count).
-
-    ``order`` should be a total order (unique); ties get an arbitrary but
-    consistent numbering. With ``sum_col`` the frame also carries
-    ``_rk_sum`` = total of that column, summed per partition first.
+def sort_key(df: DataFrame, order: Sequence[str]) -> Column:
+    """Composite key ordered ascending with NULLs last: (c1 IS NULL, c1, c2 IS NULL, c2, ...)."""
+    parts = []
+    for i, c in enumerate(order):
+        parts += [F.col(c).isNull().alias(f"n{i}"), F.col(c).alias(f"v{i}")]
+    return F.struct(*parts)
+
+
+def _bound_literal(df: DataFrame, order: Sequence[str], row) -> Column:
+    parts = []
+    for i, c in enumerate(order):
+        v = row[f"v{i}"]
+        parts += [F.lit(bool(row[f"n{i}"])).alias(f"n{i}"),
+                  F.lit(v).cast(df.schema[c].dataType).alias(f"v{i}")]
+    return F.struct(*parts)
+
+
+def range_bucket(df: DataFrame, order: Sequence[str], n: int) -> Column:
+    """Deterministic bucket 0..n-1 of each row by sampled quantiles of ``order``."""
+    total = df.count()
+    if total == 0 or n <= 1:
+        return F.lit(0)
+    frac = min(1.0, SAMPLE_PER_BUCKET * n / total)
+    key = sort_key(df, order)
+    # bounded: about SAMPLE_PER_BUCKET * n rows of the key columns only
+    sample = df.select(key.alias("k")).sample(False, frac, seed=20240917).orderBy("k").collect()
+    if not sample:
+        return F.lit(0)
+    picks = []
+    for i in range(1, n):
+        row = sample[min(len(sample) - 1, (i * len(sample)) // n)]["k"]
+        if not picks or row != picks[-1]:
+            picks.append(row)
+    bounds = [_bound_literal(df, order, r) for r in picks]
+    return reduce(lambda a, b: a + b, [(key >= b).cast("int") for b in bounds])
+
+
+def cumulative(df: DataFrame, order: Sequence[str], weight: Column | None = None, out: str = "_cum",
+               num_partitions: int | None = None) -> DataFrame:
+    """Add ``out`` = sum of ``weight`` over all rows strictly before this one in ``order``
+    (0-based start position) and ``_rk_total`` = sum of all weights.
+
+    ``order`` must be a total order over the rows (ties get an arbitrary but
+    deterministic split only when they differ in other columns — make it unique).
     """
     n = _partitions(df, num_partitions)
-    part = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-              .withColumn(_PID, F.spark_partition_id())
-              .withColumn(_POS, F.monotonically_increasing_id() - F.col(_PID).cast("long") * F.lit(1 << 33)))
-    aggs = [F.count(F.lit(1)).alias("_n")]
-    if sum_col:
-        aggs.append(F.sum(sum_col).alias("_s"))
-    counts = part.groupBy(_PID).agg(*aggs)
-    before = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    cols = [F.col(_PID), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias(_BASE),
-            F.sum("_n").over(everything).alias(_TOTAL)]
-    if sum_col:
-        cols.append(F.sum("_s").over(everything).alias("_rk_sum"))
-    offsets = counts.select(*cols)
-    out = part.join(F.broadcast(offsets), _PID)
-    return out.withColumn(rank_col, F.col(_BASE) + F.col(_POS)).drop(_PID, _POS, _BASE)
+    w = weight if weight is not None else F.lit(1).cast("long")
+    b = df.withColumns({_BKT: range_bucket(df, order, n), "_rk_w": w})
+    counts = b.groupBy(_BKT).agg(F.sum("_rk_w").alias("_rk_n"))
+    before = Window.orderBy(_BKT).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(_BKT, F.coalesce(F.sum("_rk_n").over(before), F.lit(0)).alias("_rk_base"),
+                            F.sum("_rk_n").over(Window.partitionBy()).alias("_rk_total"))
+    within = Window.partitionBy(_BKT).orderBy(sort_key(df, order)).rowsBetween(Window.unboundedPreceding, 0)
+    r = b.withColumn("_rk_run", F.sum("_rk_w").over(within)).join(F.broadcast(offsets), _BKT)
+    return r.withColumn(out, F.col("_rk_base") + F.col("_rk_run") - F.col("_rk_w")) \
+        .drop(_BKT, "_rk_run", "_rk_base")
 
 
 def with_sequential_key(df: DataFrame, order: Sequence[str], name: str, offset: int = 0,
                         num_partitions: int | None = None) -> DataFrame:
     """Contiguous key offset+1 .. offset+N in ``order`` (scalable ROW_NUMBER)."""
-    r = ranked(df, order, "_seqrank", num_partitions)
-    return r.select((F.lit(offset).cast("long") + F.col("_seqrank") + 1).alias(name), *df.columns)
+    r = cumulative(df, order, None, "_seq0", num_partitions)
+    return r.select((F.lit(offset).cast("long") + F.col("_seq0") + 1).alias(name), *df.columns)

@@ -1,9 +1,9 @@
 """Data-quality report.
 
-Exact percentiles (D1) do not collect values into one task: values are
-ranked with one range shuffle (``keys.ranked``) and only the rows at the
-needed ranks are kept, then interpolated linearly between the two
-neighbouring ranks (lo + (hi - lo) * fraction).
+Exact percentiles (D1) do not collect values into one task: distinct values
+are ranked with ``keys.cumulative`` (one shuffle by sampled range buckets) and
+the values at the needed ranks are interpolated linearly between the two
+neighbouring ranks (lo + (hi - lo) * fraction), like the reference.
 """
 
 from __future__ import annotations
@@ -18,14 +18,19 @@ from pyspark.sql import functions as F
 from tradeweave.constants import NULL_RATE_HIGH, NULL_RATE_MODERATE
 from tradeweave.functions.exprs import try_number
 from tradeweave.operators.clean import null_pct
-from tradeweave.operators.keys import ranked
+from tradeweave.operators.keys import cumulative
 
 QUANTILES = (("p25", 0.25), ("median", 0.5), ("p75", 0.75), ("p95", 0.95))
 
 
 def distribution(df: DataFrame, col: str, exact: bool = True, num_partitions: int | None = None) -> DataFrame:
     """Min, p25, median, mean, p75, p95, max, sum of ``col`` (2 dp); NULL and
-    unparseable values dropped. ``exact=False`` uses ``percentile_approx``."""
+    unparseable values dropped. ``exact=False`` uses ``percentile_approx``.
+
+    Exact mode counts rows per distinct value (combined map-side, so a value
+    held by a third of the rows is one row), ranks the distinct values with
+    ``keys.cumulative`` and reads the values covering the wanted ranks.
+    """
     v = df.select(try_number(F.col(col)).alias("v")).where(F.col("v").isNotNull())
     if not exact:
         probs = [p for _, p in QUANTILES]
@@ -35,27 +40,22 @@ def distribution(df: DataFrame, col: str, exact: bool = True, num_partitions: in
                         *[F.round(F.col("_q")[i], 2).alias(n) for i, (n, _) in enumerate(QUANTILES)],
                         F.round("mean", 2).alias("mean"), F.round("max", 2).alias("max"),
                         F.round("sum", 2).alias("sum"))
-    r = ranked(v, ["v"], "_rank", num_partitions, sum_col="v")
-    rank, total = F.col("_rank"), F.col("_rk_total")
+    per_value = v.groupBy("v").agg(F.count(F.lit(1)).alias("_c"))
+    r = cumulative(per_value, ["v"], F.col("_c"), "_start", num_partitions)
+    start, total = F.col("_start"), F.col("_rk_total")
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((start <= rank) & (rank < start + F.col("_c")), F.col("v")))
 
     def pos(p: float) -> Column:
         return (total - 1) * F.lit(p)
 
-    wanted = (rank == 0) | (rank == total - 1)
-    for _, p in QUANTILES:
-        wanted = wanted | (rank == F.floor(pos(p))) | (rank == F.ceil(pos(p)))
-    few = r.where(wanted)
-
-    def at(c: Column) -> Column:
-        return F.max(F.when(rank == c, F.col("v")))
-
     aggs = [at(F.lit(0)).alias("min"), at(total - 1).alias("max"),
-            F.max("_rk_sum").alias("sum"), F.max(total).alias("_n")]
+            F.sum(F.col("v") * F.col("_c")).alias("sum"), F.max(total).alias("_n")]
     for name, p in QUANTILES:
         lo, hi = at(F.floor(pos(p))), at(F.ceil(pos(p)))
-        frac = F.max(pos(p) - F.floor(pos(p)))
-        aggs.append((lo + (hi - lo) * frac).alias(name))
-    a = few.agg(*aggs)
+        aggs.append((lo + (hi - lo) * F.max(pos(p) - F.floor(pos(p)))).alias(name))
+    a = r.agg(*aggs)
     return a.select(F.round("min", 2).alias("min"),
                     *[F.round(n, 2).alias(n) for n, _ in QUANTILES[:2]],
                     F.round(F.col("sum") / F.col("_n"), 2).alias("mean"),

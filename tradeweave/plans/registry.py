@@ -597,3 +597,318 @@ SELECT * FROM (
 QUALIFY ROW_NUMBER() OVER (PARTITION BY hs_chapter ORDER BY total_b DESC, country_name, iso3_code) <= 5"""))
 def q33_chapter_partners(spark, sf_dir):
     return COM.chapter_partners(star(spark, sf_dir), SEC_RANGE, 5)
+
+
+# =========================================================================== star load
+from tradeweave.operators import clean as CL  # noqa: E402
+from tradeweave.operators import quality as QU  # noqa: E402
+from tradeweave.operators import star as ST  # noqa: E402
+from tradeweave.constants import REFERENCE_DEDUP_KEYS  # noqa: E402
+
+FACT_COLS = ", ".join(ST.FACT_COLUMNS)
+
+
+@register("l1_dim_country", O.with_base("SELECT * FROM dim_country"))
+def l1_dim_country(spark, sf_dir):
+    return star(spark, sf_dir).dim_country
+
+
+@register("l2_fact_keys", O.with_base(
+    f"SELECT CAST(ROW_NUMBER() OVER (ORDER BY k1, k2, k3, k4, k5) AS BIGINT) AS trade_id, {FACT_COLS} FROM fact_trade"))
+def l2_fact_keys(spark, sf_dir):
+    return ST.with_fact_key(star(spark, sf_dir).fact_trade)
+
+
+@register("l2_mirror_keys", O.with_base(
+    f"SELECT CAST(GREATEST(10000000, (SELECT COUNT(*) FROM fact_trade)) + ROW_NUMBER() OVER "
+    f"(ORDER BY k1, k2, k3, k4, k5) AS BIGINT) AS trade_id, {FACT_COLS} FROM fact_mirror_trade"))
+def l2_mirror_keys(spark, sf_dir):
+    return ST.keyed_facts(star(spark, sf_dir))[1]
+
+
+@register("l3_fk_resolution", O.with_base(f"SELECT {FACT_COLS} FROM fact_trade"))
+def l3_fk_resolution(spark, sf_dir):
+    return star(spark, sf_dir).fact_trade.select(*ST.FACT_COLUMNS)
+
+
+@register("l3_mirror_resolution", O.with_base(f"SELECT {FACT_COLS} FROM fact_mirror_trade"))
+def l3_mirror_resolution(spark, sf_dir):
+    return star(spark, sf_dir).fact_mirror_trade.select(*ST.FACT_COLUMNS)
+
+
+@register("l4_fk_rates", O.with_base("""
+SELECT total_rows, reporter_unresolved, partner_unresolved, commodity_unresolved,
+    ROUND(CASE WHEN total_rows > 0 THEN reporter_unresolved * 100.0 / total_rows END, 1) AS reporter_unresolved_pct,
+    ROUND(CASE WHEN total_rows > 0 THEN partner_unresolved * 100.0 / total_rows END, 1) AS partner_unresolved_pct,
+    ROUND(CASE WHEN total_rows > 0 THEN commodity_unresolved * 100.0 / total_rows END, 1) AS commodity_unresolved_pct
+FROM (SELECT COUNT(*) AS total_rows, COUNT_IF(reporter_id IS NULL) AS reporter_unresolved,
+        COUNT_IF(partner_id IS NULL) AS partner_unresolved, COUNT_IF(commodity_id IS NULL) AS commodity_unresolved
+    FROM fact_trade) c"""))
+def l4_fk_rates(spark, sf_dir):
+    return ST.fk_resolution(star(spark, sf_dir).fact_trade)
+
+
+@register("l5_country_stats", O.with_base("SELECT * FROM fact_country_stats"))
+def l5_country_stats(spark, sf_dir):
+    return star(spark, sf_dir).fact_country_stats
+
+
+@register("l6_unmatched_keys", O.with_base("""
+SELECT COUNT(DISTINCT cs.country_iso3) AS unmatched_iso3
+FROM stats_clean cs LEFT JOIN dim_country dc ON upper(trim(cs.country_iso3)) = dc.iso3_code
+WHERE dc.country_id IS NULL AND cs.country_iso3 IS NOT NULL"""))
+def l6_unmatched_keys(spark, sf_dir):
+    s = star(spark, sf_dir)
+    return ST.unmatched_keys(s.staging["country_stats"], s.dim_country, s.small_dims["dim_country"])
+
+
+#: Stand-in patch lists for L7 (the reference lists name real ISO3 codes).
+PATCH_OVERWRITE = {"Middle East & North Africa": ("N04", "N10")}
+PATCH_FILL = {"East Asia & Pacific": ("N01", "N02")}
+
+
+@register("l7_region_patch", O.with_base("""
+SELECT country_id, iso3_code, iso2_code, country_name,
+    CASE WHEN iso3_code IN ('N04', 'N10') THEN 'Middle East & North Africa'
+         WHEN iso3_code IN ('N01', 'N02') AND region IS NULL THEN 'East Asia & Pacific' ELSE region END AS region,
+    sub_region, income_group, un_numeric, latitude, longitude
+FROM dim_country"""))
+def l7_region_patch(spark, sf_dir):
+    return ST.patch_regions(star(spark, sf_dir).dim_country, PATCH_OVERWRITE, PATCH_FILL)
+
+
+@register("l8_region_coverage", O.with_base(
+    "SELECT COUNT(region) AS region_set, COUNT_IF(region IS NULL) AS region_null FROM dim_country"))
+def l8_region_coverage(spark, sf_dir):
+    return ST.region_coverage(star(spark, sf_dir).dim_country)
+
+
+@register("l9_validation_counts", O.with_base("""
+SELECT 'dim_country rows' AS metric, COUNT(*) AS value FROM dim_country
+UNION ALL SELECT 'dim_commodity rows', COUNT(*) FROM dim_commodity
+UNION ALL SELECT 'dim_time rows', COUNT(*) FROM dim_time
+UNION ALL SELECT 'fact_trade rows', COUNT(*) FROM fact_trade
+UNION ALL SELECT 'fact_mirror_trade rows', COUNT(*) FROM fact_mirror_trade
+UNION ALL SELECT 'fact_country_stats rows', COUNT(*) FROM fact_country_stats
+UNION ALL SELECT 'fact_trade distinct years', COUNT(DISTINCT year) FROM fact_trade
+UNION ALL SELECT 'fact_trade distinct partners', COUNT(DISTINCT partner_id) FROM fact_trade
+UNION ALL SELECT 'fact_trade distinct commodities', COUNT(DISTINCT commodity_id) FROM fact_trade"""))
+def l9_validation_counts(spark, sf_dir):
+    return ST.validation_counts(star(spark, sf_dir))
+
+
+@register("l10_total_positive", O.with_base(
+    f"SELECT SUM({V}) / 1e9 AS total_positive_b FROM fact_trade WHERE {V} > 0"))
+def l10_total_positive(spark, sf_dir):
+    return ST.total_positive(star(spark, sf_dir).fact_trade)
+
+
+def _orphan_sql(fact: str, col: str, dim: str, dcol: str) -> str:
+    return (f"SELECT 'fk {fact}.{col}' AS check_name, COUNT(*) AS violations FROM {fact} f "
+            f"WHERE f.{col} IS NOT NULL AND f.{col} NOT IN (SELECT {dcol} FROM {dim})")
+
+
+def _dup_sql(table: str, keys: str, name: str) -> str:
+    return (f"SELECT '{name}' AS check_name, CAST(COALESCE(SUM(n - 1), 0) AS BIGINT) AS violations "
+            f"FROM (SELECT COUNT(*) AS n FROM {table} GROUP BY {keys} HAVING COUNT(*) > 1) d")
+
+
+_L11_PARTS = [
+    _dup_sql("dim_country", "country_id", "pk dim_country"),
+    _dup_sql("dim_commodity", "commodity_id", "pk dim_commodity"),
+    _dup_sql("dim_time", "year", "pk dim_time"),
+    _dup_sql("fact_country_stats", "country_id, year", "pk fact_country_stats"),
+    "SELECT 'not null dim_commodity.hs_chapter' AS check_name, COUNT_IF(hs_chapter IS NULL) AS violations "
+    "FROM dim_commodity",
+]
+for _f in ("fact_trade", "fact_mirror_trade"):
+    _L11_PARTS += [_orphan_sql(_f, "year", "dim_time", "year"),
+                   _orphan_sql(_f, "reporter_id", "dim_country", "country_id"),
+                   _orphan_sql(_f, "partner_id", "dim_country", "country_id"),
+                   _orphan_sql(_f, "commodity_id", "dim_commodity", "commodity_id")]
+_L11_PARTS += [_orphan_sql("fact_country_stats", "country_id", "dim_country", "country_id"),
+               _orphan_sql("fact_country_stats", "year", "dim_time", "year"),
+               "SELECT 'pk fact_trade' AS check_name, CAST(0 AS BIGINT) AS violations",
+               "SELECT 'pk fact_mirror_trade' AS check_name, CAST(0 AS BIGINT) AS violations"]
+
+
+@register("l11_constraints", O.with_base("\nUNION ALL\n".join(_L11_PARTS)))
+def l11_constraints(spark, sf_dir):
+    s = star(spark, sf_dir)
+    return ST.check_constraints(s, ST.keyed_facts(s))
+
+
+# =========================================================================== cleaning (C)
+def _raw(spark, sf_dir):
+    return star(spark, sf_dir).staging["raw_reporter"]
+
+
+CLEAN_COLS = ("year, reporter_code, reporter_iso3, partner_code, partner_iso3, hs_code, commodity_desc, flow_code, "
+              "trade_value_usd, net_weight_kg, quantity, qty_unit, flow_direction_simple, valuation")
+
+
+@register("c15_clean_flows", O.with_base(f"SELECT {CLEAN_COLS} FROM clean_rep"))
+def c15_clean_flows(spark, sf_dir):
+    return star(spark, sf_dir).staging["trade_flows"]
+
+
+@register("c15_clean_mirror", O.with_base(f"SELECT {CLEAN_COLS} FROM clean_mir"))
+def c15_clean_mirror(spark, sf_dir):
+    return star(spark, sf_dir).staging["mirror_flows"]
+
+
+@register("c12_dedup_reference_keys", O.with_base(f"SELECT {CLEAN_COLS} FROM clean_rep4"))
+def c12_dedup_reference_keys(spark, sf_dir):
+    from tradeweave.sources.standin import INGEST_ORDER
+    return CL.clean_flows(_raw(spark, sf_dir), INGEST_ORDER, REFERENCE_DEDUP_KEYS)
+
+
+@register("c6_invalid_hs", O.with_base("""
+SELECT hs_code, COUNT(*) AS rows FROM tag_rep WHERE reject = 'invalid_hs'
+GROUP BY hs_code ORDER BY rows DESC, hs_code NULLS LAST LIMIT 5"""))
+def c6_invalid_hs(spark, sf_dir):
+    return CL.invalid_hs_sample(_raw(spark, sf_dir), 5)
+
+
+@register("c8_unknown_flows", O.with_base("""
+SELECT flow_code, COUNT(*) AS rows FROM tag_rep
+WHERE reject IS NULL AND NOT COALESCE(flow_code IN ('Import', 'Export', 'Re-import', 'Re-export'), FALSE)
+GROUP BY flow_code"""))
+def c8_unknown_flows(spark, sf_dir):
+    return CL.unknown_flows(_raw(spark, sf_dir))
+
+
+@register("c11_value_audit", O.with_base("""
+SELECT COUNT(*) AS rows, COUNT_IF(trade_value_usd IS NULL) AS null_values,
+    COUNT_IF(trade_value_usd < 0) AS negative_values, COUNT_IF(trade_value_usd = 0) AS zero_values
+FROM tag_rep WHERE reject IS NULL"""))
+def c11_value_audit(spark, sf_dir):
+    t = CL.tag_flows(_raw(spark, sf_dir))
+    return CL.value_audit(t.where(t[CL.REJECT].isNull()))
+
+
+@register("c13_ledger", O.with_base("""
+SELECT step_no, step, rows, ROUND(rows / MAX(CASE WHEN step = 'input' THEN rows END) OVER () * 100.0, 2)
+    AS pct_of_input
+FROM (
+    SELECT 1 AS step_no, 'input' AS step, COUNT(*) AS rows FROM tag_rep
+    UNION ALL SELECT 2, 'world_partner', COUNT_IF(reject = 'world_partner') FROM tag_rep
+    UNION ALL SELECT 3, 'aggregate_hs', COUNT_IF(reject = 'aggregate_hs') FROM tag_rep
+    UNION ALL SELECT 4, 'invalid_hs', COUNT_IF(reject = 'invalid_hs') FROM tag_rep
+    UNION ALL SELECT 5, 'duplicate', COUNT_IF(reject IS NULL) - (SELECT COUNT(*) FROM clean_rep) FROM tag_rep
+    UNION ALL SELECT 6, 'kept', COUNT(*) FROM clean_rep) s"""))
+def c13_ledger(spark, sf_dir):
+    return CL.cleaning_ledger(_raw(spark, sf_dir))
+
+
+_NULL_COLS = ("trade_value_usd", "net_weight_kg", "quantity", "partner_iso3")
+NULL_PCT_SQL = "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS column_name, ROUND(AVG(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END::DOUBLE) * 100.0, 2) "
+    f"AS null_pct FROM clean_rep" for c in _NULL_COLS)
+
+
+@register("c14_null_pct", O.with_base(NULL_PCT_SQL))
+def c14_null_pct(spark, sf_dir):
+    return CL.null_pct(star(spark, sf_dir).staging["trade_flows"], _NULL_COLS)
+
+
+@register("c18_pivot_indicators", O.with_base("SELECT * FROM stats_clean"))
+def c18_pivot_indicators(spark, sf_dir):
+    return star(spark, sf_dir).staging["country_stats"]
+
+
+@register("c21_stats_summary", O.with_base("""
+SELECT COUNT(*) AS rows, COUNT(DISTINCT country_iso3) AS countries, MIN(year) AS year_min, MAX(year) AS year_max,
+    COUNT(gdp_per_capita) AS per_capita_rows, COUNT_IF(gdp_per_capita IS NULL) AS per_capita_null
+FROM stats_clean"""))
+def c21_stats_summary(spark, sf_dir):
+    return CL.stats_summary(star(spark, sf_dir).staging["country_stats"])
+
+
+@register("c23_countries", O.with_base("""
+SELECT COUNT(*) AS countries, COUNT(un_numeric) AS with_un_numeric, COUNT(region) AS with_region
+FROM cm_raw WHERE name IS NOT NULL AND trim(name) <> ''"""))
+def c23_countries(spark, sf_dir):
+    return CL.country_coverage(star(spark, sf_dir).staging["raw_countries"])
+
+
+# =========================================================================== quality (D)
+DIST_SQL = """
+SELECT ROUND(MIN(v), 2) AS min, ROUND(quantile_cont(v, 0.25), 2) AS p25, ROUND(quantile_cont(v, 0.5), 2) AS median,
+    ROUND(AVG(v), 2) AS mean, ROUND(quantile_cont(v, 0.75), 2) AS p75, ROUND(quantile_cont(v, 0.95), 2) AS p95,
+    ROUND(MAX(v), 2) AS max, ROUND(SUM(v), 2) AS sum
+FROM (SELECT CAST({col} AS DOUBLE) AS v FROM {table}) t WHERE v IS NOT NULL"""
+
+
+@register("d1_distribution", O.with_base(DIST_SQL.format(col="trade_value_usd", table="clean_rep")))
+def d1_distribution(spark, sf_dir):
+    return QU.distribution(star(spark, sf_dir).staging["trade_flows"], "trade_value_usd")
+
+
+@register("d1_mirror_distribution", O.with_base(DIST_SQL.format(col="trade_value_usd", table="clean_mir")))
+def d1_mirror_distribution(spark, sf_dir):
+    return QU.distribution(star(spark, sf_dir).staging["mirror_flows"], "trade_value_usd")
+
+
+@register("q37_value_box", O.with_base("""
+SELECT min AS lower_fence, p25 AS q1, median, mean, p75 AS q3, p95 AS upper_fence FROM ("""
+    + DIST_SQL.format(col="trade_value_usd", table="clean_rep") + ") d"))
+def q37_value_box(spark, sf_dir):
+    return QU.value_box(d1_distribution(spark, sf_dir))
+
+
+@register("d2_flow_report", O.with_base("""
+SELECT 'reporter' AS source, COUNT(*) AS total_rows, MIN(year) AS year_min, MAX(year) AS year_max,
+    COUNT(DISTINCT partner_code) AS unique_partners, COUNT(DISTINCT hs_code) AS unique_hs_codes FROM clean_rep"""))
+def d2_flow_report(spark, sf_dir):
+    return QU.flow_report(star(spark, sf_dir).staging["trade_flows"], "reporter")
+
+
+@register("d3_rows_per_year", O.with_base(
+    "SELECT year, COUNT(*) AS rows FROM clean_rep WHERE year IS NOT NULL GROUP BY year"))
+def d3_rows_per_year(spark, sf_dir):
+    return QU.rows_per(star(spark, sf_dir).staging["trade_flows"], "year")
+
+
+@register("d3_flow_distribution", O.with_base(
+    "SELECT flow_code, COUNT(*) AS rows FROM clean_rep WHERE flow_code IS NOT NULL GROUP BY flow_code"))
+def d3_flow_distribution(spark, sf_dir):
+    return QU.rows_per(star(spark, sf_dir).staging["trade_flows"], "flow_code")
+
+
+@register("d4_stats_report", O.with_base("""
+SELECT COUNT(*) AS total_rows, COUNT(DISTINCT country_iso3) AS unique_countries, MIN(year) AS year_min,
+    MAX(year) AS year_max FROM stats_clean"""))
+def d4_stats_report(spark, sf_dir):
+    return QU.stats_report(star(spark, sf_dir).staging["country_stats"])
+
+
+@register("d4_gdp_distribution", O.with_base(DIST_SQL.format(col="gdp_usd", table="stats_clean")))
+def d4_gdp_distribution(spark, sf_dir):
+    return QU.distribution(star(spark, sf_dir).staging["country_stats"], "gdp_usd")
+
+
+@register("d5_ref_report", O.with_base("""
+SELECT 'country_mapping' AS source, COUNT(*) AS total_rows,
+    'iso3,name,region,income_group,iso2,capital,longitude,latitude,un_numeric' AS columns
+FROM cm_raw WHERE name IS NOT NULL AND trim(name) <> ''"""))
+def d5_ref_report(spark, sf_dir):
+    return QU.ref_report(star(spark, sf_dir).staging["countries"], "country_mapping")
+
+
+@register("d7_null_severity", O.with_base(
+    "SELECT *, CASE WHEN null_pct > 20 THEN 'high' WHEN null_pct > 5 THEN 'moderate' ELSE 'low' END AS severity "
+    "FROM (" + NULL_PCT_SQL + ") n"))
+def d7_null_severity(spark, sf_dir):
+    return QU.null_severity(c14_null_pct(spark, sf_dir))
+
+
+@register("d8_table_counts", O.with_base("""
+SELECT (SELECT COUNT(*) FROM fact_trade) AS fact_trade, (SELECT COUNT(*) FROM fact_mirror_trade) AS fact_mirror,
+    (SELECT COUNT(*) FROM fact_country_stats) AS fact_stats, (SELECT COUNT(*) FROM dim_country) AS dim_country,
+    (SELECT COUNT(*) FROM dim_commodity) AS dim_commodity, (SELECT COUNT(*) FROM dim_time) AS dim_time"""))
+def d8_table_counts(spark, sf_dir):
+    s = star(spark, sf_dir)
+    return QU.table_counts({"fact_trade": s.fact_trade, "fact_mirror": s.fact_mirror_trade,
+                            "fact_stats": s.fact_country_stats, "dim_country": s.dim_country,
+                            "dim_commodity": s.dim_commodity, "dim_time": s.dim_time})
