@@ -147,8 +147,10 @@ def key_order_columns(flows: DataFrame, keys: Sequence[str]) -> DataFrame:
 # --------------------------------------------------------------------------- L2
 def with_fact_key(fact: DataFrame, offset: int = 0, num_partitions: int | None = None) -> DataFrame:
     """L2: trade_id = offset + position in business-key order (no global window)."""
-    order = [c for c in fact.columns if c.startswith("_key_")] or ["year", "reporter_id", "partner_id",
-                                                                   "commodity_id", "flow_direction"]
+    if "trade_id" in fact.columns:  # re-keying a loaded fact keeps its existing order
+        fact = fact.withColumnRenamed("trade_id", "_key_trade_id")
+    order = [c for c in fact.columns if c.startswith("_key_")] or [
+        "year", "reporter_id", "partner_id", "commodity_id", "flow_direction", "trade_value_usd"]
     keyed = with_sequential_key(fact, order, "trade_id", offset, num_partitions)
     return keyed.select("trade_id", *[c for c in FACT_COLUMNS])
 

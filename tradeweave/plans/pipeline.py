@@ -1,6 +1,6 @@
 """End-to-end batch plan: raw inputs → clean tables → star schema.
 
-``build_star`` composes one lazy plan per table. ``materialize_star`` writes
+``build_star`` composes one lazy plan per table. ``load_warehouse`` writes
 the warehouse (facts partitioned by year, with contiguous keys) into a shared
 folder and ``read_star`` serves queries from it, which is how the analytical
 queries run in production: the load happens once, queries prune by year.
@@ -46,15 +46,22 @@ STANDIN_CONFIG = PipelineConfig(
 )
 
 
-def build_star(spark: SparkSession, raw: standin.RawInputs, cfg: PipelineConfig = PipelineConfig()) -> S.Star:
-    chapters = C.clean_chapters(raw.hs_chapters)
-    countries = C.clean_countries(raw.country_mapping)
-    trade_clean = C.clean_flows(raw.reporter_flows, raw.flow_order, cfg.dedup_keys)
-    mirror_clean = C.clean_flows(raw.mirror_flows, raw.flow_order, cfg.dedup_keys)
-    stats_clean = C.clean_country_stats(raw.indicators, order=raw.indicator_order)
-
-    dim_country = S.patch_regions(S.build_dim_country(countries), cfg.region_overwrite, cfg.region_fill)
-    dim_commodity = S.build_dim_commodity(chapters)
+def clean_stage(raw: standin.RawInputs, cfg: PipelineConfig = PipelineConfig()) -> dict[str, DataFrame]:
+    """The clean staging tables (one lazy plan each)."""
+    return {
+        "trade_flows": C.clean_flows(raw.reporter_flows, raw.flow_order, cfg.dedup_keys),
+        "mirror_flows": C.clean_flows(raw.mirror_flows, raw.flow_order, cfg.dedup_keys),
+        "country_stats": C.clean_country_stats(raw.indicators, order=raw.indicator_order),
+        "hs_chapters": C.clean_chapters(raw.hs_chapters),
+        "countries": C.clean_countries(raw.country_mapping),
+    }
+
+
+def star_from_stage(spark: SparkSession, stage: dict[str, DataFrame], cfg: PipelineConfig = PipelineConfig(),
+                    raw: standin.RawInputs | None = None) -> S.Star:
+    """Dimensions, key resolution and facts over clean staging tables."""
+    dim_country = S.patch_regions(S.build_dim_country(stage["countries"]), cfg.region_overwrite, cfg.region_fill)
+    dim_commodity = S.build_dim_commodity(stage["hs_chapters"])
     dim_time = R.dim_time(spark, cfg.years[0], cfg.years[1], cfg.periods, cfg.last_period)
     small = S.dims_fit(dim_country, dim_commodity, dim_time)
 
@@ -62,16 +69,21 @@ def build_star(spark: SparkSession, raw: standin.RawInputs, cfg: PipelineConfig
         keyed = S.key_order_columns(flows, cfg.dedup_keys)
         return S.resolve_keys(keyed, dim_country, dim_commodity, small["dim_country"], small["dim_commodity"])
 
-    stats = S.load_country_stats(stats_clean, dim_country, dim_time, small["dim_country"], small["dim_time"])
-    return S.Star(
-        dim_country=dim_country, dim_commodity=dim_commodity, dim_time=dim_time,
-        fact_trade=fact(trade_clean), fact_mirror_trade=fact(mirror_clean), fact_country_stats=stats,
-        staging={"trade_flows": trade_clean, "mirror_flows": mirror_clean, "country_stats": stats_clean,
-                 "hs_chapters": chapters, "countries": countries, "raw_reporter": raw.reporter_flows,
-                 "raw_mirror": raw.mirror_flows, "raw_countries": raw.country_mapping,
-                 "raw_indicators": raw.indicators, "raw_chapters": raw.hs_chapters},
-        small_dims=small,
-    )
+    stats = S.load_country_stats(stage["country_stats"], dim_country, dim_time, small["dim_country"],
+                                 small["dim_time"])
+    staging = dict(stage)
+    if raw is not None:
+        staging.update({"raw_reporter": raw.reporter_flows, "raw_mirror": raw.mirror_flows,
+                        "raw_countries": raw.country_mapping, "raw_indicators": raw.indicators,
+                        "raw_chapters": raw.hs_chapters})
+    return S.Star(dim_country=dim_country, dim_commodity=dim_commodity, dim_time=dim_time,
+                  fact_trade=fact(stage["trade_flows"]), fact_mirror_trade=fact(stage["mirror_flows"]),
+                  fact_country_stats=stats, staging=staging, small_dims=small)
+
+
+def build_star(spark: SparkSession, raw: standin.RawInputs, cfg: PipelineConfig = PipelineConfig()) -> S.Star:
+    """Whole pipeline as lazy plans: raw inputs → clean staging → star."""
+    return star_from_stage(spark, clean_stage(raw, cfg), cfg, raw)
 
 
 _CACHE: dict[tuple[int, str], S.Star] = {}
@@ -90,21 +102,36 @@ def checkpoint_root(spark: SparkSession) -> str | None:
     return spark.conf.get("spark.checkpoint.dir", None) or None
 
 
-def materialize_star(star: S.Star, path: str, num_partitions: int | None = None) -> None:
-    """Write dims and keyed facts (partitioned by year) under ``path``."""
+STAGING_TABLES = ("trade_flows", "mirror_flows", "country_stats", "hs_chapters", "countries")
+
+
+def load_warehouse(spark: SparkSession, raw: standin.RawInputs, path: str, cfg: PipelineConfig = PipelineConfig(),
+                   num_partitions: int | None = None) -> S.Star:
+    """Batch load into ``path`` (a shared folder): clean staging tables are written
+    first, so key resolution, fact keys and the fact writes all start from
+    Parquet instead of recomputing the cleaning; facts are partitioned by year."""
+    for name, df in clean_stage(raw, cfg).items():
+        df.write.mode("overwrite").parquet(f"{path}/staging/{name}")
+    stage = {name: spark.read.parquet(f"{path}/staging/{name}") for name in STAGING_TABLES}
+    star = star_from_stage(spark, stage, cfg, raw)
     trade, mirror = S.keyed_facts(star, num_partitions)
     for name, df in (("dim_country", star.dim_country), ("dim_commodity", star.dim_commodity),
                      ("dim_time", star.dim_time), ("fact_country_stats", star.fact_country_stats)):
         df.write.mode("overwrite").parquet(f"{path}/{name}")
     for name, df in (("fact_trade", trade), ("fact_mirror_trade", mirror)):
         df.write.mode("overwrite").partitionBy("year").parquet(f"{path}/{name}")
+    return read_star(spark, path, {k: v for k, v in star.staging.items() if k.startswith("raw_")})
 
 
-def read_star(spark: SparkSession, path: str) -> S.Star:
+def read_star(spark: SparkSession, path: str, raw: dict[str, DataFrame] | None = None) -> S.Star:
+    """Star served from a loaded warehouse; ``raw`` adds the raw inputs for the
+    cleaning reports (they are never materialized)."""
     def t(name: str) -> DataFrame:
         return spark.read.parquet(f"{path}/{name}")
 
     dims = {k: t(k) for k in ("dim_country", "dim_commodity", "dim_time")}
+    staging = {name: t(f"staging/{name}") for name in STAGING_TABLES}
+    staging.update(raw or {})
     return S.Star(dims["dim_country"], dims["dim_commodity"], dims["dim_time"], t("fact_trade"),
-                  t("fact_mirror_trade"), t("fact_country_stats"),
+                  t("fact_mirror_trade"), t("fact_country_stats"), staging=staging,
                   small_dims=S.dims_fit(dims["dim_country"], dims["dim_commodity"], dims["dim_time"]))
