@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradeweave.constants import (
@@ -171,28 +171,31 @@ def clean_flows(raw: DataFrame, order: Sequence[str],
 
 
 def cleaning_ledger(raw: DataFrame, dedup_keys: Sequence[str] = DEFAULT_DEDUP_KEYS) -> DataFrame:
-    """Rows per cleaning outcome in one pass (step_no, step, rows, pct_of_input)."""
+    """Rows per cleaning outcome, every step listed (step_no, step, rows, pct_of_input).
+
+    One pass: rows are counted per (reason, dedup key) — combined map-side —
+    then folded into one row and unfolded into the fixed list of steps.
+    """
     t = tag_flows(raw)
     keys = list(dedup_keys) if _dedup_keys_present(t, dedup_keys) else []
     per_key = t.groupBy(REJECT, *keys).agg(F.count(F.lit(1)).alias("n"))
-    per_reason = per_key.groupBy(REJECT).agg(
-        F.sum("n").alias("rows"), F.sum(F.col("n") - 1).alias("dups"), F.count(F.lit(1)).alias("groups"))
-    r = F.col(REJECT)
-    kept_rows = F.col("groups") if keys else F.col("rows")
-    dup_rows = F.col("dups") if keys else F.lit(0).cast("long")
-    entries = F.when(r.isNull(), F.array(
-        F.struct(F.lit("duplicate").alias("step"), dup_rows.alias("rows")),
-        F.struct(F.lit("kept").alias("step"), kept_rows.alias("rows")),
-    )).otherwise(F.array(F.struct(r.alias("step"), F.col("rows").alias("rows"))))
-    steps = per_reason.select(F.explode(entries).alias("e")).select("e.step", "e.rows")
-    total = per_reason.agg(F.sum("rows").alias("rows")).select(F.lit("input").alias("step"), "rows")
-    step_no = F.array_position(F.array(*[F.lit(s) for s in LEDGER_STEPS]), F.col("step")).cast("int")
-    out = total.unionByName(steps).groupBy("step").agg(F.sum("rows").cast("long").alias("rows"))
-    all_ = Window.partitionBy()
-    return out.select(
-        step_no.alias("step_no"), "step", "rows",
-        F.round(F.col("rows") / F.max(F.when(F.col("step") == "input", F.col("rows"))).over(all_) * 100.0, 2)
-        .alias("pct_of_input"))
+    r, n = F.col(REJECT), F.col("n")
+
+    def total(c: Column) -> Column:
+        return F.coalesce(F.sum(c), F.lit(0)).cast("long")
+
+    one = per_key.agg(
+        total(n).alias("input"),
+        *[total(F.when(r == reason, n)).alias(reason) for reason in ("world_partner", "aggregate_hs", "invalid_hs")],
+        total(F.when(r.isNull(), n - 1) if keys else F.lit(0)).alias("duplicate"),
+        (F.count_if(r.isNull()).cast("long") if keys else total(F.when(r.isNull(), n))).alias("kept"),
+    )
+    steps = F.array(*[F.struct(F.lit(i + 1).alias("step_no"), F.lit(s).alias("step"), F.col(s).alias("rows"))
+                      for i, s in enumerate(LEDGER_STEPS)])
+    out = one.select("input", F.explode(steps).alias("e"))
+    return out.select("e.step_no", "e.step", "e.rows",
+                      F.round(F.col("e.rows") / F.when(F.col("input") != 0, F.col("input")) * 100.0, 2)
+                      .alias("pct_of_input"))
 
 
 # --------------------------------------------------------------------------- C14

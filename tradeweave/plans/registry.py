@@ -790,8 +790,8 @@ def c11_value_audit(s):
 
 
 @register("c13_ledger", O.with_base("""
-SELECT step_no, step, rows, ROUND(rows / MAX(CASE WHEN step = 'input' THEN rows END) OVER () * 100.0, 2)
-    AS pct_of_input
+SELECT step_no, step, CAST(rows AS BIGINT) AS rows,
+    ROUND(rows / MAX(CASE WHEN step = 'input' THEN rows END) OVER () * 100.0, 2) AS pct_of_input
 FROM (
     SELECT 1 AS step_no, 'input' AS step, COUNT(*) AS rows FROM tag_rep
     UNION ALL SELECT 2, 'world_partner', COUNT_IF(reject = 'world_partner') FROM tag_rep

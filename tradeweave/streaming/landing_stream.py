@@ -43,10 +43,11 @@ def start_landing_stream(spark: SparkSession, landing: str, table: str, checkpoi
     """Stream raw CSV files from ``landing`` into the clean, deduplicated ``table``."""
     raw = (spark.readStream.schema(text_schema(RAW_FLOW_COLUMNS)).option("header", True).csv(landing)
            .select("*", F.col("_metadata.file_path").alias("_ing_file"),
-                   F.col("_metadata.file_block_start").alias("_ing_block"),
-                   F.monotonically_increasing_id().alias("_ing_row")))
+                   F.col("_metadata.file_block_start").alias("_ing_block")))
 
     def process(batch: DataFrame, _epoch: int) -> None:
+        # row position inside each split, assigned on the static micro-batch
+        batch = batch.withColumn("_ing_row", F.monotonically_increasing_id())
         merge_keep_first(clean_flows(batch, INGEST_ORDER, keys), table, keys)
 
     w = raw.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
