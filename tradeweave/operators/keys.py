@@ -4,15 +4,17 @@
 ``row_number()`` window. Facts must never go through a global window, so
 ``cumulative`` computes running totals in a global order like this:
 
-1. sample the order key once (bounded sample, collected to the driver) and
-   pick ``n - 1`` range bounds; the bounds become literals of the plan;
+1. sample the order key once (a random top-K, K bounded by the bucket count,
+   collected to the driver) and pick ``n - 1`` range bounds; the bounds become
+   literals of the plan;
 2. bucket = number of bounds ≤ the row's key — a pure function of the row,
    so every pass and every task retry puts a row in the same bucket;
 3. per-bucket weight totals (≤ n rows) → exclusive prefix sums, broadcast
    back; within a bucket a window partitioned by bucket gives the running sum.
 
-The data is shuffled once (by bucket, balanced by the sampled quantiles). The
-result is deterministic under recomputation. Used for contiguous fact keys
+The rows are shuffled once (by bucket, balanced by the sampled quantiles); the
+bucket totals come from a partial aggregation whose shuffle is one row per
+bucket per task. The result is deterministic under recomputation. Used for contiguous fact keys
 (L2) and exact percentiles (D1, on per-value counts so duplicate values never
 pile up in one task).
 """
@@ -59,14 +61,18 @@ def _bound_literal(df: DataFrame, order: Sequence[str], row) -> Column:
 
 
 def range_bucket(df: DataFrame, order: Sequence[str], n: int) -> Column:
-    """Deterministic bucket 0..n-1 of each row by sampled quantiles of ``order``."""
-    total = df.count()
-    if total == 0 or n <= 1:
+    """Deterministic bucket 0..n-1 of each row by sampled quantiles of ``order``.
+
+    The sample is a uniform random top-K (K = SAMPLE_PER_BUCKET * n rows of the
+    key columns only) taken in one job; each task keeps its own top-K, so the
+    driver receives at most K rows whatever the table size.
+    """
+    if n <= 1:
         return F.lit(0)
-    frac = min(1.0, SAMPLE_PER_BUCKET * n / total)
     key = sort_key(df, order)
-    # bounded: about SAMPLE_PER_BUCKET * n rows of the key columns only
-    sample = df.select(key.alias("k")).sample(False, frac, seed=20240917).orderBy("k").collect()
+    k = SAMPLE_PER_BUCKET * n
+    sample = (df.select(key.alias("k"), F.rand(20240917).alias("_r")).orderBy("_r").limit(k)
+                .orderBy("k").select("k").collect())
     if not sample:
         return F.lit(0)
     picks = []
@@ -83,19 +89,21 @@ def cumulative(df: DataFrame, order: Sequence[str], weight: Column | None = None
     """Add ``out`` = sum of ``weight`` over all rows strictly before this one in ``order``
     (0-based start position) and ``_rk_total`` = sum of all weights.
 
-    ``order`` must be a total order over the rows (ties get an arbitrary but
-    deterministic split only when they differ in other columns — make it unique).
+    ``order`` must be a total order over the rows (make it unique).
     """
     n = _partitions(df, num_partitions)
     w = weight if weight is not None else F.lit(1).cast("long")
     b = df.withColumns({_BKT: range_bucket(df, order, n), "_rk_w": w})
+    within = Window.partitionBy(_BKT).orderBy(sort_key(df, order)).rowsBetween(Window.unboundedPreceding, 0)
+    r = b.withColumn("_rk_run", F.sum("_rk_w").over(within))
+    # bucket totals: a partial aggregation of the input (its shuffle carries one
+    # row per bucket per task), so the input is read twice but shuffled once
     counts = b.groupBy(_BKT).agg(F.sum("_rk_w").alias("_rk_n"))
     before = Window.orderBy(_BKT).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(_BKT, F.coalesce(F.sum("_rk_n").over(before), F.lit(0)).alias("_rk_base"),
                             F.sum("_rk_n").over(Window.partitionBy()).alias("_rk_total"))
-    within = Window.partitionBy(_BKT).orderBy(sort_key(df, order)).rowsBetween(Window.unboundedPreceding, 0)
-    r = b.withColumn("_rk_run", F.sum("_rk_w").over(within)).join(F.broadcast(offsets), _BKT)
-    return r.withColumn(out, F.col("_rk_base") + F.col("_rk_run") - F.col("_rk_w")) \
+    out_df = r.join(F.broadcast(offsets), _BKT)
+    return out_df.withColumn(out, F.col("_rk_base") + F.col("_rk_run") - F.col("_rk_w")) \
         .drop(_BKT, "_rk_run", "_rk_base")
 
 
