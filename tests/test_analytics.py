@@ -197,3 +197,10 @@ def test_summary_and_ranks(star):
     ch = rows(COM.section_chapters(star, TradeFilter(section="Vegetable Products")))
     assert [x["rank"] for x in sorted(ch, key=lambda x: x["rank"])] == [1, 2, 3, 4]
     assert len(rows(COM.chapter_partners(star, TradeFilter(), n=1))) == 8
+
+
+def test_dimension_probes(star):
+    assert OV.chapter_count(star).first().chapters == 99
+    yb = OV.year_bounds(star).first()
+    assert (yb.lo, yb.hi) == (2019, 2023)
+    assert OV.has_rows(star.fact_trade) and not OV.has_rows(star.fact_trade.limit(0))

@@ -126,3 +126,10 @@ def test_clean_plan_has_single_aggregation_shuffle(spark):
     out = C.clean_flows(raw(spark, [r(1), r(2)]), ["seq"])
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_stepwise_operators_compose_like_clean_flows(spark):
+    data = [r(1, hs="7"), r(2, hs="TOTAL"), r(3, hs="99"), r(4, hs="8471"), r(5, par="0")]
+    df = C.rename_present(raw(spark, data))
+    step = C.keep_valid_hs(C.drop_aggregates(C.drop_world(df)))
+    assert [x["hs_code"] for x in rows(step)] == ["07"]

@@ -66,6 +66,21 @@ def normalise_hs(df: DataFrame) -> DataFrame:
     return df.withColumn("hs_code", pad_code(norm_code(F.col("hs_code"))))
 
 
+def drop_aggregates(df: DataFrame, tokens: Sequence[str] = AGGREGATE_HS_CODES) -> DataFrame:
+    """C4: drop commodity aggregate tokens, tested on the trimmed, upper-cased,
+    still unpadded code (so the token ``99`` never matches a padded ``9``)."""
+    if "hs_code" not in df.columns:
+        return df
+    return df.where(~is_aggregate_hs(norm_code(F.col("hs_code")), tokens))
+
+
+def keep_valid_hs(df: DataFrame) -> DataFrame:
+    """C5+C6: zero-pad and keep only two-digit chapter codes."""
+    if "hs_code" not in df.columns:
+        return df
+    return normalise_hs(df).where(is_valid_hs(F.col("hs_code")))
+
+
 def invalid_hs_sample(raw: DataFrame, n: int = 5) -> DataFrame:
     """The ``n`` most frequent invalid HS codes that reach the validity check."""
     t = tag_flows(raw)

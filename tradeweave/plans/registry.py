@@ -68,7 +68,7 @@ V = "trade_value_usd"
 #: Test thresholds for the stand-in data, whose partner shares are near uniform
 #: (reference defaults in the operator signatures: HHI 1500/2500, alerts 50/70).
 PARAMS = {
-    "hhi_bands": (560.0, 600.0),
+    "hhi_bands": (550.0, 720.0),
     "trend_bands": (640.0, 700.0),
     "alert_shares": (9.0, 10.0),
     "kpi_years": (1996, 2000),
