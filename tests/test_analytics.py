@@ -204,3 +204,17 @@ def test_dimension_probes(star):
     yb = OV.year_bounds(star).first()
     assert (yb.lo, yb.hi) == (2019, 2023)
     assert OV.has_rows(star.fact_trade) and not OV.has_rows(star.fact_trade.limit(0))
+
+
+def test_hot_partner_shares_stay_exact(spark, star):
+    # a partner holding a third of all rows: shares are computed on aggregates
+    from tradeweave.operators import concentration as CON2
+    extra = [(2020, 1, 2, 84, IMP, 1.0)] * 3000
+    hot = S.Star(star.dim_country, star.dim_commodity, star.dim_time,
+                 star.fact_trade.unionByName(_fact(spark, [(y, star.ids["HOM"], star.ids["AAA"], c, d, v)
+                                                            for y, _r, _p, c, d, v in extra])),
+                 star.fact_mirror_trade, star.fact_country_stats, small_dims=star.small_dims)
+    h = {(x["section_name"], x["year"]): x for x in rows(CON2.hhi_by_section_year(hot, IMPORTS))}
+    m = h[("Machinery & Electrical Equipment", 2020)]
+    tot = 3100 + 300.0
+    assert m["top_share_pct"] == round(3100 / tot * 100, 1) and m["top_supplier"] == "Alpha"

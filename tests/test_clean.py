@@ -133,3 +133,15 @@ def test_stepwise_operators_compose_like_clean_flows(spark):
     df = C.rename_present(raw(spark, data))
     step = C.keep_valid_hs(C.drop_aggregates(C.drop_world(df)))
     assert [x["hs_code"] for x in rows(step)] == ["07"]
+
+
+def test_hot_key_dedup_is_combined_map_side(spark):
+    # one dedup key holds a third of all rows; the rest are distinct
+    hot = [r(i, value=str(i)) for i in range(1000, 1600)]
+    cold = [r(i, par=str(i), value=str(i)) for i in range(2000, 3200)]
+    df = raw(spark, hot + cold).repartition(6)
+    out = C.clean_flows(df, ["seq"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "partial_min_by" in plan and "Window" not in plan
+    got = {x["partner_code"]: x["trade_value_usd"] for x in out.collect()}
+    assert len(got) == 1 + len(cold) and got[156] == 1000.0

@@ -80,8 +80,8 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _t(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size")
     # A landed feed is many files read in parallel; the driver ships one file with
     # one row group, so spread it like a multi-file landing (hash on the order key:
-    # deterministic under task retries).
-    li = li.repartition(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), "l_orderkey")
+    # deterministic under task retries; AQE may coalesce small partitions).
+    li = li.repartition("l_orderkey")
     return (li.join(o, li.l_orderkey == o.o_orderkey)
               .join(c, F.col("o_custkey") == c.c_custkey)
               .join(s, li.l_suppkey == s.s_suppkey)
