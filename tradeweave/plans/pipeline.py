@@ -23,6 +23,7 @@ from tradeweave.constants import (
 )
 from tradeweave.operators import clean as C
 from tradeweave.operators import star as S
+from tradeweave.plans.cube import trade_cube
 from tradeweave.sources import reference as R
 from tradeweave.sources import standin
 
@@ -120,6 +121,8 @@ def load_warehouse(spark: SparkSession, raw: standin.RawInputs, path: str, cfg:
         df.write.mode("overwrite").parquet(f"{path}/{name}")
     for name, df in (("fact_trade", trade), ("fact_mirror_trade", mirror)):
         df.write.mode("overwrite").partitionBy("year").parquet(f"{path}/{name}")
+    fact = spark.read.parquet(f"{path}/fact_trade")
+    trade_cube(fact).write.mode("overwrite").partitionBy("year").parquet(f"{path}/trade_cube")
     return read_star(spark, path, {k: v for k, v in star.staging.items() if k.startswith("raw_")})
 
 
