@@ -39,7 +39,8 @@ def hhi_by_section_year(star: Star, f: TradeFilter = TradeFilter()) -> DataFrame
         F.round(F.sum(F.col("share_pct") * F.col("share_pct")), 0).alias("hhi"),
         F.count_distinct("partner_name").cast("long").alias("supplier_count"),
         F.round(F.max("share_pct"), 1).alias("top_share_pct"),
-        F.max_by("partner_name", "share_pct").alias("top_supplier"),
+        # rows without a name never win (SQL arg_max skips NULL arguments)
+        F.max_by("partner_name", F.when(F.col("partner_name").isNotNull(), F.col("share_pct"))).alias("top_supplier"),
     )
 
 

@@ -109,8 +109,8 @@ _mod, _high = PARAMS["hhi_bands"]
 
 
 @register("q13_risk_summary", O.with_base(f"""
-SELECT year AS latest_year, COUNT_IF(hhi >= {_high}) AS n_high,
-    COUNT_IF(hhi >= {_mod} AND hhi < {_high}) AS n_moderate, COUNT_IF(hhi < {_mod}) AS n_low
+SELECT year AS latest_year, COUNT(*) FILTER (WHERE hhi >= {_high}) AS n_high,
+    COUNT(*) FILTER (WHERE hhi >= {_mod} AND hhi < {_high}) AS n_moderate, COUNT(*) FILTER (WHERE hhi < {_mod}) AS n_low
 FROM hhi_results WHERE year = (SELECT MAX(year) FROM hhi_results) GROUP BY year""", *HHI_SQL_CTES))
 def q13_risk_summary(s):
     return CON.risk_summary(s, IMPORTS, *PARAMS["hhi_bands"])
@@ -121,8 +121,8 @@ _tmod, _thigh = PARAMS["trend_bands"]
 
 @register("q14_hhi_trend", O.with_base(f"""
 SELECT year, ROUND(AVG(hhi), 0) AS avg_hhi, ROUND(MIN(hhi), 0) AS min_hhi, ROUND(MAX(hhi), 0) AS max_hhi,
-    COUNT(*) AS section_count, COUNT_IF(hhi >= {_thigh}) AS n_high,
-    COUNT_IF(hhi >= {_tmod} AND hhi < {_thigh}) AS n_moderate, COUNT_IF(hhi < {_tmod}) AS n_low
+    COUNT(*) AS section_count, COUNT(*) FILTER (WHERE hhi >= {_thigh}) AS n_high,
+    COUNT(*) FILTER (WHERE hhi >= {_tmod} AND hhi < {_thigh}) AS n_moderate, COUNT(*) FILTER (WHERE hhi < {_tmod}) AS n_low
 FROM section_hhi GROUP BY year""",
     f"""sp AS (SELECT ft.year, dco.section_name, ft.partner_id, SUM(ft.trade_value_usd) AS trade_value
     FROM fact_trade ft JOIN dim_commodity dco ON ft.commodity_id = dco.commodity_id
@@ -164,7 +164,7 @@ def q15_alerts(s):
 
 
 @register("q16_alert_counts", O.with_base(f"""
-SELECT COUNT(*) AS n_alerts, COUNT_IF(share_pct >= {_ahigh}) AS n_high, COUNT_IF(share_pct < {_ahigh}) AS n_moderate
+SELECT COUNT(*) AS n_alerts, COUNT(*) FILTER (WHERE share_pct >= {_ahigh}) AS n_high, COUNT(*) FILTER (WHERE share_pct < {_ahigh}) AS n_moderate
 FROM alerts""", *ALERT_CTES))
 def q16_alert_counts(s):
     return CON.alert_counts(q15_alerts(s), PARAMS["alert_shares"][1])
@@ -432,7 +432,7 @@ SELECT partner_id, year, home_imports_usd / 1e9 AS home_imports_b, ptr_exports_t
     import_disc_pct, export_disc_pct,
     CASE WHEN import_disc_pct > 20 THEN '!' ELSE '' END AS import_flag,
     CASE WHEN export_disc_pct > 20 THEN '!' ELSE '' END AS export_flag,
-    COUNT_IF(COALESCE(import_disc_pct, 0) > 20 OR COALESCE(export_disc_pct, 0) > 20)
+    COUNT(*) FILTER (WHERE COALESCE(import_disc_pct, 0) > 20 OR COALESCE(export_disc_pct, 0) > 20)
         OVER (PARTITION BY partner_id) AS years_flagged
 FROM mirror_year""", *MIRROR_YEAR_CTES))
 def q25_mirror_flags(s):
@@ -645,8 +645,8 @@ SELECT total_rows, reporter_unresolved, partner_unresolved, commodity_unresolved
     ROUND(CASE WHEN total_rows > 0 THEN reporter_unresolved * 100.0 / total_rows END, 1) AS reporter_unresolved_pct,
     ROUND(CASE WHEN total_rows > 0 THEN partner_unresolved * 100.0 / total_rows END, 1) AS partner_unresolved_pct,
     ROUND(CASE WHEN total_rows > 0 THEN commodity_unresolved * 100.0 / total_rows END, 1) AS commodity_unresolved_pct
-FROM (SELECT COUNT(*) AS total_rows, COUNT_IF(reporter_id IS NULL) AS reporter_unresolved,
-        COUNT_IF(partner_id IS NULL) AS partner_unresolved, COUNT_IF(commodity_id IS NULL) AS commodity_unresolved
+FROM (SELECT COUNT(*) AS total_rows, COUNT(*) FILTER (WHERE reporter_id IS NULL) AS reporter_unresolved,
+        COUNT(*) FILTER (WHERE partner_id IS NULL) AS partner_unresolved, COUNT(*) FILTER (WHERE commodity_id IS NULL) AS commodity_unresolved
     FROM fact_trade) c"""))
 def l4_fk_rates(s):
     return ST.fk_resolution(s.fact_trade)
@@ -681,7 +681,7 @@ def l7_region_patch(s):
 
 
 @register("l8_region_coverage", O.with_base(
-    "SELECT COUNT(region) AS region_set, COUNT_IF(region IS NULL) AS region_null FROM dim_country"))
+    "SELECT COUNT(region) AS region_set, COUNT(*) FILTER (WHERE region IS NULL) AS region_null FROM dim_country"))
 def l8_region_coverage(s):
     return ST.region_coverage(s.dim_country)
 
@@ -721,7 +721,7 @@ _L11_PARTS = [
     _dup_sql("dim_commodity", "commodity_id", "pk dim_commodity"),
     _dup_sql("dim_time", "year", "pk dim_time"),
     _dup_sql("fact_country_stats", "country_id, year", "pk fact_country_stats"),
-    "SELECT 'not null dim_commodity.hs_chapter' AS check_name, COUNT_IF(hs_chapter IS NULL) AS violations "
+    "SELECT 'not null dim_commodity.hs_chapter' AS check_name, COUNT(*) FILTER (WHERE hs_chapter IS NULL) AS violations "
     "FROM dim_commodity",
 ]
 for _f in ("fact_trade", "fact_mirror_trade"):
@@ -782,8 +782,8 @@ def c8_unknown_flows(s):
 
 
 @register("c11_value_audit", O.with_base("""
-SELECT COUNT(*) AS rows, COUNT_IF(trade_value_usd IS NULL) AS null_values,
-    COUNT_IF(trade_value_usd < 0) AS negative_values, COUNT_IF(trade_value_usd = 0) AS zero_values
+SELECT COUNT(*) AS rows, COUNT(*) FILTER (WHERE trade_value_usd IS NULL) AS null_values,
+    COUNT(*) FILTER (WHERE trade_value_usd < 0) AS negative_values, COUNT(*) FILTER (WHERE trade_value_usd = 0) AS zero_values
 FROM tag_rep WHERE reject IS NULL"""))
 def c11_value_audit(s):
     t = CL.tag_flows(_raw(s))
@@ -795,10 +795,10 @@ SELECT step_no, step, CAST(rows AS BIGINT) AS rows,
     ROUND(rows / MAX(CASE WHEN step = 'input' THEN rows END) OVER () * 100.0, 2) AS pct_of_input
 FROM (
     SELECT 1 AS step_no, 'input' AS step, COUNT(*) AS rows FROM tag_rep
-    UNION ALL SELECT 2, 'world_partner', COUNT_IF(reject = 'world_partner') FROM tag_rep
-    UNION ALL SELECT 3, 'aggregate_hs', COUNT_IF(reject = 'aggregate_hs') FROM tag_rep
-    UNION ALL SELECT 4, 'invalid_hs', COUNT_IF(reject = 'invalid_hs') FROM tag_rep
-    UNION ALL SELECT 5, 'duplicate', COUNT_IF(reject IS NULL) - (SELECT COUNT(*) FROM clean_rep) FROM tag_rep
+    UNION ALL SELECT 2, 'world_partner', COUNT(*) FILTER (WHERE reject = 'world_partner') FROM tag_rep
+    UNION ALL SELECT 3, 'aggregate_hs', COUNT(*) FILTER (WHERE reject = 'aggregate_hs') FROM tag_rep
+    UNION ALL SELECT 4, 'invalid_hs', COUNT(*) FILTER (WHERE reject = 'invalid_hs') FROM tag_rep
+    UNION ALL SELECT 5, 'duplicate', COUNT(*) FILTER (WHERE reject IS NULL) - (SELECT COUNT(*) FROM clean_rep) FROM tag_rep
     UNION ALL SELECT 6, 'kept', COUNT(*) FROM clean_rep) s"""))
 def c13_ledger(s):
     return CL.cleaning_ledger(_raw(s))
@@ -822,7 +822,7 @@ def c18_pivot_indicators(s):
 
 @register("c21_stats_summary", O.with_base("""
 SELECT COUNT(*) AS rows, COUNT(DISTINCT country_iso3) AS countries, MIN(year) AS year_min, MAX(year) AS year_max,
-    COUNT(gdp_per_capita) AS per_capita_rows, COUNT_IF(gdp_per_capita IS NULL) AS per_capita_null
+    COUNT(gdp_per_capita) AS per_capita_rows, COUNT(*) FILTER (WHERE gdp_per_capita IS NULL) AS per_capita_null
 FROM stats_clean"""))
 def c21_stats_summary(s):
     return CL.stats_summary(s.staging["country_stats"])

@@ -79,9 +79,10 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _t(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     p = _t(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size")
     # A landed feed is many files read in parallel; the driver ships one file with
-    # one row group, so spread it like a multi-file landing (hash on the order key:
-    # deterministic under task retries; AQE may coalesce small partitions).
-    li = li.repartition("l_orderkey")
+    # one row group, so spread it like a multi-file landing: hash on a (nearly)
+    # unique key, so no hot order lands in one task; deterministic under retries,
+    # and AQE may coalesce small partitions.
+    li = li.repartition("l_orderkey", "l_linenumber", "l_partkey")
     return (li.join(o, li.l_orderkey == o.o_orderkey)
               .join(c, F.col("o_custkey") == c.c_custkey)
               .join(s, li.l_suppkey == s.s_suppkey)
