@@ -21,7 +21,7 @@ import uuid
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from tradeweave.plans.pipeline import STANDIN_CONFIG, load_warehouse  # noqa: E402
-from tradeweave.plans.cube import serves_from_cube, with_cube  # noqa: E402
+from tradeweave.plans.cube import CUBE_SCHEMA, serves_from_cube, with_cube  # noqa: E402
 from tradeweave.plans.registry import ON_STAR  # noqa: E402
 from tradeweave.sources.standin import load_raw_inputs  # noqa: E402
 from tradeweave.session import ensure_checkpoint_dir, local_session  # noqa: E402
@@ -43,7 +43,7 @@ def main() -> None:
         impl(wh).write.format("noop").mode("overwrite").save()
         times[name] = round(time.time() - t, 3)
     # the same dashboard queries served from the base cube written by the load
-    cube = with_cube(wh, spark.read.parquet(f"{out}/trade_cube"))
+    cube = with_cube(wh, spark.read.schema(CUBE_SCHEMA).parquet(f"{out}/trade_cube"))
     for name, impl in ON_STAR.items():
         if serves_from_cube(name):
             t = time.time()

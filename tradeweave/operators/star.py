@@ -20,6 +20,11 @@ from tradeweave.operators.keys import with_dim_key, with_sequential_key
 
 FACT_COLUMNS = ("year", "reporter_id", "partner_id", "commodity_id", "flow_direction",
                 "trade_value_usd", "net_weight_kg", "quantity", "qty_unit", "valuation")
+#: Declared schema of a loaded fact (read back with it: no inference, and an
+#: empty year-partitioned fact still has a schema).
+FACT_SCHEMA = ("trade_id bigint, year int, reporter_id int, partner_id int, commodity_id int, "
+               "flow_direction string, trade_value_usd double, net_weight_kg double, quantity double, "
+               "qty_unit string, valuation string")
 
 
 @dataclass

@@ -18,6 +18,7 @@ from tradeweave.operators.star import Star
 from tradeweave.params import positive
 
 CUBE_KEYS = ("year", "flow_direction", "partner_id", "commodity_id")
+CUBE_SCHEMA = "year int, flow_direction string, partner_id int, commodity_id int, trade_value_usd double, n_records bigint"
 
 #: Registered queries whose answer is the same on the cube as on the fact.
 CUBE_QUERIES = tuple(

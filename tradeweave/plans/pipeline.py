@@ -121,7 +121,7 @@ def load_warehouse(spark: SparkSession, raw: standin.RawInputs, path: str, cfg:
         df.write.mode("overwrite").parquet(f"{path}/{name}")
     for name, df in (("fact_trade", trade), ("fact_mirror_trade", mirror)):
         df.write.mode("overwrite").partitionBy("year").parquet(f"{path}/{name}")
-    fact = spark.read.parquet(f"{path}/fact_trade")
+    fact = spark.read.schema(S.FACT_SCHEMA).parquet(f"{path}/fact_trade")
     trade_cube(fact).write.mode("overwrite").partitionBy("year").parquet(f"{path}/trade_cube")
     return read_star(spark, path, {k: v for k, v in star.staging.items() if k.startswith("raw_")})
 
@@ -132,9 +132,22 @@ def read_star(spark: SparkSession, path: str, raw: dict[str, DataFrame] | None =
     def t(name: str) -> DataFrame:
         return spark.read.parquet(f"{path}/{name}")
 
+    def fact(name: str) -> DataFrame:
+        return spark.read.schema(S.FACT_SCHEMA).parquet(f"{path}/{name}")
+
     dims = {k: t(k) for k in ("dim_country", "dim_commodity", "dim_time")}
     staging = {name: t(f"staging/{name}") for name in STAGING_TABLES}
     staging.update(raw or {})
-    return S.Star(dims["dim_country"], dims["dim_commodity"], dims["dim_time"], t("fact_trade"),
-                  t("fact_mirror_trade"), t("fact_country_stats"), staging=staging,
+    return S.Star(dims["dim_country"], dims["dim_commodity"], dims["dim_time"], fact("fact_trade"),
+                  fact("fact_mirror_trade"), t("fact_country_stats"), staging=staging,
                   small_dims=S.dims_fit(dims["dim_country"], dims["dim_commodity"], dims["dim_time"]))
+
+
+def register_views(star: S.Star, prefix: str = "") -> list[str]:
+    """Expose the warehouse tables as temp views (``fact_trade``, ``dim_country``, …)
+    so SQL written against the star schema runs on Spark SQL."""
+    names = []
+    for name, df in star.tables().items():
+        df.createOrReplaceTempView(prefix + name)
+        names.append(prefix + name)
+    return names
