@@ -218,3 +218,36 @@ def test_hot_partner_shares_stay_exact(spark, star):
     m = h[("Machinery & Electrical Equipment", 2020)]
     tot = 3100 + 300.0
     assert m["top_share_pct"] == round(3100 / tot * 100, 1) and m["top_supplier"] == "Alpha"
+
+
+@pytest.mark.parametrize("op,col", [
+    (COM.section_kpis, "section_name"), (COM.section_partners, "section_name"),
+    (COM.section_chapters, "section_name"), (CON.diversification, "section_name"),
+])
+def test_one_section_equals_all_sections_restricted(star, op, col):
+    f = TradeFilter(year_min=2019, year_max=2023)
+    sec = "Vegetable Products"
+    one = sorted(map(str, rows(op(star, f.with_(section=sec)))))
+    allr = sorted(map(str, rows(op(star, f).where(F.col(col) == sec))))
+    assert one == allr and one
+
+
+def test_emerging_one_section_equals_all(star):
+    f = TradeFilter(year_min=2019, year_max=2023)
+    one = rows(COM.emerging_suppliers(star, f.with_(section="Vegetable Products"), floor=0.0))
+    allr = rows(COM.emerging_suppliers(star, f, floor=0.0).where(F.col("section_name") == "Vegetable Products"))
+    assert sorted(map(str, one)) == sorted(map(str, allr))
+
+
+@pytest.mark.parametrize("op", [PAR.partner_annual, PAR.partner_top_chapters, PAR.partner_share, MIR.mirror_by_year])
+def test_one_partner_equals_all_partners_restricted(star, op):
+    pid = star.ids["AAA"]
+    one = sorted(map(str, rows(op(star, TradeFilter(partner_id=pid)))))
+    allr = sorted(map(str, rows(op(star, TradeFilter()).where(F.col("partner_id") == pid))))
+    assert one == allr and one
+
+
+def test_export_flow_filter(star):
+    h = rows(CON.hhi_by_section_year(star, TradeFilter(flow="Exports")))
+    assert {(x["section_name"], x["year"]) for x in h} == {("Mineral Products", 2019), ("Mineral Products", 2021),
+                                                          ("Mineral Products", 2023)}
