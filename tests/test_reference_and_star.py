@@ -148,3 +148,11 @@ def test_cumulative_weights(spark):
     df = spark.createDataFrame([(5.0, 3), (1.0, 1), (2.0, 10)], "v double, w long")
     out = rows(K.cumulative(df, ["v"], F.col("w"), "start", 2), ["v"])
     assert [(x["v"], x["start"], x["_rk_total"]) for x in out] == [(1.0, 0, 14), (2.0, 1, 14), (5.0, 11, 14)]
+
+
+def test_bucket_search_tree_matches_linear_count(spark):
+    bounds = [3, 7, 7.5, 20, 21, 40, 41]
+    df = spark.createDataFrame([(float(v),) for v in range(-2, 45)], "v double")
+    arr = F.array(*[F.lit(float(b)) for b in bounds])
+    got = {x["v"]: x["b"] for x in df.select("v", K._search(F.col("v"), arr, len(bounds)).alias("b")).collect()}
+    assert got == {v: sum(1 for b in bounds if v >= b) for v in got}

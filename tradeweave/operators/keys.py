@@ -7,8 +7,9 @@
 1. sample the order key once (a random top-K, K bounded by the bucket count,
    collected to the driver) and pick ``n - 1`` range bounds; the bounds become
    literals of the plan;
-2. bucket = number of bounds ≤ the row's key — a pure function of the row,
-   so every pass and every task retry puts a row in the same bucket;
+2. bucket = number of bounds ≤ the row's key (binary search over a constant
+   array: log2(n) comparisons per row) — a pure function of the row, so every
+   pass and every task retry puts a row in the same bucket;
 3. per-bucket weight totals (≤ n rows) → exclusive prefix sums, broadcast
    back; within a bucket a window partitioned by bucket gives the running sum.
 
@@ -21,14 +22,14 @@ pile up in one task).
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _BKT = "_rk_bucket"
 SAMPLE_PER_BUCKET = 40
+MAX_SAMPLE = 200_000
 
 
 def with_dim_key(df: DataFrame, order: Sequence[str | Column], name: str) -> DataFrame:
@@ -51,13 +52,19 @@ def sort_key(df: DataFrame, order: Sequence[str]) -> Column:
     return F.struct(*parts)
 
 
-def _bound_literal(df: DataFrame, order: Sequence[str], row) -> Column:
-    parts = []
-    for i, c in enumerate(order):
-        v = row[f"v{i}"]
-        parts += [F.lit(bool(row[f"n{i}"])).alias(f"n{i}"),
-                  F.lit(v).cast(df.schema[c].dataType).alias(f"v{i}")]
-    return F.struct(*parts)
+def _json_value(v):
+    if v is None or isinstance(v, (bool, int, float, str)):
+        return v
+    if hasattr(v, "isoformat"):
+        return v.isoformat()
+    return str(v)                       # decimals: exact text
+
+
+def _bounds_array(df: DataFrame, order: Sequence[str], rows) -> Column:
+    """All bounds as one constant array (a JSON literal parsed once on the driver)."""
+    fields = ", ".join(f"n{i}: boolean, v{i}: {df.schema[c].dataType.simpleString()}" for i, c in enumerate(order))
+    data = [{k: _json_value(r[k]) for k in r.asDict()} for r in rows]
+    return F.from_json(F.lit(json.dumps(data)), f"array<struct<{fields}>>")
 
 
 def range_bucket(df: DataFrame, order: Sequence[str], n: int) -> Column:
@@ -70,7 +77,7 @@ def range_bucket(df: DataFrame, order: Sequence[str], n: int) -> Column:
     if n <= 1:
         return F.lit(0)
     key = sort_key(df, order)
-    k = SAMPLE_PER_BUCKET * n
+    k = min(SAMPLE_PER_BUCKET * n, MAX_SAMPLE)
     sample = (df.select(key.alias("k"), F.rand(20240917).alias("_r")).orderBy("_r").limit(k)
                 .orderBy("k").select("k").collect())
     if not sample:
@@ -80,8 +87,27 @@ def range_bucket(df: DataFrame, order: Sequence[str], n: int) -> Column:
         row = sample[min(len(sample) - 1, (i * len(sample)) // n)]["k"]
         if not picks or row != picks[-1]:
             picks.append(row)
-    bounds = [_bound_literal(df, order, r) for r in picks]
-    return reduce(lambda a, b: a + b, [(key >= b).cast("int") for b in bounds])
+    return _search(key, _bounds_array(df, order, picks), len(picks))
+
+
+def _search(key: Column, arr: Column, m: int) -> Column:
+    """Number of the m (sorted, distinct) bounds in ``arr`` that are ≤ key: a binary
+    search written as a higher-order ``aggregate`` over ⌈log2(m+1)⌉ steps against
+    one constant array, so the expression stays small for any number of bounds."""
+    if m == 0:
+        return F.lit(0)
+    steps = max(1, m.bit_length())
+
+    def step(acc: Column, _x: Column) -> Column:
+        lo, hi = acc["lo"], acc["hi"]
+        mid = F.floor((lo + hi) / 2).cast("int")          # answer ∈ [lo, hi]
+        below = key < F.element_at(arr, mid + 1)           # ⇔ answer ≤ mid
+        nxt = F.when(below, F.struct(lo.alias("lo"), mid.alias("hi"))) \
+            .otherwise(F.struct((mid + 1).alias("lo"), hi.alias("hi")))
+        return F.when(lo < hi, nxt).otherwise(acc)
+
+    init = F.struct(F.lit(0).alias("lo"), F.lit(m).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step, lambda acc: acc["lo"])
 
 
 def cumulative(df: DataFrame, order: Sequence[str], weight: Column | None = None, out: str = "_cum",
