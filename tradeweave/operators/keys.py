@@ -120,7 +120,9 @@ def cumulative(df: DataFrame, order: Sequence[str], weight: Column | None = None
     n = _partitions(df, num_partitions)
     w = weight if weight is not None else F.lit(1).cast("long")
     b = df.withColumns({_BKT: range_bucket(df, order, n), "_rk_w": w})
-    within = Window.partitionBy(_BKT).orderBy(sort_key(df, order)).rowsBetween(Window.unboundedPreceding, 0)
+    # same order as sort_key (per column, NULLs last), as plain column sorts
+    within = Window.partitionBy(_BKT).orderBy(*[F.col(c).asc_nulls_last() for c in order]) \
+        .rowsBetween(Window.unboundedPreceding, 0)
     r = b.withColumn("_rk_run", F.sum("_rk_w").over(within))
     # bucket totals: a partial aggregation of the input (its shuffle carries one
     # row per bucket per task), so the input is read twice but shuffled once

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradeweave.constants import NULL_RATE_HIGH, NULL_RATE_MODERATE
-from tradeweave.functions.exprs import try_number
+from tradeweave.functions.exprs import band, try_number
 from tradeweave.operators.clean import null_pct
 from tradeweave.operators.keys import cumulative
 
@@ -100,9 +100,8 @@ def ref_report(df: DataFrame, label: str) -> DataFrame:
 
 def null_severity(nulls: DataFrame) -> DataFrame:
     """Band per null rate: > 20 high, > 5 moderate, else low."""
-    v = F.col("null_pct")
-    return nulls.withColumn("severity", F.when(v > NULL_RATE_HIGH, "high")
-                            .when(v > NULL_RATE_MODERATE, "moderate").otherwise("low"))
+    bands = [(NULL_RATE_HIGH, "high"), (NULL_RATE_MODERATE, "moderate")]
+    return nulls.withColumn("severity", band(F.col("null_pct"), bands, "low", strict=True))
 
 
 def table_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
