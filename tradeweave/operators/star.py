@@ -1,8 +1,8 @@
 """Star-schema load and referential checks.
 
 Dimensions are small (countries, chapters, years) and joined by broadcast
-after a row-count check; facts are never globally sorted except for the
-optional contiguous key (``keyed_facts``), which uses a range shuffle.
+after a row-count check; facts are never globally sorted: the optional
+contiguous key (``keyed_facts``) uses the range-bucket ranking of ``keys``.
 """
 
 from __future__ import annotations
