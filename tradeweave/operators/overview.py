@@ -61,6 +61,13 @@ def overview_kpis(star: Star, f: TradeFilter = TradeFilter()) -> DataFrame:
     last year's change against the exact prior calendar year (NULL if that
     year is missing or 0; divided by |prior|)."""
     a = annual_balance(star)
+    if f.year_max is not None:
+        # only the range and the prior year are read (a filter on the grouping
+        # column reaches the scan as a partition filter)
+        keep = F.col("year") <= f.year_max
+        if f.year_min is not None:
+            keep = keep & (F.col("year") >= min(f.year_min, f.year_max - 1))
+        a = a.where(keep)
     hi = F.lit(f.year_max) if f.year_max is not None else F.max("year").over(Window.partitionBy())
     a = a.withColumn("_hi", hi)
     in_range = F.lit(True)
