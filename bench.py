@@ -20,7 +20,7 @@ import uuid
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from tradeweave.plans.pipeline import STANDIN_CONFIG, load_warehouse  # noqa: E402
+from tradeweave.plans.warehouse import STANDIN_CONFIG, load_warehouse  # noqa: E402
 from tradeweave.plans.cube import CUBE_SCHEMA, serves_from_cube, with_cube  # noqa: E402
 from tradeweave.plans.registry import ON_STAR  # noqa: E402
 from tradeweave.sources.standin import load_raw_inputs  # noqa: E402

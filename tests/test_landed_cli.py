@@ -6,7 +6,7 @@ import os
 
 from conftest import rows
 from tradeweave.__main__ import main
-from tradeweave.plans.pipeline import read_star, register_views
+from tradeweave.plans.warehouse import read_star, register_views
 from tradeweave.operators import overview as OV
 
 FLOW_HEADER = ("refYear,reporterCode,reporterISO,partnerCode,partnerISO,cmdCode,cmdDesc,flowCode,primaryValue,"

@@ -9,7 +9,7 @@ import sys
 import pytest
 
 from conftest import SF_SMOKE, rows
-from tradeweave.plans.pipeline import STANDIN_CONFIG, load_warehouse, standin_star
+from tradeweave.plans.warehouse import STANDIN_CONFIG, load_warehouse, standin_star
 from tradeweave.plans.registry import ON_STAR, REGISTRY
 from tradeweave.sources.standin import load_raw_inputs
 

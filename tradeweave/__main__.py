@@ -10,7 +10,7 @@ from __future__ import annotations
 import argparse
 
 from tradeweave.operators.quality import quality_report
-from tradeweave.plans.pipeline import PipelineConfig, load_warehouse
+from tradeweave.plans.warehouse import PipelineConfig, load_warehouse
 from tradeweave.sources.files import write_report
 from tradeweave.sources.landed import landed_inputs
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tradeweave.operators import concentration as CON
 from tradeweave.params import TradeFilter
 from tradeweave.plans import oracle as O
-from tradeweave.plans.pipeline import standin_star
+from tradeweave.plans.warehouse import standin_star
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 StarFn = Callable[["Star"], DataFrame]
