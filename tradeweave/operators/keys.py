@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _BKT = "_rk_bucket"
+_KEY = "_rk_key"
 SAMPLE_PER_BUCKET = 40
 MAX_SAMPLE = 200_000
 
@@ -68,7 +69,8 @@ def _bounds_array(df: DataFrame, order: Sequence[str], rows) -> Column:
 
 
 def range_bucket(df: DataFrame, order: Sequence[str], n: int) -> Column:
-    """Deterministic bucket 0..n-1 of each row by sampled quantiles of ``order``.
+    """Deterministic bucket 0..n-1 of each row by sampled quantiles of ``order``
+    (the returned column reads the composite key column ``_rk_key``).
 
     The sample is a uniform random top-K (K = SAMPLE_PER_BUCKET * n rows of the
     key columns only) taken in one job; each task keeps its own top-K, so the
@@ -87,7 +89,9 @@ def range_bucket(df: DataFrame, order: Sequence[str], n: int) -> Column:
         row = sample[min(len(sample) - 1, (i * len(sample)) // n)]["k"]
         if not picks or row != picks[-1]:
             picks.append(row)
-    return _search(key, _bounds_array(df, order, picks), len(picks))
+    # the search reads the composite key from the ``_rk_key`` column that
+    # ``cumulative`` adds next to the data
+    return _search(F.col(_KEY), _bounds_array(df, order, picks), len(picks))
 
 
 def _search(key: Column, arr: Column, m: int) -> Column:
@@ -119,7 +123,8 @@ def cumulative(df: DataFrame, order: Sequence[str], weight: Column | None = None
     """
     n = _partitions(df, num_partitions)
     w = weight if weight is not None else F.lit(1).cast("long")
-    b = df.withColumns({_BKT: range_bucket(df, order, n), "_rk_w": w})
+    bucket = range_bucket(df, order, n)
+    b = df.withColumn(_KEY, sort_key(df, order)).withColumns({_BKT: bucket, "_rk_w": w}).drop(_KEY)
     # same order as sort_key (per column, NULLs last), as plain column sorts
     within = Window.partitionBy(_BKT).orderBy(*[F.col(c).asc_nulls_last() for c in order]) \
         .rowsBetween(Window.unboundedPreceding, 0)
