@@ -78,3 +78,14 @@ def test_cube_answers_like_fact(spark):
     for name in names:
         a, b = ON_STAR[name](cube).toPandas(), ON_STAR[name](s).toPandas()
         assert oracle_check.compare(a, b) is None, name
+
+
+def test_shares_sum_to_100_per_section_year(spark):
+    from pyspark.sql import functions as F
+
+    from tradeweave.operators import concentration as CON
+    from tradeweave.params import TradeFilter
+    s = standin_star(spark, SF_SMOKE)
+    shares = CON._with_share(CON._section_partner(s, TradeFilter(flow="Imports"), True), "year", "section_name")
+    sums = shares.groupBy("year", "section_name").agg(F.sum("share_pct").alias("t")).collect()
+    assert sums and all(abs(r.t - 100.0) < 1e-9 for r in sums)
