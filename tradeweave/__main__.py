@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import argparse
 
-from tradeweave.operators.quality import quality_report
+from tradeweave.operators.quality import quality_report_frame
 from tradeweave.plans.warehouse import PipelineConfig, load_warehouse
 from tradeweave.sources.files import write_report
 from tradeweave.sources.landed import landed_inputs
@@ -33,7 +33,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         cfg = PipelineConfig(years=(args.first_year, args.last_year))
     wh = load_warehouse(spark, landed_inputs(spark, args.raw_dir), args.out_dir, cfg)
     st = wh.staging
-    report = quality_report({"trade_flows": st["trade_flows"], "mirror_flows": st["mirror_flows"],
+    report = quality_report_frame({"trade_flows": st["trade_flows"], "mirror_flows": st["mirror_flows"],
                              "country_stats": st["country_stats"], "hs_chapters": st["hs_chapters"],
                              "country_mapping": st["countries"]})
     write_report(spark, report, f"{args.out_dir.rstrip('/')}/quality_report")

@@ -9,7 +9,7 @@ neighbouring ranks (lo + (hi - lo) * fraction), like the reference.
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -119,61 +119,71 @@ FLOW_NULL_COLS = ("trade_value_usd", "net_weight_kg", "quantity", "partner_iso3"
 STATS_NULL_COLS = ("gdp_usd", "population", "gdp_per_capita")
 
 
-def _row_dict(df: DataFrame) -> dict:
-    row = df.first()
-    return {} if row is None else row.asDict(recursive=True)
-
+def one_row(*frames: DataFrame) -> DataFrame:
+    """Combine one-row frames with disjoint columns into one row (union + first
+    non-NULL per column: no join between them)."""
+    u = frames[0]
+    for f in frames[1:]:
+        u = u.unionByName(f, allowMissingColumns=True)
+    return u.agg(*[F.first(c, ignorenulls=True).alias(c) for c in u.columns])
+
+
+def _as_map(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    # bounded: one entry per flow label / year / column
+    return df.agg(F.map_from_entries(F.collect_list(F.struct(F.col(key).cast("string"), F.col(value))))
+                  .alias(name))
+
+
+def flow_report_frame(flows: DataFrame, label: str) -> DataFrame:
+    """D2 (nested, one row): the full flow-table report as Spark structs and maps."""
+    flat = flow_report(flows, label).select(
+        "source", "total_rows", F.array("year_min", "year_max").alias("year_range"), "unique_partners",
+        "unique_hs_codes")
+    dist = distribution(flows, "trade_value_usd")
+    return one_row(
+        flat,
+        _as_map(rows_per(flows, "flow_code"), "flow_code", "rows", "flow_distribution"),
+        _as_map(null_pct(flows, FLOW_NULL_COLS), "column_name", "null_pct", "null_percentages"),
+        dist.select(F.struct(*dist.columns).alias("value_distribution")),
+        _as_map(rows_per(flows, "year"), "year", "rows", "rows_per_year"),
+    )
 
-def _pairs(df: DataFrame, key: str, value: str) -> dict:
-    # bounded: one row per flow label / year / column
-    return {str(r[key]): r[value] for r in df.orderBy(key).collect()}
 
+def stats_report_frame(stats: DataFrame) -> DataFrame:
+    """D4 (nested, one row)."""
+    flat = stats_report(stats).select("total_rows", "unique_countries",
+                                      F.array("year_min", "year_max").alias("year_range"))
+    dist = distribution(stats, "gdp_usd")
+    return one_row(flat, _as_map(null_pct(stats, STATS_NULL_COLS), "column_name", "null_pct", "null_percentages"),
+                   dist.select(F.struct(*dist.columns).alias("gdp_distribution")))
 
-def quality_report(sources: Mapping[str, DataFrame]) -> dict:
-    """Nested report keyed by source; missing sources are omitted.
 
-    ``sources`` may hold trade_flows, mirror_flows, country_stats, hs_chapters,
-    country_mapping. Every figure is a distributed aggregate; only the small
-    summaries reach the driver.
-    """
-    report: dict = {"generated_at": datetime.now(timezone.utc).isoformat(), "sources": {}}
+def quality_report_frame(sources: Mapping[str, DataFrame]) -> DataFrame:
+    """One-row nested report keyed by source (missing sources omitted), ready
+    for the JSON sink. Every part is a distributed aggregate."""
+    parts = []
     for key, label in (("trade_flows", "reporter"), ("mirror_flows", "mirror")):
-        df = sources.get(key)
-        if df is None:
-            continue
-        flat = _row_dict(flow_report(df, label))
-        report["sources"][key] = {
-            "source": label, "total_rows": flat["total_rows"], "year_range": [flat["year_min"], flat["year_max"]],
-            "unique_partners": flat["unique_partners"], "unique_hs_codes": flat["unique_hs_codes"],
-            "flow_distribution": _pairs(rows_per(df, "flow_code"), "flow_code", "rows"),
-            "null_percentages": _pairs(null_pct(df, FLOW_NULL_COLS), "column_name", "null_pct"),
-            "value_distribution": _row_dict(distribution(df, "trade_value_usd")),
-            "rows_per_year": _pairs(rows_per(df, "year"), "year", "rows"),
-        }
-    stats = sources.get("country_stats")
-    if stats is not None:
-        flat = _row_dict(stats_report(stats))
-        report["sources"]["country_stats"] = {
-            "total_rows": flat["total_rows"], "unique_countries": flat["unique_countries"],
-            "year_range": [flat["year_min"], flat["year_max"]],
-            "null_percentages": _pairs(null_pct(stats, STATS_NULL_COLS), "column_name", "null_pct"),
-            "gdp_distribution": _row_dict(distribution(stats, "gdp_usd")),
-        }
+        if sources.get(key) is not None:
+            r = flow_report_frame(sources[key], label)
+            parts.append(r.select(F.struct(*r.columns).alias(key)))
+    if sources.get("country_stats") is not None:
+        r = stats_report_frame(sources["country_stats"])
+        parts.append(r.select(F.struct(*r.columns).alias("country_stats")))
     for key in ("hs_chapters", "country_mapping"):
         df = sources.get(key)
         if df is not None:
-            report["sources"][key] = {"total_rows": df.count(), "columns": list(df.columns)}
-    return report
+            cols = F.array(*[F.lit(c) for c in df.columns])
+            parts.append(df.agg(F.struct(F.count(F.lit(1)).alias("total_rows"), cols.alias("columns")).alias(key)))
+    src = one_row(*parts)
+    return src.select(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("generated_at"),
+                      F.struct(*src.columns).alias("sources"))
 
 
-def report_frame(spark: SparkSession, report: dict) -> DataFrame:
-    """The report as a one-row DataFrame of nested structs (for the JSON sink)."""
-    return spark.read.json(spark.sparkContext.parallelize([json.dumps(report, default=str)]))
+def quality_report(sources: Mapping[str, DataFrame]) -> dict:
+    """D6 as a Python dict (the one report row, converted on the driver)."""
+    return json.loads(quality_report_frame(sources).toJSON().first())
 
 
-def severity_table(nulls: Sequence[tuple[str, float]]) -> list[tuple[str, float, str]]:
-    """Plain-Python twin of D7 for report rendering."""
-    out = []
-    for col, v in nulls:
-        out.append((col, v, "high" if v > NULL_RATE_HIGH else "moderate" if v > NULL_RATE_MODERATE else "low"))
-    return out
+def report_frame(spark: SparkSession, report: dict) -> DataFrame:
+    """A report dict back as a one-row DataFrame of nested structs."""
+    return spark.read.json(spark.sparkContext.parallelize([json.dumps(report, default=str)]))

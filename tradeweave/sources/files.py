@@ -64,8 +64,11 @@ def write_processed(df: DataFrame, path: str, partition_by: Sequence[str] = ())
     w.parquet(path)
 
 
-def write_report(spark: SparkSession, report: dict, path: str) -> None:
-    """The (small) quality report as one JSON document."""
+def write_report(spark: SparkSession, report: "dict | DataFrame", path: str) -> None:
+    """The quality report as one JSON document (a one-row nested frame, or a dict)."""
+    if isinstance(report, DataFrame):
+        report.coalesce(1).write.mode("overwrite").json(path)
+        return
     doc = json.dumps(report, default=str)
     spark.createDataFrame([(doc,)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
