@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from conftest import rows
 from tradeweave.constants import REFERENCE_DEDUP_KEYS
