@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tradeweave.constants import (
     DEFAULT_DEDUP_KEYS,
+    MIRROR_KEY_OFFSET,
     DEFAULT_LAST_PERIOD,
     DEFAULT_PERIODS,
     DEFAULT_YEAR_RANGE,
@@ -115,18 +116,24 @@ def load_warehouse(spark: SparkSession, raw: standin.RawInputs, path: str, cfg:
         df.write.mode("overwrite").parquet(f"{path}/staging/{name}")
     stage = {name: spark.read.parquet(f"{path}/staging/{name}") for name in STAGING_TABLES}
     star = star_from_stage(spark, stage, cfg, raw)
-    trade, mirror = S.keyed_facts(star, num_partitions)
     for name, df in (("dim_country", star.dim_country), ("dim_commodity", star.dim_commodity),
                      ("dim_time", star.dim_time), ("fact_country_stats", star.fact_country_stats)):
         df.write.mode("overwrite").parquet(f"{path}/{name}")
-    for name, df in (("fact_trade", trade), ("fact_mirror_trade", mirror)):
-        df.write.mode("overwrite").partitionBy("year").parquet(f"{path}/{name}")
+    S.with_fact_key(star.fact_trade, 0, num_partitions) \
+        .write.mode("overwrite").partitionBy("year").parquet(f"{path}/fact_trade")
     fact = spark.read.schema(S.FACT_SCHEMA).parquet(f"{path}/fact_trade")
+    # mirror keys start after the trade keys; the count of the written table comes
+    # from Parquet footers, not from re-running the resolution
+    offset = max(MIRROR_KEY_OFFSET, fact.count())
+    S.with_fact_key(star.fact_mirror_trade, offset, num_partitions) \
+        .write.mode("overwrite").partitionBy("year").parquet(f"{path}/fact_mirror_trade")
     trade_cube(fact).write.mode("overwrite").partitionBy("year").parquet(f"{path}/trade_cube")
-    return read_star(spark, path, {k: v for k, v in star.staging.items() if k.startswith("raw_")})
+    return read_star(spark, path, {k: v for k, v in star.staging.items() if k.startswith("raw_")},
+                     small_dims=star.small_dims)
 
 
-def read_star(spark: SparkSession, path: str, raw: dict[str, DataFrame] | None = None) -> S.Star:
+def read_star(spark: SparkSession, path: str, raw: dict[str, DataFrame] | None = None,
+              small_dims: dict[str, bool] | None = None) -> S.Star:
     """Star served from a loaded warehouse; ``raw`` adds the raw inputs for the
     cleaning reports (they are never materialized)."""
     def t(name: str) -> DataFrame:
@@ -140,7 +147,8 @@ def read_star(spark: SparkSession, path: str, raw: dict[str, DataFrame] | None =
     staging.update(raw or {})
     return S.Star(dims["dim_country"], dims["dim_commodity"], dims["dim_time"], fact("fact_trade"),
                   fact("fact_mirror_trade"), t("fact_country_stats"), staging=staging,
-                  small_dims=S.dims_fit(dims["dim_country"], dims["dim_commodity"], dims["dim_time"]))
+                  small_dims=small_dims or S.dims_fit(dims["dim_country"], dims["dim_commodity"],
+                                                      dims["dim_time"]))
 
 
 def register_views(star: S.Star, prefix: str = "") -> list[str]:
