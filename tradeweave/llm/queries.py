@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .ann import one_bit_search
 from .common import table, text_or_empty
+from .jaccard_tree import jaccard_components
 from .packing import pack
+from .quality_rules import quality_rules
 from .sharding import sampled_splitters
 from .token_counts import token_counts
+from .warc_zip import round_trip
 
 
 def tokenizer_path(name: str) -> str:
@@ -35,9 +39,33 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), keep_ids=False)
 
 
+def op4_jaccard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three-word shingles, similarity 0.9 or more."""
+    found = jaccard_components(table(spark, sf_dir, "documents"), size=3, percent=90)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", *[f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "clean_chars")])
+
+
+def op8_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(spark, table(spark, sf_dir, "pages"))
+
+
+def op9_one_bit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return one_bit_search(vectors, vectors.filter(F.col("vec_id") % 100 == 0), k=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sampled_splitters": op1_sampled_splitters,
     "op2_token_counts": op2_token_counts,
     "op3_packing": op3_packing,
+    "op4_jaccard_tree": op4_jaccard_tree,
+    "op6_quality_rules": op6_quality_rules,
+    "op8_warc_zip": op8_warc_zip,
+    "op9_one_bit_search": op9_one_bit_search,
 }
 ORACLES: dict[str, str] = {}
