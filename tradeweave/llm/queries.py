@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .ann import one_bit_search
 from .common import table, text_or_empty
 from .jaccard_tree import jaccard_components
+from .language_crf import language_model, predict_languages
 from .packing import pack
 from .quality_rules import quality_rules
 from .sharding import sampled_splitters
@@ -45,6 +46,14 @@ def op4_jaccard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+def op5_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from documents with crc32(doc_id) mod 5 not 0; predicts all."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    model = language_model(docs, may_learn=~held_out & F.col("doc_id").isNotNull())
+    return predict_languages(docs, model, spans=False).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", *[f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "clean_chars")])
@@ -64,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_packing": op3_packing,
     "op4_jaccard_tree": op4_jaccard_tree,
+    "op5_language_crf": op5_language_crf,
     "op6_quality_rules": op6_quality_rules,
     "op8_warc_zip": op8_warc_zip,
     "op9_one_bit_search": op9_one_bit_search,
