@@ -10,8 +10,10 @@ from .ann import one_bit_search
 from .common import table, text_or_empty
 from .jaccard_tree import jaccard_components
 from .language_crf import language_model, predict_languages
+from .merge_dropout import encode_with_dropout
 from .packing import pack
 from .quality_rules import quality_rules
+from .secret_forest import find_secrets
 from .sharding import sampled_splitters
 from .token_counts import token_counts
 from .warc_zip import round_trip
@@ -59,6 +61,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "clean_chars")])
 
 
+def op7_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text under one seed; ``lossless`` says that they decode to the text."""
+    return encode_with_dropout(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), keep_ids=False)
+
+
 def op8_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(spark, table(spark, sf_dir, "pages"))
 
@@ -68,6 +75,11 @@ def op9_one_bit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one_bit_search(vectors, vectors.filter(F.col("vec_id") % 100 == 0), k=10)
 
 
+def op10_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate of every document, with the forest's verdict; the candidate itself only as a checksum."""
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sampled_splitters": op1_sampled_splitters,
     "op2_token_counts": op2_token_counts,
@@ -75,7 +87,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_jaccard_tree": op4_jaccard_tree,
     "op5_language_crf": op5_language_crf,
     "op6_quality_rules": op6_quality_rules,
+    "op7_merge_dropout": op7_merge_dropout,
     "op8_warc_zip": op8_warc_zip,
     "op9_one_bit_search": op9_one_bit_search,
+    "op10_secret_forest": op10_secret_forest,
 }
 ORACLES: dict[str, str] = {}
