@@ -36,11 +36,11 @@ TERMINAL = ".!?…。！？:;\"'”’»)]"
 SEPARATORS = "|»›•·"
 #: Line symbols beside those of the base rules.
 LINE_SYMBOLS = "#*$%&<>{}\\^~=_"
-BOILERPLATE = (
-    "all rights reserved|licensed under|released under the|terms of use|terms of service|privacy policy|"
-    "cookie policy|uses cookies|enable javascript|lorem ipsum|copyright ©|copyright \\(c\\)|click here|"
-    "sign up|sign in|log in|subscribe|powered by|skip to content|share this"
-)
+BOILERPLATE = [
+    "all rights reserved", "licensed under", "released under the", "terms of use", "terms of service", "privacy policy",
+    "cookie policy", "uses cookies", "enable javascript", "lorem ipsum", "copyright ©", "copyright (c)", "click here",
+    "sign up", "sign in", "log in", "subscribe", "powered by", "skip to content", "share this",
+]
 
 
 def _let(value: Column, body) -> Column:
@@ -56,12 +56,28 @@ def _count(text: Column, characters: str) -> Column:
     return F.char_length(text) - F.char_length(_without(text, characters))
 
 
-def line_passes(line: Column) -> Column:
-    """All line rules hold."""
-    words = F.regexp_count(line, F.lit(WORD))
+def _says(text: Column, phrases: list[str]) -> Column:
+    """Holds one of the phrases, in any case."""
 
-    def rules(n: Column) -> Column:
-        ends = F.instr(F.lit(TERMINAL), F.right(F.rtrim(line, F.lit(WHITE)), F.lit(1))) > 0
+    def any_of(low: Column) -> Column:
+        found = F.lit(False)
+        for p in phrases:
+            found = found | F.contains(low, F.lit(p))
+        return found
+
+    return _let(F.lower(text), any_of)
+
+
+def _class(characters: str) -> str:
+    return "[" + "".join("\\" + c for c in characters) + "]"
+
+
+def line_passes(line: Column, flagged: Column) -> Column:
+    """All line rules hold. ``flagged`` (of the whole text) says which of symbols, shouting and
+    boilerplate occur at all, so that a line is only asked about those."""
+    ends = F.instr(F.lit(TERMINAL), F.right(F.rtrim(line, F.lit(WHITE)), F.lit(1))) > 0
+
+    def unusual(n: Column) -> Column:
         holds = (n >= 8) & line.rlike(r"[.!?…] ")
         links = _count(line, SEPARATORS)
         navigation = (links >= 3) & (links * 5 >= n)
@@ -69,13 +85,15 @@ def line_passes(line: Column) -> Column:
         noisy = (symbols >= 3) & (symbols * 4 >= n)
         shouts = _count(F.replace(line, F.lit("!!"), F.lit("\x01")), "\x01")
         shouting = (shouts >= 2) & (shouts * 5 >= n)
-        return (ends | holds) & ~navigation & ~noisy & ~shouting & ~F.lower(line).rlike(BOILERPLATE)
+        return (ends | holds) & ~(flagged["symbols"] & (navigation | noisy)) & ~(flagged["shouts"] & shouting)
 
-    return _let(words, rules)
+    plain = ends & ~flagged["symbols"] & ~flagged["shouts"]
+    passes = F.when(plain, F.lit(True)).otherwise(_let(F.regexp_count(line, F.lit(WORD)), unusual))
+    return F.when(passes & flagged["says"], ~_says(line, BOILERPLATE)).otherwise(passes)
 
 
 def repeat_words(words: Column, window: int = WINDOW) -> Column:
-    """How many words lie in windows of ``window`` words that occur twice or more, the first included."""
+    """How many words lie in windows of ``window`` words (a power of two) that occur twice or more, the first included."""
 
     def covered(pairs: Column) -> Column:
         def same(x: Column, i: Column) -> Column:
@@ -90,12 +108,16 @@ def repeat_words(words: Column, window: int = WINDOW) -> Column:
             lambda at: at["n"],
         )
 
+    def doubled(runs: Column, width: int) -> Column:
+        """Hashes of runs of twice the width, each from the two that it consists of."""
+        if width == window:
+            return F.when(F.size(F.array_distinct(runs)) == F.size(runs), F.lit(0)).otherwise(
+                _let(F.array_sort(F.transform(runs, lambda h, i: F.struct(h.alias("h"), i.alias("i")))), covered))
+        n = F.size(runs) - width
+        return _let(F.zip_with(F.slice(runs, F.lit(1), n), F.slice(runs, F.lit(width + 1), n), lambda a, b: F.xxhash64(a, b)), lambda x: doubled(x, 2 * width))
+
     def of_hashes(hashes: Column) -> Column:
-        last = F.size(hashes) - window
-        windows = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.slice(hashes, i + 1, window)))
-        dup = lambda w: F.when(F.size(F.array_distinct(w)) == F.size(w), F.lit(0)).otherwise(
-            _let(F.array_sort(F.transform(w, lambda h, i: F.struct(h.alias("h"), i.alias("i")))), covered))
-        return F.when(last < 1, F.lit(0)).otherwise(_let(windows, dup))
+        return F.when(F.size(hashes) <= window, F.lit(0)).otherwise(doubled(hashes, 1))
 
     return _let(F.transform(words, lambda w: F.xxhash64(w)), of_hashes)
 
@@ -108,23 +130,26 @@ def quality_rules(docs: DataFrame, text: str = "text", min_words: int = MIN_WORD
 
     def judged(t: Column) -> Column:
         # one array of the lines with a word, one of the words; each used several times
-        lines = F.filter(F.split(t, "\n"), lambda x: F.char_length(_without(x, WHITE)) > 0)
-        of_lines = _let(lines, lambda x: F.struct((F.size(x) - F.size(F.array_distinct(x))).alias("dup"), F.array_join(F.filter(x, line_passes), "\n").alias("cleaned")))
-        of_words = _let(F.regexp_extract_all(t, F.lit(WORD), F.lit(0)), lambda x: F.struct(F.size(x).alias("n"), repeat_words(x).alias("repeated")))
-        return F.struct(
-            of_words.alias("words"), of_lines.alias("lines"),
-            F.char_length(_without(t, WHITE)).cast("long").alias("word_chars"), _count(t, SYMBOLS).cast("long").alias("n_symbols"),
-        )
+        lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.btrim(x, F.lit(WHITE))) > 0)
+        flags = F.struct(t.rlike(_class(LINE_SYMBOLS + SEPARATORS)).alias("symbols"), F.contains(t, F.lit("!!")).alias("shouts"), _says(t, BOILERPLATE).alias("says"))
+        passing = lambda x: _let(flags, lambda f: F.filter(x, lambda y: line_passes(y, f)))
+        of_lines = _let(lines, lambda x: _let(passing(x), lambda y: F.struct(
+            (F.size(x) - F.size(F.array_distinct(x))).alias("dup"), F.array_join(y, "\n").alias("cleaned"), (F.size(x) == F.size(y)).alias("whole"))))
+        of_words = _let(F.regexp_extract_all(t, F.lit(WORD), F.lit(0)), lambda x: F.struct(F.size(x).alias("n"), F.char_length(F.array_join(x, "")).alias("chars"), repeat_words(x).alias("repeated")))
+        symbols = F.when(t.rlike(_class(SYMBOLS)), _count(t, SYMBOLS)).otherwise(F.lit(0))
+        return _let(of_words, lambda w: _let(of_lines, lambda x: F.struct(
+            w.alias("words"), x.alias("lines"), symbols.cast("long").alias("n_symbols"),
+            F.when(x["whole"], w["chars"]).otherwise(F.char_length(_without(x["cleaned"], WHITE))).cast("long").alias("clean_chars"))))
 
     facts = fresh_name(docs.columns, "facts")
     out = docs.select("*", F.inline(F.array(F.struct(judged(whole).alias(facts)))))
     n, repeated = F.col(f"{facts}.words.n").cast("long"), F.col(f"{facts}.words.repeated").cast("long")
     cleaned = F.col(f"{facts}.lines.cleaned")
-    clean_chars = F.char_length(_without(cleaned, WHITE)).cast("long")
+    clean_chars = F.col(f"{facts}.clean_chars")
     base_failed = (n < min_words) | (100 * repeated > max_repeat_percent * n)
-    kept = ~base_failed & (clean_chars >= (1 - max_lost) * F.col(f"{facts}.word_chars"))
+    kept = ~base_failed & (clean_chars >= (1 - max_lost) * F.col(f"{facts}.words.chars"))
     return out.withColumn(own, F.struct(
-        n.alias("n_words"), F.col(f"{facts}.word_chars").alias("word_chars"), F.col(f"{facts}.n_symbols").alias("n_symbols"),
+        n.alias("n_words"), F.col(f"{facts}.words.chars").cast("long").alias("word_chars"), F.col(f"{facts}.n_symbols").alias("n_symbols"),
         F.col(f"{facts}.lines.dup").cast("long").alias("n_dup_lines"), repeated.alias("n_repeat_words"),
         base_failed.alias("base_failed"), cleaned.alias("cleaned"), clean_chars.alias("clean_chars"), kept.alias("kept"),
     )).drop(facts)
