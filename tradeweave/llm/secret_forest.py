@@ -14,9 +14,9 @@ words, paths, placeholders), and the forest decides all. Letter pairs and the di
 those of ``SAMPLE_DOCS`` documents drawn by hash. The model is small, whatever the corpus.
 
 Defined results: null and empty texts have no candidates; repeated rows give repeated
-findings; keys may be null; an empty table gives no rows; without both kinds of label the
-rule alone decides (unclear cases score 0.5 and count as secrets); extra columns are
-not carried by findings and are kept by ``redact``.
+findings; keys may be null; an empty table gives no rows; with fewer than ``MIN_EACH`` findings
+of either label nothing is fitted and the rule alone decides (unclear cases score 0.5 and
+count as secrets); extra columns are not carried by findings and are kept by ``redact``.
 """
 
 from __future__ import annotations
@@ -38,6 +38,7 @@ from .textkernel import byte_view, parts
 MIN_LENGTH = 16
 MIN_ASSIGNED = 8
 MAX_LABELLED = 20_000
+MIN_EACH = 10
 SAMPLE_DOCS = 1_000
 SAMPLE_BYTES = 65_536
 MAX_DICTIONARY = 20_000
@@ -271,11 +272,11 @@ def _each(col: pa.Array) -> Iterator[tuple[int, bytes, int, int]]:
 
 
 def learn_forest(labelled: DataFrame, features: str = "features", label: str = "label") -> Forest | None:
-    """From a table of labelled findings; None unless both labels occur."""
+    """From a table of labelled findings; None unless both labels occur ``MIN_EACH`` times."""
     rows = _drawn(labelled.filter(F.col(label).isNotNull()).select(F.col(features).alias("f"), F.col(label).alias("y")), MAX_LABELLED, "f").collect()  # bounded: MAX_LABELLED
     rows.sort(key=lambda r: (r["y"], r["f"]))
     y = np.array([r["y"] for r in rows], dtype=np.float64)
-    if not len(y) or y.min() == y.max():
+    if min((y == 0).sum(), (y == 1).sum()) < MIN_EACH:
         return None
     return fit_forest(np.array([r["f"] for r in rows]), y)
 
