@@ -1,0 +1,248 @@
+"""Operators 5, 6, 7 and 10 on whole small tables and awkward rows."""
+
+from __future__ import annotations
+
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pytest
+import sentencepiece
+from pyspark.sql import functions as F
+
+from tradeweave.llm.language_crf import UNKNOWN, language_model, marginals, predict_languages
+from tradeweave.llm.merge_dropout import Encoder, Pieces, agenda, decode_ids, encode_with_dropout, segment
+from tradeweave.llm.quality_rules import quality_rules
+from tradeweave.llm.queries import QUERIES
+from tradeweave.llm.secret_forest import FEATURES, candidate_spans, find_secrets, fit_forest, redact
+
+SF = "/root/testdata/sf0.01"
+SCHEMA = "doc_id long, text string, lang string, source string, quality string"
+AWKWARD = [
+    (1, None, None, None, None), (2, "", "en", "s", "q"), (None, "the and of that is a word here.", None, None, "q"), (4, "1234 … »\n", "en", "s", None),
+    (5, "the and of " * 2000, "en", "s", "q"), (5, "the and of " * 2000, "en", "s", "q"), (6, "x" * 20_000, "en", "s", "q"), (7, " \t\n ", "fr", "s", "q"),
+]
+MODEL = public_tokenizers.path("piece_bpe_32k.model")
+
+
+@pytest.fixture(scope="module")
+def awkward(spark):
+    return spark.createDataFrame(AWKWARD, SCHEMA)
+
+
+# language -----------------------------------------------------------------
+
+
+def plain_marginals(scores, transitions):
+    """Forward-backward of one sequence, in log space, word by word."""
+    n, k = scores.shape
+    a, b = np.zeros((n, k)), np.zeros((n, k))
+    a[0] = scores[0]
+    for t in range(1, n):
+        a[t] = np.logaddexp.reduce(a[t - 1][:, None] + transitions, axis=0) + scores[t]
+    for t in range(n - 2, -1, -1):
+        b[t] = np.logaddexp.reduce(transitions + (scores[t + 1] + b[t + 1])[None, :], axis=1)
+    p = a + b
+    return np.exp(p - np.logaddexp.reduce(p, axis=1)[:, None])
+
+
+def test_marginals_match_plain_forward_backward():
+    rng = np.random.default_rng(2)
+    for sizes in ([1], [5, 0, 33, 32, 64, 1, 200], [31, 65, 0]):
+        scores, transitions = rng.normal(0, 2, (sum(sizes), 3)).astype(np.float32), rng.normal(0, 1, (3, 3))
+        first = np.concatenate([[0], np.cumsum(sizes)])
+        got = marginals(scores, first, transitions)
+        for a, b in zip(first, first[1:]):
+            if b > a:
+                assert np.allclose(got[a:b], plain_marginals(scores[a:b].astype(float), transitions), atol=2e-4)
+
+
+def test_language_query(spark):
+    rows = QUERIES["op5_language_crf"](spark, SF).collect()
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert sorted(r["doc_id"] for r in rows) == sorted(docs)
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and 0 <= r["score"] <= 1 for r in rows)
+    held = [r for r in rows if r["held_out"]]
+    assert sum(r["lang_pred"] == docs[r["doc_id"]]["lang"] for r in held) >= 0.98 * len(held)
+
+
+@pytest.fixture(scope="module")
+def model(spark):
+    return language_model(spark.read.parquet(f"{SF}/documents.parquet"), F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
+
+
+def test_code_switched_text(spark, model):
+    english, french = "the and of that this with from are was", "les des une pour que qui dans avec sur pas"
+    text = f"{english} {english}. {french} {french}"
+    got = predict_languages(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).first()
+    spans = [(text.encode()[s["start"] : s["end"]].decode(), s["lang"]) for s in got["spans"]]
+    assert [lang for _, lang in spans] == ["en", "fr"]
+    assert spans[0][0] == f"{english} {english}" and 0.4 < got["score"] < 0.7
+
+
+def test_languages_of_awkward_rows(awkward, model):
+    got = predict_languages(awkward.select("doc_id", "text"), model, spans=False).collect()
+    assert Counter((r["doc_id"], r["lang_pred"]) for r in got if r["doc_id"] != 6) == Counter([(1, UNKNOWN), (2, UNKNOWN), (None, "en"), (4, UNKNOWN), (5, "en"), (5, "en"), (7, UNKNOWN)])
+    assert all(r["score"] == 0 for r in got if r["lang_pred"] == UNKNOWN)
+    assert predict_languages(awkward.limit(0), model).count() == 0
+
+
+def test_nothing_labelled(spark, awkward):
+    assert language_model(awkward.withColumn("lang", F.lit(None).cast("string")), F.lit(True)) is None
+    assert {r["lang_pred"] for r in predict_languages(awkward, None, spans=False).collect()} == {UNKNOWN}
+
+
+def test_predictions_do_not_see_labels(spark, model):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(50)
+    a = predict_languages(docs, model, spans=False)
+    b = predict_languages(docs.select("doc_id", "text", F.lit("xx").alias("lang"), F.lit("y").alias("source")), model, spans=False)
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+# quality ------------------------------------------------------------------
+
+
+def plain_facts(text):
+    text = text or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    runs = [tuple(w[i : i + 8]) for i in range(len(w) - 7)]
+    times, covered = Counter(runs), set()
+    for i, run in enumerate(runs):
+        if times[run] > 1:
+            covered.update(range(i, i + 8))
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered), len(w) < 20 or 100 * len(covered) > 30 * len(w)
+
+
+def test_base_rules_match_plain_counts(spark, awkward):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(awkward.select("doc_id", "text"))
+    extra = spark.createDataFrame([(-1, "a b c d e f g h " * 2), (-2, "a " * 9), (-3, "l\n\nl\r\nl\n l\n😀 é|é")], "doc_id long, text string")
+    rows = quality_rules(docs.unionByName(extra)).collect()
+    for r in rows:
+        q = r["quality"]
+        assert (q["n_words"], q["word_chars"], q["n_symbols"], q["n_dup_lines"], q["n_repeat_words"], q["base_failed"]) == plain_facts(r["text"]), r["doc_id"]
+
+
+def test_line_rules(spark):
+    good = "This is a sentence with quite enough words to be one."
+    bad = ["Home | About | News | Contact | Help", "Licensed under the Apache License, Version 2.0.", "Related stories", "a### b%%% c$$$ d*** e&&&.", "WOW!! SUCH!! NEWS!! NOW!!"]
+    rows = spark.createDataFrame([(1, "\n".join([good, *bad, good])), (2, "\n".join([good] * 2 + [(b + " ") * 6 for b in bad])), (3, "\n".join(" ".join(f"word{i}{j}" for j in range(9)) + "." for i in range(4)))], "doc_id long, text string")
+    got = {r["doc_id"]: r["quality"] for r in quality_rules(rows).collect()}
+    assert got[1]["cleaned"] == f"{good}\n{good}"
+    assert not got[2]["kept"]
+    assert got[3]["kept"] and got[3]["cleaned"].count("\n") == 3
+
+
+def test_clean_documents_stay_and_clashing_columns(spark, awkward):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").join(spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", F.col("quality").alias("label")), "doc_id")
+    lost = quality_rules(docs).filter("label = 1 AND NOT quality.kept AND NOT quality.base_failed").count()
+    assert lost == 0
+    judged = quality_rules(awkward)
+    assert judged.columns == [*awkward.columns, "_quality"] and judged.count() == len(AWKWARD)
+    assert quality_rules(awkward.limit(0)).count() == 0
+
+
+# merge-dropout --------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def library():
+    return sentencepiece.SentencePieceProcessor(model_file=MODEL)
+
+
+TEXTS = ["", None, " a  b   c    d     e\n\n x\t y", "日本語 テスト 😀 x", "x" * 600 + " " * 50 + "y", "def f():\n    return 0\n", "a\r\nb"]
+
+
+def test_without_dropout_the_ids_are_the_librarys(spark, library):
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()] + TEXTS
+    ids, at = Encoder(MODEL, 0, 1, 8).encode(pa.array([" " + t if t else "" for t in texts]))
+    for i, t in enumerate(texts):
+        assert ids[at[i] : at[i + 1]].tolist() == (library.encode(t) if t else [])
+
+
+def test_all_words_together_segment_as_the_agenda_does():
+    pieces = Pieces.shared(MODEL)
+    words = ["▁unbelievable", "ing", "a", "▁▁▁▁x", "thereandthere", "ééé日x", "internationalization", "y" * 300]
+    symbols = [np.array([pieces.char[ord(c)] if pieces.char[ord(c)] >= 0 else -2 - ord(c) for c in w], dtype=np.int32) for w in words]
+    keys = np.arange(1, len(words) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    first = np.concatenate([[0], np.cumsum([len(s) for s in symbols])])
+    for dropout in (0.0, 0.1, 0.5, 1.0):
+        out, at = segment(pieces, np.concatenate(symbols), first, keys, dropout)
+        for w, s in enumerate(symbols):
+            assert out[at[w] : at[w + 1]].tolist() == agenda(pieces, s.tolist(), int(keys[w]), dropout)
+
+
+def test_dropout_varies_is_repeatable_and_decodes(spark, awkward, library):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*TEXTS, "literal ▁ stays", "the international situation " * 50])], "doc_id long, text string")
+    runs = [{r["doc_id"]: r for r in encode_with_dropout(docs, MODEL, dropout=0.3, seed=s).collect()} for s in (1, 1, 2)]
+    assert all(runs[0][i]["ids"] == runs[1][i]["ids"] for i in runs[0])
+    long = len(TEXTS) + 1
+    assert runs[0][long]["ids"] != runs[2][long]["ids"]
+    assert len(runs[0][long]["ids"]) > len(library.encode("the international situation " * 50))
+    assert all(r["lossless"] and r["n_pieces"] == len(r["ids"]) and r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes()) for run in runs for r in run.values())
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    decoded = decode_ids(encode_with_dropout(docs, MODEL, dropout=0.3), MODEL)
+    assert {r["doc_id"]: r["text"] for r in decoded.collect()} == texts
+    assert library.decode(runs[0][long]["ids"]) == texts[long]
+    odd = encode_with_dropout(awkward, MODEL, keep_ids=False)
+    assert odd.count() == len(AWKWARD) and odd.filter("not lossless").count() == 0
+    assert encode_with_dropout(awkward.limit(0), MODEL).count() == 0
+
+
+def test_merge_dropout_query(spark):
+    rows = QUERIES["op7_merge_dropout"](spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == 200 and all(r["lossless"] for r in rows)
+
+
+# secrets --------------------------------------------------------------------
+
+KEY = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+
+
+def test_secret_query_finds_all_tokens(spark):
+    found = Counter((r["doc_id"], r["crc32"]) for r in QUERIES["op10_secret_forest"](spark, SF).collect() if r["is_secret"])
+    want = Counter()
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', r["text"] or ""):
+            want[r["doc_id"], zlib.crc32(m[1].encode())] += 1
+    assert found == want and want
+
+
+def test_redaction(spark, awkward):
+    base = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source", F.lit("q").alias("quality"))
+    own = spark.createDataFrame([(-1, f'été token = "{KEY}" and 4785380592391139 and token = "{KEY}".', "fr", "s", "q"), (-2, f"see https://example.com/{KEY}/page", "en", "s", "q")], SCHEMA)
+    docs = base.unionByName(awkward).unionByName(own)
+    out = redact(docs)
+    assert out.columns == docs.columns
+    got = out.collect()
+    before = Counter(tuple(r) for r in docs.collect() if not re.search(r'(?i)token = "', r["text"] or ""))
+    assert not before - Counter(map(tuple, got))
+    text = {r["doc_id"]: r["text"] for r in got}
+    assert text[-1] == 'été token = "<SECRET>" and 4785380592391139 and token = "<SECRET>".'
+    assert not any(re.search(r'(?i)token = "[0-9a-f]{40}"', t or "") for t in text.values())
+
+
+def test_secrets_of_awkward_rows(awkward):
+    assert find_secrets(awkward).count() == 0
+    assert redact(awkward).count() == len(AWKWARD)
+    assert find_secrets(awkward.limit(0)).count() == 0
+
+
+def test_candidates_are_what_a_plain_scan_finds(spark):
+    for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect():
+        raw = np.frombuffer((r["text"] or "").encode(), np.uint8)
+        start, end = candidate_spans(raw, np.array([0, len(raw)]))
+        got = {raw[a:b].tobytes() for a, b in zip(start, end)}
+        want = {m for m in re.findall(rb"[A-Za-z0-9+/_=-]{16,}", raw.tobytes()) if re.search(rb"\d", m)}
+        assert want <= got
+
+
+def test_forest_separates_what_is_separable():
+    rng = np.random.default_rng(0)
+    x = rng.random((600, len(FEATURES)))
+    y = ((x[:, 3] > 0.5) & (x[:, 7] < 0.6)).astype(float)
+    forest = fit_forest(x[:400], y[:400])
+    assert ((forest.predict(x[400:]) > 0.5) == (y[400:] > 0)).mean() > 0.9

@@ -11,6 +11,7 @@ from .common import table, text_or_empty
 from .jaccard_tree import jaccard_components
 from .language_crf import language_model, predict_languages
 from .merge_dropout import encode_with_dropout
+from .oracles import OP4, OP6, OP8
 from .packing import pack
 from .quality_rules import quality_rules
 from .secret_forest import find_secrets
@@ -67,7 +68,7 @@ def op7_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return round_trip(spark, table(spark, sf_dir, "pages"))
+    return round_trip(spark, table(spark, sf_dir, "pages")).drop("target_uri")
 
 
 def op9_one_bit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,4 +93,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_one_bit_search": op9_one_bit_search,
     "op10_secret_forest": op10_secret_forest,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_jaccard_tree": OP4, "op6_quality_rules": OP6, "op8_warc_zip": OP8}
