@@ -12,12 +12,15 @@ together from their roots; a pair of nodes goes if its sizes cannot match, if th
 common bits bound the overlap below what the least sizes need, or if both lie in one
 component. Surviving leaf pairs are checked on the sets themselves.
 
-Blocks are bounded. One with more than ``BLOCK`` nodes is dealt into chunks; the first
-round compares every chunk with itself and with the first chunk, so that a large group of
-near copies falls into one component in linear work. The second round takes all bands and
-only blocks that still hold two labels; in a large one, every node outside the commonest
-label is compared with all others, chunk by chunk. Any two nodes that share a block thus
-either lie in one component already or have been compared: no link between components is lost.
+Blocks are bounded. From one with more than ``BLOCK`` nodes go those that cannot link with any
+node of the block: shingles that no other node of large blocks has bound their overlap
+below what the block's least size needs. What is left is dealt into chunks; the first
+round compares every chunk with itself and with the ``BLOCK`` nodes that have the smallest
+share of such shingles, so that a large group of near copies falls into one component
+in linear work. The second round takes all bands and only blocks that still hold two
+labels; in a large one, every node outside the commonest label is compared with all
+others, chunk by chunk. Any two nodes that share a block thus either cannot link, lie in
+one component already, or have been compared: no link between components is lost.
 
 Defined results: words are those of ``textkernel``; a text with fewer words than a shingle is
 one shingle; null, empty or blank text has an empty set, links with nothing and is its own
@@ -33,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from .common import python_ready, staged, text_or_empty
 from .components import components
@@ -41,7 +44,8 @@ from .textkernel import mix, parts, span_hashes, words_of
 
 ROWS = 3
 MISS = 1e-12
-BLOCK = 128
+BLOCK = 256
+PASSES = 3  # of the search for nodes without a partner; any number gives the same links
 FIRST_BANDS = 2
 FANOUT = 8
 MAX_BITS = 4096
@@ -244,6 +248,32 @@ def _tree_links(tasks: DataFrame, members: DataFrame, percent: int) -> DataFrame
     return rows.mapInArrow(solve, "a binary, b binary")
 
 
+def _without_partner(blocks: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """``blocks`` (block, band, node, n, held) without the nodes of large blocks that cannot link there,
+    with ``common`` (shingles that another node of large blocks has) and ``held`` counted anew."""
+    large = blocks.filter(F.col("held") > BLOCK)
+    wanted = members.join(large.select("node").distinct(), "node", "left_semi")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            width = pa.array([len(m) // 8 for m in batch.column(1).to_pylist()], pa.int64()).to_numpy()
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
+                shingles = np.frombuffer(b"".join(some.column(1).to_pylist()), dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(shingles), pa.array(np.repeat(some.column(0).to_numpy(), width[at : at + 256]))], names=["shingle", "owner"])
+
+    large, shingles = large.withColumn("owner", F.xxhash64("node")), wanted.select(F.xxhash64("node").alias("owner"), "members").mapInArrow(spread, "shingle long, owner long")
+    for _ in range(PASSES):
+        alone = shingles.groupBy("shingle").agg(F.count("*").alias("n"), F.min("owner").alias("owner")).filter("n = 1").groupBy("owner").agg(F.count("*").alias("alone"))
+        least = large.groupBy("block").agg(F.min("n").alias("least"))
+        bound = large.drop("common").join(alone, "owner", "left").join(least, "block").withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0)))
+        large = staged(bound.filter((100 + percent) * F.col("common") >= percent * (F.col("n") + F.col("least"))).select("block", "band", "node", "n", "owner", "common"), "large")
+        shingles = shingles.join(large.select("owner").distinct(), "owner", "left_semi")
+    held = large.groupBy("block").agg(F.count("*").alias("held")).filter("held > 1")
+    large = large.join(held, "block").select("block", "band", "node", "n", "held", "common")
+    return blocks.filter(F.col("held") <= BLOCK).withColumn("common", F.col("n").cast("long")).unionByName(large)
+
+
 def _number(chunks: str):
     return F.explode(F.sequence(F.lit(0), F.col(chunks) - 1))
 
@@ -259,23 +289,26 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     bands = bands_for(percent)
     rows = docs.select(F.col(key).alias("key"), text_or_empty(text).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     sets = staged(_sets(rows, size, bands, percent), "sets")
-    nodes = sets.filter("n > 0").groupBy("node").agg(F.min(F.struct("key", "text_hash")).alias("pick"), F.min("key").alias("least_key"), F.first("keys").alias("keys"))
+    nodes = sets.filter("n > 0").groupBy("node").agg(F.min(F.struct("key", "text_hash")).alias("pick"), F.min("key").alias("least_key"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     nodes = staged(nodes, "nodes")
 
     # blocks with two nodes or more, of all bands
-    in_band = nodes.select("node", F.posexplode("keys").alias("band", "block"))
+    in_band = nodes.select("node", "n", F.posexplode("keys").alias("band", "block"))
     sizes = in_band.groupBy("block").agg(F.count("*").alias("held")).filter("held > 1")
-    shared = staged(in_band.join(sizes, "block"), "blocks")
+    shared = staged(in_band.join(sizes, "block").select("block", "band", "node", "n", "held"), "blocks")
 
     picked = shared.select("node").distinct().join(nodes.select("node", "pick"), "node").select("node", F.col("pick.key").alias("p_key"), F.col("pick.text_hash").alias("p_hash"))
     texts = rows.join(picked, rows["key"].eqNullSafe(picked["p_key"]) & (rows["text_hash"] == picked["p_hash"]))
     members = staged(_members(texts.select("node", "text").dropDuplicates(["node"]), size), "members")
+    shared = staged(_without_partner(shared, members, percent), "blocks")
 
-    # first round: each chunk with itself and with the block's first chunk
-    early = shared.filter(F.col("band") < FIRST_BANDS).withColumn("chunks", F.ceil(F.col("held") / BLOCK).cast("int")).withColumn("i", _chunk("chunks", 1))
-    early = early.select("block", "node", "chunks", "i", F.lit(0).alias("j"), F.col("node").alias("label"))
-    pivots = early.filter("i = 0 AND chunks > 1").drop("i").withColumn("i", _number("chunks")).filter("i > 0")
-    tasks = early.withColumn("side", F.lit(0)).unionByName(pivots.withColumn("side", F.lit(1)))
+    # first round: each chunk with itself and, in large blocks, with the nodes that share most
+    early = shared.filter(F.col("band") < FIRST_BANDS).withColumn("chunks", F.ceil(F.col("held") / BLOCK).cast("int"))
+    early = early.select("block", "node", "n", "common", "chunks", F.lit(0).alias("j"), F.col("node").alias("label"))
+    most = Window.partitionBy("block").orderBy((F.col("n") - F.col("common")) / F.col("n"), "node")
+    pivots = early.filter("chunks > 1").withColumn("nth", F.row_number().over(most)).filter(F.col("nth") <= BLOCK)
+    columns = ["block", "i", "j", "side", "node", "label"]
+    tasks = early.withColumn("i", _chunk("chunks", 1)).withColumn("side", F.lit(0)).select(columns).unionByName(pivots.withColumn("i", _number("chunks")).withColumn("side", F.lit(1)).select(columns))
     links = staged(_tree_links(tasks, members, percent), "found")
     labels = components(links)
 
@@ -291,7 +324,6 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     dealt = large.join(common, "block")
     others = dealt.filter("label != common").withColumn("j", _chunk("n_j", 2)).withColumn("i", _number("n_i")).withColumn("side", F.lit(0))
     every = dealt.withColumn("i", _chunk("n_i", 3)).withColumn("j", _number("n_j")).withColumn("side", F.lit(1))
-    columns = ["block", "i", "j", "side", "node", "label"]
     more = _tree_links(small.unionByName(others.select(columns)).unionByName(every.select(columns)), members, percent)
     labels = components(links.unionByName(more))
 
