@@ -60,8 +60,7 @@ def star(spark):
                 _fact(spark, fix(MIRROR)),
                 spark.createDataFrame([(ids["AAA"], 2020, 10.0, 2.0, 5.0), (ids["AAA"], 2022, 30.0, 3.0, 10.0)],
                                       "country_id int, year int, gdp_usd double, population double, "
-                                      "gdp_per_capita double"),
-                small_dims={"dim_country": True, "dim_commodity": True, "dim_time": True})
+                                      "gdp_per_capita double"))
     st.ids = ids
     return st
 
@@ -213,7 +212,7 @@ def test_hot_partner_shares_stay_exact(spark, star):
     hot = S.Star(star.dim_country, star.dim_commodity, star.dim_time,
                  star.fact_trade.unionByName(_fact(spark, [(y, star.ids["HOM"], star.ids["AAA"], c, d, v)
                                                             for y, _r, _p, c, d, v in extra])),
-                 star.fact_mirror_trade, star.fact_country_stats, small_dims=star.small_dims)
+                 star.fact_mirror_trade, star.fact_country_stats)
     h = {(x["section_name"], x["year"]): x for x in rows(CON2.hhi_by_section_year(hot, IMPORTS))}
     m = h[("Machinery & Electrical Equipment", 2020)]
     tot = 3100 + 300.0

@@ -14,7 +14,7 @@ from tradeweave.operators import quality as Q
 from tradeweave.sources import files as FS
 from tradeweave.sources import payloads as P
 from tradeweave.sources.landing import land_incremental, landed_rows
-from tradeweave.streaming.landing_stream import start_landing_stream
+from tradeweave.streaming.landing_stream import merge_keep_first, start_landing_stream
 
 
 def r2(x: float) -> float:
@@ -142,13 +142,70 @@ def test_land_incremental_skips_landed_files(spark, scratch):
     land, out = os.path.join(scratch, "landing"), os.path.join(scratch, "landed")
     os.makedirs(land)
     _csv(os.path.join(land, "y2020.csv"), ["2020,376,ISR,156,CHN,84,d,M,10,,,"])
-    assert len(land_incremental(spark, land, out)) == 1
-    assert land_incremental(spark, land, out) == []
+    assert land_incremental(spark, land, out).count() == 1
+    assert land_incremental(spark, land, out).count() == 0
     _csv(os.path.join(land, "y2021.csv"), ["2021,376,ISR,156,CHN,84,d,M,20,,,"])
-    assert [os.path.basename(p) for p in land_incremental(spark, land, out)] == ["y2021.csv"]
+    assert [os.path.basename(x["path"]) for x in land_incremental(spark, land, out).collect()] == ["y2021.csv"]
     assert landed_rows(spark, out).count() == 2
 
 
+def _other_order(path, lines):
+    """Columns in another order, with one more, without the last two."""
+    with open(path, "w") as fh:
+        fh.write("typeCode,flowCode,refYear,partnerCode,reporterCode,reporterISO,partnerISO,cmdDesc,cmdCode,primaryValue\n")
+        fh.write("\n".join(lines) + "\n")
+
+
+def test_columns_are_taken_by_header_name(spark, scratch):
+    land, out = os.path.join(scratch, "mixed"), os.path.join(scratch, "mixed_out")
+    os.makedirs(land)
+    _csv(os.path.join(land, "a.csv"), ["2020,376,ISR,156,CHN,84,\"d, e\",M,10,,,"])
+    _other_order(os.path.join(land, "b.csv"), ["C,X,2021,842,376,ISR,USA,d,07,20"])
+    for df in (FS.read_raw(spark, land), (land_incremental(spark, land, out), landed_rows(spark, out))[1]):
+        got = {x["refYear"]: x for x in rows(df)}
+        assert (got["2020"]["reporterISO"], got["2020"]["cmdDesc"], got["2020"]["flowCode"]) == ("ISR", "d, e", "M")
+        assert (got["2021"]["reporterISO"], got["2021"]["cmdCode"], got["2021"]["flowCode"], got["2021"]["qty"]) == ("ISR", "07", "X", None)
+    _csv(os.path.join(land, "a2.csv"), ["2022,376,ISR,156,CHN,84,d,M,10,,,"])
+    table = os.path.join(scratch, "mixed_table")
+    start_landing_stream(spark, land, table, os.path.join(scratch, "mixed_ckpt")).awaitTermination()
+    got = {x["year"]: (x["hs_code"], x["flow_code"], x["partner_iso3"]) for x in spark.read.parquet(table).collect()}
+    assert got == {2020: ("84", "Import", "CHN"), 2021: ("07", "Export", "USA"), 2022: ("84", "Import", "CHN")}
+    with open(os.path.join(land, "odd.csv"), "w") as fh:
+        fh.write("foo,bar\n1,2\n")
+    with pytest.raises(ValueError, match="unknown file layout"):
+        land_incremental(spark, land, out)
+
+
+def test_landing_that_stops_before_its_commit_lands_all_later(spark, scratch, monkeypatch):
+    land, out = os.path.join(scratch, "crash"), os.path.join(scratch, "crash_out")
+    os.makedirs(land)
+    _csv(os.path.join(land, "a.csv"), ["2020,376,ISR,156,CHN,84,d,M,10,,,"])
+    land_incremental(spark, land, out)
+    _csv(os.path.join(land, "b.csv"), ["2021,376,ISR,156,CHN,84,d,M,10,,,"])
+    with monkeypatch.context() as m:
+        m.setattr("pyspark.sql.readwriter.DataFrameWriter.parquet", lambda *a, **k: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError):
+            land_incremental(spark, land, out)
+    assert landed_rows(spark, out).count() == 1
+    assert land_incremental(spark, land, out).count() == 1
+    assert landed_rows(spark, out).count() == 2
+
+
+def test_merge_of_rows_without_a_year_is_repeatable(spark, scratch):
+    table = os.path.join(scratch, "nulls")
+    batch = spark.createDataFrame([(None, 1, 2, "84", "Import", 5.0), (2020, 1, 2, "84", "Import", 6.0)],
+                                  "year int, reporter_code int, partner_code int, hs_code string, flow_code string, trade_value_usd double")
+    for _ in range(2):
+        merge_keep_first(batch, table)
+    assert spark.read.parquet(table).count() == 2
+
+
+def test_paths_are_looked_up_in_the_sessions_file_system(spark, scratch):
+    open(os.path.join(scratch, "x.csv"), "w").write("a\n1\n")
+    assert FS.path_exists(spark, f"{scratch}/*.csv") and FS.path_exists(spark, f"file://{scratch}/*.csv")
+    assert not FS.path_exists(spark, f"{scratch}/none/*.csv")
+
+
 def test_streaming_landing_keep_first_across_batches(spark, scratch):
     land = os.path.join(scratch, "stream_in")
     table, ckpt = os.path.join(scratch, "clean_table"), os.path.join(scratch, "stream_ckpt")

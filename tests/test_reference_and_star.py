@@ -84,12 +84,12 @@ def test_two_stage_resolution(spark):
         (2020, 376, "ISR", None, None, "99", "Import", 50.0),      # commodity 99 exists in the dim
     ], "year int, reporter_code int, reporter_iso3 string, partner_code int, partner_iso3 string, "
        "hs_code string, flow_direction_simple string, trade_value_usd double")
-    f = rows(S.resolve_keys(flows, dim, com, True, True), ["trade_value_usd"])
+    f = rows(S.resolve_keys(flows, dim, com), ["trade_value_usd"])
     ids = {x["iso3_code"]: x["country_id"] for x in rows(dim)}
     assert [x["reporter_id"] for x in f] == [ids["ISR"]] * 5
     assert [x["partner_id"] for x in f] == [ids["USA"], ids["USA"], None, ids["NAM"], None]
     assert [x["commodity_id"] for x in f] == [84, 7, 85, 93, 99]
-    rates = S.fk_resolution(S.resolve_keys(flows, dim, com, True, True)).first()
+    rates = S.fk_resolution(S.resolve_keys(flows, dim, com)).first()
     assert (rates.partner_unresolved, rates.partner_unresolved_pct) == (2, 40.0)
 
 
@@ -102,9 +102,9 @@ def test_country_stats_first_wins_and_unmatched(spark):
         ("USA", "United States", 2030, 1.0, 1.0, 1.0),  # year outside dim_time → dropped
         ("ZZZ", "Nowhere", 2020, 1.0, 1.0, 1.0),        # unmatched ISO3
     ], "country_iso3 string, country_name string, year int, gdp_usd double, population double, gdp_per_capita double")
-    out = rows(S.load_country_stats(stats, dim, dt, True, True))
+    out = rows(S.load_country_stats(stats, dim, dt))
     assert [(x["year"], x["gdp_usd"]) for x in out] == [(2020, 1.0)]
-    assert S.unmatched_keys(stats, dim, True).first().unmatched_iso3 == 1
+    assert S.unmatched_keys(stats, dim).first().unmatched_iso3 == 1
 
 
 def test_indicator_cleaning_pivot_first_and_ratio(spark):
@@ -150,9 +150,14 @@ def test_cumulative_weights(spark):
     assert [(x["v"], x["start"], x["_rk_total"]) for x in out] == [(1.0, 0, 14), (2.0, 1, 14), (5.0, 11, 14)]
 
 
-def test_bucket_search_tree_matches_linear_count(spark):
-    bounds = [3, 7, 7.5, 20, 21, 40, 41]
-    df = spark.createDataFrame([(float(v),) for v in range(-2, 45)], "v double")
-    arr = F.array(*[F.lit(float(b)) for b in bounds])
-    got = {x["v"]: x["b"] for x in df.select("v", K._search(F.col("v"), arr, len(bounds)).alias("b")).collect()}
-    assert got == {v: sum(1 for b in bounds if v >= b) for v in got}
+def test_keys_are_the_same_when_read_again(spark):
+    df = spark.createDataFrame([(i % 7, i) for i in range(300)], "a int, b int").repartition(5)
+    k = K.with_sequential_key(df, ["a", "b"], "id")
+    assert sorted(map(tuple, k.collect())) == sorted(map(tuple, k.repartition(3).collect()))
+    assert K.with_sequential_key(df.limit(0), ["a", "b"], "id").count() == 0
+
+
+def test_time_dimension_has_every_year_of_the_data(spark):
+    a = spark.createDataFrame([(1990,), (None,), (2035,)], "year int")
+    got = [x["year"] for x in rows(R.dim_time_of(spark, a, years=(2014, 2015)), ["year"])]
+    assert got == [1990, 2014, 2015, 2035]

@@ -9,6 +9,7 @@ import sys
 import pytest
 
 from conftest import SF_SMOKE, rows
+from tradeweave.constants import MIRROR_KEY_OFFSET
 from tradeweave.plans.warehouse import STANDIN_CONFIG, load_warehouse, standin_star
 from tradeweave.plans.registry import ON_STAR, REGISTRY
 from tradeweave.sources.standin import load_raw_inputs
@@ -47,7 +48,7 @@ def test_loaded_warehouse_answers_like_lazy_plan(spark, scratch):
     ids = [x["trade_id"] for x in rows(wh.fact_trade.select("trade_id"), ["trade_id"])]
     assert ids == list(range(1, len(ids) + 1))
     mids = [x["trade_id"] for x in rows(wh.fact_mirror_trade.select("trade_id"), ["trade_id"])]
-    assert mids[0] == max(10_000_000, len(ids)) + 1 and mids[-1] - mids[0] == len(mids) - 1
+    assert mids[0] == MIRROR_KEY_OFFSET + 1 and mids[-1] - mids[0] == len(mids) - 1
     assert all(x["violations"] == 0 for x in rows(ON_STAR["l11_constraints"](wh)))
 
 

@@ -209,7 +209,6 @@ ISO3_UN_NUMERIC = {
 }
 
 # FIXED VALUES — mirror sample years of the analysed pipeline
-MIRROR_YEARS = (2014, 2017, 2020, 2023)
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES — time dimension labels (upper bound inclusive → label; else last)

@@ -18,9 +18,23 @@ def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+#: White space as text files carry it; plain ``trim`` takes blanks only.
+WHITE_SPACE = " \t\n\r\x0b\f\u00a0"
+
+
+def strip(c: Column | str) -> Column:
+    """Text without leading and trailing white space of any kind."""
+    return F.btrim(_c(c).cast("string"), F.lit(WHITE_SPACE))
+
+
 def norm_code(c: Column | str) -> Column:
-    """String, trimmed, upper-cased code."""
-    return F.upper(F.trim(_c(c).cast("string")))
+    """String, stripped, upper-cased code."""
+    return F.upper(strip(c))
+
+
+def numeric_text(c: Column | str) -> Column:
+    """One text per whole number: ``842``, ``842.0``, ``0842`` and ``\\t842`` become ``842``; other text is only stripped."""
+    return F.regexp_replace(strip(c), r"^\+?0*([0-9]+)(?:\.0*)?$", "$1")
 
 
 def pad_code(c: Column | str) -> Column:
@@ -49,13 +63,14 @@ def is_export(c: Column | str = "flow_direction") -> Column:
 
 
 def try_number(c: Column | str) -> Column:
-    """Text → double; unparseable text becomes NULL (never raises)."""
-    return F.trim(_c(c).cast("string")).try_cast("double")
+    """Text → double; text that is no finite number (``n/a``, ``NaN``, ``Infinity``) becomes NULL, never an error."""
+    n = strip(c).try_cast("double")
+    return F.when(~F.isnan(n) & (F.abs(n) < float("inf")), n)
 
 
 def to_int(c: Column | str) -> Column:
-    """Text or number → int via double, so '842.0' becomes 842."""
-    return try_number(c).cast("int")
+    """Text or number → int via double, so '842.0' becomes 842; a number that no int holds becomes NULL."""
+    return try_number(c).try_cast("int")
 
 
 def safe_div(num: Column, den: Column) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradeweave.constants import (
@@ -22,9 +22,11 @@ from tradeweave.constants import (
     INDICATOR_NAMES,
     WORLD_PARTNER_CODES,
 )
-from tradeweave.functions.exprs import case_map, norm_code, pad_code, safe_div, to_int, try_number
+from tradeweave.functions.exprs import case_map, norm_code, numeric_text, pad_code, safe_div, strip, to_int, try_number
 
 REJECT = "_reject"
+#: Columns whose text is brought to one form per number before keys are compared.
+NUMERIC_KEYS = ("year", "reporter_code", "partner_code")
 LEDGER_STEPS = ("input", "world_partner", "aggregate_hs", "invalid_hs", "duplicate", "kept")
 
 
@@ -38,7 +40,7 @@ def rename_present(df: DataFrame, mapping: Mapping[str, str] = FLOW_RENAME) -> D
 # --------------------------------------------------------------------------- C2–C6
 def is_world_partner(code: Column, codes: Sequence[str] = WORLD_PARTNER_CODES) -> Column:
     """True for world/undisclosed partner codes; a NULL code is not one."""
-    return F.coalesce(F.trim(code.cast("string")).isin(*codes), F.lit(False))
+    return F.coalesce(numeric_text(code).isin(*codes), F.lit(False))
 
 
 def is_aggregate_hs(code: Column, tokens: Sequence[str] = AGGREGATE_HS_CODES) -> Column:
@@ -94,7 +96,7 @@ def map_flow(df: DataFrame) -> DataFrame:
     """Flow code → label (unknown codes pass through), simple direction, valuation."""
     if "flow_code" not in df.columns:
         return df
-    code = F.trim(F.col("flow_code").cast("string"))
+    code = strip("flow_code")
     df = df.withColumn("flow_code", F.coalesce(case_map(code, FLOW_CODE_LABELS), code))
     return df.withColumns({
         "flow_direction_simple": case_map(F.col("flow_code"), FLOW_SIMPLE),
@@ -132,13 +134,11 @@ def value_audit(df: DataFrame, col: str = "trade_value_usd") -> DataFrame:
 def dedup_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Keep the first row (by ``order``) of every ``keys`` group; NULL keys compare equal.
 
-    Written as an aggregation (``min_by``) rather than a ranking window, so a
-    hot key is combined map-side and never lands whole in one task.
+    Spark limits each group to its first row in every map task before the shuffle
+    (the rank is filtered to 1), so a hot key never lands whole in one task.
     """
-    others = [c for c in df.columns if c not in keys]
-    first = (df.groupBy(*keys)
-               .agg(F.min_by(F.struct(*others), F.struct(*order)).alias("_first")))
-    return first.select(*keys, "_first.*").select(*df.columns)
+    first = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("_nth", F.row_number().over(first)).where(F.col("_nth") == 1).drop("_nth")
 
 
 # --------------------------------------------------------------------------- C13/C15
@@ -146,9 +146,11 @@ def tag_flows(raw: DataFrame) -> DataFrame:
     """Rename, normalise and tag every raw row with the first rule that rejects it.
 
     ``_reject`` is one of world_partner / aggregate_hs / invalid_hs, or NULL
-    for rows that survive the filters.
+    for rows that survive the filters. Years and country codes get one text per
+    number, so ``842`` and ``842.0`` are one key; other text is a value of its own.
     """
     df = rename_present(raw)
+    df = df.withColumns({c: numeric_text(c) for c in NUMERIC_KEYS if c in df.columns})
     reason: Column | None = None
     if "partner_code" in df.columns:
         reason = F.when(is_world_partner(F.col("partner_code")), "world_partner")
@@ -172,8 +174,8 @@ def clean_flows(raw: DataFrame, order: Sequence[str],
     """Full clean of a raw flow table, one lazy plan.
 
     Order of steps: rename → world filter → HS normalise / aggregate drop /
-    validity → flow mapping → value coercion → keep-first dedup on the raw
-    text keys → numeric coercion of the remaining columns. ``order`` names the
+    validity → flow mapping → value coercion → keep-first dedup on the key
+    texts (one text per number) → numeric coercion of the remaining columns. ``order`` names the
     ingest-order columns (dropped from the output).
     """
     df = tag_flows(raw).where(F.col(REJECT).isNull()).drop(REJECT)
@@ -193,8 +195,10 @@ def cleaning_ledger(raw: DataFrame, dedup_keys: Sequence[str] = DEFAULT_DEDUP_KE
     """
     t = tag_flows(raw)
     keys = list(dedup_keys) if _dedup_keys_present(t, dedup_keys) else []
-    per_key = t.groupBy(REJECT, *keys).agg(F.count(F.lit(1)).alias("n"))
     r, n = F.col(REJECT), F.col("n")
+    # rejected rows need no keys: they fold into one group per reason
+    t = t.withColumns({k: F.when(r.isNull(), F.col(k)) for k in keys}) if keys else t
+    per_key = t.groupBy(REJECT, *keys).agg(F.count(F.lit(1)).alias("n"))
 
     def total(c: Column) -> Column:
         return F.coalesce(F.sum(c), F.lit(0)).cast("long")
@@ -223,11 +227,12 @@ def null_pct(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 # --------------------------------------------------------------------------- C16–C21
 def union_indicators(*frames: DataFrame) -> DataFrame:
-    """Concatenate long indicator frames; drop NULL values and unparseable years."""
+    """Concatenate long indicator frames; drop values and years that do not parse, so that
+    the first *parseable* value of a group is the first one."""
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
-    out = out.where(F.col("value").isNotNull())
+    out = out.withColumn("value", try_number("value")).where(F.col("value").isNotNull())
     return out.withColumn("year", to_int(F.col("year"))).where(F.col("year").isNotNull())
 
 
@@ -250,7 +255,7 @@ def pivot_indicators(df: DataFrame, order: Sequence[str], columns: Sequence[str]
     for c in index:
         keyed = keyed.where(F.col(c).isNotNull())
     seq = F.struct(*order)
-    value = try_number(F.col("value"))
+    value = F.col("value").try_cast("double")
     aggs = [F.min_by(value, F.when(F.col("indicator") == name, seq)).alias(name) for name in columns]
     return keyed.groupBy(*index).agg(*aggs)
 
@@ -292,7 +297,7 @@ def chapter_summary(chapters: DataFrame) -> DataFrame:
 
 def clean_countries(df: DataFrame) -> DataFrame:
     """Drop countries with a NULL or blank name."""
-    return df.where(F.col("name").isNotNull() & (F.trim(F.col("name")) != ""))
+    return df.where(F.col("name").isNotNull() & (strip("name") != ""))
 
 
 def country_coverage(raw: DataFrame) -> DataFrame:

@@ -46,7 +46,7 @@ def _section_rows(star: Star, f: TradeFilter, *, country: bool = False, flow: bo
 def section_directory(star: Star) -> DataFrame:
     """Q26: sections with their total value (billions, 2 dp)."""
     j = star.dim("dim_commodity").join(star.fact_trade.where(positive()), "commodity_id")
-    return j.groupBy("section_name").agg(_b(F.sum(_V()), 2).alias("total_b"))
+    return j.groupBy("section_name").agg(_b(F.sum(_V()), 2).alias("total_b")).orderBy(F.col("total_b").desc(), "section_name")
 
 
 def section_kpis(star: Star, f: TradeFilter = TradeFilter()) -> DataFrame:
@@ -74,7 +74,7 @@ def section_partners(star: Star, f: TradeFilter = TradeFilter(), n: int = 15) ->
         _b(F.sum(F.when(is_export(), _V()).otherwise(0.0))).alias("exports_b"))
     w = Window.partitionBy("section_name").orderBy((F.col("imports_b") + F.col("exports_b")).desc(),
                                                    "country_name", "iso3_code")
-    return g.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
+    return g.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).orderBy("section_name", "_rn").drop("_rn")
 
 
 def emerging_periods(lo: int, hi: int, period_len: int | None = None) -> tuple[int, int, int]:
@@ -120,7 +120,7 @@ def emerging_suppliers(star: Star, f: TradeFilter = TradeFilter(), floor: float
     cols = ["section_name", "partner", "iso3_code"] + (["region"] if with_region else []) + [
         "is_new_entrant", F.round(F.col("early_avg_usd") / 1e6, 1).alias("early_avg_m"),
         F.round(F.col("recent_avg_usd") / 1e6, 1).alias("recent_avg_m"), "growth_pct", "growth_q"]
-    return g.select(*cols)
+    return g.orderBy("section_name", "_rn").select(*cols)
 
 
 def emerging_labels(emerging: DataFrame) -> DataFrame:
@@ -147,7 +147,8 @@ def section_chapters(star: Star, f: TradeFilter = TradeFilter()) -> DataFrame:
         _b(F.sum(F.when(is_export(), _V()).otherwise(0.0))).alias("exports_b"))
     tot = F.col("imports_b") + F.col("exports_b")
     w = Window.partitionBy("section_name").orderBy(tot.desc(), "hs_chapter")
-    return g.select("*", F.round(tot, 3).alias("total_b"), F.row_number().over(w).cast("long").alias("rank"))
+    return g.select("*", F.round(tot, 3).alias("total_b"), F.row_number().over(w).cast("long").alias("rank")) \
+        .orderBy("section_name", "rank")
 
 
 def chapter_partners(star: Star, f: TradeFilter = TradeFilter(), n: int = 5) -> DataFrame:
@@ -158,4 +159,4 @@ def chapter_partners(star: Star, f: TradeFilter = TradeFilter(), n: int = 5) ->
         F.round(F.sum(F.when(is_export(), _V()).otherwise(0.0)) / 1e9, 4).alias("exports_b"),
         F.round(F.sum(_V()) / 1e9, 4).alias("total_b"))
     w = Window.partitionBy("hs_chapter").orderBy(F.col("total_b").desc(), "country_name", "iso3_code")
-    return g.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
+    return g.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).orderBy("hs_chapter", "_rn").drop("_rn")

@@ -44,9 +44,11 @@ def hhi_by_section_year(star: Star, f: TradeFilter = TradeFilter()) -> DataFrame
     )
 
 
-def hhi_matrix(star: Star, f: TradeFilter, years: list[int]) -> DataFrame:
-    """Q12: section × year matrix of HHI (one column per year)."""
+def hhi_matrix(star: Star, f: TradeFilter, years: list[int] | None = None) -> DataFrame:
+    """Q12: section × year matrix of HHI (one column per year; those of the time dimension unless given)."""
     h = hhi_by_section_year(star, f)
+    if years is None:
+        years = [r["year"] for r in star.dim_time.select("year").orderBy("year").collect()]  # one row per year
     return h.groupBy("section_name").pivot("year", years).agg(F.first("hhi"))
 
 
@@ -108,7 +110,7 @@ def single_source_alerts(star: Star, f: TradeFilter = TradeFilter(), min_share:
         "hs_chapter", "description", "section_name", "supplier", "supplier_iso3", "share_pct",
         F.round(F.col("supplier_value") / 1e9, 3).alias("supplier_value_b"),
         F.round(F.col("chapter_total") / 1e9, 3).alias("chapter_total_b"),
-    )
+    ).orderBy(F.col("share_pct").desc(), "hs_chapter")
 
 
 def alert_counts(alerts: DataFrame, high_share: float = ALERT_HIGH_SHARE) -> DataFrame:

@@ -1,117 +1,78 @@
 """Surrogate keys and global ranks without a single-partition window.
 
 ``with_dim_key`` numbers a *dimension* (hundreds of rows) with a plain
-``row_number()`` window. Facts must never go through a global window, so
-``cumulative`` computes running totals in a global order like this:
-
-1. sample the order key once (a random top-K, K bounded by the bucket count,
-   collected to the driver) and pick ``n - 1`` range bounds; the bounds become
-   literals of the plan;
-2. bucket = number of bounds ≤ the row's key (binary search over a constant
-   array: log2(n) comparisons per row) — a pure function of the row, so every
-   pass and every task retry puts a row in the same bucket;
-3. per-bucket weight totals (≤ n rows) → exclusive prefix sums, broadcast
-   back; within a bucket a window partitioned by bucket gives the running sum.
-
-The rows are shuffled once (by bucket, balanced by the sampled quantiles); the
-bucket totals come from a partial aggregation whose shuffle is one row per
-bucket per task. The result is deterministic under recomputation. Used for contiguous fact keys
-(L2) and exact percentiles (D1, on per-value counts so duplicate values never
-pile up in one task).
+``row_number()`` window, behind a check of its size. Facts are numbered like this:
+
+1. the input is written once, then range-partitioned on the order columns
+   (``repartitionByRange``: Spark's own bounded sampling, one shuffle), sorted inside
+   the partitions, and written with the partition's number and the row's place in it;
+2. rows (or weights) per partition come from the written table, their prefix sums
+   (one row per partition) are joined back.
+
+Keys come from written tables, so they are the same in every pass and retry. There are
+several partitions per task slot, and ties of the order columns share a partition.
+Used for contiguous fact keys (L2) and exact percentiles (D1, on per-value counts so
+duplicate values never pile up in one task).
 """
 
 from __future__ import annotations
 
-import json
+import uuid
 from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_BKT = "_rk_bucket"
-_KEY = "_rk_key"
-SAMPLE_PER_BUCKET = 40
-MAX_SAMPLE = 200_000
+from tradeweave.session import ensure_checkpoint_dir
+
+#: Largest dimension that may be numbered by one global window.
+DIM_MAX_ROWS = 1_000_000
+#: Range partitions per shuffle partition.
+SPREAD = 4
+_PART, _POS = "_rk_part", "_rk_pos"
 
 
 def with_dim_key(df: DataFrame, order: Sequence[str | Column], name: str) -> DataFrame:
-    """Dimension key 1..N by natural-key order (global window: dimensions only)."""
+    """Dimension key 1..N by natural-key order (global window: dimensions only).
+
+    The rows pass a check on the way: a table of over ``DIM_MAX_ROWS`` rows raises
+    instead of being sorted by one task.
+    """
+    limited = df.limit(DIM_MAX_ROWS + 1)
     w = Window.orderBy(*order)
-    return df.select(F.row_number().over(w).cast("int").alias(name), *df.columns)
+    nth = F.row_number().over(w)
+    too_many = F.raise_error(F.lit(f"a dimension has over {DIM_MAX_ROWS} rows")).cast("int")
+    return limited.select(F.when(nth <= DIM_MAX_ROWS, nth).otherwise(too_many).cast("int").alias(name), *df.columns)
+
+
+def _staged(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/ranked-{uuid.uuid4().hex}"
+    schema = df.schema
+    df.write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def _partitions(df: DataFrame, n: int | None) -> int:
     if n:
         return n
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return SPREAD * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def sort_key(df: DataFrame, order: Sequence[str]) -> Column:
-    """Composite key ordered ascending with NULLs last: (c1 IS NULL, c1, c2 IS NULL, c2, ...)."""
-    parts = []
-    for i, c in enumerate(order):
-        parts += [F.col(c).isNull().alias(f"n{i}"), F.col(c).alias(f"v{i}")]
-    return F.struct(*parts)
+def ranged(df: DataFrame, order: Sequence[str], num_partitions: int | None = None) -> DataFrame:
+    """``df`` written in global order (NULLs last) with ``_rk_part`` and ``_rk_pos`` (both from 0)."""
+    by = [F.col(c).asc_nulls_last() for c in order]
+    spread = _staged(df).repartitionByRange(_partitions(df, num_partitions), *by).sortWithinPartitions(*by)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return _staged(spread.withColumns({_PART: F.spark_partition_id(), _POS: place}))
 
 
-def _json_value(v):
-    if v is None or isinstance(v, (bool, int, float, str)):
-        return v
-    if hasattr(v, "isoformat"):
-        return v.isoformat()
-    return str(v)                       # decimals: exact text
-
-
-def _bounds_array(df: DataFrame, order: Sequence[str], rows) -> Column:
-    """All bounds as one constant array (a JSON literal parsed once on the driver)."""
-    fields = ", ".join(f"n{i}: boolean, v{i}: {df.schema[c].dataType.simpleString()}" for i, c in enumerate(order))
-    data = [{k: _json_value(r[k]) for k in r.asDict()} for r in rows]
-    return F.from_json(F.lit(json.dumps(data)), f"array<struct<{fields}>>")
-
-
-def range_bucket(df: DataFrame, order: Sequence[str], n: int) -> Column:
-    """Deterministic bucket 0..n-1 of each row by sampled quantiles of ``order``
-    (the returned column reads the composite key column ``_rk_key``).
-
-    The sample is a uniform random top-K (K = SAMPLE_PER_BUCKET * n rows of the
-    key columns only) taken in one job; each task keeps its own top-K, so the
-    driver receives at most K rows whatever the table size.
-    """
-    if n <= 1:
-        return F.lit(0)
-    key = sort_key(df, order)
-    k = min(SAMPLE_PER_BUCKET * n, MAX_SAMPLE)
-    sample = (df.select(key.alias("k"), F.rand(20240917).alias("_r")).orderBy("_r").limit(k)
-                .orderBy("k").select("k").collect())
-    if not sample:
-        return F.lit(0)
-    picks = []
-    for i in range(1, n):
-        row = sample[min(len(sample) - 1, (i * len(sample)) // n)]["k"]
-        if not picks or row != picks[-1]:
-            picks.append(row)
-    # the search reads the composite key from the ``_rk_key`` column that
-    # ``cumulative`` adds next to the data
-    return _search(F.col(_KEY), _bounds_array(df, order, picks), len(picks))
-
-
-def _search(key: Column, arr: Column, m: int) -> Column:
-    """Number of the m (sorted, distinct) bounds in ``arr`` that are ≤ key: a binary
-    search written as a higher-order ``aggregate`` over ⌈log2(m+1)⌉ steps against
-    one constant array, so the expression stays small for any number of bounds."""
-    if m == 0:
-        return F.lit(0)
-    steps = max(1, m.bit_length())
-
-    def step(acc: Column, _x: Column) -> Column:
-        lo, hi = acc["lo"], acc["hi"]
-        mid = F.floor((lo + hi) / 2).cast("int")          # answer ∈ [lo, hi]
-        below = key < F.element_at(arr, mid + 1)           # ⇔ answer ≤ mid
-        nxt = F.when(below, F.struct(lo.alias("lo"), mid.alias("hi"))) \
-            .otherwise(F.struct((mid + 1).alias("lo"), hi.alias("hi")))
-        return F.when(lo < hi, nxt).otherwise(acc)
-
-    init = F.struct(F.lit(0).alias("lo"), F.lit(m).alias("hi"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step, lambda acc: acc["lo"])
+def _offsets(totals: DataFrame, base: str, total: str) -> DataFrame:
+    """Prefix sums of ``n`` over the partitions: one row per partition."""
+    before = Window.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select(_PART, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(base),
+                         F.sum("n").over(Window.partitionBy()).alias(total))
 
 
 def cumulative(df: DataFrame, order: Sequence[str], weight: Column | None = None, out: str = "_cum",
@@ -121,23 +82,16 @@ def cumulative(df: DataFrame, order: Sequence[str], weight: Column | None = None
 
     ``order`` must be a total order over the rows (make it unique).
     """
-    n = _partitions(df, num_partitions)
     w = weight if weight is not None else F.lit(1).cast("long")
-    bucket = range_bucket(df, order, n)
-    b = df.withColumn(_KEY, sort_key(df, order)).withColumns({_BKT: bucket, "_rk_w": w}).drop(_KEY)
-    # same order as sort_key (per column, NULLs last), as plain column sorts
-    within = Window.partitionBy(_BKT).orderBy(*[F.col(c).asc_nulls_last() for c in order]) \
-        .rowsBetween(Window.unboundedPreceding, 0)
-    r = b.withColumn("_rk_run", F.sum("_rk_w").over(within))
-    # bucket totals: a partial aggregation of the input (its shuffle carries one
-    # row per bucket per task), so the input is read twice but shuffled once
-    counts = b.groupBy(_BKT).agg(F.sum("_rk_w").alias("_rk_n"))
-    before = Window.orderBy(_BKT).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(_BKT, F.coalesce(F.sum("_rk_n").over(before), F.lit(0)).alias("_rk_base"),
-                            F.sum("_rk_n").over(Window.partitionBy()).alias("_rk_total"))
-    out_df = r.join(F.broadcast(offsets), _BKT)
-    return out_df.withColumn(out, F.col("_rk_base") + F.col("_rk_run") - F.col("_rk_w")) \
-        .drop(_BKT, "_rk_run", "_rk_base")
+    r = ranged(df.withColumn("_rk_w", w), order, num_partitions)
+    offsets = _offsets(r.groupBy(_PART).agg(F.sum("_rk_w").alias("n")), "_rk_base", "_rk_total")
+    r = r.join(F.broadcast(offsets), _PART)  # one row per range partition
+    if weight is None:
+        inside = F.col(_POS)
+    else:
+        run = Window.partitionBy(_PART).orderBy(_POS).rowsBetween(Window.unboundedPreceding, 0)
+        inside = F.sum("_rk_w").over(run) - F.col("_rk_w")
+    return r.withColumn(out, F.col("_rk_base") + inside).drop(_PART, _POS, "_rk_base")
 
 
 def with_sequential_key(df: DataFrame, order: Sequence[str], name: str, offset: int = 0,

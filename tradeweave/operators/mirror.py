@@ -36,7 +36,7 @@ def mirror_by_year(star: Star, f: TradeFilter = TradeFilter()) -> DataFrame:
     home = home.groupBy("partner_id", "year").agg(
         F.sum(F.when(is_import(), _V()).otherwise(0.0)).alias("home_imports_usd"),
         F.sum(F.when(is_export(), _V()).otherwise(0.0)).alias("home_exports_usd"))
-    mir = where_all(star.fact_mirror_trade, positive(),
+    mir = where_all(star.fact_mirror_trade, positive(), F.col("year").isNotNull(),
                     F.col("reporter_id") == pid if pid is not None else F.col("reporter_id").isNotNull())
     mir = mir.groupBy(F.col("reporter_id").alias("partner_id"), "year").agg(
         F.sum(F.when(is_export(), _V()).otherwise(0.0)).alias("ptr_exports_to_home"),

@@ -25,10 +25,10 @@ def _partner_pred(f: TradeFilter, col: str = "partner_id") -> Column:
 def partner_directory(star: Star) -> DataFrame:
     """Q17: partners with region/income defaults and total trade (billions, 2 dp)."""
     ft = star.fact_trade.where(positive())
-    j = star.dim("dim_country").join(ft, F.col("country_id") == ft.partner_id)
-    g = j.groupBy("country_id", "country_name", "iso3_code", "region", "income_group").agg(
-        F.round(F.sum(_V()) / 1e9, 2).alias("total_trade_b"))
-    return g.select("country_id", "country_name", "iso3_code",
+    # by id first, then the names
+    totals = ft.groupBy(F.col("partner_id").alias("country_id")).agg(F.round(F.sum(_V()) / 1e9, 2).alias("total_trade_b"))
+    g = star.dim("dim_country").join(totals, "country_id")
+    return g.orderBy("country_name").select("country_id", "country_name", "iso3_code",
                     F.coalesce("region", F.lit("Unknown")).alias("region"),
                     F.coalesce("income_group", F.lit("")).alias("income_group"), "total_trade_b")
 
@@ -54,7 +54,7 @@ def partner_annual(star: Star, f: TradeFilter = TradeFilter()) -> DataFrame:
         F.count_if(imp & F.col("commodity_id").isNotNull()).cast("long").alias("import_chapters"),
         F.count_if(exp & F.col("commodity_id").isNotNull()).cast("long").alias("export_chapters"),
     )
-    w = Window.partitionBy("partner_id").orderBy("year")
+    w = Window.partitionBy("partner_id").orderBy(F.col("year").asc_nulls_last())
     pi, pe = F.lag("imports_usd").over(w), F.lag("exports_usd").over(w)
     return a.select(
         "partner_id", "year", "imports_usd", "exports_usd",
@@ -101,7 +101,7 @@ def partner_top_chapters(star: Star, f: TradeFilter = TradeFilter(), n: int = 15
     return r.select("partner_id", "hs_chapter", "description", "section_name",
                     F.round(F.col("imports_usd") / 1e9, 3).alias("imports_b"),
                     F.round(F.col("exports_usd") / 1e9, 3).alias("exports_b"),
-                    F.round(total / 1e9, 3).alias("total_b"))
+                    F.round(total / 1e9, 3).alias("total_b")).orderBy("partner_id", F.col("total_b").desc(), "hs_chapter")
 
 
 def partner_share(star: Star, f: TradeFilter = TradeFilter()) -> DataFrame:

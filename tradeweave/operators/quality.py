@@ -1,7 +1,7 @@
 """Data-quality report.
 
 Exact percentiles (D1) do not collect values into one task: distinct values
-are ranked with ``keys.cumulative`` (one shuffle by sampled range buckets) and
+are ranked with ``keys.cumulative`` (range partitions written once) and
 the values at the needed ranks are interpolated linearly between the two
 neighbouring ranks (lo + (hi - lo) * fraction), like the reference.
 """
@@ -50,15 +50,20 @@ def distribution(df: DataFrame, col: str, exact: bool = True, num_partitions: in
         return (total - 1) * F.lit(p)
 
     aggs = [at(F.lit(0)).alias("min"), at(total - 1).alias("max"),
-            F.sum(F.col("v") * F.col("_c")).alias("sum"), F.max(total).alias("_n")]
+            F.sum(F.col("v").cast("decimal(24,6)") * F.col("_c")).cast("double").alias("sum"), F.max(total).alias("_n")]
     for name, p in QUANTILES:
         lo, hi = at(F.floor(pos(p))), at(F.ceil(pos(p)))
         aggs.append((lo + (hi - lo) * F.max(pos(p) - F.floor(pos(p)))).alias(name))
     a = r.agg(*aggs)
+
+    def cents(name: str) -> Column:
+        # half a cent up, whatever the last bit of the interpolated double says
+        return F.round(F.col(name).cast("decimal(24,6)"), 2).cast("double").alias(name)
+
     return a.select(F.round("min", 2).alias("min"),
-                    *[F.round(n, 2).alias(n) for n, _ in QUANTILES[:2]],
+                    *[cents(n) for n, _ in QUANTILES[:2]],
                     F.round(F.col("sum") / F.col("_n"), 2).alias("mean"),
-                    *[F.round(n, 2).alias(n) for n, _ in QUANTILES[2:]],
+                    *[cents(n) for n, _ in QUANTILES[2:]],
                     F.round("max", 2).alias("max"), F.round("sum", 2).alias("sum"))
 
 
@@ -178,6 +183,30 @@ def quality_report_frame(sources: Mapping[str, DataFrame]) -> DataFrame:
                       F.struct(*src.columns).alias("sources"))
 
 
+def report_lines(report: DataFrame) -> DataFrame:
+    """D6 as rows (source, part, item, value): one per figure of the nested report."""
+    def entry(source: str, part: str, item: Column, value: Column) -> Column:
+        return F.struct(F.lit(source).alias("source"), F.lit(part).alias("part"), item.cast("string").alias("item"), value.cast("double").alias("value"))
+
+    def of_map(source: str, part: str):
+        return lambda e: entry(source, part, e["key"], e["value"])
+
+    arrays = []
+    for source in report.schema["sources"].dataType.fields:
+        for field in source.dataType.fields:
+            c = F.col(f"sources.{source.name}.{field.name}")
+            kind = field.dataType.typeName()
+            if kind == "map":
+                arrays.append(F.transform(F.map_entries(c), of_map(source.name, field.name)))
+            elif kind == "struct":
+                arrays.append(F.array(*[entry(source.name, field.name, F.lit(f.name), c[f.name]) for f in field.dataType.fields]))
+            elif kind == "array" and field.name == "year_range":
+                arrays.append(F.array(*[entry(source.name, field.name, F.lit(n), c[i]) for i, n in enumerate(("min", "max"))]))
+            elif kind in ("long", "integer", "double"):
+                arrays.append(F.array(entry(source.name, field.name, F.lit(""), c)))
+    return report.select(F.explode(F.concat(*arrays)).alias("e")).select("e.*")
+
+
 def quality_report(sources: Mapping[str, DataFrame]) -> dict:
     """D6 as a Python dict (the one report row, converted on the driver)."""
     return json.loads(quality_report_frame(sources).toJSON().first())

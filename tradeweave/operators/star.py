@@ -1,8 +1,8 @@
 """Star-schema load and referential checks.
 
-Dimensions are small (countries, chapters, years) and joined by broadcast
-after a row-count check; facts are never globally sorted: the optional
-contiguous key (``keyed_facts``) uses the range-bucket ranking of ``keys``.
+Dimensions are small (countries, chapters, years), so Spark joins them by broadcast;
+facts are never globally sorted: the optional
+contiguous key (``keyed_facts``) comes from the range partitions of ``keys``.
 """
 
 from __future__ import annotations
@@ -14,8 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradeweave.constants import MIRROR_KEY_OFFSET, REGION_FILL_IF_NULL, REGION_OVERWRITE
-from tradeweave.functions.exprs import to_int, try_number
-from tradeweave.operators.joins import fits_broadcast, sized
+from tradeweave.functions.exprs import norm_code, strip, to_int, try_number
 from tradeweave.operators.keys import with_dim_key, with_sequential_key
 
 FACT_COLUMNS = ("year", "reporter_id", "partner_id", "commodity_id", "flow_direction",
@@ -38,11 +37,10 @@ class Star:
     fact_mirror_trade: DataFrame
     fact_country_stats: DataFrame
     staging: dict[str, DataFrame] = field(default_factory=dict)
-    small_dims: dict[str, bool] = field(default_factory=dict)
 
     def dim(self, name: str) -> DataFrame:
-        """Dimension ready to join: broadcast-hinted when its size check passed."""
-        return sized(getattr(self, name), self.small_dims.get(name, False))
+        """Dimension to join; Spark broadcasts it where its size in bytes allows (at planning or by AQE)."""
+        return getattr(self, name)
 
     def tables(self) -> dict[str, DataFrame]:
         return {"dim_country": self.dim_country, "dim_commodity": self.dim_commodity,
@@ -57,7 +55,7 @@ def _col(df: DataFrame, name: str, dtype: str = "string") -> Column:
 # --------------------------------------------------------------------------- L1 + L7
 def build_dim_country(countries: DataFrame) -> DataFrame:
     """L1: country dimension keyed by ISO3 order; rows without ISO3 or name dropped."""
-    c = countries.where(F.col("iso3").isNotNull() & F.col("name").isNotNull() & (F.trim(F.col("name")) != ""))
+    c = countries.where(F.col("iso3").isNotNull() & F.col("name").isNotNull() & (strip("name") != ""))
     c = c.select(
         F.col("iso3").alias("iso3_code"),
         _col(c, "iso2").alias("iso2_code"),
@@ -104,8 +102,7 @@ def region_coverage(dim: DataFrame) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- L3
-def resolve_keys(flows: DataFrame, dim_country: DataFrame, dim_commodity: DataFrame,
-                 small_country: bool, small_commodity: bool) -> DataFrame:
+def resolve_keys(flows: DataFrame, dim_country: DataFrame, dim_commodity: DataFrame) -> DataFrame:
     """L3: two-stage country resolution and chapter lookup → fact rows.
 
     Reporter and partner: ISO3 (upper/trim) first; the numeric-code lookup
@@ -116,19 +113,19 @@ def resolve_keys(flows: DataFrame, dim_country: DataFrame, dim_commodity: DataFr
     num_keys = dim_country.where(F.col("un_numeric").isNotNull()).select("un_numeric", "country_id")
     f = flows
     for role in ("reporter", "partner"):
-        iso_col = F.upper(F.trim(_col(flows, f"{role}_iso3")))
+        iso_col = norm_code(_col(flows, f"{role}_iso3"))
         code_col = _col(flows, f"{role}_code", "int").cast("int")
         f = f.withColumns({f"_{role}_iso": iso_col, f"_{role}_num": code_col})
         iso_dim = iso_keys.select(F.col("iso3_code").alias(f"_{role}_iso_k"),
                                   F.col("country_id").alias(f"_{role}_by_iso"))
         num_dim = num_keys.select(F.col("un_numeric").alias(f"_{role}_num_k"),
                                   F.col("country_id").alias(f"_{role}_by_num"))
-        f = f.join(sized(iso_dim, small_country), F.col(f"_{role}_iso") == F.col(f"_{role}_iso_k"), "left")
-        f = f.join(sized(num_dim, small_country),
+        f = f.join(iso_dim, F.col(f"_{role}_iso") == F.col(f"_{role}_iso_k"), "left")
+        f = f.join(num_dim,
                    (F.col(f"_{role}_num") == F.col(f"_{role}_num_k")) & F.col(f"_{role}_by_iso").isNull(), "left")
     com = dim_commodity.select(F.col("hs_chapter").alias("_hs_k"), F.col("commodity_id"))
-    f = f.join(sized(com, small_commodity),
-               F.lpad(F.trim(_col(flows, "hs_code")), 2, "0") == F.col("_hs_k"), "left")
+    f = f.join(com,
+               F.lpad(strip(_col(flows, "hs_code")), 2, "0") == F.col("_hs_k"), "left")
     return f.select(
         F.col("year").cast("int").alias("year"),
         F.coalesce("_reporter_by_iso", "_reporter_by_num").alias("reporter_id"),
@@ -156,16 +153,20 @@ def with_fact_key(fact: DataFrame, offset: int = 0, num_partitions: int | None =
         fact = fact.withColumnRenamed("trade_id", "_key_trade_id")
     order = [c for c in fact.columns if c.startswith("_key_")] or [
         "year", "reporter_id", "partner_id", "commodity_id", "flow_direction", "trade_value_usd"]
+    # texts that are no number share the key NULL: the other columns settle the order of those
+    order += [c for c in FACT_COLUMNS if c not in order]
     keyed = with_sequential_key(fact, order, "trade_id", offset, num_partitions)
     return keyed.select("trade_id", *[c for c in FACT_COLUMNS])
 
 
+def with_mirror_key(mirror: DataFrame, num_partitions: int | None = None) -> DataFrame:
+    """The mirror fact's keys: its own table, its own key space from a fixed offset on."""
+    return with_fact_key(mirror, MIRROR_KEY_OFFSET, num_partitions)
+
+
 def keyed_facts(star: Star, num_partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Both facts with contiguous keys; the mirror offset never collides with trade keys."""
-    trade = with_fact_key(star.fact_trade, 0, num_partitions)
-    n_trade = star.fact_trade.count()
-    mirror = with_fact_key(star.fact_mirror_trade, max(MIRROR_KEY_OFFSET, n_trade), num_partitions)
-    return trade, mirror
+    """Both facts with contiguous keys."""
+    return with_fact_key(star.fact_trade, 0, num_partitions), with_mirror_key(star.fact_mirror_trade, num_partitions)
 
 
 # --------------------------------------------------------------------------- L4
@@ -184,15 +185,14 @@ def fk_resolution(fact: DataFrame) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- L5/L6
-def load_country_stats(stats: DataFrame, dim_country: DataFrame, dim_time: DataFrame,
-                       small_country: bool, small_time: bool) -> DataFrame:
+def load_country_stats(stats: DataFrame, dim_country: DataFrame, dim_time: DataFrame) -> DataFrame:
     """Stats joined to the country and time dimensions; the first row per
     (country_id, year) in (iso3, name) order wins, later conflicts are ignored."""
     s = stats.where(F.col("country_iso3").isNotNull() & F.col("year").isNotNull())
     dc = dim_country.select(F.col("iso3_code").alias("_iso_k"), "country_id")
     dt = dim_time.select(F.col("year").alias("_year_k"))
-    j = (s.join(sized(dc, small_country), F.upper(F.trim(F.col("country_iso3"))) == F.col("_iso_k"))
-          .join(sized(dt, small_time), F.col("year") == F.col("_year_k")))
+    j = (s.join(dc, norm_code("country_iso3") == F.col("_iso_k"))
+          .join(dt, F.col("year") == F.col("_year_k")))
     row = F.struct(try_number(F.col("gdp_usd")).alias("gdp_usd"),
                    try_number(F.col("population")).alias("population"),
                    try_number(F.col("gdp_per_capita")).alias("gdp_per_capita"))
@@ -201,11 +201,11 @@ def load_country_stats(stats: DataFrame, dim_country: DataFrame, dim_time: DataF
     return first.select("country_id", "year", "_r.gdp_usd", "_r.population", "_r.gdp_per_capita")
 
 
-def unmatched_keys(stats: DataFrame, dim_country: DataFrame, small_country: bool) -> DataFrame:
+def unmatched_keys(stats: DataFrame, dim_country: DataFrame) -> DataFrame:
     """Distinct stats ISO3 codes with no country in the dimension."""
     dc = dim_country.select(F.col("iso3_code").alias("_iso_k"))
     miss = stats.where(F.col("country_iso3").isNotNull()).join(
-        sized(dc, small_country), F.upper(F.trim(F.col("country_iso3"))) == F.col("_iso_k"), "left_anti")
+        dc, norm_code("country_iso3") == F.col("_iso_k"), "left_anti")
     return miss.agg(F.count_distinct("country_iso3").alias("unmatched_iso3"))
 
 
@@ -214,10 +214,12 @@ def validation_counts(star: Star) -> DataFrame:
     """Row counts of the six tables and distinct years/partners/commodities, as (metric, value)."""
     parts = [df.agg(F.count(F.lit(1)).cast("long").alias("value")).select(F.lit(f"{name} rows").alias("metric"), "value")
              for name, df in star.tables().items()]
-    ft = star.fact_trade
-    parts.append(ft.agg(
-        F.count_distinct("year").cast("long").alias("y"), F.count_distinct("partner_id").cast("long").alias("p"),
-        F.count_distinct("commodity_id").cast("long").alias("c"),
+    # one pass over the fact; the sets are those of dimension keys, so bounded and small
+    ft = star.fact_trade.groupBy("year", "partner_id", "commodity_id").agg(F.count(F.lit(1)).alias("n"))
+    sets = ft.agg(*[F.collect_set(c).alias(c) for c in ("year", "partner_id", "commodity_id")])
+    parts.append(sets.select(
+        F.size("year").cast("long").alias("y"), F.size("partner_id").cast("long").alias("p"),
+        F.size("commodity_id").cast("long").alias("c"),
     ).select(F.explode(F.array(
         F.struct(F.lit("fact_trade distinct years").alias("metric"), F.col("y").alias("value")),
         F.struct(F.lit("fact_trade distinct partners").alias("metric"), F.col("p").alias("value")),
@@ -241,17 +243,17 @@ def _dup_count(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
               .select(F.lit(name).alias("check_name"), "violations"))
 
 
-def _fk_pass(fact: DataFrame, fname: str, fks: Sequence[tuple[str, DataFrame, str, bool]]) -> DataFrame:
+def _fk_pass(fact: DataFrame, fname: str, fks: Sequence[tuple[str, DataFrame, str]]) -> DataFrame:
     """All FK checks of one fact in one scan: left joins against the (broadcast)
     dimension keys, then one aggregate counting non-NULL keys without a match."""
-    j = fact.select(*[c for c, _, _, _ in fks])
-    for i, (col, dim, dcol, small) in enumerate(fks):
+    j = fact.select(*[c for c, _, _ in fks])
+    for i, (col, dim, dcol) in enumerate(fks):
         keys = dim.select(F.col(dcol).alias(f"_fk{i}"), F.lit(True).alias(f"_hit{i}")).distinct()
-        j = j.join(sized(keys, small), F.col(col) == F.col(f"_fk{i}"), "left")
+        j = j.join(keys, F.col(col) == F.col(f"_fk{i}"), "left")
     counts = j.agg(*[F.count_if(F.col(col).isNotNull() & F.col(f"_hit{i}").isNull()).cast("long").alias(f"c{i}")
-                     for i, (col, _, _, _) in enumerate(fks)])
+                     for i, (col, _, _) in enumerate(fks)])
     entries = F.array(*[F.struct(F.lit(f"fk {fname}.{col}").alias("check_name"), F.col(f"c{i}").alias("violations"))
-                        for i, (col, _, _, _) in enumerate(fks)])
+                        for i, (col, _, _) in enumerate(fks)])
     return counts.select(F.explode(entries).alias("e")).select("e.check_name", "e.violations")
 
 
@@ -261,7 +263,6 @@ def check_constraints(star: Star, keyed: tuple[DataFrame, DataFrame] | None = No
     Each fact is scanned once for all its foreign keys; primary keys of the
     facts are checked only when keyed facts are given.
     """
-    sc, sm, st = (star.small_dims.get(k, False) for k in ("dim_country", "dim_commodity", "dim_time"))
     parts = [
         _dup_count(star.dim_country, ["country_id"], "pk dim_country"),
         _dup_count(star.dim_commodity, ["commodity_id"], "pk dim_commodity"),
@@ -272,13 +273,13 @@ def check_constraints(star: Star, keyed: tuple[DataFrame, DataFrame] | None = No
     ]
     for fname in ("fact_trade", "fact_mirror_trade"):
         parts.append(_fk_pass(getattr(star, fname), fname, [
-            ("year", star.dim_time, "year", st),
-            ("reporter_id", star.dim_country, "country_id", sc),
-            ("partner_id", star.dim_country, "country_id", sc),
-            ("commodity_id", star.dim_commodity, "commodity_id", sm),
+            ("year", star.dim_time, "year"),
+            ("reporter_id", star.dim_country, "country_id"),
+            ("partner_id", star.dim_country, "country_id"),
+            ("commodity_id", star.dim_commodity, "commodity_id"),
         ]))
     parts.append(_fk_pass(star.fact_country_stats, "fact_country_stats", [
-        ("country_id", star.dim_country, "country_id", sc), ("year", star.dim_time, "year", st)]))
+        ("country_id", star.dim_country, "country_id"), ("year", star.dim_time, "year")]))
     if keyed is not None:
         parts += [_dup_count(keyed[0], ["trade_id"], "pk fact_trade"),
                   _dup_count(keyed[1], ["trade_id"], "pk fact_mirror_trade")]
@@ -286,8 +287,3 @@ def check_constraints(star: Star, keyed: tuple[DataFrame, DataFrame] | None = No
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
-
-
-def dims_fit(dim_country: DataFrame, dim_commodity: DataFrame, dim_time: DataFrame) -> dict[str, bool]:
-    return {"dim_country": fits_broadcast(dim_country), "dim_commodity": fits_broadcast(dim_commodity),
-            "dim_time": fits_broadcast(dim_time)}

@@ -9,6 +9,7 @@ self-join to totals here and a window there, and so on.
 
 from __future__ import annotations
 
+from tradeweave.sources.standin import ODD_VALUES
 from tradeweave.constants import (
     AGGREGATE_HS_CODES,
     FLOW_CODE_LABELS,
@@ -42,10 +43,44 @@ def iso(n: str) -> str:
 
 def _flow_sql(mirror: bool) -> str:
     imp, exp, reimp, reexp = ("X", "M", "RX", "RM") if mirror else ("M", "X", "RM", "RX")
-    return (f"CASE WHEN l_returnflag = 'A' THEN '{imp}' WHEN l_returnflag = 'N' THEN '{exp}' "
+    return (f"CASE WHEN l_orderkey % 101 = 0 THEN 'Q' WHEN l_returnflag = 'A' THEN '{imp}' WHEN l_returnflag = 'N' THEN '{exp}' "
             f"WHEN l_linestatus = 'F' THEN '{reimp}' ELSE '{reexp}' END")
 
 
+def _code(n: str) -> str:
+    return (f"CASE l_orderkey % 3 WHEN 1 THEN chr(9) || CAST({n} AS VARCHAR) WHEN 2 THEN CAST({n} AS VARCHAR) || '.0' "
+            f"ELSE CAST({n} AS VARCHAR) END")
+
+
+def _year(day: str) -> str:
+    return f"CASE WHEN l_orderkey % 499 = 0 THEN '20x0' ELSE {_code(f'year({day})')} END"
+
+
+def _value(number: str) -> str:
+    text = f"CAST(CAST(floor({number}) AS BIGINT) AS VARCHAR)"
+    odd = " ".join(f"WHEN {k} THEN {q(t)}" for k, t in ODD_VALUES.items())
+    return f"CASE l_orderkey % 97 WHEN 4 THEN NULL WHEN 7 THEN '-' || {text} {odd} ELSE {text} END"
+
+
+_BLANKS = "' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12) || chr(160)"
+
+
+def stripped(text: str) -> str:
+    return f"trim({text}, {_BLANKS})"
+
+
+def number(text: str) -> str:
+    """A finite number or NULL."""
+    x = f"TRY_CAST({stripped(text)} AS DOUBLE)"
+    return f"CASE WHEN isfinite({x}) THEN {x} END"
+
+
+def key_text(text: str) -> str:
+    """Equal texts for equal numbers."""
+    x = number(text)
+    return f"CASE WHEN {x} = floor({x}) THEN CAST(CAST({x} AS BIGINT) AS VARCHAR) ELSE {stripped(text)} END"
+
+
 _LINES = """
     SELECT l.*, o.o_orderdate, c.c_nationkey, s.s_nationkey, p.p_brand, p.p_type, p.p_size
     FROM lineitem l
@@ -55,6 +90,7 @@ _LINES = """
     JOIN part p ON l.l_partkey = p.p_partkey"""
 
 _HS = ("CASE WHEN p_size = 50 THEN 'TOTAL' WHEN p_size = 49 THEN '99' WHEN p_size = 48 THEN '8471' "
+       "WHEN p_size = 47 THEN chr(9) || '47' "
        "ELSE split_part(p_brand, '#', 2) END")
 _COMMON_TAIL = """
         p_type AS commodity_desc,
@@ -65,34 +101,33 @@ _COMMON_TAIL = """
         l_extendedprice AS o6"""
 
 RAW_REP = f"""raw_rep AS (
-    SELECT CAST(year(l_shipdate) AS VARCHAR) AS year_txt,
-        CAST(c_nationkey AS VARCHAR) AS reporter_code_txt,
+    SELECT {_year('l_shipdate')} AS year_txt,
+        {_code('c_nationkey')} AS reporter_code_txt,
         CASE WHEN c_nationkey % 3 = 1 THEN ' ' || lower({iso('c_nationkey')}) || ' ' ELSE {iso('c_nationkey')} END
             AS reporter_iso3,
-        CAST(s_nationkey AS VARCHAR) AS partner_code_txt,
+        {_code('s_nationkey')} AS partner_code_txt,
         CASE WHEN s_nationkey % 5 <> 4 THEN {iso('s_nationkey')} END AS partner_iso3,
         {_HS} AS hs_raw,
         {_flow_sql(False)} AS flow_raw,
-        floor(l_extendedprice * (1 - l_discount) * 1000) AS trade_value_usd,{_COMMON_TAIL}
+        {_value('l_extendedprice * (1 - l_discount) * 1000')} AS value_txt,{_COMMON_TAIL}
     FROM ({_LINES}) x)"""
 
 RAW_MIR = f"""raw_mir AS (
-    SELECT CAST(year(o_orderdate) AS VARCHAR) AS year_txt,
-        CAST(s_nationkey AS VARCHAR) AS reporter_code_txt,
-        {iso('s_nationkey')} AS reporter_iso3,
-        CAST(c_nationkey AS VARCHAR) AS partner_code_txt,
+    SELECT {_year('o_orderdate')} AS year_txt,
+        CASE WHEN s_nationkey = 5 THEN '999' ELSE {_code('s_nationkey')} END AS reporter_code_txt,
+        CASE WHEN s_nationkey = 5 THEN 'ZZX' ELSE {iso('s_nationkey')} END AS reporter_iso3,
+        {_code('c_nationkey')} AS partner_code_txt,
         {iso('c_nationkey')} AS partner_iso3,
         {_HS} AS hs_raw,
         {_flow_sql(True)} AS flow_raw,
-        floor(l_extendedprice * (1 - l_discount) * (1 + l_tax) * 1000) AS trade_value_usd,{_COMMON_TAIL}
-    FROM ({_LINES}) x
-    WHERE year(o_orderdate) IN (1995, 1997, 1999, 2001))"""
+        {_value('l_extendedprice * (1 - l_discount) * (1 + l_tax) * 1000')} AS value_txt,{_COMMON_TAIL}
+    FROM ({_LINES}) x)"""
 
 
 def _tagged(src: str, name: str) -> str:
     return f"""{name} AS (
     SELECT *,
-        CASE WHEN COALESCE(trim(partner_code_txt) IN ({inlist(WORLD_PARTNER_CODES)}), FALSE) THEN 'world_partner'
+        CASE WHEN COALESCE(partner_key IN ({inlist(WORLD_PARTNER_CODES)}), FALSE) THEN 'world_partner'
              WHEN COALESCE(hs_norm IN ({inlist(AGGREGATE_HS_CODES)}), FALSE) THEN 'aggregate_hs'
              WHEN NOT COALESCE(regexp_matches(hs_code, '^[0-9]{{2}}$'), FALSE) THEN 'invalid_hs'
         END AS reject,
@@ -102,15 +137,16 @@ def _tagged(src: str, name: str) -> str:
         SELECT *,
             CASE WHEN regexp_matches(hs_norm, '^[0-9]{{1,2}}$') THEN lpad(hs_norm, 2, '0') ELSE hs_norm END AS hs_code,
             COALESCE({case('trim(flow_raw)', FLOW_CODE_LABELS)}, trim(flow_raw)) AS flow_code
-        FROM (SELECT *, upper(trim(hs_raw)) AS hs_norm FROM {src}) a
+        FROM (SELECT *, upper({stripped('hs_raw')}) AS hs_norm, {key_text('year_txt')} AS year_key,
+                {key_text('reporter_code_txt')} AS reporter_key, {key_text('partner_code_txt')} AS partner_key,
+                {number('value_txt')} AS trade_value_usd FROM {src}) a
     ) b)"""
 
 
 def _clean(tagged: str, name: str, keys: str) -> str:
     return f"""{name} AS (
-    SELECT CAST(TRY_CAST(year_txt AS DOUBLE) AS INTEGER) AS year,
-        CAST(TRY_CAST(reporter_code_txt AS DOUBLE) AS INTEGER) AS reporter_code, reporter_iso3,
-        CAST(TRY_CAST(partner_code_txt AS DOUBLE) AS INTEGER) AS partner_code, partner_iso3,
+    SELECT TRY_CAST(year_key AS INTEGER) AS year, TRY_CAST(reporter_key AS INTEGER) AS reporter_code, reporter_iso3,
+        TRY_CAST(partner_key AS INTEGER) AS partner_code, partner_iso3,
         hs_code, commodity_desc, flow_code, trade_value_usd, net_weight_kg, quantity, qty_unit,
         flow_direction_simple, valuation
     FROM {tagged}
@@ -118,11 +154,12 @@ def _clean(tagged: str, name: str, keys: str) -> str:
     QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY o1, o2, o3, o4, o5, o6) = 1)"""
 
 
-_DEDUP5 = "year_txt, reporter_code_txt, partner_code_txt, hs_code, flow_code"
-_DEDUP4 = "year_txt, partner_code_txt, hs_code, flow_code"
+_DEDUP5 = "year_key, reporter_key, partner_key, hs_code, flow_code"
+_DEDUP4 = "year_key, partner_key, hs_code, flow_code"
 
 CM_RAW = f"""cm_raw AS (
-    SELECT {iso('n_nationkey')} AS iso3, n_name AS name, r_name AS region,
+    SELECT {iso('n_nationkey')} AS iso3, n_name AS name,
+        CASE WHEN n_nationkey NOT IN (1, 2, 8) THEN r_name END AS region,
         ['Low income', 'Lower middle income', 'Upper middle income', 'High income'][n_nationkey % 4 + 1]
             AS income_group,
         'X' || chr(CAST(65 + n_nationkey AS INTEGER)) AS iso2,
@@ -171,42 +208,46 @@ DIM_COMMODITY = """dim_commodity AS (
     FROM chapters WHERE chapter_code IS NOT NULL)"""
 
 DIM_TIME = """dim_time AS (
-    SELECT CAST(y AS INTEGER) AS year, CAST(y // 10 * 10 AS VARCHAR) || 's' AS decade,
+    SELECT y AS year, CAST(y // 10 * 10 AS VARCHAR) || 's' AS decade,
         CASE WHEN y <= 1997 THEN 'Early 1995-1997' WHEN y <= 1999 THEN 'Middle 1998-1999'
              ELSE 'Late 2000+' END AS period_label
-    FROM range(1995, 2002) t(y))"""
+    FROM (SELECT year AS y FROM clean_rep UNION SELECT year FROM clean_mir UNION SELECT year FROM stats_clean) t
+    WHERE y IS NOT NULL)"""
+
+
+def _country_of(iso3: str, code: str) -> str:
+    """The country by its ISO3 code, else by its number, each looked up on its own."""
+    by_iso = f"(SELECT d.country_id FROM dim_country d WHERE d.iso3_code = upper(trim({iso3})))"
+    by_number = f"(SELECT d.country_id FROM dim_country d WHERE d.un_numeric = {code})"
+    return f"COALESCE({by_iso}, {by_number})"
 
 
 def _fact(src: str, name: str) -> str:
     return f"""{name} AS (
-    SELECT tf.year, COALESCE(ri.country_id, rn.country_id) AS reporter_id,
-        COALESCE(pi.country_id, pn.country_id) AS partner_id, dc.commodity_id,
-        tf.flow_direction_simple AS flow_direction, tf.trade_value_usd, tf.net_weight_kg,
-        tf.quantity, tf.qty_unit, tf.valuation,
-        tf.year AS k1, tf.reporter_code AS k2, tf.partner_code AS k3, tf.hs_code AS k4, tf.flow_code AS k5
-    FROM {src} tf
-    LEFT JOIN dim_country ri ON upper(trim(tf.reporter_iso3)) = ri.iso3_code
-    LEFT JOIN dim_country rn ON tf.reporter_code = rn.un_numeric AND ri.country_id IS NULL
-    LEFT JOIN dim_country pi ON upper(trim(tf.partner_iso3)) = pi.iso3_code
-    LEFT JOIN dim_country pn ON tf.partner_code = pn.un_numeric AND pi.country_id IS NULL
-    LEFT JOIN dim_commodity dc ON lpad(trim(tf.hs_code), 2, '0') = dc.hs_chapter)"""
+    SELECT s.year, {_country_of('s.reporter_iso3', 's.reporter_code')} AS reporter_id,
+        {_country_of('s.partner_iso3', 's.partner_code')} AS partner_id,
+        (SELECT c.commodity_id FROM dim_commodity c WHERE c.hs_chapter = s.hs_code) AS commodity_id,
+        s.flow_direction_simple AS flow_direction, s.trade_value_usd, s.net_weight_kg, s.quantity, s.qty_unit, s.valuation,
+        s.year AS k1, s.reporter_code AS k2, s.partner_code AS k3, s.hs_code AS k4, s.flow_code AS k5
+    FROM {src} s)"""
+
 
+_IND_ISO = f"CASE c_nationkey WHEN 0 THEN 'WLD' WHEN 9 THEN 'ZZX' ELSE {iso('c_nationkey')} END"
 
 IND_RAW = f"""ind_raw AS (
-    SELECT CASE WHEN c_nationkey = 0 THEN 'WLD' ELSE {iso('c_nationkey')} END AS country_iso3,
-        n_name AS country_name, 'NY.GDP.MKTP.CD' AS indicator, CAST(year(o_orderdate) AS VARCHAR) AS year,
-        o_totalprice AS value, o_orderkey AS seq
+    SELECT {_IND_ISO} AS country_iso3, n_name AS country_name, kind.code AS indicator, o_orderkey AS seq,
+        CASE WHEN o_orderkey % 53 = 0 THEN '19x5' ELSE CAST(year(o_orderdate) AS VARCHAR) END AS year,
+        CASE WHEN kind.code = 'SP.POP.TOTL' THEN CASE WHEN o_orderkey % 4 <> 1 THEN CAST(abs(c_acctbal) AS VARCHAR) END
+             WHEN o_orderkey % 4 = 1 THEN 'n/a' WHEN o_orderkey % 4 = 2 THEN 'NaN' ELSE CAST(o_totalprice AS VARCHAR) END AS value
     FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
-    UNION ALL
-    SELECT CASE WHEN c_nationkey = 0 THEN 'WLD' ELSE {iso('c_nationkey')} END,
-        n_name, 'SP.POP.TOTL', CAST(year(o_orderdate) AS VARCHAR), abs(c_acctbal), o_orderkey
-    FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"""
+    CROSS JOIN (VALUES ('NY.GDP.MKTP.CD'), ('SP.POP.TOTL')) kind(code))"""
 
 IND_LONG = f"""ind_long AS (
-    SELECT country_iso3, country_name, CAST(TRY_CAST(year AS DOUBLE) AS INTEGER) AS year,
-        COALESCE({case('indicator', INDICATOR_NAMES)}, indicator) AS indicator, value, seq
-    FROM ind_raw
-    WHERE value IS NOT NULL AND TRY_CAST(year AS DOUBLE) IS NOT NULL
+    SELECT * FROM (
+        SELECT country_iso3, country_name, TRY_CAST(year AS INTEGER) AS year,
+            COALESCE({case('indicator', INDICATOR_NAMES)}, indicator) AS indicator, {number('value')} AS value, seq
+        FROM ind_raw) parsed
+    WHERE value IS NOT NULL AND year IS NOT NULL
       AND NOT COALESCE(country_iso3 IN ({inlist(INDICATOR_AGGREGATE_ISO3)}), FALSE))"""
 
 STATS_CLEAN = """stats_clean AS (
@@ -226,7 +267,6 @@ FACT_STATS = """fact_country_stats AS (
                                ORDER BY cs.country_iso3, cs.country_name) AS rn
         FROM stats_clean cs
         JOIN dim_country dc ON upper(trim(cs.country_iso3)) = dc.iso3_code
-        JOIN dim_time dt ON cs.year = dt.year
         WHERE cs.country_iso3 IS NOT NULL AND cs.year IS NOT NULL) s
     WHERE rn = 1)"""
 
@@ -234,9 +274,8 @@ BASE = [
     RAW_REP, RAW_MIR,
     _tagged("raw_rep", "tag_rep"), _tagged("raw_mir", "tag_mir"),
     _clean("tag_rep", "clean_rep", _DEDUP5), _clean("tag_mir", "clean_mir", _DEDUP5),
-    CM_RAW, DIM_COUNTRY, CHAPTERS, DIM_COMMODITY, DIM_TIME,
-    _fact("clean_rep", "fact_trade"), _fact("clean_mir", "fact_mirror_trade"),
-    IND_RAW, IND_LONG, STATS_CLEAN, FACT_STATS,
+    CM_RAW, DIM_COUNTRY, CHAPTERS, DIM_COMMODITY, IND_RAW, IND_LONG, STATS_CLEAN, DIM_TIME,
+    _fact("clean_rep", "fact_trade"), _fact("clean_mir", "fact_mirror_trade"), FACT_STATS,
     _clean("tag_rep", "clean_rep4", _DEDUP4),
 ]
 

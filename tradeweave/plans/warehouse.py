@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tradeweave.constants import (
     DEFAULT_DEDUP_KEYS,
-    MIRROR_KEY_OFFSET,
     DEFAULT_LAST_PERIOD,
     DEFAULT_PERIODS,
     DEFAULT_YEAR_RANGE,
@@ -32,17 +31,18 @@ from tradeweave.sources import standin
 @dataclass(frozen=True)
 class PipelineConfig:
     dedup_keys: tuple[str, ...] = DEFAULT_DEDUP_KEYS
-    years: tuple[int, int] = DEFAULT_YEAR_RANGE
+    #: Years the time dimension holds besides those of the data.
+    years: tuple[int, int] | None = DEFAULT_YEAR_RANGE
     periods: tuple[tuple[int, str], ...] = DEFAULT_PERIODS
     last_period: str = DEFAULT_LAST_PERIOD
     region_overwrite: Mapping[str, Sequence[str]] = field(default_factory=lambda: REGION_OVERWRITE)
     region_fill: Mapping[str, Sequence[str]] = field(default_factory=lambda: REGION_FILL_IF_NULL)
 
 
-#: Configuration for the stand-in inputs: their reporting period is 1995–2001,
-#: split into three periods; everything else keeps the reference defaults.
+#: Configuration for the stand-in inputs: the years of the data, in three periods;
+#: everything else keeps the reference defaults.
 STANDIN_CONFIG = PipelineConfig(
-    years=(1995, 2001),
+    years=None,
     periods=((1997, "Early 1995-1997"), (1999, "Middle 1998-1999")),
     last_period="Late 2000+",
 )
@@ -64,15 +64,14 @@ def star_from_stage(spark: SparkSession, stage: dict[str, DataFrame], cfg: Pipel
     """Dimensions, key resolution and facts over clean staging tables."""
     dim_country = S.patch_regions(S.build_dim_country(stage["countries"]), cfg.region_overwrite, cfg.region_fill)
     dim_commodity = S.build_dim_commodity(stage["hs_chapters"])
-    dim_time = R.dim_time(spark, cfg.years[0], cfg.years[1], cfg.periods, cfg.last_period)
-    small = S.dims_fit(dim_country, dim_commodity, dim_time)
+    dim_time = R.dim_time_of(spark, stage["trade_flows"], stage["mirror_flows"], stage["country_stats"],
+                             years=cfg.years, periods=cfg.periods, last=cfg.last_period)
 
     def fact(flows: DataFrame) -> DataFrame:
         keyed = S.key_order_columns(flows, cfg.dedup_keys)
-        return S.resolve_keys(keyed, dim_country, dim_commodity, small["dim_country"], small["dim_commodity"])
+        return S.resolve_keys(keyed, dim_country, dim_commodity)
 
-    stats = S.load_country_stats(stage["country_stats"], dim_country, dim_time, small["dim_country"],
-                                 small["dim_time"])
+    stats = S.load_country_stats(stage["country_stats"], dim_country, dim_time)
     staging = dict(stage)
     if raw is not None:
         staging.update({"raw_reporter": raw.reporter_flows, "raw_mirror": raw.mirror_flows,
@@ -80,7 +79,7 @@ def star_from_stage(spark: SparkSession, stage: dict[str, DataFrame], cfg: Pipel
                         "raw_chapters": raw.hs_chapters})
     return S.Star(dim_country=dim_country, dim_commodity=dim_commodity, dim_time=dim_time,
                   fact_trade=fact(stage["trade_flows"]), fact_mirror_trade=fact(stage["mirror_flows"]),
-                  fact_country_stats=stats, staging=staging, small_dims=small)
+                  fact_country_stats=stats, staging=staging)
 
 
 def build_star(spark: SparkSession, raw: standin.RawInputs, cfg: PipelineConfig = PipelineConfig()) -> S.Star:
@@ -88,15 +87,9 @@ def build_star(spark: SparkSession, raw: standin.RawInputs, cfg: PipelineConfig
     return star_from_stage(spark, clean_stage(raw, cfg), cfg, raw)
 
 
-_CACHE: dict[tuple[int, str], S.Star] = {}
-
-
 def standin_star(spark: SparkSession, sf_dir: str) -> S.Star:
-    """Star over the stand-in inputs of ``sf_dir`` (plan built once per session)."""
-    key = (id(spark), sf_dir.rstrip("/"))
-    if key not in _CACHE:
-        _CACHE[key] = build_star(spark, standin.load_raw_inputs(spark, sf_dir), STANDIN_CONFIG)
-    return _CACHE[key]
+    """Star over the stand-in inputs of ``sf_dir``, as lazy plans."""
+    return build_star(spark, standin.load_raw_inputs(spark, sf_dir), STANDIN_CONFIG)
 
 
 def checkpoint_root(spark: SparkSession) -> str | None:
@@ -122,18 +115,14 @@ def load_warehouse(spark: SparkSession, raw: standin.RawInputs, path: str, cfg:
     S.with_fact_key(star.fact_trade, 0, num_partitions) \
         .write.mode("overwrite").partitionBy("year").parquet(f"{path}/fact_trade")
     fact = spark.read.schema(S.FACT_SCHEMA).parquet(f"{path}/fact_trade")
-    # mirror keys start after the trade keys; the count of the written table comes
-    # from Parquet footers, not from re-running the resolution
-    offset = max(MIRROR_KEY_OFFSET, fact.count())
-    S.with_fact_key(star.fact_mirror_trade, offset, num_partitions) \
+    S.with_mirror_key(star.fact_mirror_trade, num_partitions) \
         .write.mode("overwrite").partitionBy("year").parquet(f"{path}/fact_mirror_trade")
-    trade_cube(fact).write.mode("overwrite").partitionBy("year").parquet(f"{path}/trade_cube")
-    return read_star(spark, path, {k: v for k, v in star.staging.items() if k.startswith("raw_")},
-                     small_dims=star.small_dims)
+    # the cube is small: one file per year
+    trade_cube(fact).repartition("year").write.mode("overwrite").partitionBy("year").parquet(f"{path}/trade_cube")
+    return read_star(spark, path, {k: v for k, v in star.staging.items() if k.startswith("raw_")})
 
 
-def read_star(spark: SparkSession, path: str, raw: dict[str, DataFrame] | None = None,
-              small_dims: dict[str, bool] | None = None) -> S.Star:
+def read_star(spark: SparkSession, path: str, raw: dict[str, DataFrame] | None = None) -> S.Star:
     """Star served from a loaded warehouse; ``raw`` adds the raw inputs for the
     cleaning reports (they are never materialized)."""
     def t(name: str) -> DataFrame:
@@ -146,9 +135,7 @@ def read_star(spark: SparkSession, path: str, raw: dict[str, DataFrame] | None =
     staging = {name: t(f"staging/{name}") for name in STAGING_TABLES}
     staging.update(raw or {})
     return S.Star(dims["dim_country"], dims["dim_commodity"], dims["dim_time"], fact("fact_trade"),
-                  fact("fact_mirror_trade"), t("fact_country_stats"), staging=staging,
-                  small_dims=small_dims or S.dims_fit(dims["dim_country"], dims["dim_commodity"],
-                                                      dims["dim_time"]))
+                  fact("fact_mirror_trade"), t("fact_country_stats"), staging=staging)
 
 
 def register_views(star: S.Star, prefix: str = "") -> list[str]:

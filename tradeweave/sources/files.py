@@ -1,16 +1,17 @@
 """File sources and sinks.
 
-Raw feeds are read with an explicit all-text schema (never inferred) and an
-ingest order made of the file path, the split offset and the row position,
-which is what "first in file order" means for keep-first dedup.
+Raw feeds are read as text, each file by its own header (never by position, never
+inferred), with an ingest order made of the file path, the split offset and the row
+position, which is what "first in file order" means for keep-first dedup.
 """
 
 from __future__ import annotations
 
+import csv
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,26 +25,65 @@ def text_schema(columns: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType(), True) for c in columns])
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Is there anything at ``path`` (a glob is allowed)? Asked of the session's file system;
+    an error other than absence is raised."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    found = target.getFileSystem(conf).globStatus(target)
+    return found is not None and len(found) > 0
+
+
+def raw_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """Lines of text files under ``path`` (folders are searched through) with their ingest order."""
+    df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(path if isinstance(path, str) else list(path))
+    return df.select("value", F.col("_metadata.file_path").alias("_ing_file"),
+                     F.col("_metadata.file_block_start").alias("_ing_block"),
+                     F.monotonically_increasing_id().alias("_ing_row"))
+
+
+def align_lines(lines: DataFrame, columns: Sequence[str] | None = None, required: Sequence[str] = ()) -> DataFrame:
+    """CSV lines (``value`` and the ingest order) → one text column per header name.
+
+    Every file is read by its own header, whatever the order of its columns; a column that
+    a file lacks is NULL there. ``columns`` picks the output columns (else all names that occur,
+    in the order of the distinct headers); a file whose header has none of ``required``
+    raises. Quoted fields may hold commas, not line breaks. The driver sees the distinct
+    headers only; blank lines and further lines equal to a file's header are skipped.
+    """
+    lines = lines.where(F.trim("value") != "")
+    first = lines.where(F.col("_ing_block") == 0).groupBy("_ing_file").agg(F.min_by("value", "_ing_row").alias("_header"))
+    layouts = [r["_header"] for r in first.select("_header").distinct().orderBy("_header").collect()]
+    names = {h: [c.strip() for c in next(csv.reader([h.lstrip("\ufeff")]))] for h in layouts}
+    for h, have in names.items():
+        if required and not set(required) & set(have):
+            raise ValueError(f"unknown file layout: {h!r}")
+    wanted = list(columns) if columns is not None else list(dict.fromkeys(c for h in layouts for c in names[h] if c))
+    width = max([len(v) for v in names.values()], default=1)
+    fields = ", ".join(f"`c{i}` string" for i in range(width))
+    rows = lines.join(first, "_ing_file").where(F.col("value") != F.col("_header"))
+    rows = rows.withColumn("_cells", F.from_csv("value", F.lit(fields)))
+
+    def cell(name: str) -> Column:
+        out = F.lit(None).cast("string")
+        for h, have in names.items():
+            if name in have:
+                out = F.when(F.col("_header") == h, F.col("_cells")[f"c{have.index(name)}"]).otherwise(out)
+        return out
+
+    return rows.select(*[cell(c).alias(c) for c in wanted], *INGEST_ORDER)
+
+
 def read_raw(spark: SparkSession, path: str | Sequence[str], columns: Sequence[str] | None = None,
-             with_ingest_order: bool = True) -> DataFrame:
-    """CSV with header, every column read as text.
+             with_ingest_order: bool = True, required: Sequence[str] = ()) -> DataFrame:
+    """CSV with header, every column read as text, each file by its own header.
 
-    ``columns`` fixes the schema (no inference pass). Without it the header
-    decides the columns and all of them are still text. With
+    ``columns`` fixes the output columns; without it all names of all headers are there. With
     ``with_ingest_order`` the frame carries ``_ing_file`` / ``_ing_block`` /
     ``_ing_row`` (row position grows along the file inside a split).
     """
-    reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
-    if columns is not None:
-        reader = reader.schema(text_schema(columns))
-    else:
-        reader = reader.option("inferSchema", False)
-    df = reader.csv(list(path) if not isinstance(path, str) else path)
-    if not with_ingest_order:
-        return df
-    return df.select("*", F.col("_metadata.file_path").alias("_ing_file"),
-                     F.col("_metadata.file_block_start").alias("_ing_block"),
-                     F.monotonically_increasing_id().alias("_ing_row"))
+    df = align_lines(raw_lines(spark, path), columns, required)
+    return df if with_ingest_order else df.drop(*INGEST_ORDER)
 
 
 def read_processed(spark: SparkSession, path: str) -> DataFrame:

@@ -16,14 +16,12 @@ which skips missing sources instead of failing.
 
 from __future__ import annotations
 
-import glob
 import logging
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradeweave.sources.files import INGEST_ORDER, RAW_FLOW_COLUMNS, read_raw, text_schema
+from tradeweave.sources.files import INGEST_ORDER, RAW_FLOW_COLUMNS, path_exists, read_raw, text_schema
 from tradeweave.sources.reference import hs_chapters
 from tradeweave.sources.standin import RawInputs
 
@@ -35,16 +33,14 @@ INDICATOR_COLUMNS = ("country_iso3", "country_name", "indicator", "year", "value
 CHAPTER_COLUMNS = ("chapter_code", "chapter_int", "chapter_name", "section_num", "section_name")
 
 
-def _has_files(path: str) -> bool:
-    if "://" in path:  # remote file systems: let the reader decide
-        return True
-    return bool(glob.glob(os.path.join(path, "*.csv")) or glob.glob(os.path.join(path, "**", "*.csv"),
-                                                                    recursive=True))
+def _has_files(spark: SparkSession, path: str) -> bool:
+    """CSV files in the folder or one below it, as the session's file system sees it."""
+    return path_exists(spark, f"{path}/*.csv") or path_exists(spark, f"{path}/*/*.csv")
 
 
 def _source(spark: SparkSession, path: str, columns, ordered: bool) -> DataFrame:
-    if _has_files(path):
-        return read_raw(spark, path, None, with_ingest_order=ordered)
+    if _has_files(spark, path):
+        return read_raw(spark, path, None, with_ingest_order=ordered, required=columns)
     log.warning("source not found: %s — using an empty frame", path)
     empty = spark.createDataFrame([], text_schema(columns))
     if ordered:
@@ -59,7 +55,7 @@ def landed_inputs(spark: SparkSession, raw_dir: str) -> RawInputs:
     ind = _source(spark, f"{root}/indicators", INDICATOR_COLUMNS, True)
     ind = ind.withColumn("_ing_seq", F.struct(*INGEST_ORDER)).drop(*INGEST_ORDER)
     chapters = (_source(spark, f"{root}/hs_chapters", CHAPTER_COLUMNS, False)
-                if _has_files(f"{root}/hs_chapters") else hs_chapters(spark))
+                if _has_files(spark, f"{root}/hs_chapters") else hs_chapters(spark))
     return RawInputs(
         reporter_flows=_source(spark, f"{root}/reporter", RAW_FLOW_COLUMNS, True),
         mirror_flows=_source(spark, f"{root}/mirror", RAW_FLOW_COLUMNS, True),

@@ -1,45 +1,49 @@
 """Incremental landing of raw flow files (S9, batch form).
 
-Files already landed are skipped (a manifest of landed paths is kept next to
-the output); new files are read with the all-text schema and appended. The
-file listing comes from the reader (driver-side, one entry per file); data
-never passes through the driver.
+Landed rows carry the path of their file, and that column is the manifest: files that
+already have rows are skipped by an anti-join, new rows are appended in one commit. A
+run that stops before the commit leaves nothing behind; one that stops after it has
+landed everything. Neither paths nor rows pass through the driver.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tradeweave.sources.files import RAW_FLOW_COLUMNS, read_raw
+from tradeweave.sources.files import INGEST_ORDER, RAW_FLOW_COLUMNS, align_lines, path_exists, raw_lines, text_schema
 
+_RUN = "_ing_run"
 
-def landed_files(spark: SparkSession, manifest: str) -> set[str]:
-    try:
-        return {r["path"] for r in spark.read.parquet(manifest).select("path").collect()}
-    except Exception:  # noqa: BLE001 — no manifest yet
-        return set()
+
+def _rows_path(out: str) -> str:
+    return f"{out.rstrip('/')}/rows"
+
+
+def _landed_schema(columns: Sequence[str]):
+    return text_schema(columns).add("_ing_file", "string").add("_ing_block", "long").add("_ing_row", "long").add(_RUN, "string")
 
 
 def land_incremental(spark: SparkSession, landing: str, out: str,
-                     columns: Sequence[str] = RAW_FLOW_COLUMNS) -> list[str]:
+                     columns: Sequence[str] = RAW_FLOW_COLUMNS) -> DataFrame:
     """Append the raw rows of not-yet-landed files under ``landing`` to ``out``.
 
-    Returns the newly landed paths. Rows of every file keep their ingest order
-    columns, so keep-first dedup over ``out`` sees file order.
+    Returns the newly landed paths (column ``path``). Columns are taken by the names in
+    each file's header; rows keep their ingest order columns, so keep-first
+    dedup over ``out`` sees file order.
     """
-    manifest = f"{out.rstrip('/')}/_manifest"
-    listing = read_raw(spark, landing, columns, with_ingest_order=False).inputFiles()
-    done = landed_files(spark, manifest)
-    new = sorted(p for p in listing if p not in done)
-    if not new:
-        return []
-    df: DataFrame = read_raw(spark, new, columns)
-    df.write.mode("append").parquet(f"{out.rstrip('/')}/rows")
-    spark.createDataFrame([(p,) for p in new], "path string").write.mode("append").parquet(manifest)
-    return new
-
-
-def landed_rows(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.parquet(f"{out.rstrip('/')}/rows")
+    lines, rows, run = raw_lines(spark, landing), _rows_path(out), uuid.uuid4().hex
+    if path_exists(spark, rows):
+        done = spark.read.schema(_landed_schema(columns)).parquet(rows).select("_ing_file").distinct()
+        lines = lines.join(done, "_ing_file", "left_anti")
+    new = align_lines(lines, columns, required=columns).select(*columns, *INGEST_ORDER, F.lit(run).alias(_RUN))
+    new.write.mode("append").parquet(rows)
+    landed = spark.read.schema(_landed_schema(columns)).parquet(rows).where(F.col(_RUN) == run)
+    return landed.select(F.col("_ing_file").alias("path")).distinct()
+
+
+def landed_rows(spark: SparkSession, out: str, columns: Sequence[str] = RAW_FLOW_COLUMNS) -> DataFrame:
+    return spark.read.schema(_landed_schema(columns)).parquet(_rows_path(out)).drop(_RUN)

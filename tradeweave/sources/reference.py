@@ -69,8 +69,14 @@ def dim_time(spark: SparkSession, lo: int, hi: int, periods=DEFAULT_PERIODS,
     return with_time_labels(years, periods, last)
 
 
-def dim_time_spanning(years_of: DataFrame, periods=DEFAULT_PERIODS, last: str = DEFAULT_LAST_PERIOD) -> DataFrame:
-    """Time dimension covering min..max of ``years_of.year`` (derived lazily, no collect)."""
-    bounds = years_of.agg(F.min("year").alias("lo"), F.max("year").alias("hi"))
-    years = bounds.select(F.explode(F.sequence("lo", "hi")).alias("year"))
-    return with_time_labels(years, periods, last)
+def dim_time_of(spark: SparkSession, *tables: DataFrame, years: tuple[int, int] | None = None,
+                periods=DEFAULT_PERIODS, last: str = DEFAULT_LAST_PERIOD) -> DataFrame:
+    """Time dimension of every year that occurs in the tables' ``year`` column, and of
+    the range ``years`` where one is given: no year of the data is left out."""
+    found = None
+    if years is not None:
+        found = spark.range(years[0], years[1] + 1, numPartitions=1).select(F.col("id").cast("int").alias("year"))
+    for t in tables:
+        own = t.select(F.col("year").cast("int").alias("year")).where(F.col("year").isNotNull()).distinct()
+        found = own if found is None else found.unionByName(own)
+    return with_time_labels(found.distinct(), periods, last)

@@ -14,11 +14,15 @@ Mapping (one raw flow record per line item):
   49 and 48 standing for the dirty codes ``TOTAL``, ``99`` and ``8471``;
 * flow code from (return flag, line status): A→M, N→X, R/F→RM, R/O→RX;
 * value = whole USD: the discounted price read in thousands; the mirror feed (reported by
-  the supplier nation, order year, sample years only) adds tax and swaps the
-  direction;
+  the supplier nation, order year) adds tax and swaps the direction;
 * partner ISO3 is missing for nations ≡ 4 (mod 5) and reporter ISO3 is
   lower-case and padded for nations ≡ 1 (mod 3), so both key-resolution
-  stages and code normalisation have work to do;
+  stages and code normalisation have work to do; nation 5 reports its mirror
+  flows under an ISO3 and a number that no country has;
+* dirt that landed files carry: values ``n/a``, ``NaN``, ``Infinity``, NULL, zero and
+  negative, an unknown flow, codes with a tab or as ``12.0``, a year that is none,
+  indicators whose first value or year does not parse, an aggregate and an unknown
+  ISO3, countries without a region. Every source row is there; only cells are shaped;
 * ingest order = (order key, line number, part, supplier, ship date, price),
   unique at every scale.
 """
@@ -34,8 +38,8 @@ from tradeweave.sources.reference import hs_chapters
 
 INGEST_ORDER = ("_ing_orderkey", "_ing_linenumber", "_ing_partkey", "_ing_suppkey", "_ing_shipdate", "_ing_price")
 
-#: Mirror feed sample years in the stand-in (every other year of the data).
-STANDIN_MIRROR_YEARS = (1995, 1997, 1999, 2001)
+#: Cells that are no plain positive number, by ``order key % 97``.
+ODD_VALUES = {0: "n/a", 1: "NaN", 2: "0", 3: "Infinity", 5: " 12.5 ", 6: "1e400"}
 
 
 @dataclass(frozen=True)
@@ -61,12 +65,32 @@ def iso3_of(nation: Column) -> Column:
 
 def _flow_code(returnflag: Column, linestatus: Column, mirror: bool) -> Column:
     imp, exp, reimp, reexp = ("X", "M", "RX", "RM") if mirror else ("M", "X", "RM", "RX")
-    return (F.when(returnflag == "A", imp).when(returnflag == "N", exp)
+    return (F.when(F.col("l_orderkey") % 101 == 0, "Q").when(returnflag == "A", imp).when(returnflag == "N", exp)
             .when(linestatus == "F", reimp).otherwise(reexp))
 
 
+def _number_text(n: Column) -> Column:
+    """The same number as plain text, with a tab in front, or as a decimal."""
+    t, k = n.cast("string"), F.col("l_orderkey") % 3
+    return F.when(k == 1, F.concat(F.lit("\t"), t)).when(k == 2, F.concat(t, F.lit(".0"))).otherwise(t)
+
+
+def _year_text(day: Column) -> Column:
+    year = F.year(day)
+    return F.when(F.col("l_orderkey") % 499 == 0, "20x0").otherwise(_number_text(year))
+
+
+def _value_text(value: Column) -> Column:
+    key = F.col("l_orderkey") % 97
+    out = F.when(key == 4, F.lit(None).cast("string")).when(key == 7, F.concat(F.lit("-"), value.cast("string")))
+    for k, text in ODD_VALUES.items():
+        out = out.when(key == k, text)
+    return out.otherwise(value.cast("string"))
+
+
 def _hs_code(brand: Column, size: Column) -> Column:
     return (F.when(size == 50, "TOTAL").when(size == 49, "99").when(size == 48, "8471")
+            .when(size == 47, F.lpad(size.cast("string"), 3, "\t"))
             .otherwise(F.substring_index(brand, "#", -1)))
 
 
@@ -78,11 +102,6 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _t(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     s = _t(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     p = _t(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size")
-    # A landed feed is many files read in parallel; the driver ships one file with
-    # one row group, so spread it like a multi-file landing: hash on a (nearly)
-    # unique key, so no hot order lands in one task; deterministic under retries,
-    # and AQE may coalesce small partitions.
-    li = li.repartition("l_orderkey", "l_linenumber", "l_partkey")
     return (li.join(o, li.l_orderkey == o.o_orderkey)
               .join(c, F.col("o_custkey") == c.c_custkey)
               .join(s, li.l_suppkey == s.s_suppkey)
@@ -111,33 +130,33 @@ def reporter_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rep, par = F.col("c_nationkey"), F.col("s_nationkey")
     rep_iso = F.when(rep % 3 == 1, F.concat(F.lit(" "), F.lower(iso3_of(rep)), F.lit(" "))).otherwise(iso3_of(rep))
     return lines.select(
-        F.year("l_shipdate").cast("string").alias("refYear"),
-        rep.cast("string").alias("reporterCode"),
+        _year_text(F.col("l_shipdate")).alias("refYear"),
+        _number_text(rep).alias("reporterCode"),
         rep_iso.alias("reporterISO"),
-        par.cast("string").alias("partnerCode"),
+        _number_text(par).alias("partnerCode"),
         F.when(par % 5 != 4, iso3_of(par)).alias("partnerISO"),
         *_common(lines)[:2],
         _flow_code(F.col("l_returnflag"), F.col("l_linestatus"), mirror=False).alias("flowCode"),
-        F.floor(F.col("l_extendedprice") * (1 - F.col("l_discount")) * 1000).cast("string").alias("primaryValue"),
+        _value_text(F.floor(F.col("l_extendedprice") * (1 - F.col("l_discount")) * 1000)).alias("primaryValue"),
         *_common(lines)[2:],
         *_ingest_cols(),
     )
 
 
-def mirror_flows(spark: SparkSession, sf_dir: str, years=STANDIN_MIRROR_YEARS) -> DataFrame:
+def mirror_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw flow records as reported by the partner (supplier) nation about the home nation."""
-    lines = _lines(spark, sf_dir).where(F.year("o_orderdate").isin(*years))
+    lines = _lines(spark, sf_dir)
     rep, par = F.col("s_nationkey"), F.col("c_nationkey")
     return lines.select(
-        F.year("o_orderdate").cast("string").alias("refYear"),
-        rep.cast("string").alias("reporterCode"),
-        iso3_of(rep).alias("reporterISO"),
-        par.cast("string").alias("partnerCode"),
+        _year_text(F.col("o_orderdate")).alias("refYear"),
+        F.when(rep == 5, "999").otherwise(_number_text(rep)).alias("reporterCode"),
+        F.when(rep == 5, "ZZX").otherwise(iso3_of(rep)).alias("reporterISO"),
+        _number_text(par).alias("partnerCode"),
         iso3_of(par).alias("partnerISO"),
         *_common(lines)[:2],
         _flow_code(F.col("l_returnflag"), F.col("l_linestatus"), mirror=True).alias("flowCode"),
-        F.floor(F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax")) * 1000)
-        .cast("string").alias("primaryValue"),
+        _value_text(F.floor(F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax")) * 1000))
+        .alias("primaryValue"),
         *_common(lines)[2:],
         *_ingest_cols(),
     )
@@ -153,7 +172,7 @@ def country_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.join(r, n.n_regionkey == r.r_regionkey).select(
         iso3_of(k).alias("iso3"),
         F.col("n_name").alias("name"),
-        F.col("r_name").alias("region"),
+        F.when(~k.isin(1, 2, 8), F.col("r_name")).alias("region"),
         income.alias("income_group"),
         F.concat(F.lit("X"), F.chr(65 + k)).alias("iso2"),
         F.lit(None).cast("string").alias("capital"),
@@ -174,15 +193,17 @@ def indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = _t(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     base = (o.join(c, o.o_custkey == c.c_custkey).join(n, F.col("c_nationkey") == n.n_nationkey))
     k = F.col("c_nationkey")
-    iso = F.when(k == 0, F.lit("WLD")).otherwise(iso3_of(k))
+    iso = F.when(k == 0, F.lit("WLD")).when(k == 9, F.lit("ZZX")).otherwise(iso3_of(k))
+    odd = F.col("o_orderkey") % 4
+    year = F.when(F.col("o_orderkey") % 53 == 0, "19x5").otherwise(F.year("o_orderdate").cast("string"))
     common = [iso.alias("country_iso3"), F.col("n_name").alias("country_name")]
     gdp = base.select(*common, F.lit("NY.GDP.MKTP.CD").alias("indicator"),
-                      F.year("o_orderdate").cast("string").alias("year"),
-                      F.col("o_totalprice").cast("string").alias("value"),
+                      year.alias("year"),
+                      F.when(odd == 1, "n/a").when(odd == 2, "NaN").otherwise(F.col("o_totalprice").cast("string")).alias("value"),
                       F.col("o_orderkey").alias("_ing_seq"))
     pop = base.select(*common, F.lit("SP.POP.TOTL").alias("indicator"),
-                      F.year("o_orderdate").cast("string").alias("year"),
-                      F.abs(F.col("c_acctbal")).cast("string").alias("value"),
+                      year.alias("year"),
+                      F.when(odd != 1, F.abs(F.col("c_acctbal")).cast("string")).alias("value"),
                       F.col("o_orderkey").alias("_ing_seq"))
     return gdp.unionByName(pop)
 

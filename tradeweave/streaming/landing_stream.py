@@ -21,34 +21,40 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tradeweave.constants import DEFAULT_DEDUP_KEYS
 from tradeweave.operators.clean import clean_flows
-from tradeweave.sources.files import INGEST_ORDER, RAW_FLOW_COLUMNS, text_schema
+from tradeweave.sources.files import INGEST_ORDER, RAW_FLOW_COLUMNS, align_lines, path_exists
+
+#: Files a merge writes per year at most.
+FILES_PER_YEAR = 16
 
 
 def merge_keep_first(batch: DataFrame, table: str, keys: Sequence[str] = DEFAULT_DEDUP_KEYS) -> None:
     """Append rows of ``batch`` (already clean) whose keys are not yet in ``table``."""
     spark = batch.sparkSession
-    try:
-        existing = spark.read.parquet(table)
-    except Exception:  # noqa: BLE001 — first batch creates the table
-        batch.write.mode("append").partitionBy("year").parquet(table)
+    # one evaluation of the batch; many years in few files each
+    out = batch.repartition("year", F.pmod(F.xxhash64(*keys), F.lit(FILES_PER_YEAR)))
+    if not path_exists(spark, table):
+        out.write.mode("append").partitionBy("year").parquet(table)
         return
-    years = batch.select("year").distinct()
-    old = existing.join(F.broadcast(years), "year", "left_semi").select(*keys)
-    cond = reduce(lambda a, b: a & b, [batch[k].eqNullSafe(old[k]) for k in keys])
-    batch.join(old, cond, "left_anti").write.mode("append").partitionBy("year").parquet(table)
+    existing = spark.read.schema(batch.schema).parquet(table)
+    years = batch.select(F.col("year").alias("_year")).distinct()
+    old = existing.join(years, F.col("year").eqNullSafe(F.col("_year")), "left_semi").select(*[F.col(k).alias(f"_old_{k}") for k in keys])
+    cond = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_old_{k}")) for k in keys])
+    out.join(old, cond, "left_anti").write.mode("append").partitionBy("year").parquet(table)
 
 
 def start_landing_stream(spark: SparkSession, landing: str, table: str, checkpoint: str,
                          keys: Sequence[str] = DEFAULT_DEDUP_KEYS, available_now: bool = True) -> StreamingQuery:
     """Stream raw CSV files from ``landing`` into the clean, deduplicated ``table``."""
-    raw = (spark.readStream.schema(text_schema(RAW_FLOW_COLUMNS)).option("header", True).csv(landing)
-           .select("*", F.col("_metadata.file_path").alias("_ing_file"),
+    raw = (spark.readStream.option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True).text(landing)
+           .select("value", F.col("_metadata.file_path").alias("_ing_file"),
                    F.col("_metadata.file_block_start").alias("_ing_block")))
 
     def process(batch: DataFrame, _epoch: int) -> None:
-        # row position inside each split, assigned on the static micro-batch
-        batch = batch.withColumn("_ing_row", F.monotonically_increasing_id())
-        merge_keep_first(clean_flows(batch, INGEST_ORDER, keys), table, keys)
+        # whole files per batch: each is read by its own header; row position inside each
+        # split, assigned on the static micro-batch
+        lines = batch.withColumn("_ing_row", F.monotonically_increasing_id())
+        aligned = align_lines(lines, RAW_FLOW_COLUMNS, required=RAW_FLOW_COLUMNS)
+        merge_keep_first(clean_flows(aligned, INGEST_ORDER, keys), table, keys)
 
     w = raw.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
