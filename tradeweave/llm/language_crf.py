@@ -7,7 +7,8 @@ language). Weights and transitions are learned together by maximum likelihood wi
 forward-backward on sequences of words from the sample, in which pieces of documents
 of different languages follow each other, so that switches are learned as well. A text's
 words get their marginals by forward-backward over the whole text; the language with the
-largest mean marginal is the text's, that mean is its score.
+largest mean marginal is the text's, that mean is its score (runs that touch a digit, as in
+keys and numbers, weigh ``DIGIT_WEIGHT``).
 
 Training sees a bounded sample: ``SAMPLE_DOCS`` labelled documents a language (those with the
 smallest hash, of at most ``SAMPLE_BYTES`` bytes each), ``MAX_LANGS`` languages (the most
@@ -40,6 +41,7 @@ TABLE_BITS = 15
 SEGMENT = 32
 ROUNDS = 30
 UNKNOWN = "und"
+DIGIT_WEIGHT = 0.05
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
@@ -76,6 +78,15 @@ def letter_runs(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return buf, start, end, np.searchsorted(start, bounds, side="left")
 
 
+def word_weights(buf: np.ndarray, bounds: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A word counts once, a run that touches a digit of its text (a piece of a key or number) hardly at all."""
+    digit = np.zeros(len(buf) + 2, dtype=bool)
+    digit[1:-1] = (buf >= 48) & (buf < 58)
+    edge = np.zeros(len(buf) + 1, dtype=bool)
+    edge[bounds] = True
+    return np.where((digit[start] & ~edge[start]) | (digit[end + 1] & ~edge[end]), DIGIT_WEIGHT, 1.0)
+
+
 def _slot(hashes: np.ndarray, kind: int) -> np.ndarray:
     """Rows of a feature kind in the weight table; kinds have a table of 2^TABLE_BITS rows each."""
     return ((hashes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLE_BITS)).astype(np.int64) + 1 + (kind << TABLE_BITS)
@@ -310,8 +321,8 @@ def sample_of(labelled: DataFrame, text: str, lang: str, key: str) -> tuple[list
     return got.column("text").to_pylist(), got.column("lang").to_pylist()
 
 
-def predict_languages(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text", spans: bool = True) -> DataFrame:
-    """key, lang_pred, score[, spans] of every row; spans are runs of words of one language
+def predict_languages(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text", spans: bool = True, with_text: bool = False) -> DataFrame:
+    """key, lang_pred, score[, spans][, text] of every row; spans are runs of words of one language
     (start and end as UTF-8 byte offsets)."""
     spark = docs.sparkSession
     python_ready(spark)
@@ -320,13 +331,15 @@ def predict_languages(docs: DataFrame, model: Model | None, key: str = "doc_id",
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("lang", T.StringType())]))
     if spans:
         schema = schema.add("spans", span)
+    if with_text:
+        schema = schema.add(rows.schema["text"])
     shared = spark.sparkContext.broadcast(model)  # a few MB: 3 * 2^TABLE_BITS rows of MAX_LANGS weights at most
     arrow_span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for at, col in parts(batch.column(1), 2 << 20):
+            for at, col in parts(batch.column(1), 1 << 20):
                 n = len(col)
                 letters = batch.column(2).slice(at, n).to_numpy(zero_copy_only=False).astype(bool)
                 name, score, runs = np.full(n, UNKNOWN, dtype=object), np.zeros(n), [[] for _ in range(n)]
@@ -337,7 +350,8 @@ def predict_languages(docs: DataFrame, model: Model | None, key: str = "doc_id",
                     p = marginals(word_scores(m, buf, start[one], end[one], distinct)[which], first, m.transitions)
                     has = np.flatnonzero(np.diff(first) > 0)
                     if len(has):
-                        mean = np.add.reduceat(p, first[:-1][has], axis=0, dtype=np.float64) / np.diff(first)[has][:, None]
+                        weight = word_weights(buf, byte_view(col)[1], start, end)
+                        mean = np.add.reduceat(p * weight[:, None], first[:-1][has], axis=0, dtype=np.float64) / np.add.reduceat(weight, first[:-1][has])[:, None]
                         best = mean.argmax(1)
                         ok = letters[has]
                         name[has[ok]] = np.array(m.langs, dtype=object)[best[ok]]
@@ -350,7 +364,8 @@ def predict_languages(docs: DataFrame, model: Model | None, key: str = "doc_id",
                                 edges = [a, *(np.flatnonzero(np.diff(word[a:b])) + a + 1).tolist(), b]
                                 runs[d] = [{"start": int(start[x] - bounds[d]), "end": int(end[y - 1] - bounds[d]), "lang": m.langs[word[x]]} for x, y in zip(edges, edges[1:])]
                 columns = [batch.column(0).slice(at, n), pa.array(name, pa.string()), pa.array(score)]
-                yield pa.RecordBatch.from_arrays(columns + ([pa.array(runs, arrow_span)] if spans else []), names=schema.fieldNames())
+                columns += ([pa.array(runs, arrow_span)] if spans else []) + ([col] if with_text else [])
+                yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
 
     return rows.mapInArrow(label, schema).withColumnRenamed("key", key)
 
