@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tradeweave.session import ensure_checkpoint_dir
 
 #: Largest dimension that may be numbered by one global window.
-DIM_MAX_ROWS = 1_000_000
+DIM_MAX_ROWS = 20_000
 #: Range partitions per shuffle partition.
 SPREAD = 4
 _PART, _POS = "_rk_part", "_rk_pos"

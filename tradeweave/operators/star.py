@@ -1,7 +1,7 @@
 """Star-schema load and referential checks.
 
-Dimensions are small (countries, chapters, years), so Spark joins them by broadcast;
-facts are never globally sorted: the optional
+Keyed dimensions (countries, chapters) are bounded by their numbering and joined by
+broadcast; facts are never globally sorted: the optional
 contiguous key (``keyed_facts``) comes from the range partitions of ``keys``.
 """
 
@@ -39,8 +39,9 @@ class Star:
     staging: dict[str, DataFrame] = field(default_factory=dict)
 
     def dim(self, name: str) -> DataFrame:
-        """Dimension to join; Spark broadcasts it where its size in bytes allows (at planning or by AQE)."""
-        return getattr(self, name)
+        """Dimension to join. The keyed ones have at most ``DIM_MAX_ROWS`` rows (their numbering
+        raises beyond), so they are broadcast; the time dimension is left to Spark."""
+        return getattr(self, name) if name == "dim_time" else F.broadcast(getattr(self, name))
 
     def tables(self) -> dict[str, DataFrame]:
         return {"dim_country": self.dim_country, "dim_commodity": self.dim_commodity,
@@ -120,11 +121,11 @@ def resolve_keys(flows: DataFrame, dim_country: DataFrame, dim_commodity: DataFr
                                   F.col("country_id").alias(f"_{role}_by_iso"))
         num_dim = num_keys.select(F.col("un_numeric").alias(f"_{role}_num_k"),
                                   F.col("country_id").alias(f"_{role}_by_num"))
-        f = f.join(iso_dim, F.col(f"_{role}_iso") == F.col(f"_{role}_iso_k"), "left")
-        f = f.join(num_dim,
+        f = f.join(F.broadcast(iso_dim), F.col(f"_{role}_iso") == F.col(f"_{role}_iso_k"), "left")
+        f = f.join(F.broadcast(num_dim),
                    (F.col(f"_{role}_num") == F.col(f"_{role}_num_k")) & F.col(f"_{role}_by_iso").isNull(), "left")
     com = dim_commodity.select(F.col("hs_chapter").alias("_hs_k"), F.col("commodity_id"))
-    f = f.join(com,
+    f = f.join(F.broadcast(com),
                F.lpad(strip(_col(flows, "hs_code")), 2, "0") == F.col("_hs_k"), "left")
     return f.select(
         F.col("year").cast("int").alias("year"),
@@ -191,7 +192,7 @@ def load_country_stats(stats: DataFrame, dim_country: DataFrame, dim_time: DataF
     s = stats.where(F.col("country_iso3").isNotNull() & F.col("year").isNotNull())
     dc = dim_country.select(F.col("iso3_code").alias("_iso_k"), "country_id")
     dt = dim_time.select(F.col("year").alias("_year_k"))
-    j = (s.join(dc, norm_code("country_iso3") == F.col("_iso_k"))
+    j = (s.join(F.broadcast(dc), norm_code("country_iso3") == F.col("_iso_k"))
           .join(dt, F.col("year") == F.col("_year_k")))
     row = F.struct(try_number(F.col("gdp_usd")).alias("gdp_usd"),
                    try_number(F.col("population")).alias("population"),
@@ -205,7 +206,7 @@ def unmatched_keys(stats: DataFrame, dim_country: DataFrame) -> DataFrame:
     """Distinct stats ISO3 codes with no country in the dimension."""
     dc = dim_country.select(F.col("iso3_code").alias("_iso_k"))
     miss = stats.where(F.col("country_iso3").isNotNull()).join(
-        dc, norm_code("country_iso3") == F.col("_iso_k"), "left_anti")
+        F.broadcast(dc), norm_code("country_iso3") == F.col("_iso_k"), "left_anti")
     return miss.agg(F.count_distinct("country_iso3").alias("unmatched_iso3"))
 
 

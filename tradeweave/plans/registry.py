@@ -47,7 +47,7 @@ PARAMS = {
 _klo, _khi = PARAMS["kpi_years"]
 RANGE = TradeFilter(year_min=_klo, year_max=_khi)
 #: One chapter and partner that the stand-in data have, and that chapter's section.
-CHAPTER, PARTNER = "55", 3
+CHAPTER, PARTNER = "19", 19
 SECTION = next(name for low, high, _code, name in HS_SECTIONS if low <= int(CHAPTER) <= high)
 
 

@@ -8,8 +8,10 @@ queries run in production: the load happens once, queries prune by year.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import time
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -87,9 +89,16 @@ def build_star(spark: SparkSession, raw: standin.RawInputs, cfg: PipelineConfig
     return star_from_stage(spark, clean_stage(raw, cfg), cfg, raw)
 
 
+#: Plans per session, gone with the session object.
+_STARS: WeakKeyDictionary[SparkSession, dict[str, S.Star]] = WeakKeyDictionary()
+
+
 def standin_star(spark: SparkSession, sf_dir: str) -> S.Star:
-    """Star over the stand-in inputs of ``sf_dir``, as lazy plans."""
-    return build_star(spark, standin.load_raw_inputs(spark, sf_dir), STANDIN_CONFIG)
+    """Star over the stand-in inputs of ``sf_dir``, as lazy plans (analysed once per session)."""
+    stars, key = _STARS.setdefault(spark, {}), sf_dir.rstrip("/")
+    if key not in stars:
+        stars[key] = build_star(spark, standin.load_raw_inputs(spark, sf_dir), STANDIN_CONFIG)
+    return stars[key]
 
 
 def checkpoint_root(spark: SparkSession) -> str | None:
@@ -101,24 +110,32 @@ STAGING_TABLES = ("trade_flows", "mirror_flows", "country_stats", "hs_chapters",
 
 
 def load_warehouse(spark: SparkSession, raw: standin.RawInputs, path: str, cfg: PipelineConfig = PipelineConfig(),
-                   num_partitions: int | None = None) -> S.Star:
+                   num_partitions: int | None = None, times: dict[str, float] | None = None) -> S.Star:
     """Batch load into ``path`` (a shared folder): clean staging tables are written
     first, so key resolution, fact keys and the fact writes all start from
-    Parquet instead of recomputing the cleaning; facts are partitioned by year."""
+    Parquet instead of recomputing the cleaning; facts are partitioned by year. ``times``
+    gets the seconds of every step."""
+    def timed(step: str, write: Callable[[], None]) -> None:
+        began = time.time()
+        write()
+        if times is not None:
+            times[step] = round(time.time() - began, 3)
+
     for name, df in clean_stage(raw, cfg).items():
-        df.write.mode("overwrite").parquet(f"{path}/staging/{name}")
+        timed(f"load/clean_{name}", lambda df=df, name=name: df.write.mode("overwrite").parquet(f"{path}/staging/{name}"))
     stage = {name: spark.read.parquet(f"{path}/staging/{name}") for name in STAGING_TABLES}
     star = star_from_stage(spark, stage, cfg, raw)
     for name, df in (("dim_country", star.dim_country), ("dim_commodity", star.dim_commodity),
                      ("dim_time", star.dim_time), ("fact_country_stats", star.fact_country_stats)):
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
-    S.with_fact_key(star.fact_trade, 0, num_partitions) \
-        .write.mode("overwrite").partitionBy("year").parquet(f"{path}/fact_trade")
+        timed(f"load/{name}", lambda df=df, name=name: df.write.mode("overwrite").parquet(f"{path}/{name}"))
+    timed("load/fact_trade", lambda: S.with_fact_key(star.fact_trade, 0, num_partitions)
+          .write.mode("overwrite").partitionBy("year").parquet(f"{path}/fact_trade"))
     fact = spark.read.schema(S.FACT_SCHEMA).parquet(f"{path}/fact_trade")
-    S.with_mirror_key(star.fact_mirror_trade, num_partitions) \
-        .write.mode("overwrite").partitionBy("year").parquet(f"{path}/fact_mirror_trade")
+    timed("load/fact_mirror_trade", lambda: S.with_mirror_key(star.fact_mirror_trade, num_partitions)
+          .write.mode("overwrite").partitionBy("year").parquet(f"{path}/fact_mirror_trade"))
     # the cube is small: one file per year
-    trade_cube(fact).repartition("year").write.mode("overwrite").partitionBy("year").parquet(f"{path}/trade_cube")
+    timed("load/trade_cube", lambda: trade_cube(fact).repartition("year")
+          .write.mode("overwrite").partitionBy("year").parquet(f"{path}/trade_cube"))
     return read_star(spark, path, {k: v for k, v in star.staging.items() if k.startswith("raw_")})
 
 

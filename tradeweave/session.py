@@ -26,10 +26,16 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; only when unset (tests) make a scratch one."""
+    """The shared folder of the cluster's ``spark.checkpoint.dir``.
+
+    Where it is unset a local session (tests) gets a scratch folder; on a cluster that is
+    an error, because other executors could not read what one of them wrote.
+    """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         current = tempfile.mkdtemp(prefix="tradeweave-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
+        spark.sparkContext.setCheckpointDir(current)
     return current
