@@ -17,6 +17,7 @@ import re
 import sys
 import time
 import uuid
+from dataclasses import replace
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -37,6 +38,7 @@ def main() -> None:
     times: dict[str, float] = {}
     # each step of the load by itself: cleaning, dimensions, keyed facts, cube
     wh = load_warehouse(spark, load_raw_inputs(spark, sf_dir), out, STANDIN_CONFIG, times=times)
+    wh = replace(wh, source_dir=sf_dir)
     for name, impl in ON_STAR.items():
         t = time.time()
         impl(wh).write.format("noop").mode("overwrite").save()

@@ -37,6 +37,8 @@ class Star:
     fact_mirror_trade: DataFrame
     fact_country_stats: DataFrame
     staging: dict[str, DataFrame] = field(default_factory=dict)
+    #: Folder of the tables that the stand-in inputs are shaped from ('' for landed inputs).
+    source_dir: str = ""
 
     def dim(self, name: str) -> DataFrame:
         """Dimension to join. The keyed ones have at most ``DIM_MAX_ROWS`` rows (their numbering

@@ -26,6 +26,8 @@ from tradeweave.plans.warehouse import standin_star
 from tradeweave.session import ensure_checkpoint_dir
 from tradeweave.sources.files import RAW_FLOW_COLUMNS
 from tradeweave.sources.landing import land_incremental, landed_rows
+from tradeweave.sources.payloads import flatten_countries, flatten_indicator
+from tradeweave.sources.standin import iso3_of
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 StarFn = Callable[["Star"], DataFrame]
@@ -910,3 +912,44 @@ def s9_landed_rows(s):
     return rows.groupBy(F.col("refYear").alias("ref_year"), F.col("flowCode").alias("flow_code")).agg(
         F.count(F.lit(1)).alias("rows"), F.count("primaryValue").alias("with_value"), F.count("partnerISO").alias("with_partner"),
         F.count_distinct("cmdCode").alias("hs_codes"))
+
+
+def _payload_folder(pages: DataFrame, name: str) -> str:
+    """One file per API page: ``page`` and its ``records`` (JSON array) in the landed form, and one page that is an error."""
+    spark = pages.sparkSession
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    text = F.concat(F.lit('[{"page":'), F.col("page").cast("string"), F.lit("},"), F.col("records"), F.lit("]"))
+    bad = spark.range(1).select(F.lit(-1).cast("long").alias("page"), F.lit('{"message":"error"}').alias("value"))
+    out = pages.select(F.col("page").cast("long").alias("page"), text.alias("value")).unionByName(bad)
+    out.repartition("page").write.partitionBy("page").text(root)
+    return root
+
+
+@register("s7_indicator_payload", O.with_base(f"""
+SELECT {O.iso('c_nationkey')} AS country_iso3, n_name AS country_name, CAST(year(o_orderdate) AS VARCHAR) AS year, COUNT(*) AS rows,
+    COUNT(*) FILTER (WHERE o_orderkey % 11 <> 0) AS with_value, MAX(o_totalprice) FILTER (WHERE o_orderkey % 11 <> 0) AS highest
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY c_nationkey, n_name, year(o_orderdate)"""))
+def s7_indicator_payload(s):
+    """Orders rendered as pages of an indicator API (a record per order, some without a value), flattened."""
+    spark, sf_dir = s.dim_country.sparkSession, s.source_dir
+    o, c, n = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "customer", "nation"))
+    rows = o.join(c, o.o_custkey == c.c_custkey).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    record = F.struct(iso3_of(F.col("c_nationkey")).alias("countryiso3code"), F.struct(F.col("n_name").alias("value")).alias("country"),
+                      F.year("o_orderdate").cast("string").alias("date"), F.when(F.col("o_orderkey") % 11 != 0, F.col("o_totalprice")).alias("value"))
+    pages = rows.groupBy(F.floor(F.col("o_orderkey") / 2000).alias("page")).agg(F.to_json(F.collect_list(record)).alias("records"))
+    flat = flatten_indicator(spark, _payload_folder(pages, "indicator"), "NY.GDP.MKTP.CD")
+    return flat.groupBy("country_iso3", "country_name", "year").agg(
+        F.count(F.lit(1)).alias("rows"), F.count("value").alias("with_value"), F.max("value").alias("highest"))
+
+
+@register("s8_country_payload", O.with_base("""
+SELECT iso3, name, region, income_group, iso2, capital, CAST(longitude AS VARCHAR) AS longitude, CAST(latitude AS VARCHAR) AS latitude,
+    CASE iso3 WHEN 'N03' THEN '33' WHEN 'N07' THEN '77' END AS un_numeric FROM cm_raw"""))
+def s8_country_payload(s):
+    """Nations rendered as pages of a country API, flattened with the numeric-code override."""
+    c = s.staging["raw_countries"]
+    record = F.struct(
+        F.col("iso3").alias("id"), "name", F.struct(F.col("region").alias("value")).alias("region"), F.struct(F.col("income_group").alias("value")).alias("incomeLevel"),
+        F.col("iso2").alias("iso2Code"), F.col("capital").alias("capitalCity"), "longitude", "latitude")
+    pages = c.groupBy((F.xxhash64("iso3") % 3).alias("page")).agg(F.to_json(F.collect_list(record)).alias("records"))
+    return flatten_countries(c.sparkSession, _payload_folder(pages.withColumn("page", F.col("page") + 3), "countries"), {"N03": 33, "N07": 77})

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
@@ -97,7 +97,7 @@ def standin_star(spark: SparkSession, sf_dir: str) -> S.Star:
     """Star over the stand-in inputs of ``sf_dir``, as lazy plans (analysed once per session)."""
     stars, key = _STARS.setdefault(spark, {}), sf_dir.rstrip("/")
     if key not in stars:
-        stars[key] = build_star(spark, standin.load_raw_inputs(spark, sf_dir), STANDIN_CONFIG)
+        stars[key] = replace(build_star(spark, standin.load_raw_inputs(spark, sf_dir), STANDIN_CONFIG), source_dir=key)
     return stars[key]
 
 
