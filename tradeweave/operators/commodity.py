@@ -54,7 +54,9 @@ def section_kpis(star: Star, f: TradeFilter = TradeFilter()) -> DataFrame:
     change between them (prior year counts only inside the range; computed on
     the rounded billions, as displayed)."""
     lo, hi = year_range(star, f)
-    j = _section_rows(star, f.with_(year_min=lo, year_max=hi))
+    rows = _section_rows(star, f.with_(year_min=lo, year_max=hi))
+    # distinct counts over one row per (section, chapter, partner, year), not over all facts
+    j = rows.groupBy("section_name", "hs_chapter", "partner_id", "year").agg(F.sum(_V()).alias("trade_value_usd"))
     g = j.groupBy("section_name").agg(
         _b(F.sum(_V())).alias("total_b"),
         F.count_distinct("hs_chapter").cast("long").alias("chapter_count"),

@@ -75,9 +75,11 @@ def value_box(dist: DataFrame) -> DataFrame:
 
 def flow_report(flows: DataFrame, label: str) -> DataFrame:
     """D2 (flat): rows, year range, distinct partner and HS codes of a clean flow table."""
-    return flows.agg(
+    # distinct counts over one row per (year, partner, chapter), not over all flows
+    keys = flows.groupBy("year", "partner_code", "hs_code").agg(F.count(F.lit(1)).alias("n"))
+    return keys.agg(
         F.lit(label).alias("source"),
-        F.count(F.lit(1)).alias("total_rows"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_rows"),
         F.min("year").alias("year_min"), F.max("year").alias("year_max"),
         F.count_distinct("partner_code").cast("long").alias("unique_partners"),
         F.count_distinct("hs_code").cast("long").alias("unique_hs_codes"),
