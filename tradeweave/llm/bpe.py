@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -59,9 +60,8 @@ class IdEncoder:
     def __init__(self, path: str) -> None:
         import tiktoken
         from public_tokenizers import PATTERN
-        from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -69,6 +69,13 @@ class IdEncoder:
         ranks = {bytes(alphabet[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
         self.fast = tiktoken.Encoding("byte_level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
+    @cached_property
+    def library(self):
+        """Loaded where a long run needs it; workers keep what they load."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     @classmethod
     def shared(cls, path: str) -> IdEncoder:
         if path not in cls._shared:

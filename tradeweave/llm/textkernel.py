@@ -72,7 +72,7 @@ def byte_view(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8)[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def parts(col: pa.Array, max_bytes: int = 4 << 20) -> Iterator[tuple[int, pa.Array]]:
+def parts(col: pa.Array, max_bytes: int = 1 << 20) -> Iterator[tuple[int, pa.Array]]:
     """(first row, rows) slices of at most ``max_bytes`` of text; a longer text is a slice of its own."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
