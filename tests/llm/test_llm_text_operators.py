@@ -17,7 +17,7 @@ from tradeweave.llm.language_crf import UNKNOWN, language_model, marginals, pred
 from tradeweave.llm.merge_dropout import Encoder, Pieces, agenda, decode_ids, encode_with_dropout, segment
 from tradeweave.llm.quality_rules import quality_rules
 from tradeweave.llm.queries import QUERIES
-from tradeweave.llm.secret_forest import FEATURES, candidate_spans, find_secrets, fit_forest, redact
+from tradeweave.llm.secret_forest import FEATURES, candidate_spans, find_secrets, fit_forest, language_of, redact
 
 SF = "/root/testdata/sf0.01"
 SCHEMA = "doc_id long, text string, lang string, source string, quality string"
@@ -246,3 +246,21 @@ def test_forest_separates_what_is_separable():
     y = ((x[:, 3] > 0.5) & (x[:, 7] < 0.6)).astype(float)
     forest = fit_forest(x[:400], y[:400])
     assert ((forest.predict(x[400:]) > 0.5) == (y[400:] > 0)).mean() > 0.9
+
+
+def test_dictionary_and_letter_pairs_are_of_all_documents(spark):
+    """Long texts, late words and rare languages count; words of more than the former 20 000 are kept."""
+    def word(i):
+        return "".join(chr(97 + i // 26**k % 26) for k in range(4)) + "word"
+
+    texts = [" ".join(word(i) for i in range(d, 30_000, 2)) for d in (0, 1, 0, 1)] + ["zyx12abc zyx12abc", "zyx12abc", "Zqzq zqzq", "never"] + ["filler"] * 2000
+    language = language_of(spark.createDataFrame([(t,) for t in texts] + [(None,)], "text string"))
+    assert language.knows([word(i).encode() for i in range(30_000)]).all()
+    assert language.knows([b"filler", b"zyx", b"abc", b"zqzq", b"never"]).tolist() == [True, False, False, False, False]
+    counts = np.ones((27, 27))
+    for t in texts:
+        for w in re.findall("[a-z]+", t.lower()):
+            for x, y in zip(w, w[1:]):
+                counts[ord(x) - 97, ord(y) - 97] += 1
+    assert np.allclose(language.pairs, np.log(counts / counts.sum(1, keepdims=True)))
+    assert language.covered(b"filler9fillerzqz_abaaword+") == 6 + 6 + 8

@@ -10,8 +10,10 @@ or address around it, words such as "test" in the document's path) and neighbour
 The forest is fitted on labelled findings, at most ``MAX_LABELLED`` of them, drawn by hash.
 A caller may bring a table of them; else ``rule_label`` labels the clear cases among the
 candidates (a known key format or a key assigned to a credential's name; plain numbers,
-words, paths, placeholders), and the forest decides all. Letter pairs and the dictionary are
-those of ``SAMPLE_DOCS`` documents drawn by hash. The model is small, whatever the corpus.
+words, paths, placeholders), and the forest decides all. Letter pairs are counted over all
+words of all documents; the dictionary holds every word that stands by itself (no digit or
+key character beside it) in at least two documents and in one of ``1 / MIN_SHARE``, kept as
+64-bit hashes: at most (distinct words a document) / ``MIN_SHARE`` of them, whatever the corpus.
 
 Defined results: null and empty texts have no candidates; repeated rows give repeated
 findings; keys may be null; an empty table gives no rows; with fewer than ``MIN_EACH`` findings
@@ -24,7 +26,6 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -33,15 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import python_ready, staged, text_or_empty
-from .textkernel import byte_view, parts
+from .textkernel import byte_view, parts, span_hashes
 
 MIN_LENGTH = 16
 MIN_ASSIGNED = 8
 MAX_LABELLED = 20_000
 MIN_EACH = 10
-SAMPLE_DOCS = 1_000
-SAMPLE_BYTES = 65_536
-MAX_DICTIONARY = 20_000
+MIN_SHARE = 1e-5
+HELD_WORDS = 500_000
 CONTEXT = 48
 TREES, DEPTH, LEAF = 40, 8, 3
 THRESHOLD = 0.5
@@ -64,6 +64,10 @@ _WORD = re.compile(rb"[A-Za-z\x80-\xff]+")
 
 _KEY = np.zeros(256, dtype=bool)
 _KEY[[*range(48, 58), *range(65, 91), *range(97, 123), *b"+/_=-"]] = True
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
+_BESIDE = np.zeros(256, dtype=bool)
+_BESIDE[[*range(48, 58), *b"+/_="]] = True
 _CLASS = np.full(256, 3, dtype=np.int8)
 _CLASS[48:58], _CLASS[65:91], _CLASS[97:123] = 0, 1, 2
 
@@ -76,21 +80,62 @@ FEATURES = [
 
 class Language(NamedTuple):
     pairs: np.ndarray  # log probability of the next letter, 27 by 27 (26: anything else)
-    dictionary: frozenset
-
-
-def learn_language(texts: list[str]) -> Language:
-    """Letter pairs and dictionary of a bounded sample of texts."""
-    counts, seen = np.ones((27, 27)), Counter()
-    for t in texts:
-        words = _WORD.findall(t.encode().lower())
-        seen.update(set(words))
-        for w in words[:5000]:
-            a = np.frombuffer(w, np.uint8).astype(np.int64) - 97
-            a[(a < 0) | (a > 25)] = 26
-            np.add.at(counts, (a[:-1], a[1:]), 1)
-    common = sorted((w for w, n in seen.items() if len(w) >= 3 and n >= 2), key=lambda w: (-seen[w], w))
-    return Language(np.log(counts / counts.sum(1, keepdims=True)), frozenset(common[:MAX_DICTIONARY]))
+    dictionary: np.ndarray  # sorted word hashes
+
+    def knows(self, words: list[bytes]) -> np.ndarray:
+        """Which of the words are in the dictionary?"""
+        if not words or not len(self.dictionary):
+            return np.zeros(len(words), dtype=bool)
+        ends = np.cumsum([len(w) for w in words])
+        hashes = span_hashes(np.frombuffer(b"".join(words), np.uint8), np.append(0, ends[:-1]), ends)
+        return self.dictionary[np.minimum(np.searchsorted(self.dictionary, hashes), len(self.dictionary) - 1)] == hashes
+
+    def covered(self, raw: bytes) -> int:
+        """Bytes that the longest dictionary words, taken from the left of each run of letters, cover."""
+        buf, best = np.frombuffer(raw, np.uint8), np.zeros(len(raw), dtype=np.int64)
+        left = np.zeros(len(raw), dtype=np.int64)  # letters from here to the end of the run
+        for m in _WORD.finditer(raw):
+            left[m.start() : m.end()] = np.arange(m.end() - m.start(), 0, -1)
+        for width in range(3, min(24, int(left.max(initial=0))) + 1):
+            at = np.flatnonzero(left >= width)
+            if not len(self.dictionary):
+                break
+            hashes = span_hashes(buf, at, at + width)
+            best[at[self.dictionary[np.minimum(np.searchsorted(self.dictionary, hashes), len(self.dictionary) - 1)] == hashes]] = width
+        at = total = 0
+        for start in np.flatnonzero(best).tolist():
+            if start >= at:
+                at = start + int(best[start])
+                total += int(best[start])
+        return total
+
+
+def count_words(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of words, the number of texts that hold each by itself, letter pairs of all words 27 by 27)."""
+    buf, bounds = byte_view(col)
+    low = np.where((buf >= 65) & (buf < 91), buf + 32, buf).astype(np.uint8)
+    inside = np.zeros(len(buf) + 2, dtype=bool)
+    inside[1:-1] = _LETTER[buf]
+    edge = np.zeros(len(buf) + 1, dtype=bool)
+    edge[bounds] = True
+    start = np.flatnonzero(inside[1:-1] & (~inside[:-2] | edge[:-1]))
+    end = np.flatnonzero(inside[1:-1] & (~inside[2:] | edge[1:])) + 1
+    letters = low.astype(np.int64) - 97
+    letters[(letters < 0) | (letters > 25)] = 26
+    both = np.flatnonzero(inside[1:-2] & inside[2:-1] & ~edge[1:-1]) if len(buf) > 1 else np.zeros(0, np.int64)
+    pairs = np.bincount(letters[both] * 27 + letters[both + 1], minlength=27 * 27)
+    beside = np.zeros(len(buf) + 2, dtype=bool)
+    beside[1:-1] = _BESIDE[buf]
+    alone = (end - start >= 3) & ~(beside[start] & ~edge[start]) & ~(beside[end + 1] & ~edge[end])
+    start, end = start[alone], end[alone]
+    hashes = span_hashes(low, start, end)
+    text_of = np.searchsorted(bounds, start, side="right") - 1
+    order = np.lexsort((text_of, hashes))
+    hashes, text_of = hashes[order], text_of[order]
+    new = np.ones(len(hashes), dtype=bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (text_of[1:] != text_of[:-1])
+    words, times = np.unique(hashes[new], return_counts=True)
+    return words, times, pairs
 
 
 def candidate_spans(buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,20 +175,10 @@ def features_of(text: bytes, a: int, b: int, path: bytes, language: Language) ->
     p = counts[counts > 0] / n
     letters = np.frombuffer(c.lower(), np.uint8).astype(np.int64) - 97
     letters[(letters < 0) | (letters > 25)] = 26
-    runs = _WORD.findall(c.lower())
-    covered = 0
-    for w in runs:  # longest dictionary words from the left
-        at = 0
-        while at < len(w):
-            for m in range(min(len(w) - at, 24), 2, -1):
-                if w[at : at + m] in language.dictionary:
-                    covered += m
-                    at += m
-                    break
-            else:
-                at += 1
+    covered = language.covered(c.lower())
     before, after = text[max(0, a - CONTEXT) : a], text[b : b + CONTEXT]
     previous, following = _WORD.findall(before.lower()), _WORD.findall(after.lower())
+    known_before, known_after = (bool(x) and bool(language.knows(x)[0]) for x in (previous[-1:], following[:1]))
     line = before.rpartition(b"\n")[2]
     around = (before.rsplit(None, 1)[-1] if before and not before[-1:].isspace() else b"") + c + (after.split(None, 1)[0] if after and not after[:1].isspace() else b"")
     known = next((k for k, r in _FORMATS.items() if r.fullmatch(c)), "")
@@ -154,7 +189,7 @@ def features_of(text: bytes, a: int, b: int, path: bytes, language: Language) ->
         float(-(p * np.log2(p)).sum()), float(language.pairs[letters[:-1], letters[1:]].mean()) if n > 1 else 0, covered / n,
         bool(re.fullmatch(rb"[0-9a-f]+|[0-9A-F]+", c)), (counts > 0).sum() / n, c.count(b"/"), bool(re.search(rb"://|www\.|@|\.(?:com|org|net|html?)\b", around)) or around.startswith(b"/"),
         bool(_HARMLESS.search(path)), quoted, assigned, bool(_CREDENTIAL.search(line[-24:])), bool(_CREDENTIAL.search(before) or _CREDENTIAL.search(after)),
-        bool(previous and previous[-1] in language.dictionary), bool(following and following[0] in language.dictionary), len(previous) + len(following), bool(known), bool(_PLACEHOLDER.search(c)),
+        known_before, known_after, len(previous) + len(following), bool(known), bool(_PLACEHOLDER.search(c)),
     ]
     return [float(v) for v in values], known or ("hex" if values[9] else "mixed")
 
@@ -233,8 +268,47 @@ def _drawn(df: DataFrame, most: int, *by: str) -> DataFrame:
 
 
 def language_of(docs: DataFrame, text: str = "text") -> Language:
-    rows = docs.select(F.col(text).alias("text"), F.octet_length(text).alias("n")).filter(F.col("n").between(1, SAMPLE_BYTES))
-    return learn_language([r["text"] for r in _drawn(rows.select("text"), SAMPLE_DOCS, "text").collect()])  # bounded: SAMPLE_DOCS
+    """Letter pairs and dictionary of all documents: counted in each task, added up by word."""
+    python_ready(docs.sparkSession)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, texts = np.zeros(27 * 27, dtype=np.int64), 0
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            words, at = np.unique(np.concatenate([w for w, _ in held]), return_inverse=True)
+            return words, np.bincount(at, weights=np.concatenate([n for _, n in held])).astype(np.int64)
+
+        def rows(kind: str, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([kind] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(counts, pa.int64())], names=["kind", "item", "n"])
+
+        for batch in batches:
+            for _, col in parts(batch.column(0)):
+                words, times, more = count_words(col)
+                pairs += more
+                texts += len(col)
+                held.append((words, times))
+                if sum(len(w) for w, _ in held) > HELD_WORDS:
+                    held = [merged()]
+                    if len(held[0][0]) > HELD_WORDS // 2:
+                        yield rows("word", *held.pop())
+        if held:
+            yield rows("word", *merged())
+        yield rows("pair", np.arange(27 * 27), pairs)
+        yield rows("texts", np.zeros(1, np.int64), np.array([texts]))
+
+    counted = docs.select(text_or_empty(text).alias("text")).mapInArrow(count, "kind string, item long, n long")
+    # a word of one text is never kept
+    total = staged(counted.groupBy("kind", "item").agg(F.sum("n").alias("n")).filter("kind <> 'word' OR n >= 2"), "words")
+    pairs, texts = np.ones(27 * 27), 0
+    for r in total.filter("kind <> 'word'").collect():  # 730 rows
+        if r["kind"] == "pair":
+            pairs[r["item"]] += r["n"]
+        else:
+            texts = r["n"]
+    pairs = pairs.reshape(27, 27)
+    common = total.filter((F.col("kind") == "word") & (F.col("n") >= max(2, texts * MIN_SHARE))).select("item").toArrow()
+    return Language(np.log(pairs / pairs.sum(1, keepdims=True)), np.sort(common.column(0).to_numpy().astype(np.int64).view(np.uint64)))
 
 
 def secret_candidates(docs: DataFrame, language: Language, key: str = "doc_id", text: str = "text", path: str | None = "source") -> DataFrame:
