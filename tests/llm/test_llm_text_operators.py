@@ -17,7 +17,7 @@ from tradeweave.llm.language_crf import UNKNOWN, language_model, marginals, pred
 from tradeweave.llm.merge_dropout import Encoder, Pieces, agenda, decode_ids, encode_with_dropout, segment
 from tradeweave.llm.quality_rules import quality_rules
 from tradeweave.llm.queries import QUERIES
-from tradeweave.llm.secret_forest import FEATURES, candidate_spans, find_secrets, fit_forest, language_of, redact
+from tradeweave.llm.secret_forest import FEATURES, Language, candidate_spans, features_of, find_secrets, fit_forest, language_of, redact, rule_label
 
 SF = "/root/testdata/sf0.01"
 SCHEMA = "doc_id long, text string, lang string, source string, quality string"
@@ -264,3 +264,34 @@ def test_dictionary_and_letter_pairs_are_of_all_documents(spark):
                 counts[ord(x) - 97, ord(y) - 97] += 1
     assert np.allclose(language.pairs, np.log(counts / counts.sum(1, keepdims=True)))
     assert language.covered(b"filler9fillerzqz_abaaword+") == 6 + 6 + 8
+
+
+def found_in(text):
+    raw = np.frombuffer(text.encode(), np.uint8)
+    start, end = candidate_spans(raw, np.array([0, len(raw)]))
+    return [raw[a:b].tobytes().decode() for a, b in zip(start, end)]
+
+
+AWS, GITHUB = "AKIA" + "Q3EGRTZ5X7YL2PWN", "ghp_" + "a1B2c3D4e5F6g7H8i9J0k1L2m3N4o5P6q7R8"
+
+
+@pytest.mark.parametrize("text, value", [
+    (f"AWS_ACCESS_KEY_ID={AWS}\nA=1", AWS), (f"export TOKEN={GITHUB}", GITHUB), (f"https://h.io/cb?token={GITHUB}&page=2", GITHUB), (f"note/{GITHUB}-x", GITHUB),
+    ("db:\n  password: hunter22\n  host: h", "hunter22"), ("PASSWORD=p@ss!w#r$d.9", "p@ss!w#r$d.9"), ("api_key: 'a.b!c@d#'", "a.b!c@d#"), ('"secret" : "äß9!xyzw",', "äß9!xyzw"),
+    ("DB_PWD = s3cr3t99, then", "s3cr3t99"), ("Authorization: Bearer 7dhg3.kd82_x", "7dhg3.kd82_x"), ("x eyJhbGciOiJI.eyJzdWIiOiIx.c2lnbmF0dXJl y", "eyJhbGciOiJI.eyJzdWIiOiIx.c2lnbmF0dXJl"),
+    ("session_id=0123456789abcdef0123", "0123456789abcdef0123"), ("sum 0123456789abcdefgh==", "0123456789abcdefgh=="),
+])
+def test_values_are_whole_candidates(text, value):
+    assert found_in(text) == [value]
+
+
+def test_env_url_and_yaml_secrets_are_labelled():
+    language = Language(np.full((27, 27), np.log(1 / 27)), np.zeros(0, np.uint64))
+    for text in (f"AWS_ACCESS_KEY_ID={AWS}", f"export TOKEN={GITHUB}", f"/cb?token={GITHUB}&page=2", f"k: x/{GITHUB}", "password: hunter22x9", "PASSWORD=p@9s!w#r$d.9"):
+        raw = text.encode()
+        ((a, b),) = zip(*candidate_spans(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])))
+        assert rule_label(features_of(raw, int(a), int(b), b"", language)[0]) == 1, text
+    assert found_in("the author: Johnathan, a token of thanks; password: none") == []
+    # texts stay apart: no value across a boundary
+    raw = np.frombuffer(b"token: " + b"abcdefgh1", np.uint8)
+    assert len(candidate_spans(raw, np.array([0, 7, 16]))[0]) == 0

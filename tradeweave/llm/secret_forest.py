@@ -1,8 +1,10 @@
 """Secrets in texts: candidates, and a random forest that tells them from false findings.
 
-Candidates are found on the bytes of whole texts: runs of at least ``MIN_LENGTH`` characters
-of keys (letters, digits, ``+ / _ = -``) that hold a digit or change case again and again,
-and shorter ones that are quoted right behind an assignment. Features of a candidate:
+Candidates are found on the bytes of whole texts: every value behind a credential's name and
+``=`` or ``:`` (quoted or not, any non-blank characters, from ``MIN_ASSIGNED``); every known key
+format between word edges; of the rest, runs of at least ``MIN_LENGTH`` characters
+of keys (letters, digits, ``+ / _ = -``, cut behind each ``name=``) that hold a digit or change
+case again and again, and shorter ones that are quoted right behind an assignment. Features of a candidate:
 length, character classes and transitions (how often the class changes, entropy, mean
 log probability of its letter pairs), dictionary coverage, path (slashes, dots, a path
 or address around it, words such as "test" in the document's path) and neighbouring words.
@@ -53,13 +55,19 @@ FORMATS = {
     "slack_token": rb"xox[abprs]-[0-9A-Za-z-]{10,}",
     "google_api_key": rb"AIza[0-9A-Za-z_-]{35}",
     "stripe_key": rb"[sr]k_(?:live|test)_[0-9A-Za-z]{16,}",
-    "json_web_token": rb"eyJ[0-9A-Za-z_-]{8,}",
+    "json_web_token": rb"eyJ[0-9A-Za-z_-]{8,}(?:\.[0-9A-Za-z_-]+){0,2}",
 }
-_FORMATS = {k: re.compile(v + rb"={0,2}\Z") for k, v in FORMATS.items()}
+_FORMATS = {k: re.compile(rb"(?<![0-9A-Za-z])" + v + rb"={0,2}(?![0-9A-Za-z])") for k, v in FORMATS.items()}
+_ANY_FORMAT = re.compile(rb"(?<![0-9A-Za-z])(?:" + b"|".join(FORMATS.values()) + rb")={0,2}(?![0-9A-Za-z])")
 _CREDENTIAL = re.compile(rb"(?:api[_-]?key|access[_-]?key|auth|credential|passw(?:or)?d|pwd|private[_-]?key|secret|token)", re.I)
-_ASSIGNED = re.compile(rb"(?:=|:|=>)\s{0,2}[\"']?\Z")
+#: A credential's name, what assigns, and the value: quoted, or up to the next blank.
+_VALUE = re.compile(
+    rb"(?:api[_-]?key|access[_-]?key|auth(?!or(?!iz))|credential|passw(?:or)?d|pwd|private[_-]?key|secret|token)[0-9a-z_.-]{0,40}"
+    rb"[\"'`]?\]?\s{0,2}(?:=>|:=|={1,3}|:)[ \t]{0,8}(?:bearer |basic )?(?:\"(?P<double>[^\s\"]+)\"|'(?P<single>[^\s']+)'|(?P<bare>[^\s\"'`]+))", re.I)
+_URL_VALUE = re.compile(rb"[?&;][0-9A-Za-z_.\[\]-]{0,60}\Z")
+_ASSIGNED = re.compile(rb"(?:=|:|=>)\s{0,8}(?:bearer |basic )?[\"'`]?\Z", re.I)
 _HARMLESS = re.compile(rb"(?:test|example|sample|fixture|mock|dummy|doc)", re.I)
-_PLACEHOLDER = re.compile(rb"(?:x{6,}|0{8,}|1234567|abcdef|example|changeme|your[_-])", re.I)
+_PLACEHOLDER = re.compile(rb"(?:x{6,}|0{8,}|1234567|abcdef|example|changeme|your[_-]|\A(?:\$[({]?[a-z_]|%[a-z_]+%|<[a-z]|\{\{))", re.I)
 _WORD = re.compile(rb"[A-Za-z\x80-\xff]+")
 
 _KEY = np.zeros(256, dtype=bool)
@@ -138,12 +146,38 @@ def count_words(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return words, times, pairs
 
 
+def certain_spans(text: bytes) -> list[tuple[int, int]]:
+    """Values behind a credential's name and, outside of these, known formats, in order and apart from each other."""
+    spans = []
+    for m in _VALUE.finditer(text):
+        a, b = m.span(m.lastgroup)
+        if m.lastgroup == "bare":
+            if _URL_VALUE.search(text, max(0, m.start() - 61), m.start()):
+                b = a + len(re.split(rb"[&#;]", text[a:b], maxsplit=1)[0])
+            b = a + len(text[a:b].rstrip(b",;.)]}>"))
+        if b - a >= MIN_ASSIGNED:
+            spans.append((a, b))
+    values = np.array(spans, dtype=np.int64).reshape(-1, 2)
+    for m in _ANY_FORMAT.finditer(text):
+        k = int(np.searchsorted(values[:, 0], m.end()))
+        if not k or values[k - 1, 1] <= m.start():
+            spans.append(m.span())
+    return sorted(spans)
+
+
 def candidate_spans(buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of all candidates of the texts."""
     inside = np.zeros(len(buf) + 2, dtype=bool)
     inside[1:-1] = _KEY[buf]
     edge = np.zeros(len(buf) + 1, dtype=bool)
     edge[bounds] = True
+    # name=value: a sign that a key goes on behind ends the name (others pad a key)
+    assigns = np.flatnonzero((buf[:-1] == 0x3D) & _KEY[buf[1:]] & (buf[1:] != 0x3D) & ~edge[1:-1]) if len(buf) > 1 else np.zeros(0, np.int64)
+    inside[assigns + 1] = False
+    sure = [(int(x) + a, int(x) + b) for x, y in zip(bounds[:-1], bounds[1:]) for a, b in certain_spans(buf[x:y].tobytes())]
+    for a, b in sure:
+        inside[a + 1 : b + 1] = True
+        edge[[a, b]] = True
     start = np.flatnonzero(inside[1:-1] & (~inside[:-2] | edge[:-1]))
     end = np.flatnonzero(inside[1:-1] & (~inside[2:] | edge[1:])) + 1
     long = end - start >= MIN_ASSIGNED
@@ -158,9 +192,10 @@ def candidate_spans(buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np
     quoted = np.zeros(len(start), dtype=bool)
     some = start > 0
     quoted[some] = np.isin(buf[start[some] - 1], np.frombuffer(b"\"'", np.uint8))
-    wanted = ((end - start >= MIN_LENGTH) & (has_digit | mixed)) | (quoted & (has_digit | mixed))
+    certain = np.isin(start, np.array([a for a, _ in sure], dtype=np.int64))
+    wanted = certain | ((end - start >= MIN_LENGTH) & (has_digit | mixed)) | (quoted & (has_digit | mixed))
     # short quoted ones only behind an assignment
-    for i in np.flatnonzero(wanted & (end - start < MIN_LENGTH)).tolist():
+    for i in np.flatnonzero(wanted & ~certain & (end - start < MIN_LENGTH)).tolist():
         wanted[i] = bool(_ASSIGNED.search(buf[max(0, start[i] - 6) : start[i]].tobytes()))
     return start[wanted], end[wanted]
 
@@ -181,14 +216,14 @@ def features_of(text: bytes, a: int, b: int, path: bytes, language: Language) ->
     known_before, known_after = (bool(x) and bool(language.knows(x)[0]) for x in (previous[-1:], following[:1]))
     line = before.rpartition(b"\n")[2]
     around = (before.rsplit(None, 1)[-1] if before and not before[-1:].isspace() else b"") + c + (after.split(None, 1)[0] if after and not after[:1].isspace() else b"")
-    known = next((k for k, r in _FORMATS.items() if r.fullmatch(c)), "")
+    known = next((k for k, r in _FORMATS.items() if r.search(c)), "")
     quoted = before[-1:] in (b'"', b"'")
     assigned = bool(_ASSIGNED.search(before))
     values = [
         n, (kinds == 0).mean(), (kinds == 1).mean(), (kinds == 2).mean(), (kinds == 3).mean(), (kinds[1:] != kinds[:-1]).mean() if n > 1 else 0,
         float(-(p * np.log2(p)).sum()), float(language.pairs[letters[:-1], letters[1:]].mean()) if n > 1 else 0, covered / n,
         bool(re.fullmatch(rb"[0-9a-f]+|[0-9A-F]+", c)), (counts > 0).sum() / n, c.count(b"/"), bool(re.search(rb"://|www\.|@|\.(?:com|org|net|html?)\b", around)) or around.startswith(b"/"),
-        bool(_HARMLESS.search(path)), quoted, assigned, bool(_CREDENTIAL.search(line[-24:])), bool(_CREDENTIAL.search(before) or _CREDENTIAL.search(after)),
+        bool(_HARMLESS.search(path)), quoted, assigned, bool(_CREDENTIAL.search(line if assigned else line[-24:])), bool(_CREDENTIAL.search(before) or _CREDENTIAL.search(after)),
         known_before, known_after, len(previous) + len(following), bool(known), bool(_PLACEHOLDER.search(c)),
     ]
     return [float(v) for v in values], known or ("hex" if values[9] else "mixed")
