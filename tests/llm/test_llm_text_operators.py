@@ -17,7 +17,7 @@ from tradeweave.llm.language_crf import UNKNOWN, language_model, marginals, pred
 from tradeweave.llm.merge_dropout import Encoder, Pieces, agenda, decode_ids, encode_with_dropout, segment
 from tradeweave.llm.quality_rules import quality_rules
 from tradeweave.llm.queries import QUERIES
-from tradeweave.llm.secret_forest import FEATURES, Language, candidate_spans, features_of, find_secrets, fit_forest, language_of, redact, rule_label
+from tradeweave.llm.secret_forest import FEATURES, Language, candidate_spans, features_of, find_secrets, fit_forest, language_of, learn_forest, redact, rule_label
 
 SF = "/root/testdata/sf0.01"
 SCHEMA = "doc_id long, text string, lang string, source string, quality string"
@@ -295,3 +295,26 @@ def test_env_url_and_yaml_secrets_are_labelled():
     # texts stay apart: no value across a boundary
     raw = np.frombuffer(b"token: " + b"abcdefgh1", np.uint8)
     assert len(candidate_spans(raw, np.array([0, 7, 16]))[0]) == 0
+
+
+def test_verdicts_are_the_same_on_small_and_large_tables(spark):
+    lines = [
+        ("a fix came with commit 24be64439e3e49cf46b2d7c90f3602a3d0b907ff on Monday.", False), ("the id 7d2c1f4e-9a3b-4c5d-8e6f-0a1b2c3d4e5f was seen", False),
+        (f'token = "{KEY[::-1]}" is set', True), (f"export TOKEN={GITHUB}", True), ("db:\n  password: p@9s!w#r$d.9x\n", True),
+    ]
+    own = spark.createDataFrame([(-1 - i, t, "en", "s") for i, (t, _) in enumerate(lines)], "doc_id long, text string, lang string, source string")
+    large = spark.read.parquet(f"{SF}/documents.parquet").select(*own.columns)
+    clean = large.filter("NOT lower(text) LIKE '%token = %'").limit(300)
+    copied = own.filter("doc_id = -3").withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(400)))).select((F.lit(-1000) - F.col("n")).alias("doc_id"), "text", "lang", "source")
+    for docs in (own, own.unionByName(large), own.unionByName(clean), own.unionByName(clean).unionByName(copied)):
+        got = {r["doc_id"]: r["is_secret"] for r in find_secrets(docs).filter("doc_id BETWEEN -5 AND -1").collect()}
+        assert got == {-1 - i: secret for i, (_, secret) in enumerate(lines)}
+
+
+def test_a_copied_finding_hides_no_other(spark):
+    """Distinct vectors are drawn: what is copied 3000 times does not take the place of the few."""
+    language = Language(np.full((27, 27), np.log(1 / 27)), np.zeros(0, np.uint64))
+    one, other = [99.0] + [0.0] * (len(FEATURES) - 1), [900.0] + [0.0] * (len(FEATURES) - 1)
+    rows = [(one, 0)] * 3000 + [([900.0 + i / 10, *other[1:]], 1) for i in range(40)]
+    forest = learn_forest(spark.createDataFrame(rows, "features array<double>, label int"), language)
+    assert (forest.predict(np.array([one, other])) >= 0.5).tolist() == [False, True]

@@ -9,8 +9,10 @@ length, character classes and transitions (how often the class changes, entropy,
 log probability of its letter pairs), dictionary coverage, path (slashes, dots, a path
 or address around it, words such as "test" in the document's path) and neighbouring words.
 
-The forest is fitted on labelled findings, at most ``MAX_LABELLED`` of them, drawn by hash.
-A caller may bring a table of them; else ``rule_label`` labels the clear cases among the
+The forest is fitted on labelled findings: ``shipped_findings``, a fixed set that comes with the
+operator, and those of the table, at most ``MAX_LABELLED`` distinct feature vectors with the
+smallest hashes (a vector's weight grows with the logarithm of its copies). So there is
+one way to a verdict at every size. A caller may bring a table of findings; else ``rule_label`` labels the clear cases among the
 candidates (a known key format or a key assigned to a credential's name; plain numbers,
 words, paths, placeholders), and the forest decides all. Letter pairs are counted over all
 words of all documents; the dictionary holds every word that stands by itself (no digit or
@@ -18,14 +20,13 @@ key character beside it) in at least two documents and in one of ``1 / MIN_SHARE
 64-bit hashes: at most (distinct words a document) / ``MIN_SHARE`` of them, whatever the corpus.
 
 Defined results: null and empty texts have no candidates; repeated rows give repeated
-findings; keys may be null; an empty table gives no rows; with fewer than ``MIN_EACH`` findings
-of either label nothing is fitted and the rule alone decides (unclear cases score 0.5 and
-count as secrets); extra columns are not carried by findings and are kept by ``redact``.
+findings; keys may be null; an empty table gives no rows; extra columns are not carried by
+findings and are kept by ``redact``.
 """
 
 from __future__ import annotations
 
-import math
+import random
 import re
 import zlib
 from collections.abc import Iterator
@@ -41,7 +42,6 @@ from .textkernel import byte_view, parts, span_hashes
 MIN_LENGTH = 16
 MIN_ASSIGNED = 8
 MAX_LABELLED = 20_000
-MIN_EACH = 10
 MIN_SHARE = 1e-5
 HELD_WORDS = 500_000
 CONTEXT = 48
@@ -260,13 +260,14 @@ class Forest(NamedTuple):
         return total / len(self.feature)
 
 
-def fit_forest(x: np.ndarray, y: np.ndarray, trees: int = TREES, seed: int = 5) -> Forest:
-    """Trees on bootstrap samples, the best of a random third of the features at each node (Gini)."""
+def fit_forest(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, trees: int = TREES, seed: int = 5) -> Forest:
+    """Trees on bootstrap samples (rows drawn by weight), the best of a random third of the features at each node (Gini)."""
     rng = np.random.default_rng(seed)
     nodes, width = 2 ** (DEPTH + 1) - 1, x.shape[1]
     forest = Forest(np.full((trees, nodes), -1, dtype=np.int64), np.zeros((trees, nodes)), np.full((trees, nodes), y.mean()))
+    share = None if weight is None else weight / weight.sum()
     for t in range(trees):
-        stack = [(0, 0, rng.integers(0, len(x), len(x)))]
+        stack = [(0, 0, rng.choice(len(x), len(x), p=share))]
         while stack:
             node, depth, rows = stack.pop()
             yy = y[rows]
@@ -286,7 +287,8 @@ def fit_forest(x: np.ndarray, y: np.ndarray, trees: int = TREES, seed: int = 5)
                 gain = parent - ((ok + 1) * left * (1 - left) + (len(v) - ok - 1) * right * (1 - right)) / len(v)
                 k = int(gain.argmax())
                 if gain[k] > best[0]:
-                    best = (float(gain[k]), int(f), float((v[ok[k]] + v[ok[k] + 1]) / 2))
+                    low, high = float(v[ok[k]]), float(v[ok[k] + 1])
+                    best = (float(gain[k]), int(f), (low + high) / 2 if (low + high) / 2 < high else low)
             if best[1] < 0:
                 continue
             forest.feature[t, node], forest.cut[t, node] = best[1], best[2]
@@ -295,13 +297,6 @@ def fit_forest(x: np.ndarray, y: np.ndarray, trees: int = TREES, seed: int = 5)
     return forest
 
 
-def _drawn(df: DataFrame, most: int, *by: str) -> DataFrame:
-    """About ``most`` rows at most, drawn by hash, and never over twice as many."""
-    n = df.count()
-    share = min(1.0, most / max(1, n))
-    return df.filter(F.pmod(F.xxhash64(*by, F.lit(9)), F.lit(1_000_000_007)) < int(share * 1_000_000_007)).limit(2 * most)
-
-
 def language_of(docs: DataFrame, text: str = "text") -> Language:
     """Letter pairs and dictionary of all documents: counted in each task, added up by word."""
     python_ready(docs.sparkSession)
@@ -380,35 +375,81 @@ def _each(col: pa.Array) -> Iterator[tuple[int, bytes, int, int]]:
         yield i, buf[first : bounds[i + 1]].tobytes(), a - first, b - first
 
 
-def learn_forest(labelled: DataFrame, features: str = "features", label: str = "label") -> Forest | None:
-    """From a table of labelled findings; None unless both labels occur ``MIN_EACH`` times."""
-    rows = _drawn(labelled.filter(F.col(label).isNotNull()).select(F.col(features).alias("f"), F.col(label).alias("y")), MAX_LABELLED, "f").collect()  # bounded: MAX_LABELLED
-    rows.sort(key=lambda r: (r["y"], r["f"]))
-    y = np.array([r["y"] for r in rows], dtype=np.float64)
-    if min((y == 0).sum(), (y == 1).sum()) < MIN_EACH:
-        return None
-    return fit_forest(np.array([r["f"] for r in rows]), y)
-
-
-def _probability(forest: Forest | None, f: np.ndarray, labels: list[int | None]) -> np.ndarray:
-    if forest is None:
-        return np.array([0.5 if x is None else float(x) for x in labels], dtype=np.float64)
-    return forest.predict(f) if len(f) else np.zeros(0)
+def _shipped_texts() -> Iterator[tuple[str, str, str, int]]:
+    """(what stands before, value, what stands behind, label), the same in every run; no value is a real key."""
+    rng = random.Random(71)
+    hexes, alnum = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+    def of(characters: str, *lengths: int) -> str:
+        return "".join(rng.choice(characters) for _ in range(rng.choice(lengths)))
+
+    def uuid() -> str:
+        return "-".join(of(hexes, n) for n in (8, 4, 4, 4, 12))
+
+    known = [lambda: "AKIA" + of(alnum[:26] + alnum[52:], 16), lambda: "ghp_" + of(alnum, 36), lambda: "xoxb-" + of(alnum, 24, 40), lambda: "AIza" + of(alnum, 35),
+             lambda: "sk_live_" + of(alnum, 24), lambda: f"eyJ{of(alnum, 24)}.{of(alnum, 30, 60)}.{of(alnum, 43)}"]
+    keys = [lambda: of(hexes, 32, 40, 64), lambda: of(alnum, 20, 32, 40), lambda: of(alnum + "+/", 40, 43) + "=", lambda: of(alnum, 6, 9) + of("@!#$%.*", 1, 2) + of(alnum, 4, 6), uuid]
+    assigned = [('token = "', '" is set here.'), ("export API_KEY=", "\nexport LEVEL=2"), ("db:\n  password: ", "\n  host: db"), ('{"client_secret": "', '", "id": 7}'),
+                ("https://api.site.org/v1?access_token=", "&page=2"), ("AWS_SECRET_ACCESS_KEY=", "\n"), ("Authorization: Bearer ", "\n"), ("the password = '", "' was changed")]
+    loose = [("we saw ", " in the log."), ("", "\n"), ("value: ", ", then more"), ("use (", ") now"), ("A=", "\n")]
+    ids = [lambda: of(hexes, 40), lambda: of(hexes, 7, 32, 64), uuid, lambda: of("0123456789", 16, 19, 24), lambda: of(alnum[:26] + "0123456789", 16, 20), lambda: of(alnum, 22)]
+    named = [("commit ", " fixes the build."), ("request id ", " failed"), ("see https://site.org/", "/page for more"), ("id: ", "\n"), ("order ", " was sent on Monday"),
+             ("sha256:", "\n"), ("revision = ", "\n"), ('"etag": "', '",'), ("", " is the number of the file"), ("the ", " is listed below."), ("/data/files/", "/part.html")]
+    words = ["chapter_12_of_the_book", "HTTP2RequestHandlerFactory", "version-2024-10-long-release", "table_3_results_by_year", "section/14/paragraph/2/line", "Utf8StringBuilderTest"]
+    empty = ["changeme123", "xxxxxxxxxxxxxxxx", "your_token_here", "${SECRET_TOKEN}", "<password-here>", "00000000000000000000", "1234567890123456"]
+    for before, after in assigned + loose:
+        for make in known:
+            yield from ((before, make(), after, 1) for _ in range(3))
+    for before, after in assigned:
+        for make in keys:
+            yield from ((before, make(), after, 1) for _ in range(6))
+        for value in empty:
+            yield before, value, after, 0
+        for value in ("information", "required-field", "documentation"):
+            yield before, value, after, 0
+    for before, after in named + loose[:4]:
+        for make in ids:
+            yield from ((before, make(), after, 0) for _ in range(4))
+        for value in words:
+            yield before, value, after, 0
+
+
+def shipped_findings(language: Language) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the findings that come with the operator."""
+    x, y = [], []
+    for before, value, after, label in _shipped_texts():
+        text = (before + value + after).encode()
+        a, b = len(before), len(before) + len(value)
+        x.append(features_of(text, a, b, b"", language)[0])
+        y.append(float(label))
+    return np.array(x), np.array(y)
+
+
+def learn_forest(labelled: DataFrame, language: Language, features: str = "features", label: str = "label") -> Forest:
+    """From the shipped findings and a table of labelled ones."""
+    rows = labelled.filter(F.col(label).isNotNull()).groupBy(F.col(features).alias("f")).agg(F.avg(label).alias("y"), F.count("*").alias("n"))
+    rows = rows.orderBy(F.xxhash64("f", F.lit(9)), "f").limit(MAX_LABELLED).collect()  # bounded: MAX_LABELLED
+    x, y = shipped_findings(language)
+    if rows:
+        x, y = np.concatenate([x, np.array([r["f"] for r in rows])]), np.concatenate([y, [r["y"] for r in rows]])
+    weight = np.concatenate([np.ones(len(x) - len(rows)), 1 + np.log2([r["n"] for r in rows])])
+    return fit_forest(x, y, weight)
 
 
 def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = "source", labelled: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """key, start, end, kind, crc32, probability, is_secret of every candidate."""
-    candidates = staged(secret_candidates(docs, language_of(docs, text), key, text, path), "candidates")
-    forest = learn_forest(candidates if labelled is None else labelled)
+    language = language_of(docs, text)
+    candidates = staged(secret_candidates(docs, language, key, text, path), "candidates")
+    forest = learn_forest(candidates if labelled is None else labelled, language)
     shared = docs.sparkSession.sparkContext.broadcast(forest)
     schema = T.StructType([*candidates.select("key", "start", "end", "kind", "crc32").schema.fields, T.StructField("probability", T.DoubleType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = batch.column(5).flatten().to_numpy().reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(_probability(shared.value, x, batch.column(6).to_pylist()))], names=schema.fieldNames())
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(shared.value.predict(x))], names=schema.fieldNames())
 
-    scored = candidates.select("key", "start", "end", "kind", "crc32", "features", "label").mapInArrow(score, schema)
+    scored = candidates.select("key", "start", "end", "kind", "crc32", "features").mapInArrow(score, schema)
     return scored.withColumn("is_secret", F.col("probability") >= threshold).withColumnRenamed("key", key)
 
 
@@ -418,7 +459,7 @@ def redact(docs: DataFrame, text: str = "text", path: str | None = "source", lab
     language = language_of(docs, text)
     if labelled is None:
         labelled = staged(secret_candidates(docs.withColumn("_key", F.lit(0)), language, "_key", text, path).select("features", "label"), "candidates")
-    shared = spark.sparkContext.broadcast((language, learn_forest(labelled)))
+    shared = spark.sparkContext.broadcast((language, learn_forest(labelled, language)))
     rows = docs.select(F.struct(*[F.col(c) for c in docs.columns if c != text]).alias("rest") if len(docs.columns) > 1 else F.struct(F.lit(0).alias("none")).alias("rest"), F.col(text).alias("text"), (F.coalesce(F.col(path).cast("string"), F.lit("")) if path else F.lit("")).alias("path"))
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -432,7 +473,7 @@ def redact(docs: DataFrame, text: str = "text", path: str | None = "source", lab
                     found.setdefault(i, []).append((text_, a, b, f))
                 if found:
                     flat = [x for group in found.values() for x in group]
-                    p = iter(_probability(forest, np.array([x[3] for x in flat]), [rule_label(x[3]) for x in flat]).tolist())
+                    p = iter(forest.predict(np.array([x[3] for x in flat])).tolist())
                     values = col.to_pylist()
                     for i, group in found.items():
                         out, last = [], 0
