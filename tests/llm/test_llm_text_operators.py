@@ -14,7 +14,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 from tradeweave.llm.language_crf import UNKNOWN, language_model, marginals, predict_languages
-from tradeweave.llm.merge_dropout import Encoder, Pieces, agenda, decode_ids, encode_with_dropout, segment
+from tradeweave.llm.merge_dropout import Encoder, Pieces, agenda, decode_ids, encode_with_dropout, segment, segment_occurrences
 from tradeweave.llm.quality_rules import quality_rules
 from tradeweave.llm.queries import QUERIES
 from tradeweave.llm.secret_forest import FEATURES, Language, candidate_spans, features_of, find_secrets, fit_forest, language_of, learn_forest, redact, rule_label
@@ -318,3 +318,31 @@ def test_a_copied_finding_hides_no_other(spark):
     rows = [(one, 0)] * 3000 + [([900.0 + i / 10, *other[1:]], 1) for i in range(40)]
     forest = learn_forest(spark.createDataFrame(rows, "features array<double>, label int"), language)
     assert (forest.predict(np.array([one, other])) >= 0.5).tolist() == [False, True]
+
+
+def test_every_occurrence_of_a_word_draws_by_itself():
+    """A frequent word with one merge is split at the stated rate, and long words come in more than eight ways."""
+    pieces = Pieces.shared(MODEL)
+    word = next(p for p in pieces.text if len(p) == 2 and p[0] == "▁" and p[1].isalpha() and (pieces.char[0x2581], pieces.char[ord(p[1])]) in pieces.pairs)[1]
+    texts = [" " + " ".join([f"t{i}"] + [word] * 200) for i in range(100)]
+    for seed in (1, 2):
+        ids, at = Encoder(MODEL, 0.1, seed).encode(pa.array(texts))
+        whole = pieces.id["▁" + word]
+        rate = 1 - (ids == whole).sum() / 20_000
+        assert 0.09 < rate < 0.11, rate
+    ids, at = Encoder(MODEL, 0.1, 1).encode(pa.array([" international" + "\n international" * 400]))
+    lines = "|".join(map(str, ids)).split(f"|{Encoder(MODEL, 0, 1).encode(pa.array([chr(10)]))[0][0]}|")
+    assert len(set(lines)) > 16
+
+
+def test_shared_segmentations_are_those_of_each_occurrence():
+    pieces = Pieces.shared(MODEL)
+    words = ["▁the", "▁international", "▁situation", "ing", "y" * 300, "▁日x"]
+    symbols = [np.array([pieces.char[ord(c)] if pieces.char[ord(c)] >= 0 else -2 - ord(c) for c in w], dtype=np.int32) for w in words]
+    first = np.concatenate([[0], np.cumsum([len(s) for s in symbols])])
+    rng = np.random.default_rng(3)
+    word, keys = rng.integers(0, len(words), 900), rng.integers(0, 2**63, 900).astype(np.uint64)
+    for dropout in (0.0, 0.1, 0.6, 1.0):
+        out, at, which = segment_occurrences(pieces, np.concatenate(symbols), first, word, keys, dropout)
+        for w, key, k in zip(word.tolist(), keys.tolist(), which.tolist()):
+            assert out[at[k] : at[k + 1]].tolist() == agenda(pieces, symbols[w].tolist(), key, dropout)

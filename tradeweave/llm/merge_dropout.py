@@ -4,15 +4,17 @@ Pieces, scores and types come from a SentencePiece model file. A text is cut whe
 blank follows another character (no piece spans such a place); each cut, a *word*, is
 segmented by the usual agenda: of all neighbours whose join is a piece, the one with
 the highest score, leftmost first, is merged, until none is left. With dropout a candidate
-merge is skipped if a hash keyed by seed, word, variant and the candidate's three
-positions falls below ``dropout``, so the same seed always gives the same ids. Occurrences of
-a word take one of ``variants`` keyed segmentations, by their place and their text.
+merge is skipped if a hash keyed by seed, text, the word's place in it and the candidate's three
+positions falls below ``dropout``, so the same seed always gives the same ids and every
+occurrence of a word is segmented by draws of its own.
 Characters that are no piece become byte pieces, so every segmentation decodes to the
 text itself; a literal U+2581, which the file uses for blanks, is always written in bytes.
 Without dropout the ids are the library's own (but for that character).
 
 Distinct words of a batch are segmented together, one merge of every word per step; words
-of over ``LONG`` characters go through a heap.
+of over ``LONG`` characters go through a heap. With dropout, occurrences whose draws agree on every
+candidate that came up share that segmentation: first each word without any skip, then
+one occurrence of each group that is left, until every occurrence has its own.
 
 Defined results: null and empty texts have no ids and decode to the empty text; repeated
 rows get the same ids; keys may be null; an empty table gives no rows; extra columns are not carried.
@@ -33,7 +35,6 @@ from .common import python_ready, text_or_empty
 from .textkernel import byte_view, mix, parts, span_hashes
 
 DROPOUT = 0.1
-VARIANTS = 8
 SEED = 2024
 LONG = 256
 _BLANK = 0x2581
@@ -193,8 +194,10 @@ def agenda(pieces: Pieces, symbols: list[int], key: int, dropout: float) -> list
     return [i for i in ids if i is not None]
 
 
-def segment(pieces: Pieces, symbols: np.ndarray, first: np.ndarray, keys: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols of all words after merging, where each word's begin, and one more); word w is first[w] to first[w + 1]."""
+def segment(pieces: Pieces, symbols: np.ndarray, first: np.ndarray, keys: np.ndarray, dropout: float, offers: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols of all words after merging, where each word's begin, and one more); word w is first[w] to first[w + 1].
+
+    ``offers`` takes (words, starts, middles, ends) of the candidates that came up in words of up to ``LONG`` symbols."""
     size = np.diff(first)
     alive = np.ones(len(symbols), dtype=bool)
     out = symbols.copy()
@@ -210,13 +213,13 @@ def segment(pieces: Pieces, symbols: np.ndarray, first: np.ndarray, keys: np.nda
     while wide <= LONG:
         which = np.flatnonzero(~done & (size > wide // 2) & (size <= wide)) if wide > 2 else np.flatnonzero(~done & (size == 2))
         for at in range(0, len(which), 1 << 15):
-            _merge(pieces, out, alive, first, size, which[at : at + (1 << 15)], wide, keys, dropout)
+            _merge(pieces, out, alive, first, size, which[at : at + (1 << 15)], wide, keys, dropout, offers)
         wide *= 2
     kept = np.concatenate([[0], np.cumsum(alive)])
     return out[alive], kept[first]
 
 
-def _merge(pieces: Pieces, out: np.ndarray, alive: np.ndarray, first: np.ndarray, size: np.ndarray, which: np.ndarray, wide: int, keys: np.ndarray, dropout: float) -> None:
+def _merge(pieces: Pieces, out: np.ndarray, alive: np.ndarray, first: np.ndarray, size: np.ndarray, which: np.ndarray, wide: int, keys: np.ndarray, dropout: float, offers: list | None) -> None:
     """All merges of words of up to ``wide`` symbols, one of each word per step."""
     n, key, base = size[which], keys[which], first[which]
     columns = np.arange(wide + 1)
@@ -239,6 +242,8 @@ def _merge(pieces: Pieces, out: np.ndarray, alive: np.ndarray, first: np.ndarray
         good = j >= 0
         best[r[~good], a[~good]] = _NONE
         r, a, b, j = r[good], a[good], b[good], j[good]
+        if offers is not None:
+            offers.append((which[r], a, b, after[r, b]))
         drop = skipped(key[r], a, b, after[r, b], dropout)
         best[r, a] = np.where(drop, _NONE, pieces.rank[j])
         joined[r, a] = j
@@ -267,9 +272,74 @@ def _merge(pieces: Pieces, out: np.ndarray, alive: np.ndarray, first: np.ndarray
     out[(base[:, None] + columns[None, :wide])[inside]] = ids[:, :wide][inside]
 
 
+def _expanded(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... (size[0] of them), begin[1], ..."""
+    upto = np.cumsum(size) - size
+    return np.arange(int(size.sum())) + np.repeat(begin - upto, size)
+
+
+def segment_occurrences(pieces: Pieces, symbols: np.ndarray, first: np.ndarray, word: np.ndarray, keys: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols of all segmentations, where each begins, which one each occurrence takes); occurrence i is word[i] under keys[i]."""
+    size = np.diff(first)
+    parts_, ends, taken, n_done = [], [np.zeros(1, np.int64)], np.full(len(word), -1, dtype=np.int64), 0
+
+    def run(words: np.ndarray, keys_: np.ndarray, rate: float, offers: list | None) -> None:
+        nonlocal n_done
+        out, at = segment(pieces, symbols[_expanded(first[words], size[words])], np.concatenate([[0], np.cumsum(size[words])]), keys_, rate, offers)
+        parts_.append(out)
+        ends.append(at[1:] + ends[-1][-1])
+        n_done += len(words)
+
+    def agreeing(left: np.ndarray, group: np.ndarray, lead: np.ndarray | None, offers: list) -> tuple[np.ndarray, np.ndarray]:
+        """(does the occurrence skip what its group's segmentation skipped, a hash of what it skips)."""
+        of, a, b, c = (np.concatenate([o[k] for o in offers]) if offers else np.zeros(0, np.int64) for k in range(4))
+        order = np.argsort(of, kind="stable")
+        a, b, c = a[order], b[order], c[order]
+        count = np.bincount(of, minlength=int(group.max()) + 1)
+        begin = np.cumsum(count) - count
+        same, bits = np.ones(len(left), dtype=bool), np.zeros(len(left), dtype=np.uint64)
+        step = max(1, (1 << 20) // max(1, int(count.max(initial=1))))
+        for x in range(0, len(left), step):
+            g = group[x : x + step]
+            at, row = _expanded(begin[g], count[g]), np.repeat(np.arange(len(g)), count[g])
+            skips = skipped(keys[left[x : x + step]][row], a[at], b[at], c[at], dropout)
+            led = skipped(keys[lead[g]][row], a[at], b[at], c[at], dropout) if lead is not None else np.zeros(len(at), bool)
+            same[x : x + step] = np.bincount(row[skips != led], minlength=len(g)) == 0
+            mark = mix((at - begin[g][row]).astype(np.uint64) + np.uint64(1))
+            np.add.at(bits, x + row[skips], mark[skips])
+        return same, bits
+
+    # words without a skip; all further ones by one occurrence of each group
+    n_words = len(size)
+    if dropout <= 0:
+        run(np.arange(n_words), np.zeros(n_words, np.uint64), 0, None)
+        return np.concatenate(parts_), np.concatenate(ends), word
+    long = np.flatnonzero(size[word] > LONG)
+    if len(long):
+        taken[long] = np.arange(len(long))
+        run(word[long], keys[long], dropout, None)
+    left = np.flatnonzero(size[word] <= LONG)
+    used, group = np.unique(word[left], return_inverse=True)
+    base, offers = n_done, []
+    run(used, np.zeros(len(used), np.uint64), 0, offers)
+    lead = None
+    while len(left):
+        same, bits = agreeing(left, group, lead, offers)
+        taken[left[same]] = base + group[same]
+        left, group, bits = left[~same], group[~same], bits[~same]
+        if not len(left):
+            break
+        _, one, group = np.unique(mix(bits) ^ mix(group.astype(np.uint64) + np.uint64(1 << 40)), return_index=True, return_inverse=True)
+        lead = left[one]
+        base, offers = n_done, []
+        run(word[lead], keys[lead], dropout, offers)
+    return np.concatenate(parts_), np.concatenate(ends), taken
+
+
 class Encoder:
-    def __init__(self, path: str, dropout: float, seed: int, variants: int) -> None:
-        self.pieces, self.dropout, self.seed, self.variants = Pieces.shared(path), dropout, seed, variants if dropout > 0 else 1
+    def __init__(self, path: str, dropout: float, seed: int, variants: int | None = None) -> None:
+        """``variants`` is no longer used: every occurrence draws freely."""
+        self.pieces, self.dropout, self.seed = Pieces.shared(path), dropout, seed
 
     def encode(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, bounds of each text in them); each text begins with the blank that the library puts there."""
@@ -282,15 +352,13 @@ class Encoder:
         start = np.flatnonzero(cut)
         end = np.append(start[1:], len(buf))
         hashes = span_hashes(buf, start, end)
-        if self.variants > 1:
+        _, one, which = np.unique(hashes, return_index=True, return_inverse=True)
+        if self.dropout > 0:
             text_of = np.searchsorted(bounds, start, side="right") - 1
-            own = span_hashes(buf, bounds[:-1], bounds[1:])
-            place = mix(own[text_of] ^ mix((start - bounds[text_of]).astype(np.uint64) + np.uint64(self.seed)))
-            variant = place % np.uint64(self.variants)
+            own = mix(span_hashes(buf, bounds[:-1], bounds[1:]) ^ mix(np.full(len(col), self.seed & (1 << 64) - 1, dtype=np.uint64)))
+            keys = mix(own[text_of] ^ mix((start - bounds[text_of]).astype(np.uint64) + np.uint64(1)))
         else:
-            variant = np.zeros(len(start), dtype=np.uint64)
-        keys = mix(hashes ^ mix(variant * np.uint64(0x9E3779B97F4A7C15) + np.uint64(self.seed)))
-        _, one, which = np.unique(keys, return_index=True, return_inverse=True)
+            keys = hashes
         a, b = start[one], end[one]
         width = b - a
         upto = np.concatenate([[0], np.cumsum(width)])
@@ -302,7 +370,7 @@ class Encoder:
         symbols = self.pieces.char[points].copy()
         unknown = (symbols < 0) | literal
         symbols[unknown] = -2 - np.where(literal, _BLANK, points)[unknown]
-        merged, at = segment(self.pieces, symbols, first, keys[one], self.dropout)
+        merged, at, which = segment_occurrences(self.pieces, symbols, first, which, keys, self.dropout)
         merged, at = self._bytes(merged, at)
         size = np.diff(at)[which]
         upto = np.concatenate([[0], np.cumsum(size)])
@@ -330,7 +398,7 @@ class Encoder:
         return self.pieces.bytes[np.arange(upto[-1]) + np.repeat(self.pieces.begin[ids] - upto[:-1], width)], upto[bounds]
 
 
-def encode_with_dropout(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS, keep_ids: bool = True) -> DataFrame:
+def encode_with_dropout(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", dropout: float = DROPOUT, seed: int = SEED, keep_ids: bool = True) -> DataFrame:
     """key, n_pieces, ids_crc32 (of little-endian 32-bit ids), lossless (they decode to the text)[, ids]."""
     python_ready(docs.sparkSession)
     rows = docs.select(F.col(key).alias("key"), F.when(F.length(text_or_empty(text)) > 0, F.concat(F.lit(" "), F.col(text))).otherwise("").alias("text"))
@@ -339,7 +407,7 @@ def encode_with_dropout(docs: DataFrame, model: str, key: str = "doc_id", text:
         schema = schema.add("ids", T.ArrayType(T.IntegerType()))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(model, dropout, seed, variants)
+        encoder = Encoder(model, dropout, seed)
         for batch in batches:
             for at, col in parts(batch.column(1), 2 << 20):
                 ids, bounds = encoder.encode(col)
@@ -366,7 +434,7 @@ def decode_ids(encoded: DataFrame, model: str, key: str = "doc_id", ids: str = "
     rows = encoded.select(F.col(key).alias("key"), F.coalesce(F.col(ids), F.array().cast("array<int>")).alias("ids"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(model, 0, 0, 1)
+        encoder = Encoder(model, 0, 0)
         for batch in batches:
             column = batch.column(1)
             bounds = column.offsets.to_numpy().astype(np.int64)
