@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import gzip
 import os
 
+import pytest
+
 from conftest import rows
 from tradeweave.__main__ import main
+from tradeweave.sources.landed import landed_inputs
 from tradeweave.plans.warehouse import read_star, register_views
 from tradeweave.operators import overview as OV
 
@@ -59,3 +63,16 @@ def test_missing_sources_are_skipped(spark, scratch):
     assert main(["load", raw, out], spark=spark) == 0
     wh = read_star(spark, out)
     assert wh.fact_trade.count() == 1 and wh.fact_mirror_trade.count() == 0 and wh.fact_country_stats.count() == 0
+
+
+def test_files_at_any_depth_and_packed_are_read(spark, scratch):
+    line = "2014,376,ISR,156,CHN,84,Machinery,M,1000,5,1,kg,a"
+    _write(os.path.join(scratch, "reporter", "2014", "01", "x.csv"), FLOW_HEADER, [line])
+    os.makedirs(os.path.join(scratch, "mirror", "2014"))
+    with gzip.open(os.path.join(scratch, "mirror", "2014", "m.csv.gz"), "wt") as fh:
+        fh.write(f"{FLOW_HEADER}\n{line}\n{line}\n")
+    raw = landed_inputs(spark, scratch)
+    assert (raw.reporter_flows.count(), raw.mirror_flows.count(), raw.country_mapping.count()) == (1, 2, 0)
+    _write(os.path.join(scratch, "countries", "c.txt"), "iso3,name", ["CHN,China"])
+    with pytest.raises(ValueError, match="countries"):
+        landed_inputs(spark, scratch)

@@ -36,7 +36,7 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 def raw_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """Lines of text files under ``path`` (folders are searched through) with their ingest order."""
-    df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(path if isinstance(path, str) else list(path))
+    df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{csv,csv.gz}").text(path if isinstance(path, str) else list(path))
     return df.select("value", F.col("_metadata.file_path").alias("_ing_file"),
                      F.col("_metadata.file_block_start").alias("_ing_block"),
                      F.monotonically_increasing_id().alias("_ing_row"))

@@ -9,9 +9,10 @@ Layout under one raw folder (every file CSV with a header, read as text):
     hs_chapters/*.csv   chapter_code, chapter_int, chapter_name, section_num, section_name (optional:
                         generated from the fixed section ranges when absent)
 
-A missing source gives an empty frame with the expected columns (and a
-warning), so the rest of the load still runs — like the analysed pipeline,
-which skips missing sources instead of failing.
+Files may lie at any depth of a source's folder, also as ``.csv.gz``. A missing folder
+gives an empty frame with the expected columns (and a warning), so the rest of the load still runs — like the analysed pipeline,
+which skips missing sources instead of failing; a folder without a file that can be
+read raises.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import logging
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradeweave.sources.files import INGEST_ORDER, RAW_FLOW_COLUMNS, path_exists, read_raw, text_schema
+from tradeweave.sources.files import INGEST_ORDER, RAW_FLOW_COLUMNS, path_exists, raw_lines, read_raw, text_schema
 from tradeweave.sources.reference import hs_chapters
 from tradeweave.sources.standin import RawInputs
 
@@ -34,8 +35,12 @@ CHAPTER_COLUMNS = ("chapter_code", "chapter_int", "chapter_name", "section_num",
 
 
 def _has_files(spark: SparkSession, path: str) -> bool:
-    """CSV files in the folder or one below it, as the session's file system sees it."""
-    return path_exists(spark, f"{path}/*.csv") or path_exists(spark, f"{path}/*/*.csv")
+    """Does the folder exist? One that holds no file that ``raw_lines`` reads, at any depth, raises."""
+    if not path_exists(spark, path):
+        return False
+    if not raw_lines(spark, path).inputFiles():
+        raise ValueError(f"no .csv or .csv.gz file under {path}")
+    return True
 
 
 def _source(spark: SparkSession, path: str, columns, ordered: bool) -> DataFrame:
