@@ -101,3 +101,44 @@ SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
     CASE WHEN original <> page_id THEN original END AS refers_to
 FROM known
 """
+
+
+def _crc32(codes: str) -> str:
+    """Unsigned CRC-32 of a list of byte values, bit by bit."""
+    step = "list_reduce([xor(s, b), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda s, b: {step}), 4294967295)"
+
+
+OP11 = f"""
+WITH turns AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(coalesce(text, ''))) AS pos
+    FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+    SELECT DISTINCT conv_id, conv_id - conv_id % 100 AS base,
+        {_crc32("list_transform(string_split(conv_id::VARCHAR, ''), lambda c: unicode(c)::BIGINT)")} % 6 AS h
+    FROM turns
+), rebuilt AS (
+    SELECT c.conv_id, 0 AS own, t.pos, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.base AND t.pos <= c.h
+    UNION ALL
+    SELECT c.conv_id, 1, t.pos, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.pos > c.h
+), prefixed AS (
+    SELECT conv_id, row_number() OVER w AS depth, length(text) AS chars, list(length(role) || ':' || role || length(text) || ':' || text) OVER w AS path
+    FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY own, pos ROWS UNBOUNDED PRECEDING)
+), member AS (
+    SELECT conv_id, depth, chars, path, depth = max(depth) OVER (PARTITION BY conv_id) AS ends FROM prefixed
+    UNION ALL
+    SELECT conv_id, 0, 0, [], conv_id NOT IN (SELECT conv_id FROM prefixed) FROM convs
+), node AS (
+    SELECT path, depth, any_value(chars) AS chars, min(conv_id) AS conv_id, count(*) AS n_convs,
+        sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+    FROM member GROUP BY path, depth
+), told AS (
+    SELECT n.*, p.conv_id AS parent_conv_id, (SELECT count(*) FROM node k WHERE k.depth = n.depth + 1 AND k.path[1:n.depth] = n.path) AS n_children
+    FROM node n LEFT JOIN node p ON p.depth = n.depth - 1 AND p.path = n.path[1:n.depth - 1]
+)
+SELECT a.conv_id, a.depth, a.parent_conv_id, a.n_convs, a.n_children, (count(*) FILTER (WHERE b.n_children = 0))::BIGINT AS n_leaves,
+    sum((b.n_convs - 1) * b.chars)::BIGINT AS saved_tokens, a.ends_sha256
+FROM told a JOIN told b ON b.depth >= a.depth AND b.path[1:a.depth] = a.path
+GROUP BY ALL
+"""

@@ -11,8 +11,9 @@ from .common import table, text_or_empty
 from .jaccard_tree import jaccard_components
 from .language_crf import language_model, predict_languages
 from .merge_dropout import encode_with_dropout
-from .oracles import OP4, OP6, OP8
+from .oracles import OP4, OP6, OP8, OP11
 from .packing import pack
+from .prefix_trie import prefix_trie
 from .quality_rules import quality_rules
 from .secret_forest import find_secrets
 from .sharding import sampled_splitters
@@ -81,6 +82,11 @@ def op10_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heads of up to five turns come from the first conversation of each hundred."""
+    return prefix_trie(table(spark, sf_dir, "conversations"), base=lambda c: c - c % 100, head=lambda c: F.crc32(c.cast("string")) % 6)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sampled_splitters": op1_sampled_splitters,
     "op2_token_counts": op2_token_counts,
@@ -92,5 +98,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc_zip": op8_warc_zip,
     "op9_one_bit_search": op9_one_bit_search,
     "op10_secret_forest": op10_secret_forest,
+    "op11_prefix_trie": op11_prefix_trie,
 }
-ORACLES: dict[str, str] = {"op4_jaccard_tree": OP4, "op6_quality_rules": OP6, "op8_warc_zip": OP8}
+ORACLES: dict[str, str] = {"op4_jaccard_tree": OP4, "op6_quality_rules": OP6, "op8_warc_zip": OP8, "op11_prefix_trie": OP11}
