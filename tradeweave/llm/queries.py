@@ -10,6 +10,7 @@ from .ann import one_bit_search
 from .common import table, text_or_empty
 from .jaccard_tree import jaccard_components
 from .language_crf import language_model, predict_languages
+from .lattice_lm import lattice_scores
 from .merge_dropout import encode_with_dropout
 from .oracles import OP4, OP6, OP8, OP11
 from .packing import pack
@@ -87,6 +88,11 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(table(spark, sf_dir, "conversations"), base=lambda c: c - c % 100, head=lambda c: F.crc32(c.cast("string")) % 6)
 
 
+def op12_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from documents with crc32(doc_id) mod 7 not 2; scores all."""
+    return lattice_scores(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), held_out=F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sampled_splitters": op1_sampled_splitters,
     "op2_token_counts": op2_token_counts,
@@ -99,5 +105,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_one_bit_search": op9_one_bit_search,
     "op10_secret_forest": op10_secret_forest,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_lattice_likelihood": op12_lattice_likelihood,
 }
 ORACLES: dict[str, str] = {"op4_jaccard_tree": OP4, "op6_quality_rules": OP6, "op8_warc_zip": OP8, "op11_prefix_trie": OP11}

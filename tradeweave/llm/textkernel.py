@@ -7,12 +7,14 @@ prefix sums), finished with a bit mixer.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -112,3 +114,58 @@ def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     total = np.zeros(len(buf) + 1, dtype=np.uint64)
     np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)], out=total[1:])
     return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def word_parts(col: pa.Array, max_bytes: int = 1 << 20) -> Iterator[tuple[int, pa.Array]]:
+    """Like ``parts``, but a text of over ``max_bytes`` comes in several one-row arrays, cut at blanks: no word is
+    cut, and memory follows ``max_bytes`` (or the longest word) instead of the longest text."""
+    for at, some in parts(col, max_bytes):
+        buf, bounds = byte_view(some)
+        if len(some) > 1 or bounds[-1] <= max_bytes:
+            yield at, some
+            continue
+        whole, start = memoryview(buf), 0
+        while start < len(whole):
+            blank = _BLANK.search(whole, start + max_bytes) if start + max_bytes < len(whole) else None
+            end = blank.end() if blank else len(whole)
+            yield at, pa.array([bytes(whole[start:end])], pa.binary())
+            start = end
+
+
+def span_strings(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The spans as an Arrow string column."""
+    size = (end - start).astype(np.int64)
+    offsets = np.zeros(len(size) + 1, np.int64)
+    np.cumsum(size, out=offsets[1:])
+    data = buf[np.repeat(start - offsets[:-1], size) + np.arange(offsets[-1])] if len(size) else np.zeros(0, np.uint8)
+    return pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))).cast(pa.string())
+
+
+class WordCounts:
+    """Counts by word (several per word) that a task gathers before it hands them on; at most ``max_words`` or ``max_bytes`` are held."""
+
+    def __init__(self, width: int, max_words: int = 200_000, max_bytes: int = 1 << 24) -> None:
+        self.held: dict[bytes, list[int]] = {}
+        self.width, self.max_words, self.max_bytes, self.n_bytes = width, max_words, max_bytes, 0
+
+    def add(self, words: list[bytes], counts: list[tuple[int, ...]]) -> None:
+        held = self.held
+        for word, more in zip(words, counts):
+            have = held.get(word)
+            if have is None:
+                held[word] = list(more)
+                self.n_bytes += len(word)
+            else:
+                for k, x in enumerate(more):
+                    have[k] += x
+
+    @property
+    def full(self) -> bool:
+        return len(self.held) >= self.max_words or self.n_bytes >= self.max_bytes
+
+    def taken(self, names: list[str]) -> pa.RecordBatch:
+        """All of them as one batch (word, counts...); nothing is held after that."""
+        words = [w.decode() for w in self.held]
+        batch = pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *[pa.array([c[k] for c in self.held.values()], pa.int64()) for k in range(self.width)]], names=names)
+        self.held, self.n_bytes = {}, 0
+        return batch
