@@ -142,3 +142,40 @@ SELECT a.conv_id, a.depth, a.parent_conv_id, a.n_convs, a.n_children, (count(*)
 FROM told a JOIN told b ON b.depth >= a.depth AND b.path[1:a.depth] = a.path
 GROUP BY ALL
 """
+
+_BYTES = "flatten(list_transform(string_split(keyed, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [195::BIGINT, unicode(c)::BIGINT - 64] END))"
+
+OP13 = f"""
+WITH RECURSIVE run AS (
+    SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\\x{{00C0}}-\\x{{00FF}}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r
+    FROM documents
+), counted AS (
+    SELECT doc_id, r, doc_id::VARCHAR || ':' || r AS keyed, count(*) AS times FROM run WHERE length(r) >= 6 GROUP BY doc_id, r
+), hashed AS (
+    SELECT r, times, CASE WHEN keyed IS NULL THEN 1 ELSE {_crc32(_BYTES)} END AS h FROM counted
+), word AS (
+    SELECT CASE WHEN h % 199 = 0 THEN r[1:h % length(r)] || r[h % length(r) + 2:] ELSE r END AS word, sum(times)::BIGINT AS n
+    FROM hashed GROUP BY 1 HAVING length(word) >= 6 AND sum(times) >= 5
+), less AS (
+    SELECT DISTINCT word, n, word[1:i - 1] || word[i + 1:] AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM word)
+), gap AS (
+    SELECT word, n, word[1:i - 1] || '*' || word[i + 1:] AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM word)
+), near AS (
+    SELECT a.word, b.word AS other, b.n FROM gap a JOIN gap b ON a.rest = b.rest AND a.word <> b.word
+    UNION SELECT l.word, w.word, w.n FROM less l JOIN word w ON w.word = l.rest
+    UNION SELECT w.word, l.word, l.n FROM less l JOIN word w ON w.word = l.rest
+), told AS (
+    SELECT word, count(*) AS n_near, max(n) AS most FROM near GROUP BY word
+), best AS (
+    SELECT t.word, t.n_near, t.most, min(x.other) AS other FROM told t JOIN near x ON x.word = t.word AND x.n = t.most GROUP BY ALL
+), formed AS (
+    SELECT w.word, w.n, coalesce(b.n_near, 0)::BIGINT AS n_near, CASE WHEN b.most >= 5 * w.n THEN b.other END AS form, CASE WHEN b.most >= 5 * w.n THEN b.most END AS form_n
+    FROM word w LEFT JOIN best b ON b.word = w.word
+), path AS (
+    SELECT word, word AS at FROM formed
+    UNION ALL
+    SELECT p.word, f.form FROM path p JOIN formed f ON f.word = p.at WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, p.at AS root, f.n, f.n_near, f.form_n
+FROM formed f JOIN path p ON p.word = f.word JOIN formed g ON g.word = p.at AND g.form IS NULL
+"""

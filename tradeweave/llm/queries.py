@@ -12,12 +12,13 @@ from .jaccard_tree import jaccard_components
 from .language_crf import language_model, predict_languages
 from .lattice_lm import lattice_scores
 from .merge_dropout import encode_with_dropout
-from .oracles import OP4, OP6, OP8, OP11
+from .oracles import OP4, OP6, OP8, OP11, OP13
 from .packing import pack
 from .prefix_trie import prefix_trie
 from .quality_rules import quality_rules
 from .secret_forest import find_secrets
 from .sharding import sampled_splitters
+from .spelling_kd import spelling_variants
 from .token_counts import token_counts
 from .warc_zip import round_trip
 
@@ -93,6 +94,11 @@ def op12_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_scores(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), held_out=F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of six code points and five occurrences or more; a form has at least five times the word's count."""
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sampled_splitters": op1_sampled_splitters,
     "op2_token_counts": op2_token_counts,
@@ -106,5 +112,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secret_forest": op10_secret_forest,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_lattice_likelihood": op12_lattice_likelihood,
+    "op13_spelling_variants": op13_spelling_variants,
 }
-ORACLES: dict[str, str] = {"op4_jaccard_tree": OP4, "op6_quality_rules": OP6, "op8_warc_zip": OP8, "op11_prefix_trie": OP11}
+ORACLES: dict[str, str] = {"op4_jaccard_tree": OP4, "op6_quality_rules": OP6, "op8_warc_zip": OP8, "op11_prefix_trie": OP11, "op13_spelling_variants": OP13}

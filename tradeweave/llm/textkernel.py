@@ -90,9 +90,13 @@ def words_of(col: pa.Array, lower: bool = False) -> Words:
     buf, bounds = byte_view(col)
     if lower:
         buf = _LOWER[buf]
-    inside = ~_SPACE[buf] if len(buf) else np.zeros(0, bool)
+    return spans_of(buf, bounds, ~_SPACE[buf])
+
+
+def spans_of(buf: np.ndarray, bounds: np.ndarray, inside: np.ndarray) -> Words:
+    """Maximal runs of bytes that are ``inside``; none crosses from one text to the next."""
     edge = np.zeros(len(buf) + 1, dtype=bool)
-    edge[bounds] = True  # no word crosses from one text to the next
+    edge[bounds] = True
     before = np.empty(len(buf), dtype=bool)
     if len(buf):
         before[0] = False
@@ -106,6 +110,19 @@ def words_of(col: pa.Array, lower: bool = False) -> Words:
     return Words(buf, bounds, start, end, np.searchsorted(start, bounds, side="left"))
 
 
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[[*range(65, 91), *range(97, 123), 0xC3]] = True
+
+
+def latin_runs_of(col: pa.Array) -> Words:
+    """Maximal runs ``[A-Za-z\\u00C0-\\u00FF]+`` with A-Z lower-cased. The latter are the byte C3 and one more."""
+    buf, bounds = byte_view(col)
+    buf = _LOWER[buf]
+    inside = _LETTER[buf]
+    inside[1:] |= buf[:-1] == 0xC3
+    return spans_of(buf, bounds, inside)
+
+
 def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hash of the bytes of each span."""
     if not len(start):
