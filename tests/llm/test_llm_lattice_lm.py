@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tradeweave.llm import lattice_lm, textkernel
 from tradeweave.llm.lattice_lm import MARK, PRIOR, Lattice, Vocabulary, lattice_scores, vocabulary
 from tradeweave.llm.queries import tokenizer_path
-from tradeweave.llm.textkernel import WordCounts, span_strings, word_parts, words_of
+from tradeweave.llm.textkernel import WordCounts, packed, span_strings, word_parts, words_of
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 MODEL = "piece_bpe_32k.model"
@@ -41,18 +41,21 @@ def segmentations(vocab, text):
 
 
 @pytest.mark.parametrize("word", ["a", "ab", "ababa", "éa", "bxб", "aaaa"])
-def test_forward_and_backward_cover_all_segmentations(word):
+def test_forward_and_backward_cover_all_segmentations(monkeypatch, word):
     vocab = small()
     lattice = Lattice(vocab)
     every = list(segmentations(vocab, MARK + word))
     whole = sum(p for p, _ in every)
     assert lattice.log_probability(word) == pytest.approx(math.log(whole), rel=1e-12)
-    want, got = np.zeros(len(vocab.logs)), np.zeros(len(vocab.logs))
+    want = np.zeros(len(vocab.logs))
     for p, pieces in every:
         for i in pieces:
             want[i] += 3 * p / whole
-    lattice.expected(word, 3, got)
-    assert np.allclose(want, got, atol=1e-9)
+    for least in (0, 2):  # in plain numbers, and in log space
+        monkeypatch.setattr(lattice_lm, "SMALL", least)
+        lattice = Lattice(vocab)
+        lattice.expect(word, 3)
+        assert np.allclose(want, lattice.expected(), atol=1e-9)
 
 
 def test_vocabulary_is_a_distribution_and_long_words_do_not_underflow():
@@ -72,9 +75,10 @@ def plain(rows, vocab, rounds):
     counts = Counter(w for t in train for w in t)
     n, kinds = sum(counts.values()) + len(train), len(counts) + bool(train)
     for _ in range(rounds):
-        lattice, found = Lattice(vocab), np.exp(vocab.logs) * PRIOR
+        lattice = Lattice(vocab)
         for w, c in counts.items():
-            lattice.expected(w, c, found)
+            lattice.expect(w, c)
+        found = np.exp(vocab.logs) * PRIOR + lattice.expected()
         found[-1] += len(train)
         vocab = Vocabulary(vocab.pieces, np.log(found / found.sum()))
     lattice = Lattice(vocab)
@@ -129,7 +133,7 @@ def test_long_texts_come_in_pieces_of_whole_words():
 
 def test_counts_are_handed_on_in_time():
     held = WordCounts(2, max_words=2)
-    held.add([b"a", b"b", b"a"], [(1, 0), (2, 1), (3, 3)])
+    held.add(["a", "b", "a"], packed(np.array([1, 2, 3]), np.array([0, 1, 3])))
     assert held.full
     assert held.taken(["w", "x", "y"]).to_pylist() == [{"w": "a", "x": 4, "y": 3}, {"w": "b", "x": 2, "y": 1}]
     assert not held.full and held.taken(["w", "x", "y"]).num_rows == 0

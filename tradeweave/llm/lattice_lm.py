@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .common import python_ready, staged
-from .textkernel import WordCounts, span_hashes, span_strings, word_parts, words_of
+from .textkernel import WordCounts, packed, span_hashes, span_strings, word_parts, words_of
 
 HEAD = 1 << 20
 PRIOR = 1000.0
@@ -41,6 +41,7 @@ MARK = "▁"
 NEVER = -1e8  # scores below: pieces for white space, which no word holds
 END_SHARE = 0.01  # of the prior
 BYTE_SHARE = 0.01
+SMALL = 1e-250  # a word of less probability is summed in log space
 
 
 class Vocabulary(NamedTuple):
@@ -71,61 +72,97 @@ class Lattice:
         self.matcher = ahocorasick.Automaton()
         logs = vocab.logs.tolist()
         for i, piece in enumerate(vocab.pieces):
-            self.matcher.add_word(piece, (len(piece), logs[i], i))
+            self.matcher.add_word(piece, (len(piece), logs[i], math.exp(logs[i]), i))
         self.matcher.make_automaton()
         self.n_pieces, self.bytes = len(vocab.pieces), logs[len(vocab.pieces) : -1]
         self.by_bytes: dict[str, float] = {}
+        self.counts = [0.0] * len(vocab.pieces)
+        self.char_counts: dict[str, float] = {}
 
-    def spelled(self, char: str) -> float:
-        known = self.by_bytes.get(char)
-        if known is None:
-            known = self.by_bytes[char] = sum(self.bytes[b] for b in char.encode())
-        return known
+    def _spelled(self, char: str) -> float:
+        log = self.by_bytes[char] = sum(self.bytes[b] for b in char.encode())
+        return log
 
-    def arcs(self, text: str) -> Iterator[tuple[int, int, float, int]]:
-        """(from, to, log probability, piece or -1 for bytes), by end."""
-        at = 0
-        for last, (size, log, piece) in self.matcher.iter(text):
+    def arcs(self, text: str) -> list[tuple[int, int, float, int]]:
+        """(from, to, log probability, piece or -1 for a character's bytes), by end."""
+        at, out, known = 0, [], self.by_bytes
+        for last, (size, log, _, piece) in self.matcher.iter(text):
             while at <= last:
-                yield at, at + 1, self.spelled(text[at]), -1
+                out.append((at, at + 1, known.get(text[at]) or self._spelled(text[at]), -1))
                 at += 1
-            yield last + 1 - size, last + 1, log, piece
-        while at < len(text):
-            yield at, at + 1, self.spelled(text[at]), -1
-            at += 1
+            out.append((last + 1 - size, last + 1, log, piece))
+        out += [(k, k + 1, known.get(text[k]) or self._spelled(text[k]), -1) for k in range(at, len(text))]
+        return out
 
-    def log_probability(self, word: str) -> float:
-        """Natural logarithm of the sum over all segmentations."""
-        text = MARK + word
+    @staticmethod
+    def _ahead(arcs: list, n: int) -> list[float]:
         log1p, exp = math.log1p, math.exp
-        ahead: list[float | None] = [None] * (len(text) + 1)
+        ahead: list[float | None] = [None] * (n + 1)
         ahead[0] = 0.0
-        for a, b, log, _ in self.arcs(text):
+        for a, b, log, _ in arcs:
             x, y = ahead[a] + log, ahead[b]
             ahead[b] = x if y is None else (x + log1p(exp(y - x)) if x > y else y + log1p(exp(x - y)))
-        return ahead[-1]
+        return ahead
 
-    def expected(self, word: str, times: float, into: np.ndarray) -> None:
-        """Adds the expected number of every piece in ``times`` such words to ``into``."""
+    def log_probability(self, word: str) -> float:
+        """Natural logarithm of the sum over all segmentations, by forward recursion in log space."""
         text = MARK + word
-        arcs = list(self.arcs(text))
-        log1p, exp = math.log1p, math.exp
-        ahead: list[float | None] = [None] * (len(text) + 1)
-        behind = list(ahead)
-        ahead[0] = behind[-1] = 0.0
-        for a, b, log, _ in arcs:
-            x, y = ahead[a] + log, ahead[b]
-            ahead[b] = x if y is None else (x + log1p(exp(y - x)) if x > y else y + log1p(exp(x - y)))
-        whole = ahead[-1]
-        for a, b, log, piece in reversed(arcs):
-            x, y = behind[b] + log, behind[a]
-            behind[a] = x if y is None else (x + log1p(exp(y - x)) if x > y else y + log1p(exp(x - y)))
-            share = exp(ahead[a] + log + behind[b] - whole) * times
+        return self._ahead(self.arcs(text), len(text))[-1]
+
+    def expect(self, word: str, times: float) -> None:
+        """Adds the expected number of every piece in ``times`` such words.
+
+        In plain numbers; where these would become too small, in log space.
+        """
+        text, exp = MARK + word, math.exp
+        n = len(text)
+        ahead = [0.0] * (n + 1)
+        ahead[0] = 1.0
+        at, arcs, known = 0, [], self.by_bytes
+        for last, (size, _, p, piece) in self.matcher.iter(text):
+            while at <= last:
+                q = exp(known.get(text[at]) or self._spelled(text[at]))
+                arcs.append((at, at + 1, q, -1))
+                ahead[at + 1] += ahead[at] * q
+                at += 1
+            a = last + 1 - size
+            arcs.append((a, last + 1, p, piece))
+            ahead[last + 1] += ahead[a] * p
+        for at in range(at, n):
+            q = exp(known.get(text[at]) or self._spelled(text[at]))
+            arcs.append((at, at + 1, q, -1))
+            ahead[at + 1] += ahead[at] * q
+        if ahead[n] < SMALL:
+            return self._expect_small(text, times)
+        behind, counts, chars = [0.0] * (n + 1), self.counts, self.char_counts
+        behind[n] = times / ahead[n]
+        for a, b, p, piece in reversed(arcs):
+            x = p * behind[b]
+            behind[a] += x
             if piece >= 0:
-                into[piece] += share
+                counts[piece] += ahead[a] * x
             else:
-                for byte in text[a].encode():
-                    into[self.n_pieces + byte] += share
+                chars[text[a]] = chars.get(text[a], 0.0) + ahead[a] * x
+
+    def _expect_small(self, text: str, times: float) -> None:
+        arcs = self.arcs(text)
+        ahead = self._ahead(arcs, len(text))
+        n, whole = len(text), ahead[-1]
+        behind = self._ahead([(n - b, n - a, log, piece) for a, b, log, piece in reversed(arcs)], n)
+        for a, b, log, piece in arcs:
+            share = math.exp(ahead[a] + log + behind[n - b] - whole) * times
+            if piece >= 0:
+                self.counts[piece] += share
+            else:
+                self.char_counts[text[a]] = self.char_counts.get(text[a], 0.0) + share
+
+    def expected(self) -> np.ndarray:
+        """Expected counts gathered so far: pieces, bytes, and 0 for the end."""
+        out = np.array([*self.counts, *[0.0] * 257])
+        for char, share in self.char_counts.items():
+            for byte in char.encode():
+                out[self.n_pieces + byte] += share
+        return out
 
 
 def word_table(docs: DataFrame) -> DataFrame:
@@ -141,8 +178,8 @@ def word_table(docs: DataFrame) -> DataFrame:
                 hashes = span_hashes(w.buf, w.start, w.end)
                 _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
                 learned = np.repeat(teaches[at : at + len(col)], np.diff(w.first))
-                counts = zip(np.bincount(which, minlength=len(first)).tolist(), np.bincount(which, learned, minlength=len(first)).astype(np.int64).tolist())
-                held.add([w.buf[a:b].tobytes() for a, b in zip(w.start[first].tolist(), w.end[first].tolist())], list(counts))
+                counts = packed(np.bincount(which, minlength=len(first)), np.bincount(which, learned, minlength=len(first)))
+                held.add(span_strings(w.buf, w.start[first], w.end[first]).to_pylist(), counts)
                 if held.full:
                     yield held.taken(names)
         yield held.taken(names)
@@ -159,10 +196,11 @@ def fitted(words: DataFrame, docs_learned: int, vocab: Vocabulary, rounds: int)
     prior = np.exp(vocab.logs) * PRIOR
     for _ in range(rounds):
         def expect(batches: Iterator[pa.RecordBatch], vocab: Vocabulary = vocab) -> Iterator[pa.RecordBatch]:
-            lattice, found = Lattice(vocab), np.zeros(len(vocab.logs))
+            lattice = Lattice(vocab)
             for batch in batches:
                 for word, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    lattice.expected(word, c, found)
+                    lattice.expect(word, c)
+            found = lattice.expected()
             some = np.flatnonzero(found)
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(found[some])], names=["piece", "n"])
 

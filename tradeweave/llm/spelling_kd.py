@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import python_ready, staged
-from .textkernel import WordCounts, latin_runs_of, span_hashes, word_parts
+from .textkernel import WordCounts, latin_runs_of, packed, span_hashes, span_strings, word_parts
 
 CELL = 4096
 SAMPLE = 20_000  # vectors of a length that shape the top of its tree
@@ -90,12 +90,12 @@ def word_counts(docs: DataFrame, key: str, text: str, every: int, least_points:
                 whole = np.flatnonzero(~cut)
                 _, first, times = np.unique(span_hashes(w.buf, start[whole], end[whole]), return_index=True, return_counts=True)
                 first = whole[first]
-                held.add([w.buf[a:b].tobytes() for a, b in zip(start[first].tolist(), end[first].tolist())], [(n,) for n in times.tolist()])
+                held.add(span_strings(w.buf, start[first], end[first]).to_pylist(), packed(times))
                 for k in np.flatnonzero(cut).tolist():
                     run = w.buf[start[k] : end[k]].tobytes().decode()
                     place = int(h[k]) % len(run)
                     if len(run) > least_points:
-                        held.add([(run[:place] + run[place + 1 :]).encode()], [(1,)])
+                        held.add([run[:place] + run[place + 1 :]], [1])
                 if held.full:
                     yield held.taken(names)
         yield held.taken(names)

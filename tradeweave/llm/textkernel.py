@@ -158,31 +158,36 @@ def span_strings(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Arra
     return pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))).cast(pa.string())
 
 
+_FIELD = 40  # bits of one count
+
+
+def packed(*counts: np.ndarray) -> list[int]:
+    """Several counts of each word as one number; each below 2**23."""
+    return sum(c.astype(np.int64) << (_FIELD * k) for k, c in enumerate(counts)).tolist()
+
+
 class WordCounts:
-    """Counts by word (several per word) that a task gathers before it hands them on; at most ``max_words`` or ``max_bytes`` are held."""
+    """``width`` counts by word that a task gathers before it hands them on, until ``full``."""
 
     def __init__(self, width: int, max_words: int = 200_000, max_bytes: int = 1 << 24) -> None:
-        self.held: dict[bytes, list[int]] = {}
-        self.width, self.max_words, self.max_bytes, self.n_bytes = width, max_words, max_bytes, 0
+        self.held: dict[str, int] = {}
+        self.width, self.max_words, self.max_bytes, self.long_bytes = width, max_words, max_bytes, 0
 
-    def add(self, words: list[bytes], counts: list[tuple[int, ...]]) -> None:
-        held = self.held
+    def add(self, words: list[str], counts: list[int]) -> None:
+        """``counts``: as by ``packed``."""
+        held, get = self.held, self.held.get
         for word, more in zip(words, counts):
-            have = held.get(word)
-            if have is None:
-                held[word] = list(more)
-                self.n_bytes += len(word)
-            else:
-                for k, x in enumerate(more):
-                    have[k] += x
+            held[word] = get(word, 0) + more
+        self.long_bytes += sum(n for n in map(len, words) if n > 64)
 
     @property
     def full(self) -> bool:
-        return len(self.held) >= self.max_words or self.n_bytes >= self.max_bytes
+        return len(self.held) >= self.max_words or self.long_bytes >= self.max_bytes
 
     def taken(self, names: list[str]) -> pa.RecordBatch:
         """All of them as one batch (word, counts...); nothing is held after that."""
-        words = [w.decode() for w in self.held]
-        batch = pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *[pa.array([c[k] for c in self.held.values()], pa.int64()) for k in range(self.width)]], names=names)
-        self.held, self.n_bytes = {}, 0
+        sums, mask = list(self.held.values()), (1 << _FIELD) - 1
+        columns = [pa.array([(x >> (_FIELD * k)) & mask for x in sums], pa.int64()) for k in range(self.width)]
+        batch = pa.RecordBatch.from_arrays([pa.array(list(self.held), pa.string()), *columns], names=names)
+        self.held, self.long_bytes = {}, 0
         return batch
