@@ -11,7 +11,7 @@ import pytest
 
 from tradeweave.llm import jaccard_tree
 from tradeweave.llm.components import components
-from tradeweave.llm.jaccard_tree import Tree, bands_for, dual_traversal, jaccard_components, overlap_size, shingle_sets
+from tradeweave.llm.jaccard_tree import Tree, bands_for, dual_traversal, jaccard_components, overlap_size, prefix_keys, shared_counts, shingle_sets
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -58,10 +58,12 @@ def near_copies(rng, base, n, edits):
     return out
 
 
-@pytest.mark.parametrize("size,percent,block", [(3, 90, 128), (5, 80, 128), (3, 90, 8), (5, 80, 8)])
-def test_components_match_brute_force(spark, monkeypatch, size, percent, block):
+@pytest.mark.parametrize("size,percent,block,exact", [(3, 90, 128, False), (5, 80, 128, False), (3, 90, 8, False), (5, 80, 8, False), (3, 90, 128, True), (5, 80, 8, True)])
+def test_components_match_brute_force(spark, monkeypatch, size, percent, block, exact):
     """With small blocks the large groups go through chunks, pivots and the second round."""
     monkeypatch.setattr(jaccard_tree, "BLOCK", block)
+    monkeypatch.setattr(jaccard_tree, "DEAL", 4 * block)
+    monkeypatch.setattr(jaccard_tree, "CHUNK_BYTES", 1 << 13)
     rng = random.Random(size * percent + block)
     texts = [None, "", "  \n ", "one", "One", "two words", "a b c", "A B C"]
     passage = words(rng, 60)
@@ -79,7 +81,7 @@ def test_components_match_brute_force(spark, monkeypatch, size, percent, block):
     ids = [3 * i for i in range(len(texts))]
     texts = [texts[i] for i in order]
     docs = spark.createDataFrame([(i, t, "n", 1) for i, t in zip(ids, texts)], "doc_id long, text string, node string, n int")
-    got = jaccard_components(docs, size=size, percent=percent).collect()
+    got = jaccard_components(docs, size=size, percent=percent, exact=exact).collect()
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == sorted(plain_components(ids, texts, size, percent))
     assert sum(r["first"] for r in got) == len({r["component_id"] for r in got})
 
@@ -92,7 +94,13 @@ def test_repeated_rows_null_ids_and_no_rows(spark):
     assert jaccard_components(docs.limit(0)).count() == 0
 
 
-def test_traversal_keeps_every_linked_pair():
+def pairs(a, b):
+    return {(x, y) for i, j in dual_traversal(a, b, 90) for x, y in zip(i.tolist(), j.tolist())}
+
+
+@pytest.mark.parametrize("frontier", [1 << 14, 50])
+def test_traversal_keeps_every_linked_pair(monkeypatch, frontier):
+    monkeypatch.setattr(jaccard_tree, "FRONTIER", frontier)
     rng = np.random.default_rng(1)
     base = np.unique(rng.integers(0, 1 << 63, 400).astype(np.uint64))
     sets = []
@@ -100,9 +108,9 @@ def test_traversal_keeps_every_linked_pair():
         s = base[rng.random(len(base)) < rng.choice([0.5, 0.97])]
         sets.append(np.unique(np.concatenate([s, rng.integers(0, 1 << 63, rng.integers(0, 15)).astype(np.uint64)])))
     tree = Tree(sets, np.arange(len(sets)), 1024)
-    kept = set(zip(*(x.tolist() for x in dual_traversal(tree, tree, 90))))
+    kept = pairs(tree, tree)
     other = Tree(sets[:20], np.arange(100, 120), 1024)
-    crossed = set(zip(*(x.tolist() for x in dual_traversal(tree, other, 90))))
+    crossed = pairs(tree, other)
     linked = {(i, j) for j in range(70) for i in range(70) if 190 * overlap_size(sets[i], sets[j]) >= 90 * (len(sets[i]) + len(sets[j]))}
     assert {(i, j) for i, j in linked if i < j} <= kept
     assert {(i, j) for i, j in linked if j < 20} <= crossed
@@ -117,6 +125,28 @@ def test_shingles_and_bands():
     assert (1 - 0.9**3) ** bands_for(90) <= 1e-12 and (1 - 0.8**3) ** bands_for(80) <= 1e-12
 
 
+@pytest.mark.parametrize("chunk_bytes", [400, 5000, 16 << 20])
+def test_shared_counts(spark, monkeypatch, chunk_bytes):
+    monkeypatch.setattr(jaccard_tree, "CHUNK_BYTES", chunk_bytes)
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.choice(rng.integers(0, 1 << 64, 300, dtype=np.uint64) if k % 3 else np.arange(200, dtype=np.uint64) << np.uint64(55), rng.integers(1, 40))) for k in range(60)]
+    got = shared_counts(spark.createDataFrame([(bytes([k]), s.tobytes()) for k, s in enumerate(sets)], "node binary, members binary")).collect()
+    want = {bytes([k]): sum(any(x in o for j, o in enumerate(map(set, (t.tolist() for t in sets))) if j != k) for x in s.tolist()) for k, s in enumerate(sets)}
+    assert {bytes(r["node"]): r["common"] for r in got} == want
+    assert shared_counts(spark.createDataFrame([], "node binary, members binary")).collect() == []
+
+
+@pytest.mark.parametrize("percent", [80, 90, 100])
+def test_linked_sets_share_a_prefix_key(percent):
+    rng = random.Random(percent)
+    for _ in range(400):
+        a = set(rng.sample(range(10_000), rng.randint(1, 60)))
+        b = set(rng.sample(sorted(a), max(1, len(a) - rng.randint(0, 8)))) | set(rng.sample(range(10_000), rng.randint(0, 6)))
+        if 100 * len(a & b) >= percent * len(a | b):
+            x, y = (prefix_keys(np.array(sorted(z), np.uint64), percent) for z in (a, b))
+            assert set(x.tolist()) & set(y.tolist())
+
+
 def test_connected_components(spark):
     rng = random.Random(9)
     links = [(i, i + 1) for i in range(0, 60) if i % 20 != 19] + [(rng.randint(100, 160), rng.randint(100, 160)) for _ in range(40)] + [(200, 201), (201, 200), (300, 300)]
