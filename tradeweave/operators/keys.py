@@ -17,13 +17,12 @@ duplicate values never pile up in one task).
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tradeweave.session import ensure_checkpoint_dir
+from tradeweave.session import written
 
 #: Largest dimension that may be numbered by one global window.
 DIM_MAX_ROWS = 20_000
@@ -45,15 +44,6 @@ def with_dim_key(df: DataFrame, order: Sequence[str | Column], name: str) -> Dat
     return limited.select(F.when(nth <= DIM_MAX_ROWS, nth).otherwise(too_many).cast("int").alias(name), *df.columns)
 
 
-def _staged(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read back."""
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/ranked-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
 def _partitions(df: DataFrame, n: int | None) -> int:
     if n:
         return n
@@ -63,9 +53,9 @@ def _partitions(df: DataFrame, n: int | None) -> int:
 def ranged(df: DataFrame, order: Sequence[str], num_partitions: int | None = None) -> DataFrame:
     """``df`` written in global order (NULLs last) with ``_rk_part`` and ``_rk_pos`` (both from 0)."""
     by = [F.col(c).asc_nulls_last() for c in order]
-    spread = _staged(df).repartitionByRange(_partitions(df, num_partitions), *by).sortWithinPartitions(*by)
+    spread = written(df, "ranked").repartitionByRange(_partitions(df, num_partitions), *by).sortWithinPartitions(*by)
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    return _staged(spread.withColumns({_PART: F.spark_partition_id(), _POS: place}))
+    return written(spread.withColumns({_PART: F.spark_partition_id(), _POS: place}), "ranked")
 
 
 def _offsets(totals: DataFrame, base: str, total: str) -> DataFrame:

@@ -24,7 +24,7 @@ from tradeweave.params import TradeFilter
 from tradeweave.plans import oracle as O
 from tradeweave.plans.warehouse import standin_star
 from tradeweave.session import ensure_checkpoint_dir
-from tradeweave.sources.files import RAW_FLOW_COLUMNS
+from tradeweave.sources.files import RAW_FLOW_COLUMNS, read_raw
 from tradeweave.sources.landing import land_incremental, landed_rows
 from tradeweave.sources.payloads import flatten_countries, flatten_indicator
 from tradeweave.sources.standin import iso3_of
@@ -914,6 +914,30 @@ def s9_landed_rows(s):
         F.count_distinct("cmdCode").alias("hs_codes"))
 
 
+_DESC_SQL = """CASE o_orderkey % 6 WHEN 0 THEN o_orderpriority || ', "' || o_orderstatus || '", ' || o_custkey WHEN 1 THEN o_orderpriority || chr(10) || o_custkey
+        WHEN 2 THEN o_orderpriority || chr(92) WHEN 3 THEN '"' || chr(10) || chr(10) || ',"' || o_custkey WHEN 4 THEN 'a ""quoted"" "' || o_custkey || '"' ELSE o_orderpriority END"""
+
+
+@register("s1_quoted_records", f"""
+SELECT o_orderstatus AS flow_code, CAST(year(o_orderdate) AS VARCHAR) AS ref_year, COUNT(*) AS rows, COUNT(DISTINCT description) AS descriptions,
+    CAST(SUM(length(description)) AS BIGINT) AS description_chars, MIN(description) AS least, MAX(description) AS most, MIN(o_orderkey) AS first_key
+FROM (SELECT *, {_DESC_SQL} AS description FROM orders) GROUP BY o_orderstatus, year(o_orderdate)""")
+def s1_quoted_records(s):
+    """Orders rendered as CSV files, plain and compressed, whose cells hold commas, doubled quotes, backslashes and line breaks; read record by record."""
+    spark = s.dim_country.sparkSession
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/quoted-{uuid.uuid4().hex}"
+    orders = spark.read.parquet(f"{s.source_dir}/orders.parquet")
+    feed = orders.select(F.year("o_orderdate").alias("refYear"), F.expr(_DESC_SQL).alias("cmdDesc"), F.col("o_orderstatus").alias("flowCode"), F.col("o_orderkey").alias("key"))
+    for name, part, columns in (("none", 0, feed.columns), ("gzip", 1, feed.columns[::-1])):
+        feed.where(F.col("key") % 2 == part).select(*columns).write.option("header", True).option("escape", '"').option("quoteAll", True) \
+            .option("compression", name).csv(f"{root}/{name}")
+    rows = read_raw(spark, root, ["refYear", "cmdDesc", "flowCode", "key"], with_ingest_order=False)
+    text = F.col("cmdDesc")
+    return rows.groupBy(F.col("flowCode").alias("flow_code"), F.col("refYear").alias("ref_year")).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct("cmdDesc").alias("descriptions"), F.sum(F.char_length(text)).alias("description_chars"),
+        F.min(text).alias("least"), F.max(text).alias("most"), F.min(F.col("key").cast("long")).alias("first_key"))
+
+
 def _payload_folder(pages: DataFrame, name: str) -> str:
     """One file per API page: ``page`` and its ``records`` (JSON array) in the landed form, and one page that is an error."""
     spark = pages.sparkSession

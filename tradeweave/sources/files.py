@@ -8,6 +8,7 @@ position, which is what "first in file order" means for keep-first dedup.
 from __future__ import annotations
 
 import csv
+import io
 import json
 from collections.abc import Sequence
 
@@ -16,7 +17,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tradeweave.constants import FLOW_RENAME
+from tradeweave.session import written
+from tradeweave.sources.records import csv_records
 
+#: Files that are read, at any depth.
+CSV_FILES = "*.{csv,csv.gz}"
 INGEST_ORDER = ("_ing_file", "_ing_block", "_ing_row")
 RAW_FLOW_COLUMNS = tuple(FLOW_RENAME)
 
@@ -36,7 +41,7 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 def raw_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """Lines of text files under ``path`` (folders are searched through) with their ingest order."""
-    df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{csv,csv.gz}").text(path if isinstance(path, str) else list(path))
+    df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", CSV_FILES).text(path if isinstance(path, str) else list(path))
     return df.select("value", F.col("_metadata.file_path").alias("_ing_file"),
                      F.col("_metadata.file_block_start").alias("_ing_block"),
                      F.monotonically_increasing_id().alias("_ing_row"))
@@ -48,27 +53,32 @@ def align_lines(lines: DataFrame, columns: Sequence[str] | None = None, required
     Every file is read by its own header, whatever the order of its columns; a column that
     a file lacks is NULL there. ``columns`` picks the output columns (else all names that occur,
     in the order of the distinct headers); a file whose header has none of ``required``
-    raises. Quoted fields may hold commas, not line breaks. The driver sees the distinct
-    headers only; blank lines and further lines equal to a file's header are skipped.
+    raises. Quoted cells may hold commas, doubled quotes and line breaks (``records``); a backslash is a
+    character like others. Missing cells and empty ones are NULL; a record with more cells than its header
+    raises. Blank records and further ones equal to a file's header are skipped. The driver sees the distinct headers only.
     """
-    lines = lines.where(F.trim("value") != "")
-    first = lines.where(F.col("_ing_block") == 0).groupBy("_ing_file").agg(F.min_by("value", "_ing_row").alias("_header"))
+    records, places = csv_records(lines)
+    first = written(records.join(places, ["_ing_file", "_ing_row"], "left_semi").select("_ing_file", F.col("value").alias("_header")), "headers")
     layouts = [r["_header"] for r in first.select("_header").distinct().orderBy("_header").collect()]
-    names = {h: [c.strip() for c in next(csv.reader([h.lstrip("\ufeff")]))] for h in layouts}
+    names = {h: [c.strip() for c in next(csv.reader(io.StringIO(h)))] for h in layouts}
     for h, have in names.items():
         if required and not set(required) & set(have):
             raise ValueError(f"unknown file layout: {h!r}")
     wanted = list(columns) if columns is not None else list(dict.fromkeys(c for h in layouts for c in names[h] if c))
     width = max([len(v) for v in names.values()], default=1)
-    fields = ", ".join(f"`c{i}` string" for i in range(width))
-    rows = lines.join(first, "_ing_file").where(F.col("value") != F.col("_header"))
-    rows = rows.withColumn("_cells", F.from_csv("value", F.lit(fields)))
+    fields = ", ".join(f"`c{i}` string" for i in range(width + 1))
+    rows = records.join(first, "_ing_file").where((F.col("value") != F.col("_header")) & (F.trim("value") != ""))
+    rows = rows.withColumn("_cells", F.from_csv("value", F.lit(fields), {"escape": '"', "maxCharsPerColumn": "-1"}))
+    if names:
+        beyond = F.coalesce(*[F.when(F.col("_header") == h, F.col("_cells")[f"c{len(have)}"]) for h, have in names.items()])
+        said = F.concat(F.col("_ing_file"), F.lit(" has a record with more cells than its header: "), F.substring("value", 1, 200))
+        rows = rows.where(F.when(beyond.isNotNull(), F.raise_error(said).cast("boolean")).otherwise(True))
 
     def cell(name: str) -> Column:
         out = F.lit(None).cast("string")
         for h, have in names.items():
             if name in have:
-                out = F.when(F.col("_header") == h, F.col("_cells")[f"c{have.index(name)}"]).otherwise(out)
+                out = F.when(F.col("_header") == h, F.nullif(F.col("_cells")[f"c{have.index(name)}"], F.lit(""))).otherwise(out)
         return out
 
     return rows.select(*[cell(c).alias(c) for c in wanted], *INGEST_ORDER)

@@ -21,7 +21,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tradeweave.constants import DEFAULT_DEDUP_KEYS
 from tradeweave.operators.clean import clean_flows
-from tradeweave.sources.files import INGEST_ORDER, RAW_FLOW_COLUMNS, align_lines, path_exists
+from tradeweave.sources.files import CSV_FILES, INGEST_ORDER, RAW_FLOW_COLUMNS, align_lines, path_exists
 
 #: Files a merge writes per year at most.
 FILES_PER_YEAR = 16
@@ -45,7 +45,7 @@ def merge_keep_first(batch: DataFrame, table: str, keys: Sequence[str] = DEFAULT
 def start_landing_stream(spark: SparkSession, landing: str, table: str, checkpoint: str,
                          keys: Sequence[str] = DEFAULT_DEDUP_KEYS, available_now: bool = True) -> StreamingQuery:
     """Stream raw CSV files from ``landing`` into the clean, deduplicated ``table``."""
-    raw = (spark.readStream.option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True).text(landing)
+    raw = (spark.readStream.option("pathGlobFilter", CSV_FILES).option("recursiveFileLookup", True).text(landing)
            .select("value", F.col("_metadata.file_path").alias("_ing_file"),
                    F.col("_metadata.file_block_start").alias("_ing_block")))
 
