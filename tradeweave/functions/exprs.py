@@ -34,24 +34,28 @@ def norm_code(c: Column | str) -> Column:
 
 def numeric_text(c: Column | str) -> Column:
     """One text per whole number: ``842``, ``842.0``, ``0842`` and ``\\t842`` become ``842``; other text is only stripped."""
-    return F.regexp_replace(strip(c), r"^\+?0*([0-9]+)(?:\.0*)?$", "$1")
+    text = strip(c)
+    plain = is_digits(text) & ~text.startswith("0")  # most cells: no pattern is matched
+    return F.when(plain, text).otherwise(F.regexp_replace(text, r"^\+?0*([0-9]+)(?:\.0*)?$", "$1"))
+
+
+def is_digits(c: Column) -> Column:
+    """True for text of decimal digits only, and for empty text."""
+    return F.translate(c, "0123456789", "") == ""
 
 
 def pad_code(c: Column | str) -> Column:
     """Zero-pad a one- or two-digit numeric code to two characters."""
     c = _c(c)
-    return F.when(c.rlike(r"^[0-9]{1,2}$"), F.lpad(c, 2, "0")).otherwise(c)
+    return F.when((F.char_length(c) == 1) & is_digits(c), F.concat(F.lit("0"), c)).otherwise(c)
 
 
 def case_map(c: Column | str, mapping: Mapping[str, str], default: Column | None = None) -> Column:
-    """Lookup through a small fixed mapping; unknown keys give ``default`` (NULL)."""
-    c = _c(c)
-    out = None
-    for k, v in mapping.items():
-        out = F.when(c == F.lit(k), F.lit(v)) if out is None else out.when(c == F.lit(k), F.lit(v))
-    if out is None:
+    """Lookup through a small fixed mapping; unknown keys give ``default`` (NULL). The key is evaluated once."""
+    if not mapping:
         return default if default is not None else F.lit(None).cast("string")
-    return out.otherwise(default) if default is not None else out
+    out = F.try_element_at(F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv]), _c(c))
+    return F.coalesce(out, default) if default is not None else out
 
 
 def is_import(c: Column | str = "flow_direction") -> Column:

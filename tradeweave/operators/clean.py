@@ -22,7 +22,7 @@ from tradeweave.constants import (
     INDICATOR_NAMES,
     WORLD_PARTNER_CODES,
 )
-from tradeweave.functions.exprs import case_map, norm_code, numeric_text, pad_code, safe_div, strip, to_int, try_number
+from tradeweave.functions.exprs import case_map, is_digits, norm_code, numeric_text, pad_code, safe_div, strip, to_int, try_number
 
 REJECT = "_reject"
 #: Columns whose text is brought to one form per number before keys are compared.
@@ -48,7 +48,8 @@ def is_aggregate_hs(code: Column, tokens: Sequence[str] = AGGREGATE_HS_CODES) ->
 
 
 def is_valid_hs(code: Column) -> Column:
-    return F.coalesce(code.rlike(r"^[0-9]{2}$"), F.lit(False))
+    """Two digits."""
+    return F.coalesce((F.char_length(code) == 2) & is_digits(code), F.lit(False))
 
 
 def drop_world(df: DataFrame, codes: Sequence[str] = WORLD_PARTNER_CODES) -> DataFrame:
@@ -85,7 +86,7 @@ def keep_valid_hs(df: DataFrame) -> DataFrame:
 
 def invalid_hs_sample(raw: DataFrame, n: int = 5) -> DataFrame:
     """The ``n`` most frequent invalid HS codes that reach the validity check."""
-    t = tag_flows(raw)
+    t = tagged(raw)
     return (t.where(F.col(REJECT) == "invalid_hs").groupBy("hs_code")
              .agg(F.count(F.lit(1)).alias("rows"))
              .orderBy(F.col("rows").desc(), F.col("hs_code").asc_nulls_last()).limit(n))
@@ -97,16 +98,21 @@ def map_flow(df: DataFrame) -> DataFrame:
     if "flow_code" not in df.columns:
         return df
     code = strip("flow_code")
-    df = df.withColumn("flow_code", F.coalesce(case_map(code, FLOW_CODE_LABELS), code))
+
+    def of_code(by_label: Mapping[str, str]) -> dict[str, str]:
+        """By code or by label, as either may stand in the cell."""
+        return dict(by_label) | {c: by_label[label] for c, label in FLOW_CODE_LABELS.items() if label in by_label}
+
     return df.withColumns({
-        "flow_direction_simple": case_map(F.col("flow_code"), FLOW_SIMPLE),
-        "valuation": case_map(F.col("flow_code"), FLOW_VALUATION),
+        "flow_code": case_map(code, FLOW_CODE_LABELS, code),
+        "flow_direction_simple": case_map(code, of_code(FLOW_SIMPLE)),
+        "valuation": case_map(code, of_code(FLOW_VALUATION)),
     })
 
 
 def unknown_flows(raw: DataFrame) -> DataFrame:
     """Rows per flow label that is not one of the four known labels."""
-    t = tag_flows(raw).where(F.col(REJECT).isNull())
+    t = tagged(raw).where(F.col(REJECT).isNull())
     known = F.coalesce(F.col("flow_code").isin(*FLOW_CODE_LABELS.values()), F.lit(False))
     return t.where(~known).groupBy("flow_code").agg(F.count(F.lit(1)).alias("rows"))
 
@@ -153,16 +159,21 @@ def tag_flows(raw: DataFrame) -> DataFrame:
     df = df.withColumns({c: numeric_text(c) for c in NUMERIC_KEYS if c in df.columns})
     reason: Column | None = None
     if "partner_code" in df.columns:
-        reason = F.when(is_world_partner(F.col("partner_code")), "world_partner")
+        # the code already has one text per number
+        reason = F.when(F.coalesce(F.col("partner_code").isin(*WORLD_PARTNER_CODES), F.lit(False)), "world_partner")
     if "hs_code" in df.columns:
-        hs = norm_code(F.col("hs_code"))
-        agg = is_aggregate_hs(hs)
+        df = df.withColumn("hs_code", norm_code(F.col("hs_code")))
+        agg = is_aggregate_hs(F.col("hs_code"))
+        bad = ~is_valid_hs(pad_code(F.col("hs_code")))
         reason = F.when(agg, "aggregate_hs") if reason is None else reason.when(agg, "aggregate_hs")
-        df = df.withColumn("hs_code", pad_code(hs))
-        bad = ~is_valid_hs(F.col("hs_code"))
         reason = reason.when(bad, "invalid_hs")
-    df = map_flow(df)
-    return df.withColumn(REJECT, reason if reason is not None else F.lit(None).cast("string"))
+    df = map_flow(df).withColumn(REJECT, reason if reason is not None else F.lit(None).cast("string"))
+    return df.withColumn("hs_code", pad_code(F.col("hs_code"))) if "hs_code" in df.columns else df
+
+
+def tagged(flows: DataFrame) -> DataFrame:
+    """``flows`` with their tags: a table that was written with them passes as it is."""
+    return flows if REJECT in flows.columns else tag_flows(flows)
 
 
 def _dedup_keys_present(df: DataFrame, keys: Sequence[str]) -> bool:
@@ -171,14 +182,14 @@ def _dedup_keys_present(df: DataFrame, keys: Sequence[str]) -> bool:
 
 def clean_flows(raw: DataFrame, order: Sequence[str],
                 dedup_keys: Sequence[str] = DEFAULT_DEDUP_KEYS) -> DataFrame:
-    """Full clean of a raw flow table, one lazy plan.
+    """Full clean of a raw (or tagged) flow table, one lazy plan.
 
     Order of steps: rename → world filter → HS normalise / aggregate drop /
     validity → flow mapping → value coercion → keep-first dedup on the key
     texts (one text per number) → numeric coercion of the remaining columns. ``order`` names the
     ingest-order columns (dropped from the output).
     """
-    df = tag_flows(raw).where(F.col(REJECT).isNull()).drop(REJECT)
+    df = tagged(raw).where(F.col(REJECT).isNull()).drop(REJECT)
     df = coerce_numeric(df, doubles=["trade_value_usd"])
     if _dedup_keys_present(df, dedup_keys):
         df = dedup_first(df, dedup_keys, order)
@@ -193,7 +204,7 @@ def cleaning_ledger(raw: DataFrame, dedup_keys: Sequence[str] = DEFAULT_DEDUP_KE
     One pass: rows are counted per (reason, dedup key) — combined map-side —
     then folded into one row and unfolded into the fixed list of steps.
     """
-    t = tag_flows(raw)
+    t = tagged(raw)
     keys = list(dedup_keys) if _dedup_keys_present(t, dedup_keys) else []
     r, n = F.col(REJECT), F.col("n")
     # rejected rows need no keys: they fold into one group per reason

@@ -106,6 +106,7 @@ def checkpoint_root(spark: SparkSession) -> str | None:
     return spark.conf.get("spark.checkpoint.dir", None) or None
 
 
+TAGGED_TABLES = ("tagged_reporter", "tagged_mirror")
 STAGING_TABLES = ("trade_flows", "mirror_flows", "country_stats", "hs_chapters", "countries")
 
 
@@ -121,7 +122,13 @@ def load_warehouse(spark: SparkSession, raw: standin.RawInputs, path: str, cfg:
         if times is not None:
             times[step] = round(time.time() - began, 3)
 
-    for name, df in clean_stage(raw, cfg).items():
+    # the raw flows are parsed and tagged once; the clean and its reports (C6, C8, C11, C13) read these tables
+    sources = dict(zip(TAGGED_TABLES, (raw.reporter_flows, raw.mirror_flows)))
+    for name, df in sources.items():
+        timed(f"load/{name}", lambda df=df, name=name: C.tag_flows(df).write.mode("overwrite").parquet(f"{path}/staging/{name}"))
+    tagged = {name: spark.read.parquet(f"{path}/staging/{name}") for name in sources}
+    from_tags = replace(raw, reporter_flows=tagged["tagged_reporter"], mirror_flows=tagged["tagged_mirror"])
+    for name, df in clean_stage(from_tags, cfg).items():
         timed(f"load/clean_{name}", lambda df=df, name=name: df.write.mode("overwrite").parquet(f"{path}/staging/{name}"))
     stage = {name: spark.read.parquet(f"{path}/staging/{name}") for name in STAGING_TABLES}
     star = star_from_stage(spark, stage, cfg, raw)
@@ -149,7 +156,7 @@ def read_star(spark: SparkSession, path: str, raw: dict[str, DataFrame] | None =
         return spark.read.schema(S.FACT_SCHEMA).parquet(f"{path}/{name}")
 
     dims = {k: t(k) for k in ("dim_country", "dim_commodity", "dim_time")}
-    staging = {name: t(f"staging/{name}") for name in STAGING_TABLES}
+    staging = {name: t(f"staging/{name}") for name in (*STAGING_TABLES, *TAGGED_TABLES)}
     staging.update(raw or {})
     return S.Star(dims["dim_country"], dims["dim_commodity"], dims["dim_time"], fact("fact_trade"),
                   fact("fact_mirror_trade"), t("fact_country_stats"), staging=staging)
