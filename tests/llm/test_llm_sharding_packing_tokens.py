@@ -80,6 +80,15 @@ def test_token_counts(awkward, library, chunk, overlap):
     assert got == want
 
 
+def test_token_counts_of_a_long_text(spark, library):
+    """20 MB in one row, cut in one pass; and no stable cut for long stretches."""
+    line = "A line, with 12 numbers and ünïcödé words like 漢字; it's repeated.\n"
+    texts = [line * (20_000_000 // len(line.encode())), "x" * 40_000 + "é" * 30_000 + " end"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_bytes"], r["n_tokens"]) for r in token_counts(docs, BPE).collect()}
+    assert got == {i: (len(t.encode()), len(ids_of(library, t))) for i, t in enumerate(texts)}
+
+
 def test_token_counts_of_no_rows(awkward):
     assert token_counts(awkward.limit(0), BPE).count() == 0
 

@@ -1,6 +1,6 @@
 """Token counts of whole texts by overlap resynchronisation.
 
-A text of at most ``chunk`` characters is encoded as it stands. A longer one becomes
+A text of at most ``chunk`` bytes is encoded as it stands. A longer one is cut in one pass into
 chunks that overlap the next one, dealt over all tasks and encoded each by itself,
 with the byte offset of every token. Two neighbours are spliced at the first stable
 boundary behind the later one's start: a place where the pre-tokeniser must end a
@@ -10,7 +10,8 @@ with a wider overlap, until the overlap reaches the text's end and the earlier c
 takes all the rest; so every count is exact.
 
 Defined results: null text is empty (0 bytes, 0 tokens); repeated rows each get their
-row; keys may be null; an empty table gives no rows. Extra columns are not carried.
+row; keys may be null; an empty table gives no rows. Extra columns are not carried. Time and memory
+are linear in a text's length: one task reads and cuts it, all of them encode its chunks.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from .bpe import stable_cut
 from .common import python_ready, staged, text_or_empty
+from .textkernel import byte_view
 
 CHUNK = 32_768
 OVERLAP = 256
@@ -80,18 +82,43 @@ def _count_short(rows: DataFrame, tokenizer: str) -> DataFrame:
     return rows.select("key", "n_bytes", "text").mapInArrow(count, schema)
 
 
+def _cuts(rows: DataFrame, chunk: int, overlap: int) -> DataFrame:
+    """A row per chunk: its own bytes ``body``, those behind it that it overlaps, and whether the text ``ends`` with them.
+
+    A text's bytes are cut in one pass, between characters, and the pieces are dealt over all tasks.
+    """
+    fields = rows.select("key", "n_bytes", "text_hash").schema.fields
+    schema = T.StructType([*fields, *[T.StructField(n, t) for n, t in (("chunk", T.IntegerType()), ("body", T.StringType()), ("over", T.StringType()), ("ends", T.BooleanType()))]])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, bounds = byte_view(batch.column(3))
+            for row, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+                text = buf[a:b]
+
+                def between(places: np.ndarray, text: np.ndarray = text) -> np.ndarray:
+                    """Each place, or the next one where a character begins (at most three bytes on)."""
+                    for _ in range(3):
+                        inside = places < len(text)
+                        inside[inside] = (text[places[inside]] & 0xC0) == 0x80
+                        places = places + inside
+                    return places
+
+                edges = between(np.minimum(np.arange(-(-len(text) // chunk) + 1) * chunk, len(text)))
+                beyond = between(np.minimum(edges[1:] + overlap, len(text)))
+                for at in range(0, len(beyond), 64):
+                    some = range(at, min(at + 64, len(beyond)))
+                    yield pa.RecordBatch.from_arrays([
+                        *[batch.column(k).take(pa.array([row] * len(some))) for k in range(3)], pa.array(some, pa.int32()),
+                        pa.array([text[edges[k] : edges[k + 1]].tobytes() for k in some], pa.binary()).cast(pa.string()), pa.array([text[edges[k + 1] : beyond[k]].tobytes() for k in some], pa.binary()).cast(pa.string()),
+                        pa.array([bool(beyond[k] == len(text)) for k in some])], names=schema.fieldNames())
+
+    return rows.select("key", "n_bytes", "text_hash", "text").mapInArrow(cut, schema)
+
+
 def _count_chunks(rows: DataFrame, tokenizer: str, chunk: int, overlap: int) -> DataFrame:
-    """A row per chunk: key, n_bytes, text_hash, chunk, n_tokens, aligned, marks (0 over a document if neighbours chose the same places)."""
-    cuts = (
-        rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), ((F.col("n_chars") - 1) / chunk).cast("int"))))
-        .select(
-            "key", "n_bytes", "text_hash", "chunk",
-            F.expr(f"substring(text, chunk * {chunk} + 1, {chunk})").alias("body"),
-            F.expr(f"substring(text, (chunk + 1) * {chunk} + 1, {overlap})").alias("over"),
-            F.expr(f"cast(n_chars <= (chunk + 1L) * {chunk} + {overlap} as boolean)").alias("ends"),
-        )
-        .repartition(F.xxhash64("text_hash", "chunk", "key"))
-    )
+    """A row per chunk: key, n_bytes, text_hash, chunk, n_tokens, aligned, and the places ``left`` and ``right`` of its splices."""
+    cuts = _cuts(rows, chunk, overlap).repartition(F.xxhash64("text_hash", "chunk", "key"))
     keys = cuts.select("key", "n_bytes", "text_hash", "chunk").schema.fields
     schema = T.StructType([*keys, T.StructField("n_tokens", T.LongType()), T.StructField("aligned", T.BooleanType()), T.StructField("left", T.LongType()), T.StructField("right", T.LongType())])
 
@@ -119,10 +146,10 @@ def token_counts(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str
     """key, n_bytes, n_tokens of every row; ``tokenizer`` is the path of a byte-level BPE file of the ``tokenizers`` library."""
     python_ready(docs.sparkSession)
     rows = docs.select(F.col(key).alias("key"), text_or_empty(text).alias("text"))
-    rows = rows.withColumn("n_bytes", F.octet_length("text").cast("long")).withColumn("n_chars", F.char_length("text"))
-    short = _count_short(rows.filter(F.col("n_chars") <= chunk), tokenizer)
+    rows = rows.withColumn("n_bytes", F.octet_length("text").cast("long"))
+    short = _count_short(rows.filter(F.col("n_bytes") <= chunk), tokenizer)
 
-    huge = rows.filter(F.col("n_chars") > chunk).withColumn("text_hash", F.xxhash64("text"))
+    huge = rows.filter(F.col("n_bytes") > chunk).withColumn("text_hash", F.xxhash64("text"))
     done = None
     while True:
         counted = staged(_count_chunks(huge, tokenizer, chunk, overlap), "chunks")
