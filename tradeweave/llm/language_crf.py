@@ -10,9 +10,9 @@ words get their marginals by forward-backward over the whole text; the language
 largest mean marginal is the text's, that mean is its score (runs that touch a digit, as in
 keys and numbers, weigh ``DIGIT_WEIGHT``).
 
-Training sees a bounded sample: ``SAMPLE_DOCS`` labelled documents a language (those with the
-smallest hash, of at most ``SAMPLE_BYTES`` bytes each), ``MAX_LANGS`` languages (the most
-frequent). Its model is a few MB, however large the corpus.
+Training sees a bounded sample of every language that is labelled: ``SAMPLE_DOCS`` documents of it (with many languages
+fewer, ``SAMPLE_TOTAL`` in all, but ``LEAST_DOCS`` of each at least), those with the smallest hash, and
+of each a window of ``SAMPLE_CHARS`` characters. Its model is a few MB for a few dozen languages, however large the corpus.
 
 Work per text is vectorised: features once per distinct word of a batch, forward-backward in
 segments whose transfer matrices are chained, so long texts cost no more per word.
@@ -35,8 +35,9 @@ from .common import python_ready
 from .textkernel import byte_view, parts, span_hashes
 
 SAMPLE_DOCS = 100
-SAMPLE_BYTES = 16_384
-MAX_LANGS = 64
+SAMPLE_TOTAL = 6400
+LEAST_DOCS = 8
+SAMPLE_CHARS = 16_384
 TABLE_BITS = 15
 SEGMENT = 32
 ROUNDS = 30
@@ -309,15 +310,19 @@ def _expected_pairs(scores: np.ndarray, p: np.ndarray, cuts: np.ndarray, transit
 
 
 def sample_of(labelled: DataFrame, text: str, lang: str, key: str) -> tuple[list[str], list[str]]:
-    """The bounded training sample, on the driver."""
+    """The bounded training sample, on the driver: of every language the same number of documents, those with the
+    smallest hashes, and of a long document a window at a place that its hash names."""
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(key).alias("key")).filter("text is not null and lang is not null")
-    rows = rows.filter(F.octet_length("text") <= SAMPLE_BYTES)
     slim = rows.select("lang", F.xxhash64("text", "key").alias("h"))
-    common = [r["lang"] for r in slim.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()]
+    n_langs = slim.agg(F.count_distinct("lang")).first()[0]
+    each = max(LEAST_DOCS, min(SAMPLE_DOCS, SAMPLE_TOTAL // max(1, n_langs)))
     drawn = Window.partitionBy("lang").orderBy("h")
-    chosen = slim.filter(F.col("lang").isin(common)).withColumn("nth", F.row_number().over(drawn)).filter(F.col("nth") <= SAMPLE_DOCS).select("h").distinct()
-    # at most MAX_LANGS * SAMPLE_DOCS hashes
-    got = rows.withColumn("h", F.xxhash64("text", "key")).join(F.broadcast(chosen), "h").dropDuplicates(["h", "lang"]).orderBy("lang", "h").select("lang", "text").limit(MAX_LANGS * SAMPLE_DOCS).toArrow()
+    chosen = slim.withColumn("nth", F.row_number().over(drawn)).filter(F.col("nth") <= each).select("h", "lang").distinct()
+    # at most SAMPLE_TOTAL hashes, or LEAST_DOCS a language
+    got = rows.withColumn("h", F.xxhash64("text", "key")).join(F.broadcast(chosen), ["h", "lang"]).dropDuplicates(["h", "lang"])
+    spare = F.char_length("text") - SAMPLE_CHARS
+    window = F.when(spare <= 0, F.col("text")).otherwise(F.substring("text", F.pmod(F.col("h"), F.greatest(spare, F.lit(1))).cast("int") + 1, F.lit(SAMPLE_CHARS)))
+    got = got.select("lang", "h", window.alias("text")).orderBy("lang", "h").select("lang", "text").toArrow()
     return got.column("text").to_pylist(), got.column("lang").to_pylist()
 
 
@@ -333,7 +338,7 @@ def predict_languages(docs: DataFrame, model: Model | None, key: str = "doc_id",
         schema = schema.add("spans", span)
     if with_text:
         schema = schema.add(rows.schema["text"])
-    shared = spark.sparkContext.broadcast(model)  # a few MB: 3 * 2^TABLE_BITS rows of MAX_LANGS weights at most
+    shared = spark.sparkContext.broadcast(model)  # 3 * 2^TABLE_BITS rows of a weight per language
     arrow_span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
