@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -146,6 +147,22 @@ def test_clean_documents_stay_and_clashing_columns(spark, awkward):
     assert quality_rules(awkward.limit(0)).count() == 0
 
 
+def test_lines_of_clean_documents_stay(spark):
+    wrapped = textwrap.fill("A clean paragraph of ordinary words goes on for a while and then comes to its natural end, as paragraphs do, without any other sign; "
+                            "it was only broken into short lines by the program that once wrote it to a file, which is how many old letters and books are kept.", 60)
+    texts = {
+        "catalog": "The library keeps its catalog in a printed book that every visitor may open, and the design in the hall was made by subscribers of the society who wanted a quiet place to read, to write and to talk about books with one another on long winter evenings.",
+        "wrapped": wrapped,
+        "hindi": "\n".join(["यह एक साधारण वाक्य है जो एक पूर्ण विराम के साथ समाप्त होता है।"] * 1 + ["दूसरा वाक्य भी इसी तरह लिखा गया है और अलग शब्दों के साथ समाप्त होता है।"]),
+        "signin": "When you sign in at the desk of the old hotel, the porter asks for your name, the town that you come from, and how long you would like to stay, and then he takes your bags up to the second floor, where the rooms look out over the river.",
+    }
+    menu = "\n".join(["Home | About | Contact | Help | News", "Subscribe to our newsletter!", "Sign in. Sign up.", "All rights reserved."])
+    docs = spark.createDataFrame([(i, t + "\n" + menu) for i, t in enumerate(texts.values())], "doc_id long, text string")
+    got = {r["doc_id"]: r["quality"] for r in quality_rules(docs).collect()}
+    for i, t in enumerate(texts.values()):
+        assert got[i]["kept"] and got[i]["cleaned"] == t, (t, got[i])
+
+
 # merge-dropout --------------------------------------------------------------
 
 

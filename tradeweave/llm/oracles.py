@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality_rules import BOILERPLATE, LINE_SYMBOLS, MAX_LOST, MAX_REPEAT_PERCENT, MIN_WORDS, SEPARATORS, SYMBOLS, TERMINAL
+from .quality_rules import BOILERPLATE, HOLDS, LINE_SYMBOLS, MAX_LOST, MAX_REPEAT_PERCENT, MIN_WORDS, PHRASE_SHARE, SEPARATORS, SYMBOLS, TERMINAL, WRAP, WRAPS
 
 _WORD = r"[^\x20\x09-\x0D]+"
 _WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -45,7 +45,11 @@ SELECT d.doc_id, coalesce(z.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesc
 FROM documents d LEFT JOIN sized z ON z.doc_id = d.doc_id LEFT JOIN reach r ON r.x = d.doc_id
 """
 
-_SAYS = " OR ".join(f"contains(lower(line), {_quoted(p)})" for p in BOILERPLATE)
+_SPACED = r"' ' || regexp_replace(lower(line), '[^\p{L}\p{N}]+', '  ', 'g') || ' '"
+_PHRASES = " + ".join(f"(length(spaced) - length(replace(spaced, {_quoted(m)}, ''))) // {len(m)} * {p.count(' ') + 1}" for p in BOILERPLATE for m in [" " + p.replace(" ", "  ") + " "])
+_JOINED = "coalesce(text, '')"
+for _w in WRAPS:
+    _JOINED = f"regexp_replace({_JOINED}, {_quoted(_w)}, {_quoted(chr(92) + '1' + WRAP + chr(92) + '2')}, 'g')"
 
 OP6 = rf"""
 WITH word_list AS (
@@ -65,25 +69,30 @@ WITH word_list AS (
     SELECT doc_id, count(*) AS n FROM hit WHERE start IS NOT NULL GROUP BY doc_id
 ), line_list AS (
     SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents
+), own_lines AS (
+    SELECT doc_id, line FROM (SELECT doc_id, unnest(l) AS line FROM line_list) WHERE regexp_matches(line, '{_WORD}')
+), joined_list AS (
+    SELECT doc_id, string_split(CASE WHEN contains(text, chr(11)) THEN text ELSE {_JOINED} END, chr(10)) AS l FROM documents
 ), lines AS (
-    SELECT doc_id, line, len(regexp_extract_all(line, '{_WORD}')) AS n
-    FROM (SELECT doc_id, unnest(l) AS line FROM line_list) WHERE regexp_matches(line, '{_WORD}')
+    SELECT doc_id, line, len(regexp_extract_all(line, '{_WORD}')) AS n, {_SPACED} AS spaced
+    FROM (SELECT doc_id, unnest(l) AS line FROM joined_list) WHERE regexp_matches(line, '{_WORD}')
 ), judged AS (
     SELECT doc_id, line,
-        (contains({_quoted(TERMINAL)}, right(rtrim(line, {_WHITE}), 1)) OR (n >= 8 AND regexp_matches(line, '[.!?…] ')))
+        (contains({_quoted(TERMINAL)}, right(rtrim(line, {_WHITE}), 1)) OR (n >= 8 AND regexp_matches(line, '{HOLDS}')))
         AND NOT ({_of('line', SEPARATORS)} >= 3 AND {_of('line', SEPARATORS)} * 5 >= n)
         AND NOT ({_of('line', LINE_SYMBOLS)} >= 3 AND {_of('line', LINE_SYMBOLS)} * 4 >= n)
         AND NOT ((length(line) - length(replace(line, '!!', ' '))) >= 2 AND (length(line) - length(replace(line, '!!', ' '))) * 5 >= n)
-        AND NOT ({_SAYS}) AS passes
+        AND ({_PHRASES}) * {PHRASE_SHARE} < n AS passes
     FROM lines
 ), per_line AS (
-    SELECT doc_id, count(*) - count(DISTINCT line) AS dup, coalesce(sum(length(translate(line, {_WHITE}, ''))) FILTER (WHERE passes), 0) AS clean
-    FROM judged GROUP BY doc_id
+    SELECT doc_id, coalesce(sum(length(translate(line, {_WHITE}, ''))) FILTER (WHERE passes), 0) AS clean FROM judged GROUP BY doc_id
+), repeats AS (
+    SELECT doc_id, count(*) - count(DISTINCT line) AS dup FROM own_lines GROUP BY doc_id
 ), facts AS (
     SELECT d.doc_id, len(w.w)::BIGINT AS n_words, length(translate(coalesce(text, ''), {_WHITE}, ''))::BIGINT AS word_chars,
-        {_of("coalesce(text, '')", SYMBOLS)}::BIGINT AS n_symbols, coalesce(p.dup, 0)::BIGINT AS n_dup_lines,
+        {_of("coalesce(text, '')", SYMBOLS)}::BIGINT AS n_symbols, coalesce(o.dup, 0)::BIGINT AS n_dup_lines,
         coalesce(r.n, 0)::BIGINT AS n_repeat_words, coalesce(p.clean, 0)::BIGINT AS clean_chars
-    FROM documents d JOIN word_list w ON w.doc_id = d.doc_id LEFT JOIN repeated r ON r.doc_id = d.doc_id LEFT JOIN per_line p ON p.doc_id = d.doc_id
+    FROM documents d JOIN word_list w ON w.doc_id = d.doc_id LEFT JOIN repeated r ON r.doc_id = d.doc_id LEFT JOIN per_line p ON p.doc_id = d.doc_id LEFT JOIN repeats o ON o.doc_id = d.doc_id
 )
 SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
     NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) AND clean_chars >= {1 - MAX_LOST} * word_chars AS kept

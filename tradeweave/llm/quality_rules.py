@@ -1,8 +1,9 @@
 """Line-first quality rules, in DataFrame operations alone.
 
 Every line with a word is judged by itself: does it end or hold a sentence
-(punctuation), is it a list of links (navigation), does it say what such lines say on
-every site (boilerplate), is it mostly symbols or shouting. Lines that fail go; a
+(punctuation), is it a list of links (navigation), do phrases that stand on every site make up
+a good part of its words (boilerplate), is it mostly symbols or shouting. A line that is wrapped in the
+middle of a sentence is judged with the one that goes on. Lines that fail go; a
 document that loses more than ``max_lost`` of its word characters that way, or that
 fails the base rules (too few words, too many words in repeated windows), is rejected.
 
@@ -17,6 +18,8 @@ columns stay, the verdict is one struct column whose name gives way to existing
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import fresh_name
@@ -30,15 +33,23 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 MAX_LOST = 0.5
 
-#: What a sentence may end with.
-TERMINAL = ".!?…。！？:;\"'”’»)]"
+#: What a sentence may end with, in several scripts.
+TERMINAL = ".!?…。！？:;\"'”’»)]।॥؟۔։።။」』"
+#: What tells that a line holds the end of a sentence.
+HOLDS = "[.!?…।؟۔።] |[。！？]"
+#: Ends and beginnings of lines between which a sentence goes on: letter or comma and small letter; a long line and any letter.
+WRAPS = [r"([\p{Ll},;-])\n(\p{Ll})", r"([^\n]{50}[\p{L},;-])\n(\p{L})"]
+#: White space that stands for the break of a wrapped line; a text that holds it itself is judged as it stands.
+WRAP = "\x0b"
+#: Phrases fail a line in which they make up one in so many of its words.
+PHRASE_SHARE = 5
 #: What stands between links.
 SEPARATORS = "|»›•·"
 #: Line symbols beside those of the base rules.
 LINE_SYMBOLS = "#*$%&<>{}\\^~=_"
 BOILERPLATE = [
     "all rights reserved", "licensed under", "released under the", "terms of use", "terms of service", "privacy policy",
-    "cookie policy", "uses cookies", "enable javascript", "lorem ipsum", "copyright ©", "copyright (c)", "click here",
+    "cookie policy", "uses cookies", "enable javascript", "lorem ipsum", "copyright", "click here",
     "sign up", "sign in", "log in", "subscribe", "powered by", "skip to content", "share this",
 ]
 
@@ -56,8 +67,8 @@ def _count(text: Column, characters: str) -> Column:
     return F.char_length(text) - F.char_length(_without(text, characters))
 
 
-def _says(text: Column, phrases: list[str]) -> Column:
-    """Holds one of the phrases, in any case."""
+def _holds_any(text: Column, phrases: list[str]) -> Column:
+    """Holds the characters of one of the phrases, in any case."""
 
     def any_of(low: Column) -> Column:
         found = F.lit(False)
@@ -68,6 +79,20 @@ def _says(text: Column, phrases: list[str]) -> Column:
     return _let(F.lower(text), any_of)
 
 
+def phrase_words(line: Column, phrases: list[str]) -> Column:
+    """How many words of the line belong to one of the phrases, in any case, from one edge of a word to another."""
+
+    def counted(spaced: Column) -> Column:
+        # two blanks between words, so that neighbouring phrases do not share one
+        out = F.lit(0)
+        for p in phrases:
+            marked = " " + p.replace(" ", "  ") + " "
+            out = out + (F.char_length(spaced) - F.char_length(F.replace(spaced, F.lit(marked), F.lit("")))) / len(marked) * (p.count(" ") + 1)
+        return out
+
+    return _let(F.concat(F.lit(" "), F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", "  "), F.lit(" ")), counted)
+
+
 def _class(characters: str) -> str:
     return "[" + "".join("\\" + c for c in characters) + "]"
 
@@ -76,9 +101,10 @@ def line_passes(line: Column, flagged: Column) -> Column:
     """All line rules hold. ``flagged`` (of the whole text) says which of symbols, shouting and
     boilerplate occur at all, so that a line is only asked about those."""
     ends = F.instr(F.lit(TERMINAL), F.right(F.rtrim(line, F.lit(WHITE)), F.lit(1))) > 0
+    n_words = F.regexp_count(line, F.lit(WORD))
 
     def unusual(n: Column) -> Column:
-        holds = (n >= 8) & line.rlike(r"[.!?…] ")
+        holds = (n >= 8) & line.rlike(HOLDS)
         links = _count(line, SEPARATORS)
         navigation = (links >= 3) & (links * 5 >= n)
         symbols = _count(line, LINE_SYMBOLS)
@@ -88,8 +114,8 @@ def line_passes(line: Column, flagged: Column) -> Column:
         return (ends | holds) & ~(flagged["symbols"] & (navigation | noisy)) & ~(flagged["shouts"] & shouting)
 
     plain = ends & ~flagged["symbols"] & ~flagged["shouts"]
-    passes = F.when(plain, F.lit(True)).otherwise(_let(F.regexp_count(line, F.lit(WORD)), unusual))
-    return F.when(passes & flagged["says"], ~_says(line, BOILERPLATE)).otherwise(passes)
+    passes = F.when(plain, F.lit(True)).otherwise(_let(n_words, unusual))
+    return F.when(passes & flagged["says"], phrase_words(line, BOILERPLATE) * PHRASE_SHARE < n_words).otherwise(passes)
 
 
 def repeat_words(words: Column, window: int = WINDOW) -> Column:
@@ -130,11 +156,16 @@ def quality_rules(docs: DataFrame, text: str = "text", min_words: int = MIN_WORD
 
     def judged(t: Column) -> Column:
         # one array of the lines with a word, one of the words; each used several times
-        lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.btrim(x, F.lit(WHITE))) > 0)
-        flags = F.struct(t.rlike(_class(LINE_SYMBOLS + SEPARATORS)).alias("symbols"), F.contains(t, F.lit("!!")).alias("shouts"), _says(t, BOILERPLATE).alias("says"))
+        with_word = lambda x: F.filter(F.split(x, "\n"), lambda y: F.length(F.btrim(y, F.lit(WHITE))) > 0)
+        wraps = ~F.contains(t, F.lit(WRAP)) & reduce(lambda x, y: x | y, [t.rlike(w) for w in WRAPS])
+        joined = reduce(lambda x, w: F.regexp_replace(x, w, f"$1{WRAP}$2"), WRAPS, t)
+        flags = F.struct(t.rlike(_class(LINE_SYMBOLS + SEPARATORS)).alias("symbols"), F.contains(t, F.lit("!!")).alias("shouts"), _holds_any(t, BOILERPLATE).alias("says"))
         passing = lambda x: _let(flags, lambda f: F.filter(x, lambda y: line_passes(y, f)))
-        of_lines = _let(lines, lambda x: _let(passing(x), lambda y: F.struct(
-            (F.size(x) - F.size(F.array_distinct(x))).alias("dup"), F.array_join(y, "\n").alias("cleaned"), (F.size(x) == F.size(y)).alias("whole"))))
+        told = lambda x, whole, y, text_: F.struct(
+            (F.size(x) - F.size(F.array_distinct(x))).alias("dup"), text_.alias("cleaned"), (F.size(whole) == F.size(y)).alias("whole"))
+        plain = lambda x: _let(passing(x), lambda y: told(x, x, y, F.array_join(y, "\n")))
+        wrapped = lambda x: _let(with_word(joined), lambda j: _let(passing(j), lambda y: told(x, j, y, F.translate(F.array_join(y, "\n"), WRAP, "\n"))))
+        of_lines = _let(with_word(t), lambda x: F.when(wraps, wrapped(x)).otherwise(plain(x)))
         of_words = _let(F.regexp_extract_all(t, F.lit(WORD), F.lit(0)), lambda x: F.struct(F.size(x).alias("n"), F.char_length(F.array_join(x, "")).alias("chars"), repeat_words(x).alias("repeated")))
         symbols = F.when(t.rlike(_class(SYMBOLS)), _count(t, SYMBOLS)).otherwise(F.lit(0))
         return _let(of_words, lambda w: _let(of_lines, lambda x: F.struct(
