@@ -419,3 +419,19 @@ def test_every_language_is_learned_also_from_long_texts_only(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     texts, labels = sample_of(docs, "text", "lang", "doc_id")
     assert set(labels) == set(words) and max(map(len, texts)) <= SAMPLE_CHARS and Counter(labels)["l00"] == 3
+
+
+def test_texts_of_no_learned_language_do_not_fit(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    learn = F.crc32(F.col("doc_id").cast("string")) % 5 != 0
+    model = language_model(docs, may_learn=learn)
+    told = predict_languages(docs.filter(~learn & F.col("lang").isNotNull()), model, spans=False, with_fit=True)
+    assert told.filter("lang_pred <> 'und' AND fit < 0").count() <= 0.01 * told.count()
+    rng = random.Random(1)
+    others = ["".join(rng.choices("bcdfghjklmnpqrstvwxz ", k=400)), "".join(rng.choices("abcdefghijklmnopqrstuvwxyz    ", k=800)), "Это обычный текст на языке, которого модель не видела. " * 5,
+              "Ez egy egyszerű magyar szöveg, amelyet a modell nem látott a tanulás során, és amely több mondatból áll. " * 4, "日本語の文章です。" * 20]
+    got = predict_languages(spark.createDataFrame(list(enumerate(others)), "doc_id long, text string"), model, spans=False, with_fit=True).collect()
+    assert [r["fit"] < 0 for r in got] == [True] * len(others), got
+    one = language_model(docs.filter("lang = 'en'"), may_learn=F.lit(True))  # also with a single language
+    got = predict_languages(spark.createDataFrame([(0, others[0])], "doc_id long, text string"), one, spans=False, with_fit=True).first()
+    assert got["score"] == 1 and got["fit"] < 0

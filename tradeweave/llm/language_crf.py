@@ -14,6 +14,9 @@ Training sees a bounded sample of every language that is labelled: ``SAMPLE_DOCS
 fewer, ``SAMPLE_TOTAL`` in all, but ``LEAST_DOCS`` of each at least), those with the smallest hash, and
 of each a window of ``SAMPLE_CHARS`` characters. Its model is a few MB for a few dozen languages, however large the corpus.
 
+Whether a text is of a learned language at all is told by its letter pairs (``fits``), by a floor that each language's own
+sample sets, whatever the number of languages.
+
 Work per text is vectorised: features once per distinct word of a batch, forward-backward in
 segments whose transfer matrices are chained, so long texts cost no more per word.
 
@@ -43,6 +46,7 @@ SEGMENT = 32
 ROUNDS = 30
 UNKNOWN = "und"
 DIGIT_WEIGHT = 0.05
+MIN_PAIRS = 40  # letter pairs of a sample's text that tells of its language's floor
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
@@ -54,6 +58,8 @@ class Model(NamedTuple):
     transitions: np.ndarray  # log potentials
     lexicon: np.ndarray  # sorted word hashes
     member: np.ndarray  # language of each
+    pairs: np.ndarray  # rows by language: log probability of a byte behind another inside a word, 256 by 256
+    floors: np.ndarray  # mean log probability below which a long text is hardly of the language
 
 
 def _lowered(buf: np.ndarray) -> np.ndarray:
@@ -141,6 +147,44 @@ def _feature_scores(model: Model, affixes: np.ndarray, grams: np.ndarray, first:
     return total + _lexicon_scores(model, hashes)
 
 
+def letter_pairs(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(pair of neighbouring bytes, its word) of all words, with their edges as bytes 1 and 2."""
+    size = end - start + 1
+    word = np.repeat(np.arange(len(start)), size)
+    place = np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size)
+    at = start[word] + place
+    before = np.where(place == 0, 1, buf[at - 1]) if len(word) else np.zeros(0, np.int64)
+    after = np.where(place == size[word] - 1, 2, buf[np.minimum(at, len(buf) - 1)]) if len(word) else np.zeros(0, np.int64)
+    return before.astype(np.int64) * 256 + after, word
+
+
+def pair_model(codes: np.ndarray, text_of: np.ndarray, gold_of: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Log probabilities of letter pairs by language, and each language's floor: as far below the median of its sample's
+    texts as four times the distance of their lower tenth."""
+    counts = np.bincount(gold_of[text_of] * 65536 + codes, minlength=k * 65536).reshape(k, 256, 256) + 0.1
+    pairs = np.log(counts / counts.sum(2, keepdims=True)).reshape(k, 65536).astype(np.float32)
+    n = np.bincount(text_of, minlength=len(gold_of))
+    mean = np.bincount(text_of, pairs[gold_of[text_of], codes], minlength=len(gold_of)) / np.maximum(n, 1)
+    floors = np.full(k, -np.inf)
+    for lang in range(k):
+        own = mean[(gold_of == lang) & (n >= MIN_PAIRS)]
+        if len(own):
+            middle, low = np.quantile(own, [0.5, 0.1])
+            floors[lang] = middle - 4 * max(middle - low, 0.05)
+    return pairs, floors
+
+
+def fits(model: Model, buf: np.ndarray, start: np.ndarray, end: np.ndarray, weight: np.ndarray, lang: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
+    """By how much the letter pairs of each text's words are likelier, on the mean, than the floors of the words' languages;
+    a short text, whose mean is uncertain, gets more room. Below 0: hardly of any learned language."""
+    codes, word = letter_pairs(buf, start, end)
+    some = weight[word] == 1  # not pieces of keys and numbers
+    codes, word = codes[some], word[some]
+    n = np.bincount(doc[word], minlength=n_docs)
+    over = model.pairs[lang[word], codes] - np.maximum(model.floors[lang[word]], -1e6)
+    return np.where(n > 0, np.bincount(doc[word], over, minlength=n_docs) / np.maximum(n, 1) + 4 / np.sqrt(np.maximum(n, 1)), 0.0)
+
+
 def marginals(scores: np.ndarray, first: np.ndarray, transitions: np.ndarray, segment: int = SEGMENT) -> np.ndarray:
     """P(label | whole sequence) of every word; sequence d is rows first[d] to first[d + 1]."""
     n, k = scores.shape
@@ -250,8 +294,10 @@ def train(texts: list[str], labels: list[str], rounds: int = ROUNDS, rate: float
     sure = np.flatnonzero((sums >= 5) & (counts.max(1) >= 0.9 * sums))
     member = counts[sure].argmax(1)
     affixes, grams, at = word_features(buf, start[one], end[one], distinct)
+    codes, of_word = letter_pairs(buf, start, end)
+    learned = pair_model(codes, (np.searchsorted(first, np.arange(len(start)), side="right") - 1)[of_word], gold_of, k)
     rows = (3 << TABLE_BITS) + 1 + k
-    model = Model(langs, np.zeros((rows, k), np.float32), np.zeros((k, k), np.float32), distinct[sure], member)
+    model = Model(langs, np.zeros((rows, k), np.float32), np.zeros((k, k), np.float32), distinct[sure], member, *learned)
     squares, squares_t = np.full((rows, k), 1e-6), np.full((k, k), 1e-6)
     word_of_gram = np.repeat(np.arange(len(distinct)), np.diff(np.append(at, len(grams))))
     same = np.zeros((k, k))
@@ -326,9 +372,9 @@ def sample_of(labelled: DataFrame, text: str, lang: str, key: str) -> tuple[list
     return got.column("text").to_pylist(), got.column("lang").to_pylist()
 
 
-def predict_languages(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text", spans: bool = True, with_text: bool = False) -> DataFrame:
-    """key, lang_pred, score[, spans][, text] of every row; spans are runs of words of one language
-    (start and end as UTF-8 byte offsets)."""
+def predict_languages(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text", spans: bool = True, with_text: bool = False, with_fit: bool = False) -> DataFrame:
+    """key, lang_pred, score[, spans][, fit][, text] of every row; spans are runs of words of one language
+    (start and end as UTF-8 byte offsets); fit is below 0 where the letters are hardly those of a learned language (see ``fits``)."""
     spark = docs.sparkSession
     python_ready(spark)
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("letters"))
@@ -336,6 +382,8 @@ def predict_languages(docs: DataFrame, model: Model | None, key: str = "doc_id",
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("lang", T.StringType())]))
     if spans:
         schema = schema.add("spans", span)
+    if with_fit:
+        schema = schema.add("fit", T.DoubleType())
     if with_text:
         schema = schema.add(rows.schema["text"])
     shared = spark.sparkContext.broadcast(model)  # 3 * 2^TABLE_BITS rows of a weight per language
@@ -347,7 +395,7 @@ def predict_languages(docs: DataFrame, model: Model | None, key: str = "doc_id",
             for at, col in parts(batch.column(1), 1 << 20):
                 n = len(col)
                 letters = batch.column(2).slice(at, n).to_numpy(zero_copy_only=False).astype(bool)
-                name, score, runs = np.full(n, UNKNOWN, dtype=object), np.zeros(n), [[] for _ in range(n)]
+                name, score, runs, fit = np.full(n, UNKNOWN, dtype=object), np.zeros(n), [[] for _ in range(n)], np.zeros(n)
                 if m is not None:
                     buf, start, end, first = letter_runs(col)
                     hashes = span_hashes(buf, start, end)
@@ -361,15 +409,17 @@ def predict_languages(docs: DataFrame, model: Model | None, key: str = "doc_id",
                         ok = letters[has]
                         name[has[ok]] = np.array(m.langs, dtype=object)[best[ok]]
                         score[has[ok]] = np.clip(mean[np.arange(len(has)), best][ok], 0, 1)
+                        word = p.argmax(1) if spans or with_fit else None
+                        if with_fit:
+                            fit = fits(m, buf, start, end, weight, word, np.repeat(np.arange(n), np.diff(first)), n)
                         if spans:
-                            word = p.argmax(1)
                             _, bounds = byte_view(col)
                             for d in has[ok].tolist():
                                 a, b = int(first[d]), int(first[d + 1])
                                 edges = [a, *(np.flatnonzero(np.diff(word[a:b])) + a + 1).tolist(), b]
                                 runs[d] = [{"start": int(start[x] - bounds[d]), "end": int(end[y - 1] - bounds[d]), "lang": m.langs[word[x]]} for x, y in zip(edges, edges[1:])]
                 columns = [batch.column(0).slice(at, n), pa.array(name, pa.string()), pa.array(score)]
-                columns += ([pa.array(runs, arrow_span)] if spans else []) + ([col] if with_text else [])
+                columns += ([pa.array(runs, arrow_span)] if spans else []) + ([pa.array(fit)] if with_fit else []) + ([col] if with_text else [])
                 yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
 
     return rows.mapInArrow(label, schema).withColumnRenamed("key", key)
