@@ -5,7 +5,8 @@ Parquet in the shared folder and read again as the next stage's ``docs``; all bu
 return the columns of ``documents`` (and whatever further columns came with them).
 
 1. language_id: words are labelled by the conditional random field; documents without a
-   letter or without a language that holds 30 % of their words go, a missing ``lang`` is filled.
+   letter go, and those whose letter pairs are hardly those of any learned language (by floors that the
+   languages' own samples set, however many there are); a missing ``lang`` is filled.
 2. quality_rules: lines that fail go, documents that fail or lose too much go.
 3. jaccard_join: of each group of near duplicates (five-word shingles, similarity 0.8 or
    more) the document with the smallest id stays.
@@ -25,8 +26,6 @@ from tradeweave.llm.quality_rules import quality_rules
 from tradeweave.llm.queries import tokenizer_path
 from tradeweave.llm.secret_forest import redact
 
-MIN_LANGUAGE_SCORE = 0.3
-
 #: Models are learned on the way, so no SQL gives these rows; tests hold the run to a brute-force version.
 ORACLE_SQL = None
 
@@ -35,8 +34,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language_model(docs, may_learn=F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
     # the other columns ride along as one struct
     rest = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("rest"), "text")
-    told = predict_languages(rest, model, key="rest", spans=False, with_text=True)
-    kept = told.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE))
+    told = predict_languages(rest, model, key="rest", spans=False, with_text=True, with_fit=True)
+    kept = told.filter((F.col("lang_pred") != UNKNOWN) & (F.col("fit") >= 0))
     out = {"text": F.col("text"), "lang": F.coalesce(F.col("rest")["lang"], F.col("lang_pred"))}
     return kept.select(*[out.get(c, F.col("rest")[c]).alias(c) for c in docs.columns])
 
