@@ -186,7 +186,8 @@ def test_stages(spark, monkeypatch):
     rows = [(i, t, "en", "s", len(t), "a") for i, t in enumerate(base)]
     rows += [(20, base[1], "en", "s", 0, None), (21, near, "en", "s", 0, None), (21, near, "en", "s", 0, None), (22, None, None, None, None, None), (23, "123 456", "en", "s", 7, "z"),
              (24, "\n".join(["Home | News | About | Help | More | Up"] * 9), "en", "s", 0, "z"), (25, base[3] + f'\ntoken = "{key}" is what {sentence(30)}', None, "s", 0, "z"),
-             (None, sentence(80), "en", None, None, None), (26, "too short.", "en", "s", 0, "z")]
+             (None, sentence(80), "en", None, None, None), (26, "too short.", "en", "s", 0, "z"),
+             (27, "".join(rng.choices("bcdfghjklmnpqrstvwxz ", k=600)) + ".", None, "s", 0, "z"), (28, "Это обычный текст на языке, которого модель не видела. " * 6, None, "s", 0, "z")]
     more = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id >= 100").withColumn("row", F.lit("b"))
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, row string").unionByName(more)
     columns, state = docs.columns, docs
@@ -198,7 +199,7 @@ def test_stages(spark, monkeypatch):
             kept[name] = [r.asDict() for r in out.collect()]
         state = out
     ids = {name: {r["doc_id"] for r in got} for name, got in kept.items()}
-    assert not ids["language_id"] & {22, 23}
+    assert not ids["language_id"] & {22, 23, 27, 28} and set(range(12)) <= ids["language_id"]
     assert {r["lang"] for r in kept["language_id"] if r["doc_id"] == 25} == {"en"}
     assert not ids["quality_rules"] & {24, 26} and set(range(12)) <= ids["quality_rules"] and None in ids["quality_rules"]
     assert all(r["n_chars"] == len(r["text"]) for name in list(kept)[1:] for r in kept[name])
