@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality_rules import BOILERPLATE, HOLDS, LINE_SYMBOLS, MAX_LOST, MAX_REPEAT_PERCENT, MIN_WORDS, PHRASE_SHARE, SEPARATORS, SYMBOLS, TERMINAL, WRAP, WRAPS
+from .quality_rules import BOILERPLATE, HOLDS, LINE_SYMBOLS, LONG_LINE, LONG_LINE_ENDS, MAX_LOST, MAX_REPEAT_PERCENT, MIN_WORDS, PHRASE_SHARE, SEPARATORS, SYMBOLS, TERMINAL, WRAP_ENDS
 
 _WORD = r"[^\x20\x09-\x0D]+"
 _WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -47,9 +47,11 @@ FROM documents d LEFT JOIN sized z ON z.doc_id = d.doc_id LEFT JOIN reach r ON r
 
 _SPACED = r"' ' || regexp_replace(lower(line), '[^\p{L}\p{N}]+', '  ', 'g') || ' '"
 _PHRASES = " + ".join(f"(length(spaced) - length(replace(spaced, {_quoted(m)}, ''))) // {len(m)} * {p.count(' ') + 1}" for p in BOILERPLATE for m in [" " + p.replace(" ", "  ") + " "])
-_JOINED = "coalesce(text, '')"
-for _w in WRAPS:
-    _JOINED = f"regexp_replace({_JOINED}, {_quoted(_w)}, {_quoted(chr(92) + '1' + WRAP + chr(92) + '2')}, 'g')"
+
+
+def _goes_on(ends: tuple[str, str]) -> str:
+    return f"(regexp_matches(right(line, 1), '{ends[0]}') AND regexp_matches(left(next, 1), '{ends[1]}'))"
+
 
 OP6 = rf"""
 WITH word_list AS (
@@ -71,11 +73,17 @@ WITH word_list AS (
     SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents
 ), own_lines AS (
     SELECT doc_id, line FROM (SELECT doc_id, unnest(l) AS line FROM line_list) WHERE regexp_matches(line, '{_WORD}')
-), joined_list AS (
-    SELECT doc_id, string_split(CASE WHEN contains(text, chr(11)) THEN text ELSE {_JOINED} END, chr(10)) AS l FROM documents
+), neighbours AS (
+    SELECT doc_id, line, pos, marked, lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS next
+    FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos, contains(array_to_string(l, ''), chr(11)) AS marked FROM line_list)
+), numbered AS (
+    SELECT doc_id, line, pos, coalesce(sum(CASE WHEN NOT marked AND ({_goes_on(WRAP_ENDS)} OR (length(line) >= {LONG_LINE} AND {_goes_on(LONG_LINE_ENDS)})) THEN 0 ELSE 1 END)
+        OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part
+    FROM neighbours
+), joined AS (
+    SELECT doc_id, string_agg(line, chr(11) ORDER BY pos) AS line FROM numbered GROUP BY doc_id, part
 ), lines AS (
-    SELECT doc_id, line, len(regexp_extract_all(line, '{_WORD}')) AS n, {_SPACED} AS spaced
-    FROM (SELECT doc_id, unnest(l) AS line FROM joined_list) WHERE regexp_matches(line, '{_WORD}')
+    SELECT doc_id, line, len(regexp_extract_all(line, '{_WORD}')) AS n, {_SPACED} AS spaced FROM joined WHERE regexp_matches(line, '{_WORD}')
 ), judged AS (
     SELECT doc_id, line,
         (contains({_quoted(TERMINAL)}, right(rtrim(line, {_WHITE}), 1)) OR (n >= 8 AND regexp_matches(line, '{HOLDS}')))

@@ -18,8 +18,6 @@ columns stay, the verdict is one struct column whose name gives way to existing
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import fresh_name
@@ -37,8 +35,11 @@ MAX_LOST = 0.5
 TERMINAL = ".!?…。！？:;\"'”’»)]।॥؟۔։።။」』"
 #: What tells that a line holds the end of a sentence.
 HOLDS = "[.!?…।؟۔።] |[。！？]"
-#: Ends and beginnings of lines between which a sentence goes on: letter or comma and small letter; a long line and any letter.
-WRAPS = [r"([\p{Ll},;-])\n(\p{Ll})", r"([^\n]{50}[\p{L},;-])\n(\p{L})"]
+#: What a line ends with, and the next one begins with, where a sentence goes on: at any line, and at one of ``LONG_LINE`` characters.
+WRAP_ENDS, LONG_LINE_ENDS = (r"[\p{Ll},;-]", r"\p{Ll}"), (r"[\p{L},;-]", r"\p{L}")
+LONG_LINE = 51
+#: The breaks of such lines. It begins with the break, so nothing else is looked at elsewhere.
+WRAPPED = rf"\n(?:(?<={WRAP_ENDS[0]}\n)(?={WRAP_ENDS[1]})|(?<=[^\n]{{{LONG_LINE - 1}}}{LONG_LINE_ENDS[0]}\n)(?={LONG_LINE_ENDS[1]}))"
 #: White space that stands for the break of a wrapped line; a text that holds it itself is judged as it stands.
 WRAP = "\x0b"
 #: Phrases fail a line in which they make up one in so many of its words.
@@ -157,8 +158,8 @@ def quality_rules(docs: DataFrame, text: str = "text", min_words: int = MIN_WORD
     def judged(t: Column) -> Column:
         # one array of the lines with a word, one of the words; each used several times
         with_word = lambda x: F.filter(F.split(x, "\n"), lambda y: F.length(F.btrim(y, F.lit(WHITE))) > 0)
-        wraps = ~F.contains(t, F.lit(WRAP)) & reduce(lambda x, y: x | y, [t.rlike(w) for w in WRAPS])
-        joined = reduce(lambda x, w: F.regexp_replace(x, w, f"$1{WRAP}$2"), WRAPS, t)
+        wraps = t.rlike(WRAPPED) & ~F.contains(t, F.lit(WRAP))
+        joined = F.regexp_replace(t, WRAPPED, WRAP)
         flags = F.struct(t.rlike(_class(LINE_SYMBOLS + SEPARATORS)).alias("symbols"), F.contains(t, F.lit("!!")).alias("shouts"), _holds_any(t, BOILERPLATE).alias("says"))
         passing = lambda x: _let(flags, lambda f: F.filter(x, lambda y: line_passes(y, f)))
         told = lambda x, whole, y, text_: F.struct(
