@@ -22,8 +22,9 @@ from tradeweave.operators import overview as OV
 from tradeweave.operators import partner as PAR
 from tradeweave.params import TradeFilter
 from tradeweave.plans import oracle as O
+from tradeweave.plans.incremental import fact_of, load_increment
 from tradeweave.plans.warehouse import standin_star
-from tradeweave.session import ensure_checkpoint_dir
+from tradeweave.session import ensure_checkpoint_dir, written
 from tradeweave.sources.files import RAW_FLOW_COLUMNS, read_raw
 from tradeweave.sources.landing import land_incremental, landed_rows
 from tradeweave.sources.payloads import flatten_countries, flatten_indicator
@@ -915,6 +916,30 @@ def s9_landed_rows(s):
         F.count_distinct("cmdCode").alias("hs_codes"))
 
 
+@register("s11_incremental_load", O.with_base("""
+SELECT year, flow_direction, partner_id, COUNT(*) AS rows, SUM(trade_value_usd) AS value, COUNT(net_weight_kg) AS with_weight,
+    COUNT(*) FILTER (WHERE trade_value_usd > 0) AS positive
+FROM fact_trade GROUP BY year, flow_direction, partner_id"""))
+def s11_incremental_load(s):
+    """The reporter feed as CSV files that land in three loads, two of them in years loaded before; the fact that results."""
+    from tradeweave.sources.standin import INGEST_ORDER
+
+    raw = s.staging["raw_reporter"]
+    spark = raw.sparkSession
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/increment-{uuid.uuid4().hex}"
+    # all records of one key are in one load; inside it files and rows follow the ingest order
+    batch = F.when(F.trim(F.regexp_replace("partnerCode", "[.]0$", "")).try_cast("int") % 3 == 1, 1).when(F.trim(F.regexp_replace("partnerCode", "[.]0$", "")).try_cast("int") % 3 == 2, 2).otherwise(0)
+    feed = written(raw.select(*RAW_FLOW_COLUMNS, *INGEST_ORDER, batch.alias("_batch")), "feed")
+    for k in range(3):
+        part = feed.where(F.col("_batch") == k).repartitionByRange(4, *INGEST_ORDER).sortWithinPartitions(*INGEST_ORDER)
+        part.select(*RAW_FLOW_COLUMNS).write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False) \
+            .option("ignoreTrailingWhiteSpace", False).csv(f"{root}/in/load{k}")
+        load_increment(spark, f"{root}/in", f"{root}/out", s.dim_country, s.dim_commodity)
+    value = F.col("trade_value_usd")
+    return fact_of(spark, f"{root}/out").groupBy("year", "flow_direction", "partner_id").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(value).alias("value"), F.count("net_weight_kg").alias("with_weight"), F.count_if(value > 0).alias("positive"))
+
+
 _DESC_SQL = """CASE o_orderkey % 6 WHEN 0 THEN o_orderpriority || ', "' || o_orderstatus || '", ' || o_custkey WHEN 1 THEN o_orderpriority || chr(10) || o_custkey
         WHEN 2 THEN o_orderpriority || chr(92) WHEN 3 THEN '"' || chr(10) || chr(10) || ',"' || o_custkey WHEN 4 THEN 'a ""quoted"" "' || o_custkey || '"' ELSE o_orderpriority END"""
 

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from tradeweave.sources.files import INGEST_ORDER, RAW_FLOW_COLUMNS, align_lines, path_exists, raw_lines, text_schema
 
-_RUN = "_ing_run"
+#: The landing run that a row came with.
+RUN = "_ing_run"
 
 
 def _rows_path(out: str) -> str:
@@ -24,7 +25,7 @@ def _rows_path(out: str) -> str:
 
 
 def _landed_schema(columns: Sequence[str]):
-    return text_schema(columns).add("_ing_file", "string").add("_ing_block", "long").add("_ing_row", "long").add(_RUN, "string")
+    return text_schema(columns).add("_ing_file", "string").add("_ing_block", "long").add("_ing_row", "long").add(RUN, "string")
 
 
 def land_incremental(spark: SparkSession, landing: str, out: str,
@@ -39,11 +40,16 @@ def land_incremental(spark: SparkSession, landing: str, out: str,
     if path_exists(spark, rows):
         done = spark.read.schema(_landed_schema(columns)).parquet(rows).select("_ing_file").distinct()
         lines = lines.join(done, "_ing_file", "left_anti")
-    new = align_lines(lines, columns, required=columns).select(*columns, *INGEST_ORDER, F.lit(run).alias(_RUN))
+    new = align_lines(lines, columns, required=columns).select(*columns, *INGEST_ORDER, F.lit(run).alias(RUN))
     new.write.mode("append").parquet(rows)
-    landed = spark.read.schema(_landed_schema(columns)).parquet(rows).where(F.col(_RUN) == run)
+    landed = spark.read.schema(_landed_schema(columns)).parquet(rows).where(F.col(RUN) == run)
     return landed.select(F.col("_ing_file").alias("path")).distinct()
 
 
 def landed_rows(spark: SparkSession, out: str, columns: Sequence[str] = RAW_FLOW_COLUMNS) -> DataFrame:
-    return spark.read.schema(_landed_schema(columns)).parquet(_rows_path(out)).drop(_RUN)
+    return spark.read.schema(_landed_schema(columns)).parquet(_rows_path(out)).drop(RUN)
+
+
+def landed_runs(spark: SparkSession, out: str, columns: Sequence[str] = RAW_FLOW_COLUMNS) -> DataFrame:
+    """Landed rows with the run they came with."""
+    return spark.read.schema(_landed_schema(columns)).parquet(_rows_path(out))

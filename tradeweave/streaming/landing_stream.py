@@ -23,23 +23,19 @@ from tradeweave.constants import DEFAULT_DEDUP_KEYS
 from tradeweave.operators.clean import clean_flows
 from tradeweave.sources.files import CSV_FILES, INGEST_ORDER, RAW_FLOW_COLUMNS, align_lines, path_exists
 
-#: Files a merge writes per year at most.
-FILES_PER_YEAR = 16
-
 
 def merge_keep_first(batch: DataFrame, table: str, keys: Sequence[str] = DEFAULT_DEDUP_KEYS) -> None:
     """Append rows of ``batch`` (already clean) whose keys are not yet in ``table``."""
     spark = batch.sparkSession
-    # one evaluation of the batch; many years in few files each
-    out = batch.repartition("year", F.pmod(F.xxhash64(*keys), F.lit(FILES_PER_YEAR)))
+    # few files per year: small years share a task, large ones are split over several
     if not path_exists(spark, table):
-        out.write.mode("append").partitionBy("year").parquet(table)
+        batch.hint("rebalance", "year").write.mode("append").partitionBy("year").parquet(table)
         return
     existing = spark.read.schema(batch.schema).parquet(table)
     years = batch.select(F.col("year").alias("_year")).distinct()
     old = existing.join(years, F.col("year").eqNullSafe(F.col("_year")), "left_semi").select(*[F.col(k).alias(f"_old_{k}") for k in keys])
     cond = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_old_{k}")) for k in keys])
-    out.join(old, cond, "left_anti").write.mode("append").partitionBy("year").parquet(table)
+    batch.join(old, cond, "left_anti").hint("rebalance", "year").write.mode("append").partitionBy("year").parquet(table)
 
 
 def start_landing_stream(spark: SparkSession, landing: str, table: str, checkpoint: str,
