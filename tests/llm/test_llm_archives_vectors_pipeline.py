@@ -16,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tradeweave.llm import ann
+from tradeweave.llm import ann, warc_zip
 from tradeweave.llm.ann import bounds, encode, one_bit_search, rotation
 from tradeweave.llm.queries import QUERIES
 from tradeweave.llm.warc_zip import DATA, INDEX, parse_record, round_trip, read_records, warc_record, with_record_types, write_archives
@@ -42,7 +42,10 @@ def plain_records(pages):
     return Counter(out)
 
 
-def test_round_trip(spark):
+@pytest.mark.parametrize("hot", [1000, 1])
+def test_round_trip(spark, monkeypatch, hot):
+    """With 1 no digest, with 1000 every one goes to all tasks."""
+    monkeypatch.setattr(warc_zip, "HOT", hot)
     same, long = "<p>" + "same text " * 20 + "</p>", "é😀" * 300_000
     pages = [(i, f"http://x/{i}", same) for i in range(40, 10, -1)] + [
         (1, None, None), (2, "http://a b\r\nX: y", ""), (3, "u", "short"), (4, "u", "short"), (5, "u", long), (6, None, long), (None, "n", same), (50, "d", same), (50, "d", same),

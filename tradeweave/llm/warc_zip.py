@@ -37,6 +37,7 @@ from .common import python_ready, shared_dir, staged
 from .zip_ranges import data_start, members
 
 MIN_REVISIT = 100
+HOT = 1000
 ARCHIVE_BYTES = 32 << 20
 RANGE_BYTES = 4 << 20
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
@@ -51,7 +52,15 @@ def with_record_types(pages: DataFrame, key: str = "page_id", url: str = "url",
     rows = rows.withColumn("payload_digest", F.sha2("payload", 256)).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
     # slim, and combined before the shuffle
     first = rows.filter((F.col("payload_bytes") >= min_revisit) & F.col("key").isNotNull()).groupBy("payload_digest").agg(F.min("key").alias("first"), F.count("*").alias("n"))
-    rows = rows.join(first.filter("n > 1").drop("n"), "payload_digest", "left")
+    first = staged(first.filter("n > 1"), "first")
+    # a digest that many pages share is not a key that payloads are dealt by: at most HOT digests have one in HOT of all
+    # repeated pages, and these go to every task
+    total = first.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = F.col("n") * HOT >= total
+    rows = rows.join(F.broadcast(first.filter(hot).select("payload_digest", F.col("first").alias("hot_first"))), "payload_digest", "left")
+    place = F.when(F.col("hot_first").isNotNull(), F.concat(F.lit("page "), F.xxhash64("key", "url").cast("string"))).otherwise(F.col("payload_digest"))
+    others = first.filter(~hot).select(F.col("payload_digest").alias("place"), "first")
+    rows = rows.withColumn("place", place).join(others, "place", "left").withColumn("first", F.coalesce("hot_first", "first"))
     revisit = F.coalesce(F.col("key") != F.col("first"), F.lit(False))
     return rows.select(
         "key", "url", F.when(~revisit, F.col("payload")).alias("payload"), "payload_digest", "payload_bytes",
