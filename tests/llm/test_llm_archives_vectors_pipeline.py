@@ -160,6 +160,16 @@ def test_recall_and_few_rows(spark):
     assert one_bit_search(few, few.limit(0)).count() == 0
 
 
+def test_every_query_gets_k_rows(spark, monkeypatch):
+    """The first step's bound is that of a row itself: it must not lose it to the last bits of a distance."""
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 64)
+    rng = np.random.default_rng(12)
+    vectors = rng.normal(size=(3000, 24)).astype(np.float32).astype(float).tolist()
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = one_bit_search(rows, rows.filter("vec_id % 4 = 0")).groupBy("query_id").agg(F.count("*").alias("n"), F.max("rank").alias("last")).collect()
+    assert len(got) == 750 and {(r["n"], r["last"]) for r in got} == {(10, 10)}
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(4)
     vectors, queries, centre, turn = rng.normal(0, 1, (500, 64)), rng.normal(0, 1, (40, 64)), rng.normal(0, 0.1, 64), rotation(64)

@@ -7,7 +7,8 @@ direction with its code. A query's inner product with the code, divided by the l
 is an unbiased estimate of its inner product with the vector, with a known error bound.
 So each block of an index cluster gives, per query, an upper and a lower bound of every
 distance; only vectors whose lower bound is not above the k-th upper bound are measured
-exactly, in double precision on the original vectors.
+exactly, in double precision on the original vectors. A first step searches one block of each
+query's nearest cluster; the k-th distance there bounds what all other blocks measure and return.
 
 Every valid row is indexed. Queries are routed to their nearest clusters (``probe_share`` of
 them, at least ``MIN_PROBES``, and as many as hold k candidates). Clusters are cut into blocks of rows
@@ -36,6 +37,7 @@ PROBE_SHARE = 0.75  # embeddings without strong clusters need most of them for a
 BLOCK_ROWS = 4096
 BLOCK_QUERIES = 1024
 ERROR_FACTOR = 2.5
+ROUNDING = 1e-9  # the same distance may come out differently in its last bits in another block
 SEED = 20_240
 
 
@@ -101,8 +103,8 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dims: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
 
 
-def search_block(ids: np.ndarray, known: np.ndarray, vectors: np.ndarray, codes, length, dot, q_ids: np.ndarray, queries: np.ndarray, centre: np.ndarray, turn: np.ndarray, k: int) -> list[tuple[int, int, float]]:
-    """(query id, id, distance): the k nearest of this block for each query; ``known`` is False where an id is null."""
+def search_block(ids: np.ndarray, known: np.ndarray, vectors: np.ndarray, codes, length, dot, q_ids: np.ndarray, queries: np.ndarray, most: np.ndarray, centre: np.ndarray, turn: np.ndarray, k: int) -> list[tuple[int, int, float]]:
+    """(query id, id, distance): the k nearest of this block for each query, none farther than its ``most``; ``known`` is False where an id is null."""
     out: list[tuple[int, int, float]] = []
     lower, upper = bounds(codes, length, dot, queries, centre, turn)
     for i, q in enumerate(q_ids):
@@ -110,10 +112,11 @@ def search_block(ids: np.ndarray, known: np.ndarray, vectors: np.ndarray, codes,
         low, up = lower[i][others], upper[i][others]
         if not len(low):
             continue
-        limit = np.partition(up, k - 1)[k - 1] if len(up) > k else np.inf
+        limit = min(np.partition(up, k - 1)[k - 1] if len(up) > k else np.inf, most[i] ** 2 * (1 + 2 * ROUNDING))
         chosen = np.flatnonzero(others)[low <= limit]
         distance = np.sqrt(((vectors[chosen] - queries[i]) ** 2).sum(1))
         order = np.lexsort((ids[chosen], ~known[chosen], distance))[:k]
+        order = order[distance[order] <= most[i] * (1 + ROUNDING)]
         out += [(int(q), int(ids[chosen[j]]) if known[chosen[j]] else None, float(distance[j])) for j in order]
     return out
 
@@ -161,9 +164,10 @@ def one_bit_search(vectors: DataFrame, queries: DataFrame, key: str = "vec_id",
             probes = np.maximum(least, np.where(enough.any(1), enough.argmax(1) + 1, n_centres))
             which = np.repeat(np.arange(len(v)), probes)
             clusters = np.concatenate([order[i, :p] for i, p in enumerate(probes)]) if len(v) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which)), batch.column(1).take(pa.array(which)), pa.array(clusters, pa.int32())], names=["q_id", "q_vector", "cluster"])
+            nth = np.arange(len(which)) - np.repeat(np.cumsum(probes) - probes, probes)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which)), batch.column(1).take(pa.array(which)), pa.array(clusters, pa.int32()), pa.array(nth, pa.int32())], names=["q_id", "q_vector", "cluster", "nth"])
 
-    routed = staged(wanted.mapInArrow(route, T.StructType([*wanted.schema.fields, T.StructField("cluster", T.IntegerType())])), "routed")
+    routed = staged(wanted.mapInArrow(route, T.StructType([*wanted.schema.fields, T.StructField("cluster", T.IntegerType()), T.StructField("nth", T.IntegerType())])), "routed")
     asked = {r["cluster"]: r["n"] for r in routed.groupBy("cluster").agg(F.count("*").alias("n")).collect()}  # MAX_CENTROIDS rows
     cuts = spark.createDataFrame([(c, int(max(1, -(-held[c] // BLOCK_ROWS))), int(-(-asked.get(c, 0) // BLOCK_QUERIES))) for c in range(n_centres)], "cluster int, blocks int, q_blocks int")
     numbers = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -179,10 +183,20 @@ def one_bit_search(vectors: DataFrame, queries: DataFrame, key: str = "vec_id",
             ids = here.column("id").fill_null(0).to_numpy()
             codes = np.frombuffer(b"".join(here.column("code").to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
             found = search_block(ids, known, _matrix(here.column("vector"), dims), codes, here.column("length").to_numpy(), here.column("dot").to_numpy(),
-                                 there.column("q_id").to_numpy(), _matrix(there.column("q_vector"), dims), centres[c], turn, k)
+                                 there.column("q_id").to_numpy(), _matrix(there.column("q_vector"), dims), there.column("most").to_numpy(), centres[c], turn, k)
         return pa.table([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.float64())], names=["query_id", "id", "score"])
 
     by = ["cluster", "block", "q_block"]
-    found = left.select(*by, "id", "vector", "code", "length", "dot").groupBy(*by).cogroup(right.select(*by, "q_id", "q_vector").groupBy(*by)).applyInArrow(search, "query_id long, id long, score double")
+
+    def searched(here: DataFrame, there: DataFrame) -> DataFrame:
+        pairs = here.select(*by, "id", "vector", "code", "length", "dot").groupBy(*by).cogroup(there.select(*by, "q_id", "q_vector", "most").groupBy(*by))
+        return pairs.applyInArrow(search, "query_id long, id long, score double")
+
+    # first one block of each query's nearest cluster: its k-th distance there bounds what any other block may return
+    early = (F.col("nth") == 0) & (F.col("block") == 0)
+    some = staged(searched(left.filter("block = 0"), right.filter(early).withColumn("most", F.lit(float("inf")))), "early")
+    most = staged(some.groupBy("query_id").agg(F.max("score").alias("most"), F.count("*").alias("n")).filter(F.col("n") >= k).select(F.col("query_id").alias("q_id"), "most"), "bounds")
+    rest = right.filter(~early).join(most, "q_id", "left").withColumn("most", F.coalesce("most", F.lit(float("inf"))))
+    found = some.unionByName(searched(left, rest))
     best = Window.partitionBy("query_id").orderBy("score", F.col("id").asc_nulls_last())
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(key), "score")
