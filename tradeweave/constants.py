@@ -208,8 +208,6 @@ ISO3_UN_NUMERIC = {
     "PRY": 600, "URY": 858, "HKG": 344, "TWN": 490, "NZL": 554,
 }
 
-# FIXED VALUES — mirror sample years of the analysed pipeline
-
 # ---------------------------------------------------------------------------
 # FIXED VALUES — time dimension labels (upper bound inclusive → label; else last)
 # ---------------------------------------------------------------------------
