@@ -851,12 +851,13 @@ def d8_table_counts(s):
                             "dim_commodity": s.dim_commodity, "dim_time": s.dim_time})
 
 
-def _report_sql() -> str:
-    """Every figure of the report, each from its own aggregate."""
+def report_sql(sources: tuple[str, ...] = ("trade_flows", "mirror_flows", "country_stats", "hs_chapters", "country_mapping")) -> str:
+    """Every figure of the report on ``sources``, each from its own aggregate."""
     parts = []
 
     def one(source: str, part: str, item: str, value: str, table: str) -> None:
-        parts.append(f"SELECT '{source}' AS source, '{part}' AS part, {item} AS item, CAST({value} AS DOUBLE) AS value FROM {table}")
+        if source in sources:
+            parts.append(f"SELECT '{source}' AS source, '{part}' AS part, {item} AS item, CAST({value} AS DOUBLE) AS value FROM {table}")
 
     def spread(source: str, part: str, column: str, table: str) -> None:
         for stat in ("min", "p25", "median", "mean", "p75", "p95", "max", "sum"):
@@ -887,7 +888,7 @@ def _report_sql() -> str:
     return "\nUNION ALL\n".join(parts)
 
 
-@register("d6_quality_report", O.with_base(_report_sql()))
+@register("d6_quality_report", O.with_base(report_sql()))
 def d6_quality_report(s):
     """The assembled report (with the full D2 and D4 reports), a row per figure."""
     st = s.staging
@@ -1003,3 +1004,6 @@ def s8_country_payload(s):
         F.col("iso2").alias("iso2Code"), F.col("capital").alias("capitalCity"), "longitude", "latitude")
     pages = c.groupBy((F.xxhash64("iso3") % 3).alias("page")).agg(F.to_json(F.collect_list(record)).alias("records"))
     return flatten_countries(c.sparkSession, _payload_folder(pages.withColumn("page", F.col("page") + 3), "countries"), {"N03": 33, "N07": 77})
+
+
+from tradeweave.plans import registry_tables  # noqa: E402,F401  (registers its queries)

@@ -25,7 +25,8 @@ from tradeweave.constants import (
 )
 from tradeweave.operators import clean as C
 from tradeweave.operators import star as S
-from tradeweave.plans.cube import trade_cube
+from tradeweave.operators import summaries as SU
+from tradeweave.plans.cube import CUBE_SCHEMA, trade_cube
 from tradeweave.sources import reference as R
 from tradeweave.sources import standin
 
@@ -143,6 +144,11 @@ def load_warehouse(spark: SparkSession, raw: standin.RawInputs, path: str, cfg:
     # the cube is small: one file per year
     timed("load/trade_cube", lambda: trade_cube(fact).repartition("year")
           .write.mode("overwrite").partitionBy("year").parquet(f"{path}/trade_cube"))
+    # mergeable summaries: quantile sketches of the clean flows, bitmaps of the cube's keys
+    cube = spark.read.schema(CUBE_SCHEMA).parquet(f"{path}/trade_cube")
+    summaries = {"value_sketches": SU.value_sketches(stage["trade_flows"]), **{n: SU.key_bitmaps(cube, key, by) for n, (key, by) in SU.BITMAPS.items()}}
+    for name, df in summaries.items():
+        timed(f"load/{name}", lambda df=df, name=name: df.write.mode("overwrite").parquet(f"{path}/{name}"))
     return read_star(spark, path, {k: v for k, v in star.staging.items() if k.startswith("raw_")})
 
 
@@ -157,6 +163,7 @@ def read_star(spark: SparkSession, path: str, raw: dict[str, DataFrame] | None =
 
     dims = {k: t(k) for k in ("dim_country", "dim_commodity", "dim_time")}
     staging = {name: t(f"staging/{name}") for name in (*STAGING_TABLES, *TAGGED_TABLES)}
+    staging.update({name: t(name) for name in SU.SUMMARY_TABLES})
     staging.update(raw or {})
     return S.Star(dims["dim_country"], dims["dim_commodity"], dims["dim_time"], fact("fact_trade"),
                   fact("fact_mirror_trade"), t("fact_country_stats"), staging=staging)
