@@ -3,20 +3,24 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tradeweave.operators import partner as PAR
 from tradeweave.operators import quality as QU
 from tradeweave.operators import summaries as SU
 from tradeweave.operators.commodity import year_range
 from tradeweave.operators.star import Star
+from tradeweave.params import TradeFilter
 from tradeweave.plans import oracle as O
 from tradeweave.plans import sql_functions as SF
 from tradeweave.plans.registry import (
     ALL, CHAPTER, FLOWS, PARAMS, PARTNER, RANGE, REGISTRY, SECTION, _payload_folder, register, report_sql, years_sql)
 from tradeweave.session import ensure_checkpoint_dir
 from tradeweave.sources import files as FI
+from tradeweave.sources.clustered import write_clustered
 from tradeweave.sources.payloads import flatten_indicator_variant
 from tradeweave.sources.standin import iso3_of
 
@@ -93,6 +97,16 @@ def d1_sketch_ranks(s):
 
 
 # =========================================================================== sources and sinks, written and read back
+@register("f4_clustered_partner", twin("q18_one_partner"))
+def f4_clustered_partner(s):
+    """The fact written clustered by partner and chapter; one partner's years read from it."""
+    path = _folder(s, "clustered")
+    # the stand-in fact has no key yet: equal rows may lie anywhere
+    write_clustered(s.fact_trade, path, tie="trade_value_usd")
+    fact = _spark(s).read.schema(s.fact_trade.schema).parquet(path)
+    return PAR.partner_annual(replace(s, fact_trade=fact), TradeFilter(partner_id=PARTNER))
+
+
 def _fact_figures(fact: DataFrame) -> DataFrame:
     value = F.col("trade_value_usd")
     return fact.groupBy("year", "flow_direction", "partner_id").agg(
