@@ -219,3 +219,16 @@ def test_streaming_landing_keep_first_across_batches(spark, scratch):
     assert got == {("84", "Import"): 10.0, ("85", "Export"): 7.0}
     start_landing_stream(spark, land, table, ckpt).awaitTermination()   # restart: nothing new
     assert spark.read.parquet(table).count() == 2
+
+
+def test_report_parts_read_a_written_table_not_the_cleaning(spark):
+    from tradeweave.operators import clean as C
+    from tradeweave.operators import quality as Q
+
+    raw = spark.createDataFrame([("2020", "1", "2", "84", "M", "5", None, "1", "CHN", n) for n in range(3)],
+                                "refYear string, reporterCode string, partnerCode string, cmdCode string, flowCode string, primaryValue string, "
+                                "netWgt string, qty string, partnerISO string, seq long")
+    report = Q.flow_report_frame(C.clean_flows(raw, ["seq"]), "reporter")
+    assert "row_number" not in report._jdf.queryExecution().optimizedPlan().toString()
+    got = report.first()
+    assert (got["total_rows"], got["rows_per_year"], got["flow_distribution"]) == (1, {"2020": 1}, {"Import": 1})

@@ -18,6 +18,7 @@ from tradeweave.constants import NULL_RATE_HIGH, NULL_RATE_MODERATE
 from tradeweave.functions.exprs import band, try_number
 from tradeweave.operators.clean import null_pct
 from tradeweave.operators.keys import cumulative
+from tradeweave.session import written
 
 QUANTILES = (("p25", 0.25), ("median", 0.5), ("p75", 0.75), ("p95", 0.95))
 
@@ -141,7 +142,10 @@ def _as_map(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
 
 
 def flow_report_frame(flows: DataFrame, label: str) -> DataFrame:
-    """D2 (nested, one row): the full flow-table report as Spark structs and maps."""
+    """D2 (nested, one row): the full flow-table report as Spark structs and maps. Its five
+    parts read the flows' columns from a table written once, so the flows are cleaned once."""
+    used = dict.fromkeys(("year", "partner_code", "hs_code", "flow_code", "trade_value_usd", *FLOW_NULL_COLS))
+    flows = written(flows.select(*[c for c in used if c in flows.columns]), "reported")
     flat = flow_report(flows, label).select(
         "source", "total_rows", F.array("year_min", "year_max").alias("year_range"), "unique_partners",
         "unique_hs_codes")
@@ -156,7 +160,9 @@ def flow_report_frame(flows: DataFrame, label: str) -> DataFrame:
 
 
 def stats_report_frame(stats: DataFrame) -> DataFrame:
-    """D4 (nested, one row)."""
+    """D4 (nested, one row), from statistics written once."""
+    used = dict.fromkeys(("country_iso3", "year", "gdp_usd", *STATS_NULL_COLS))
+    stats = written(stats.select(*[c for c in used if c in stats.columns]), "reported")
     flat = stats_report(stats).select("total_rows", "unique_countries",
                                       F.array("year_min", "year_max").alias("year_range"))
     dist = distribution(stats, "gdp_usd")
