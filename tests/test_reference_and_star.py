@@ -161,3 +161,14 @@ def test_time_dimension_has_every_year_of_the_data(spark):
     a = spark.createDataFrame([(1990,), (None,), (2035,)], "year int")
     got = [x["year"] for x in rows(R.dim_time_of(spark, a, years=(2014, 2015)), ["year"])]
     assert got == [1990, 2014, 2015, 2035]
+
+
+def test_constraints_do_not_clean_the_feeds_again(spark):
+    from conftest import SF_SMOKE
+    from tradeweave.plans.registry import ON_STAR
+    from tradeweave.plans.warehouse import standin_star
+
+    checks = ON_STAR["l11_constraints"](standin_star(spark, SF_SMOKE))
+    plan = checks._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan
+    assert checks.count() == 17
