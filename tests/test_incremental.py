@@ -93,3 +93,31 @@ def test_a_year_may_lose_its_cube(spark, scratch, dims):
     assert load_increment(spark, landing, out, *dims) == [2020]
     same_as_reload(spark, landing, out, dims)
     assert cube_of(spark, out).count() == 0
+
+
+def test_a_feed_is_sorted_by_more_tasks_as_it_grows(spark):
+    from tradeweave.plans.registry import FILE_ROWS, feed_files
+
+    assert feed_files(spark.range(10)) == 4
+    assert feed_files(spark.range(9 * FILE_ROWS + 1)) == 10
+
+
+def test_landed_files_are_left_out_without_a_shuffle_of_lines(spark, scratch, monkeypatch):
+    from tradeweave.sources import landing
+
+    rng, seen = random.Random(4), []
+    put(f"{scratch}/in", "a.csv", [line(rng, 2020) for _ in range(2000)])
+    landing.land_incremental(spark, f"{scratch}/in", f"{scratch}/out")
+    put(f"{scratch}/in", "b.csv", [line(rng, 2021) for _ in range(5)])
+    align = landing.align_lines
+    monkeypatch.setattr(landing, "align_lines", lambda lines, *a, **k: (seen.append(lines), align(lines, *a, **k))[1])
+    # the landed rows are over this size, the list of their files is not
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "2500")
+    try:
+        landing.land_incremental(spark, f"{scratch}/in", f"{scratch}/out")
+        plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "hashpartitioning(_ing_file" not in plan
+    assert landing.landed_rows(spark, f"{scratch}/out").count() == 2005

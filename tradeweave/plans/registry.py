@@ -922,6 +922,15 @@ def s9_landed_rows(s):
         F.count_distinct("cmdCode").alias("hs_codes"))
 
 
+#: Rows of a feed that one task sorts into a file.
+FILE_ROWS = 1_000_000
+
+
+def feed_files(feed: DataFrame) -> int:
+    """Files of a feed that lands in ingest order: four, and more for a feed that has more rows than those should hold."""
+    return max(4, -(-feed.count() // FILE_ROWS))
+
+
 @register("s11_incremental_load", O.with_base("""
 SELECT year, flow_direction, partner_id, COUNT(*) AS rows, SUM(trade_value_usd) AS value, COUNT(net_weight_kg) AS with_weight,
     COUNT(*) FILTER (WHERE trade_value_usd > 0) AS positive
@@ -937,7 +946,8 @@ def s11_incremental_load(s):
     batch = F.when(F.trim(F.regexp_replace("partnerCode", "[.]0$", "")).try_cast("int") % 3 == 1, 1).when(F.trim(F.regexp_replace("partnerCode", "[.]0$", "")).try_cast("int") % 3 == 2, 2).otherwise(0)
     feed = written(raw.select(*RAW_FLOW_COLUMNS, *INGEST_ORDER, batch.alias("_batch")), "feed")
     for k in range(3):
-        part = feed.where(F.col("_batch") == k).repartitionByRange(4, *INGEST_ORDER).sortWithinPartitions(*INGEST_ORDER)
+        batch = feed.where(F.col("_batch") == k)
+        part = batch.repartitionByRange(feed_files(batch), *INGEST_ORDER).sortWithinPartitions(*INGEST_ORDER)
         part.select(*RAW_FLOW_COLUMNS).write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False) \
             .option("ignoreTrailingWhiteSpace", False).csv(f"{root}/in/load{k}")
         load_increment(spark, f"{root}/in", f"{root}/out", s.dim_country, s.dim_commodity)

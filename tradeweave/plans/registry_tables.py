@@ -17,7 +17,7 @@ from tradeweave.params import TradeFilter
 from tradeweave.plans import oracle as O
 from tradeweave.plans import sql_functions as SF
 from tradeweave.plans.registry import (
-    ALL, CHAPTER, FLOWS, PARAMS, PARTNER, RANGE, REGISTRY, SECTION, _payload_folder, register, report_sql, years_sql)
+    ALL, CHAPTER, FLOWS, PARAMS, PARTNER, RANGE, REGISTRY, SECTION, _payload_folder, feed_files, register, report_sql, years_sql)
 from tradeweave.session import ensure_checkpoint_dir, written
 from tradeweave.sources import files as FI
 from tradeweave.sources import standin
@@ -181,7 +181,7 @@ def s9_keyed_stream(s):
     feed = written(raw.select(*RAW_FLOW_COLUMNS, *standin.INGEST_ORDER, second.alias("_second")), "feed")
     again = F.pmod(F.xxhash64(*standin.INGEST_ORDER), F.lit(5)) == 0
     for k, part in enumerate((feed.where(~F.col("_second")), feed.where(F.col("_second") | again))):
-        ordered = part.repartitionByRange(4, *standin.INGEST_ORDER).sortWithinPartitions(*standin.INGEST_ORDER)
+        ordered = part.repartitionByRange(feed_files(part), *standin.INGEST_ORDER).sortWithinPartitions(*standin.INGEST_ORDER)
         ordered.select(*RAW_FLOW_COLUMNS).write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False) \
             .option("ignoreTrailingWhiteSpace", False).csv(f"{root}/in/run{k}")
         clean = land_by_key(_spark(s), f"{root}/in", f"{root}/out")

@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tradeweave.session import written
 from tradeweave.sources.files import INGEST_ORDER, RAW_FLOW_COLUMNS, align_lines, path_exists, raw_lines, text_schema
 
 #: The landing run that a row came with.
@@ -38,7 +39,8 @@ def land_incremental(spark: SparkSession, landing: str, out: str,
     """
     lines, rows, run = raw_lines(spark, landing), _rows_path(out), uuid.uuid4().hex
     if path_exists(spark, rows):
-        done = spark.read.schema(_landed_schema(columns)).parquet(rows).select("_ing_file").distinct()
+        # written, so that the join knows the size of the list and not that of the landed rows: no line is shuffled for it
+        done = written(spark.read.schema(_landed_schema(columns)).parquet(rows).select("_ing_file").distinct(), "done")
         lines = lines.join(done, "_ing_file", "left_anti")
     new = align_lines(lines, columns, required=columns).select(*columns, *INGEST_ORDER, F.lit(run).alias(RUN))
     new.write.mode("append").parquet(rows)
