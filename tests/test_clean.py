@@ -169,3 +169,37 @@ def test_hot_key_dedup_is_combined_map_side(spark):
     assert re.search(r"WindowGroupLimit .*Partial", plan)
     got = {x["partner_code"]: x["trade_value_usd"] for x in out.collect()}
     assert len(got) == 1 + len(cold) and got[156] == 1000.0
+
+
+def test_years_are_those_of_the_clean_flows_without_a_window(spark):
+    data = [r(1, year="2020"), r(2, year="2020.0"), r(3, year="n/a"), r(4, year=None), r(5, year="2021", par="0"),
+            r(6, year="2022", hs="TOTAL"), r(7, year="2023", hs="X"), r(8, year=" 2024 "), r(9, year="2024")]
+    df = raw(spark, data)
+    years = C.flow_years(df)
+    assert "Window" not in years._jdf.queryExecution().optimizedPlan().toString()
+    assert {x["year"] for x in rows(years)} == {x["year"] for x in rows(C.clean_flows(df, ["seq"]))} == {2020, 2024, None}
+    assert {x["year"] for x in rows(C.flow_years(C.tag_flows(df)))} == {2020, 2024, None}
+    assert C.flow_years(df, dedup_keys=("partner_code",)) is None
+
+
+def test_indicators_are_hashed_not_sorted_and_a_null_place_is_first(spark):
+    data = [("A", "a", 2000, "gdp_usd", 2.0, 2), ("A", "a", 2000, "gdp_usd", 1.0, 1), ("B", "b", 2000, "gdp_usd", 3.0, 1),
+            ("B", "b", 2000, "gdp_usd", 4.0, None), ("B", "b", 2000, "population", 5.0, 3)]
+    df = spark.createDataFrame(data, "country_iso3 string, country_name string, year int, indicator string, value double, seq long")
+    wide = C.pivot_indicators(df, ["seq"])
+    assert "SortAggregate" not in wide._jdf.queryExecution().executedPlan().toString()
+    assert sorted((x["country_iso3"], x["gdp_usd"], x["population"]) for x in rows(wide)) == [("A", 1.0, None), ("B", 4.0, 5.0)]
+
+
+def test_stats_years_are_those_of_the_clean_stats(spark):
+    data = [("A", "a", "NY.GDP.MKTP.CD", "2000", "1", 1), ("A", "a", "NY.GDP.MKTP.CD", "2001", "n/a", 2), ("WLD", "w", "NY.GDP.MKTP.CD", "2002", "1", 3),
+            ("B", None, "NY.GDP.MKTP.CD", "2003", "1", 4), ("B", "b", "OTHER", "2004", "1", 5)]
+    df = spark.createDataFrame(data, "country_iso3 string, country_name string, indicator string, year string, value string, _ing_seq long")
+    assert {x["year"] for x in rows(C.stats_years(df))} == {x["year"] for x in rows(C.clean_country_stats(df))} == {2000, 2004}
+
+
+def test_numeric_text_of_odd_cells(spark):
+    cells = ["842", "842.0", "0842", "\t842", "", " ", "+7", "-7", "0", "000", "1a", "1.5", None, "12 ", "٣"]
+    got = spark.createDataFrame([(c,) for c in cells], "c string").select(E.numeric_text("c").alias("n"), E.is_digits(E.strip("c")).alias("d")).collect()
+    assert [g["n"] for g in got] == ["842", "842", "842", "842", "", "", "7", "-7", "0", "0", "1a", "1.5", None, "12", "٣"]
+    assert [g["d"] for g in got] == [True, False, True, True, True, True, False, False, True, True, False, False, None, True, False]

@@ -50,3 +50,17 @@ def test_scans_read_only_needed_columns(wh):
     p = plan(ON_STAR["q5_annual_balance"](wh))
     schema = re.search(r"ReadSchema: (struct<[^>]*>)", p).group(1)
     assert "net_weight_kg" not in schema and "trade_value_usd" in schema
+
+
+def test_a_session_with_sparks_default_gets_compiled_methods(spark):
+    from tradeweave.session import COMPILED_METHOD, keep_methods_compiled
+
+    key = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(key)
+    try:
+        for had, wanted in (("65535", COMPILED_METHOD), ("4000", "4000")):
+            spark.conf.set(key, had)
+            keep_methods_compiled(spark)
+            assert spark.conf.get(key) == wanted
+    finally:
+        spark.conf.set(key, before)

@@ -34,14 +34,12 @@ def norm_code(c: Column | str) -> Column:
 
 def numeric_text(c: Column | str) -> Column:
     """One text per whole number: ``842``, ``842.0``, ``0842`` and ``\\t842`` become ``842``; other text is only stripped."""
-    text = strip(c)
-    plain = is_digits(text) & ~text.startswith("0")  # most cells: no pattern is matched
-    return F.when(plain, text).otherwise(F.regexp_replace(text, r"^\+?0*([0-9]+)(?:\.0*)?$", "$1"))
+    return F.regexp_replace(strip(c), r"^\+?0*([0-9]+)(?:\.0*)?$", "$1")
 
 
 def is_digits(c: Column) -> Column:
     """True for text of decimal digits only, and for empty text."""
-    return F.translate(c, "0123456789", "") == ""
+    return F.btrim(c, F.lit("0123456789")) == ""
 
 
 def pad_code(c: Column | str) -> Column:

@@ -198,6 +198,17 @@ def clean_flows(raw: DataFrame, order: Sequence[str],
     return df.drop(*[c for c in order if c in df.columns])
 
 
+def flow_years(raw: DataFrame, dedup_keys: Sequence[str] = DEFAULT_DEDUP_KEYS) -> DataFrame | None:
+    """Every ``year`` of the clean flows, once. A dedup key that holds the year's text drops no year,
+    so the kept rows need not be found; None for other keys. Rows that are not tagged yet are brought to their distinct
+    cells first: only those are parsed."""
+    df = rename_present(raw)
+    if "year" not in df.columns or (_dedup_keys_present(df, dedup_keys) and "year" not in dedup_keys):
+        return None
+    t = df if REJECT in df.columns else tag_flows(df.select(*[c for c in ("year", "partner_code", "hs_code") if c in df.columns]).distinct())
+    return t.where(F.col(REJECT).isNull()).select("year").distinct().select(to_int(F.col("year")).alias("year"))
+
+
 def cleaning_ledger(raw: DataFrame, dedup_keys: Sequence[str] = DEFAULT_DEDUP_KEYS) -> DataFrame:
     """Rows per cleaning outcome, every step listed (step_no, step, rows, pct_of_input).
 
@@ -260,15 +271,24 @@ def pivot_indicators(df: DataFrame, order: Sequence[str], columns: Sequence[str]
 
     Rows with a NULL index value are dropped. Every name in ``columns``
     becomes a column even if no row carries it (C19). Written as one
-    aggregation with ``min_by`` per indicator, so hot keys combine map-side.
+    aggregation with ``min_by`` per indicator, so hot keys combine map-side. One
+    order column is compared as it is (NULL first): its buffers have a fixed width, so
+    the rows are hashed, where a struct's would be sorted.
     """
     keyed = df
     for c in index:
         keyed = keyed.where(F.col(c).isNotNull())
-    seq = F.struct(*order)
     value = F.col("value").try_cast("double")
-    aggs = [F.min_by(value, F.when(F.col("indicator") == name, seq)).alias(name) for name in columns]
-    return keyed.groupBy(*index).agg(*aggs)
+
+    def first(name: str) -> Column:
+        own = F.col("indicator") == name
+        if len(order) > 1:
+            return F.min_by(value, F.when(own, F.struct(*order)))
+        seq = F.col(order[0])
+        unplaced = own & seq.isNull()
+        return F.when(F.count_if(unplaced) > 0, F.min(F.when(unplaced, value))).otherwise(F.min_by(value, F.when(own, seq)))
+
+    return keyed.groupBy(*index).agg(*[first(name).alias(name) for name in columns])
 
 
 def gdp_per_capita(df: DataFrame) -> DataFrame:
@@ -276,6 +296,12 @@ def gdp_per_capita(df: DataFrame) -> DataFrame:
     return df.withColumn("gdp_per_capita", safe_div(F.col("gdp_usd"), F.col("population")))
 
 
+def stats_years(*indicator_frames: DataFrame) -> DataFrame:
+    """Every ``year`` of the clean country statistics, without their figures."""
+    long = map_indicators(union_indicators(*indicator_frames))
+    return long.where(F.col("country_iso3").isNotNull() & F.col("country_name").isNotNull()).select("year").distinct()
+
+
 def clean_country_stats(*indicator_frames: DataFrame, order: Sequence[str] = ("_ing_seq",)) -> DataFrame:
     """C16→C20 as one plan: union, filter, map, pivot, per-capita ratio."""
     long = map_indicators(union_indicators(*indicator_frames))

@@ -27,6 +27,7 @@ from tradeweave.operators import clean as C
 from tradeweave.operators import star as S
 from tradeweave.operators import summaries as SU
 from tradeweave.plans.cube import CUBE_SCHEMA, trade_cube
+from tradeweave.session import keep_methods_compiled
 from tradeweave.sources import reference as R
 from tradeweave.sources import standin
 from tradeweave.sources.clustered import write_clustered
@@ -63,12 +64,20 @@ def clean_stage(raw: standin.RawInputs, cfg: PipelineConfig = PipelineConfig())
     }
 
 
+def year_tables(raw: standin.RawInputs, stage: dict[str, DataFrame], cfg: PipelineConfig = PipelineConfig()) -> list[DataFrame]:
+    """The years of the clean flows, mirror flows and statistics, found without cleaning them whole."""
+    flows = {"trade_flows": raw.reporter_flows, "mirror_flows": raw.mirror_flows}
+    found = [C.flow_years(df, cfg.dedup_keys) for df in flows.values()]
+    return [stage[name] if df is None else df for name, df in zip(flows, found)] + [C.stats_years(raw.indicators)]
+
+
 def star_from_stage(spark: SparkSession, stage: dict[str, DataFrame], cfg: PipelineConfig = PipelineConfig(),
-                    raw: standin.RawInputs | None = None) -> S.Star:
-    """Dimensions, key resolution and facts over clean staging tables."""
+                    raw: standin.RawInputs | None = None, years: Sequence[DataFrame] | None = None) -> S.Star:
+    """Dimensions, key resolution and facts over clean staging tables. ``years`` are tables with their years, where
+    those come cheaper than from the staging tables."""
     dim_country = S.patch_regions(S.build_dim_country(stage["countries"]), cfg.region_overwrite, cfg.region_fill)
     dim_commodity = S.build_dim_commodity(stage["hs_chapters"])
-    dim_time = R.dim_time_of(spark, stage["trade_flows"], stage["mirror_flows"], stage["country_stats"],
+    dim_time = R.dim_time_of(spark, *(years or (stage["trade_flows"], stage["mirror_flows"], stage["country_stats"])),
                              years=cfg.years, periods=cfg.periods, last=cfg.last_period)
 
     def fact(flows: DataFrame) -> DataFrame:
@@ -88,7 +97,8 @@ def star_from_stage(spark: SparkSession, stage: dict[str, DataFrame], cfg: Pipel
 
 def build_star(spark: SparkSession, raw: standin.RawInputs, cfg: PipelineConfig = PipelineConfig()) -> S.Star:
     """Whole pipeline as lazy plans: raw inputs → clean staging → star."""
-    return star_from_stage(spark, clean_stage(raw, cfg), cfg, raw)
+    stage = clean_stage(raw, cfg)
+    return star_from_stage(spark, stage, cfg, raw, year_tables(raw, stage, cfg))
 
 
 #: Plans per session, gone with the session object.
@@ -97,6 +107,7 @@ _STARS: WeakKeyDictionary[SparkSession, dict[str, S.Star]] = WeakKeyDictionary()
 
 def standin_star(spark: SparkSession, sf_dir: str) -> S.Star:
     """Star over the stand-in inputs of ``sf_dir``, as lazy plans (analysed once per session)."""
+    keep_methods_compiled(spark)
     stars, key = _STARS.setdefault(spark, {}), sf_dir.rstrip("/")
     if key not in stars:
         stars[key] = replace(build_star(spark, standin.load_raw_inputs(spark, sf_dir), STANDIN_CONFIG), source_dir=key)

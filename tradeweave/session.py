@@ -7,6 +7,17 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of a method beyond which the JVM interprets it instead of compiling it.
+COMPILED_METHOD = "8000"
+_LIMIT, _SPARK_DEFAULT = "spark.sql.codegen.hugeMethodLimit", "65535"
+
+
+def keep_methods_compiled(spark: SparkSession) -> None:
+    """Where the session has Spark's default, operators whose fused code the JVM would only interpret run one by
+    one (the parse of the flows is such code); a limit that was set stays. No result depends on it."""
+    if spark.conf.get(_LIMIT, _SPARK_DEFAULT) == _SPARK_DEFAULT:
+        spark.conf.set(_LIMIT, COMPILED_METHOD)
+
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "tradeweave") -> SparkSession:
     spark = (
@@ -17,7 +28,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         # generated methods beyond this are not compiled by the JVM but interpreted; Spark then runs the operators one by one
-        .config("spark.sql.codegen.hugeMethodLimit", "8000")
+        .config(_LIMIT, COMPILED_METHOD)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
