@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import functions as F
 
-from conftest import rows
+from conftest import SF_SMOKE, rows
 from tradeweave.constants import REFERENCE_DEDUP_KEYS
 from tradeweave.functions import exprs as E
+from tradeweave.functions.exprs import to_int, try_number
 from tradeweave.operators import clean as C
+from tradeweave.sources.standin import _lines
 
 COLS = ["refYear", "reporterCode", "reporterISO", "partnerCode", "partnerISO", "cmdCode", "cmdDesc",
         "flowCode", "primaryValue", "netWgt", "qty", "qtyUnitAbbr", "extraCol", "seq"]
@@ -203,3 +206,47 @@ def test_numeric_text_of_odd_cells(spark):
     got = spark.createDataFrame([(c,) for c in cells], "c string").select(E.numeric_text("c").alias("n"), E.is_digits(E.strip("c")).alias("d")).collect()
     assert [g["n"] for g in got] == ["842", "842", "842", "842", "", "", "7", "-7", "0", "0", "1a", "1.5", None, "12", "٣"]
     assert [g["d"] for g in got] == [True, False, True, True, True, True, False, False, True, True, False, False, None, True, False]
+
+
+# --------------------------------------------------------------------------- parsed once per filter
+def _optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_code_is_a_chapter_where_its_padded_form_is_valid(spark):
+    codes = ["1", "01", "99", "12", "100", "", "A", "1A", "1 ", "12\n", "١", "١2", None]
+    df = spark.createDataFrame([(c,) for c in codes], "c string")
+    got = df.select("c", C.is_chapter(F.col("c")).alias("one"), C.is_valid_hs(C.pad_code(F.col("c"))).alias("two")).collect()
+    assert all(r.one == r.two for r in got) and [r.c for r in got if r.one] == ["1", "01", "99", "12"]
+
+
+def test_filters_hold_the_parse_of_a_cell_once(spark):
+    df = spark.createDataFrame([("842.0", " x ", "1")], "year string, hs_code string, partner_code string")
+    years = _optimized(df.select(to_int(F.col("year")).alias("y")).where("y > 1000"))
+    assert years.split("Filter")[1].split("\n")[0].count("trim(") == 1, years
+    kept = _optimized(C.tag_flows(df).where(F.col(C.REJECT).isNull()))
+    assert kept.split("Filter")[1].split("\n")[0].count("upper(") <= 2, kept
+
+
+def test_ints_and_numbers_that_are_none(spark):
+    texts = ["842.0", "NaN", "Infinity", "-Infinity", "1e400", "3000000000", "-7.9", "\t12 ", "x", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select(to_int(F.col("t")).alias("i"), try_number(F.col("t")).alias("n")).collect()
+    assert [r.i for r in got] == [842, None, None, None, None, None, -7, 12, None, None, None]
+    assert [r.n for r in got] == [842.0, None, None, None, None, 3e9, -7.9, 12.0, None, None, None]
+
+
+def test_first_rows_are_sorted_by_a_hash_of_their_keys(spark):
+    data = [("a", None, 2), ("a", None, 1), (None, "b", 3), (None, "b", 0), ("b", None, 5), ("", "b", 4)]
+    df = spark.createDataFrame(data, "k1 string, k2 string, n int")
+    out = C.dedup_first(df, ["k1", "k2"], ["n"])
+    assert out.columns == df.columns
+    assert sorted(out.collect(), key=lambda r: r.n) == [(None, "b", 0), ("a", None, 1), ("", "b", 4), ("b", None, 5)]
+    assert "xxhash64" in _optimized(out)
+
+
+def test_customers_join_orders_before_the_lines(spark):
+    plan = _optimized(_lines(spark, SF_SMOKE))
+    joins = [x for x in plan.split("\n") if "Join Inner" in x]
+    depth = {k: next(x.index("Join") for x in joins if k in x) for k in ("o_custkey", "l_orderkey")}
+    assert depth["o_custkey"] > depth["l_orderkey"], plan

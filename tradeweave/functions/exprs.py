@@ -67,12 +67,13 @@ def is_export(c: Column | str = "flow_direction") -> Column:
 def try_number(c: Column | str) -> Column:
     """Text → double; text that is no finite number (``n/a``, ``NaN``, ``Infinity``) becomes NULL, never an error."""
     n = strip(c).try_cast("double")
-    return F.when(~F.isnan(n) & (F.abs(n) < float("inf")), n)
+    return F.when(F.abs(n) < float("inf"), n)  # NaN is above infinity
 
 
 def to_int(c: Column | str) -> Column:
-    """Text or number → int via double, so '842.0' becomes 842; a number that no int holds becomes NULL."""
-    return try_number(c).try_cast("int")
+    """Text or number → int via double, so '842.0' becomes 842; a number that no int holds (NaN, infinity) becomes NULL.
+    The text stands in it once, as Spark copies the whole of it into every condition on the result."""
+    return strip(c).try_cast("double").try_cast("int")
 
 
 def safe_div(num: Column, den: Column) -> Column:

@@ -52,6 +52,12 @@ def is_valid_hs(code: Column) -> Column:
     return F.coalesce((F.char_length(code) == 2) & is_digits(code), F.lit(False))
 
 
+def is_chapter(code: Column) -> Column:
+    """Whether the padded code is valid, asked of the unpadded one: Spark copies the whole parse of a code into
+    every place where a filter names it, so it stands here once."""
+    return F.coalesce(code.rlike(r"\A[0-9]{1,2}\z"), F.lit(False))
+
+
 def drop_world(df: DataFrame, codes: Sequence[str] = WORLD_PARTNER_CODES) -> DataFrame:
     if "partner_code" not in df.columns:
         return df
@@ -141,10 +147,12 @@ def dedup_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Dat
     """Keep the first row (by ``order``) of every ``keys`` group; NULL keys compare equal.
 
     Spark limits each group to its first row in every map task before the shuffle
-    (the rank is filtered to 1), so a hot key never lands whole in one task.
+    (the rank is filtered to 1), so a hot key never lands whole in one task. A hash of the
+    keys leads them in the sorts: rows of different keys are told apart by that number, not by the texts.
     """
-    first = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_nth", F.row_number().over(first)).where(F.col("_nth") == 1).drop("_nth")
+    first = Window.partitionBy("_hash_of_keys", *keys).orderBy(*order)
+    ranked = df.withColumn("_hash_of_keys", F.xxhash64(*keys)).withColumn("_nth", F.row_number().over(first))
+    return ranked.where(F.col("_nth") == 1).drop("_nth", "_hash_of_keys")
 
 
 # --------------------------------------------------------------------------- C13/C15
@@ -164,7 +172,7 @@ def tag_flows(raw: DataFrame) -> DataFrame:
     if "hs_code" in df.columns:
         df = df.withColumn("hs_code", norm_code(F.col("hs_code")))
         agg = is_aggregate_hs(F.col("hs_code"))
-        bad = ~is_valid_hs(pad_code(F.col("hs_code")))
+        bad = ~is_chapter(F.col("hs_code"))
         reason = F.when(agg, "aggregate_hs") if reason is None else reason.when(agg, "aggregate_hs")
         reason = reason.when(bad, "invalid_hs")
     df = map_flow(df).withColumn(REJECT, reason if reason is not None else F.lit(None).cast("string"))

@@ -102,8 +102,8 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _t(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     s = _t(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     p = _t(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size")
-    return (li.join(o, li.l_orderkey == o.o_orderkey)
-              .join(c, F.col("o_custkey") == c.c_custkey)
+    # customers join the orders, not the lines, of which there are several for each order
+    return (li.join(o.join(c, o.o_custkey == c.c_custkey), li.l_orderkey == o.o_orderkey)
               .join(s, li.l_suppkey == s.s_suppkey)
               .join(p, li.l_partkey == p.p_partkey))
 
