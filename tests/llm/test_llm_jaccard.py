@@ -159,3 +159,18 @@ def test_connected_components(spark):
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {n: m for n, m in label.items() if n != m}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_a_round_of_components_plans_its_links_a_few_times(spark, monkeypatch):
+    from tradeweave.llm import components as module
+
+    scans, kept = [], module.staged
+
+    def counted(df, name):
+        scans.append(df._jdf.queryExecution().optimizedPlan().toString().count("Relation ["))
+        return kept(df, name)
+
+    monkeypatch.setattr(module, "staged", counted)
+    links = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (9, 8), (7, 7), (4, 5), (5, 1), (1, 2)], "a int, b int")
+    assert sorted(map(tuple, module.components(links).collect())) == [(2, 1), (3, 1), (4, 1), (5, 1), (9, 8)]
+    assert len(scans) > 2 and max(scans[1:]) <= 4, scans

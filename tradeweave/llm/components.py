@@ -7,6 +7,12 @@ from pyspark.sql import DataFrame, functions as F
 from .common import staged
 
 
+def _rows_of(pairs: DataFrame, *ends: tuple[str, str]) -> DataFrame:
+    """pairs (u, v) from several columns of each row. A union would plan all that leads to its rows once for each."""
+    each = F.array(*[F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in ends])
+    return pairs.select(F.explode(each).alias("e")).select("e.u", "e.v")
+
+
 def _with_least(pairs: DataFrame) -> DataFrame:
     """pairs (u, v) with the least of u and its v's; combined before the shuffle, joined back by u."""
     least = pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -25,11 +31,10 @@ def components(links: DataFrame) -> DataFrame:
     pairs = staged(canonical(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "links")
     seen = None
     while True:
-        both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = _rows_of(pairs, ("u", "v"), ("v", "u"))
         large = _with_least(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.filter("u != v").distinct()
-        small = _with_least(large)
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
+        small = _rows_of(_with_least(large), ("v", "m"), ("u", "m"))
         pairs = staged(canonical(small), "links")
         now = tuple(pairs.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
         if now == seen or now[0] == 0:
